@@ -26,11 +26,12 @@ VOCAB, CLASSES = HEAD * WIDTH, HEAD + TAIL
 #: Context symbols: the commonest words stand for themselves, others for a hash of their last bytes.
 OWN, ENDINGS, COARSE, PAIRS = 4096, 1024, 512, 1 << 14
 SYMBOLS = OWN + ENDINGS + 1
-#: Words whose exact counts go to every executor; counts of all others are joined.
+#: At most so many words' exact counts go to every executor, as whole levels of a log scale from the
+#: top; counts of all others are joined.
 KNOWN = 250_000
 BATCH, RATE, SEED = 8192, 0.25, 3
 #: Input partitions that one training shard goes through, and blocks a model is cut into for averaging.
-SHARD, BLOCKS, FANIN = 5, 16, 64
+SHARD, BLOCKS, FANIN = 2, 16, 64
 END = b""
 LOG10E = float(np.log10(np.e))
 
@@ -71,7 +72,13 @@ class Tables:
     def __init__(self, counts: DataFrame):
         row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         self.n, self.v = row.n, row.v
-        top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+        level = F.floor(F.log2("n") * 16).cast("int").alias("level")
+        least, room = 1 << 30, KNOWN
+        for r in sorted(counts.groupBy(level).count().collect(), reverse=True):
+            if (room := room - r["count"]) < 0:
+                break
+            least = r.level
+        top = counts.where(level >= least).collect()
         top.sort(key=lambda r: (-r.n, bytes(r.word)))
         self.words = [bytes(r.word) for r in top]
         self.counts = np.array([r.n for r in top], np.float64)
@@ -119,9 +126,9 @@ def features(tables: Tables, idx: np.ndarray, starts: np.ndarray):
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    """Row softmax in place. Logits are capped, not shifted: a matrix product is far cheaper than a row maximum."""
+    np.exp(np.minimum(z, np.float32(60), out=z), out=z)
+    z /= (z @ np.ones(z.shape[1], np.float32) + np.float32(1e-30))[:, None]
     return z
 
 
@@ -151,10 +158,10 @@ def log_probs(tables: Tables, model, idx: np.ndarray, starts: np.ndarray) -> np.
 
 def _descend(weights: np.ndarray, second: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
     """AdaGrad with one step size a row, on the summed gradient of each row used."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits sort by radix
     r = rows[order]
     first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-    g = np.add.reduceat(grad[order], first, axis=0)
+    g = np.add.reduceat(grad[order].view(np.complex64), first, axis=0).view(np.float32)  # two columns a step
     uniq = r[first]
     g /= np.sqrt(np.diff(np.r_[first, len(r)]))[:, None].astype(np.float32)
     second[uniq] += np.einsum("ij,ij->i", g, g)

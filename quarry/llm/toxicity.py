@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from quarry.llm.common import batch, fold, id_and_bytes
 
 BUCKETS, FACTORS, THRESHOLD = 1 << 17, 6, 0.3
-#: The classifier is fitted on at most this many labelled documents of each class, the first by a hash of their id.
+#: The classifier is fitted on about so many labelled documents of each class at most, chosen by a hash of their id.
 MOST_POSITIVE, MOST_NEGATIVE = 4_000, 6_000
 #: Hashed terms of a word: itself and its first bytes, so that unseen inflections meet their stem.
 PREFIXES = (5, 6)
@@ -109,7 +109,7 @@ def fit(rows: list[tuple[bytes, int]], weights: tuple[float, float]) -> tuple:
 def train(docs: DataFrame, labels: DataFrame, usable=None) -> tuple:
     """Fit on ``labels.toxic`` of documents where ``usable`` (a column of doc_id; default all) holds.
 
-    The labelled sample is bounded by MOST_POSITIVE and MOST_NEGATIVE; each class is weighted back to its
+    The labelled sample's expected size is bounded by MOST_POSITIVE and MOST_NEGATIVE; each class is weighted back to its
     share among all usable labels. Null labels and ids are left out; repeated labels count as the greatest.
     """
     known = labels.where("doc_id is not null and toxic is not null")
@@ -118,10 +118,12 @@ def train(docs: DataFrame, labels: DataFrame, usable=None) -> tuple:
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     most = {1: MOST_POSITIVE, 0: MOST_NEGATIVE}
-    take = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(k) for y, k in most.items()]
-    sample = id_and_bytes(docs).join(F.broadcast(take[0].unionByName(take[1])), F.col("doc_id") == F.col("id"))
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    rate = {y: min(1 << 20, (k << 20) // max(1, n.get(y, 0))) for y, k in most.items()}
+    take = known.where(share < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))
+    sample = id_and_bytes(docs).join(F.broadcast(take), F.col("doc_id") == F.col("id"))
     rows = sorted((r.doc_id, bytes(r.text), r.y) for r in sample.select("doc_id", "text", "y").collect())
-    return fit([r[1:] for r in rows], tuple(max(1.0, n.get(y, 0) / most[y]) for y in (0, 1)))
+    return fit([r[1:] for r in rows], tuple((1 << 20) / max(1, rate[y]) for y in (0, 1)))
 
 
 def score(docs: DataFrame, model: tuple) -> DataFrame:
