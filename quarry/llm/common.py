@@ -6,13 +6,12 @@ Words everywhere are maximal runs outside ``\\x20\\x09-\\x0D``; on UTF-8 bytes t
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quarry.sources.shared import new_path, shared_dir, written  # noqa: F401
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,40 +28,6 @@ def fold(mod: int, doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == 2, F.lit(False))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is made only where the session names none (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        handle = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if handle.isDefined():
-            base = handle.get()
-        else:
-            spark.sparkContext.setCheckpointDir(base := tempfile.mkdtemp(prefix="quarry-"))
-    return base
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quarry-{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(*frames: DataFrame) -> None:
-    """Delete tables made by ``written`` that nothing reads any more."""
-    for df in frames:
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            if "/quarry-" in f:
-                jvm = df.sparkSession._jvm
-                path = jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that scatters them (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)
