@@ -67,8 +67,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, group
             rests.clear()
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encode(text.as_py().decode("utf-8", "replace")) + tail
+            for doc, ids in encode.rows(b.column(0).to_pylist(), b.column(1)):
+                ids += tail
                 total = len(ids) // 4
                 full = total - total % length
                 for a in range(0, full, length):

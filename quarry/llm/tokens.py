@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
-MOST_CACHED = 250_000
-#: White space besides the ASCII kind, which could join a run across a cut.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_UNIT = re.compile("[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
+#: Words remembered: those met twice, by a bitmap of hashes, until so many are.
+MOST_CACHED, SEEN_BITS = 600_000, 24
+#: Unknown words are encoded so many at a time, joined.
+JOINED = 128
+#: White space besides space and line feed, and runs that need the general cut.
+_OTHER_SPACE = re.compile("[\t\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_UNIT = re.compile("[ \n]*[^ \n]+|[ \n]+")
 
 
 class Encoder:
     """Encodes texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     A byte-level BPE with the usual word pattern never merges across the start of a run of white
-    space, so runs of white space with the word behind them are encoded once and remembered. Texts
-    with other white space or with a special token's string go to the library whole.
+    space, so a run with the word behind it can be encoded by itself and remembered. Most texts are cut at
+    single spaces, those with longer runs by a pattern; texts with other white space or a special
+    token's string go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -25,23 +30,85 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        names = self.library.get_vocab()
+        self.spaced = np.zeros(max(names.values()) + 1, bool)
+        self.spaced[[k for t, k in names.items() if t[:1] == "\u0120"]] = True  # the byte-level sign for a space
         self.known: dict[str, bytes] = {}
+        self.seen = bytearray(1 << SEEN_BITS - 3)
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if any(s in text for s in self.special) or (not text.isascii() and _OTHER_SPACE.search(text)) or (text.isascii() and re.search("[\x1c-\x1f]", text)):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        units, known = _UNIT.findall(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, units))
-        except KeyError:
-            pass
-        if len(known) > MOST_CACHED:
-            known.clear()
-        new = [u for u in dict.fromkeys(units) if u not in known]
-        for u, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            known[u] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, units))
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; unknown words of all of them are encoded together.
+
+        ``known`` maps a word to the ids of a space and the word, a unit that begins otherwise to its own.
+        """
+        get, cut, unknown = self.known.get, [], set()
+        for text in texts:
+            if any(s in text for s in self.special) or _OTHER_SPACE.search(text):
+                cut.append(([array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()], ()))
+                continue
+            if "  " in text or "\n " in text:
+                units = [u[1:] if u[0] == " " and u[1:2] not in (" ", "\n", "") else "\0" + u for u in _UNIT.findall(text)]
+            else:
+                units = text.split(" ")
+                units[0] = "\0" + units[0]
+            ids = list(map(get, units))
+            new = [(k, units[k]) for k, v in enumerate(ids) if v is None] if None in ids else ()
+            unknown.update(u for _, u in new)
+            cut.append((ids, new))
+        found = self._encode(unknown)
+        for ids, new in cut:
+            for k, u in new:
+                ids[k] = found[u]
+        self._remember(found)
+        return [b"".join(ids) for ids, _ in cut]
+
+    def rows(self, ids, texts, most: int = 1 << 20):
+        """(id, token ids) of each row of an Arrow column of UTF-8 texts, about ``most`` bytes at a time."""
+        keys, held, size = [], [], 0
+        for key, text in zip(ids, texts):
+            raw = text.as_py()
+            keys.append(key), held.append(raw.decode("utf-8", "replace"))
+            size += len(raw)
+            if size >= most:
+                yield from zip(keys, self.batch(held))
+                keys, held, size = [], [], 0
+        yield from zip(keys, self.batch(held))
+
+    def _encode(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of each unit. Units behind a space are joined; the tokens that begin with a space cut the ids again."""
+        encode, kw = self.library.encode_batch_fast, {"add_special_tokens": False}
+        plain, single = [], []
+        for u in units:
+            (single if u[:1] == "\0" or not u or " " in u else plain).append(u)
+        out = {}
+        for k in range(0, len(plain), JOINED):
+            group = plain[k : k + JOINED]
+            ids = np.array(encode([" " + " ".join(group)], **kw)[0].ids, "<u4")
+            first = np.flatnonzero(self.spaced[ids])
+            if len(first) != len(group):
+                single += group
+                continue
+            raw, first = ids.tobytes(), (4 * np.append(first, len(ids))).tolist()
+            out.update((u, raw[a:b]) for u, a, b in zip(group, first, first[1:]))
+        for u, e in zip(single, encode([u[1:] if u[:1] == "\0" else " " + u for u in single], **kw)):
+            out[u] = array("I", e.ids).tobytes()
+        return out
+
+    def _remember(self, found: dict[str, bytes]) -> None:
+        """Keep the words that were unknown once before, while there is room."""
+        if len(self.known) >= MOST_CACHED:
+            return
+        seen, mask = self.seen, (1 << SEEN_BITS) - 1
+        for u, ids in found.items():
+            h = hash(u) & mask
+            if seen[h >> 3] >> (h & 7) & 1:
+                self.known[u] = ids
+            else:
+                seen[h >> 3] |= 1 << (h & 7)
 
 
 _OWN: dict[str, Encoder] = {}
