@@ -25,6 +25,8 @@ BLOCK = 256
 #: A run is closed at the first document end after so many ids.
 RUN = 1 << 16
 _MAGIC = b"S8B1"
+_COUNTS = np.array([c for c, _ in SELECTORS], np.uint8)
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int8)
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -34,27 +36,30 @@ def encode(ids: np.ndarray) -> bytes:
     big = np.flatnonzero(v >> np.uint64(60))
     escapes = v[big]
     v = np.where(v >> np.uint64(60), np.uint64(0), v)
-    bits = np.frexp(v.astype(np.float64))[1].astype(np.int8)
-    bits = np.where((bits > 0) & (v >> np.maximum(bits - 1, 0).astype(np.uint64) == 0), bits - 1, bits)  # a rounded-up float
-    choice = np.full(n, len(SELECTORS) - 1, np.int8)
-    here = np.arange(n, dtype=np.int32)
-    reach, at = None, -1
+    if n and int(v.max()) < len(_BITS):
+        bits = _BITS[v]
+    else:
+        bits = np.frexp(v.astype(np.float64))[1].astype(np.int8)
+        bits = np.where((bits > 0) & (v >> np.maximum(bits - 1, 0).astype(np.uint64) == 0), bits - 1, bits)  # a rounded-up float
+    # most[w]: the most bits of any of w ids from each place on, zeros after the end
+    most = {1: np.append(bits, np.zeros(240, np.int8))}
+    choice = np.full(n, len(SELECTORS) - 1, np.uint8)
     for k in range(len(SELECTORS) - 2, -1, -1):
         count, width = SELECTORS[k]
-        if width != at:
-            over = np.where(bits > width, here, np.int32(n + 240))
-            reach, at = np.minimum.accumulate(over[::-1])[::-1] - here, width
-        fits = reach >= count
+        half = 1
+        while 2 * half <= count:
+            if 2 * half not in most:
+                most[2 * half] = np.maximum(most[half][:-half], most[half][half:])
+            half *= 2
+        fits = np.maximum(most[half][:n], most[half][count - half : count - half + n]) <= width
         if not fits.any():
-            if width < 8:
-                break
-            continue
+            break  # more and narrower ids fit even less
         choice[fits] = k
-    step = (here + np.array([c for c, _ in SELECTORS], np.int32)[choice]).tolist() if n else []
+    step = _COUNTS[choice].tobytes()
     starts, i = [], 0
     while i < n:
         starts.append(i)
-        i = step[i]
+        i += step[i]
     starts = np.array(starts, np.int64)
     sel = choice[starts] if n else np.empty(0, np.int8)
     words = sel.astype(np.uint64) << np.uint64(60)
@@ -62,8 +67,10 @@ def encode(ids: np.ndarray) -> bytes:
     for k, (count, width) in enumerate(SELECTORS):
         own = np.flatnonzero(sel == k)
         if width and len(own):
-            got = padded[starts[own][:, None] + np.arange(count)]
-            words[own] |= np.bitwise_or.reduce(got << (np.arange(count, dtype=np.uint64) * np.uint64(width)), axis=1)
+            at, word = starts[own], words[own]
+            for j in range(count):
+                word |= padded[at + j] << np.uint64(j * width)
+            words[own] = word
     head = np.array([n, len(words), len(big), BLOCK], "<u4").tobytes()
     return _MAGIC + head + starts[::BLOCK].astype("<u4").tobytes() + big.astype("<u4").tobytes() + escapes.astype("<u8").tobytes() + words.astype("<u8").tobytes()
 
@@ -117,8 +124,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
             return batch(schema, [shard], [first], [docs_], [lens], [encode(ids)])
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = ids_of(text.as_py().decode("utf-8", "replace")) + tail
+            for doc, ids in ids_of.rows(b.column(0).to_pylist(), b.column(1)):
+                ids += tail
                 held.append(ids)
                 docs_.append(doc)
                 lens.append(len(ids) // 4)
