@@ -103,7 +103,8 @@ def fit(rows: list[tuple[bytes, int]], weights: tuple[float, float]) -> tuple:
             hv[uniq] += (gv * gv).mean(axis=1)
             w[uniq] -= RATE * gw / np.sqrt(hw[uniq])
             v[uniq] -= 0.2 * RATE * gv / np.sqrt(hv[uniq])[:, None]
-    return w0, w, v, scale
+    mass = n[:, 0] * np.array(weights)
+    return w0, w, v, scale, float(mass[1] / max(1e-9, mass.sum()))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable=None) -> tuple:
@@ -127,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, usable=None) -> tuple:
 
 
 def score(docs: DataFrame, model: tuple) -> DataFrame:
-    """(doc_id, score): of every whole text. Empty and null texts get the intercept's score."""
+    """(doc_id, score): of every whole text. Texts without a term that was learnt, such as empty and null
+    ones, get the share of label 1; without labels every score is 0."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
@@ -145,7 +147,8 @@ def score(docs: DataFrame, model: tuple) -> DataFrame:
                 sizes = np.array([len(p[0]) for p in part])
                 starts = np.r_[0, np.cumsum(sizes)[:-1]]
                 terms_of, x = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])
-                p = _forward(model_, terms_of, x * model_[3][terms_of], starts, sizes)[0]
+                scale = model_[3][terms_of]
+                p = np.where(_sums(scale, starts, sizes) > 0, _forward(model_, terms_of, x * scale, starts, sizes)[0], model_[4])
                 yield batch(schema, ids[first:at], p.astype(np.float64))
 
     return id_and_bytes(docs).mapInArrow(run, "doc_id long, score double")
