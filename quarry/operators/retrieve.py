@@ -24,7 +24,7 @@ def build_index(chunks: DataFrame, embed: Callable[[Column], Column] | None, pat
     """Write chunks, with unit embeddings where ``embed`` is given, and read them back; no chunks are an error."""
     out = chunks
     if embed is not None:
-        out = chunks.withColumn("embedding", V.l2_normalize(embed(F.col("text"))))
+        out = chunks.withColumn("_raw", embed(F.col("text"))).withColumn("embedding", V.l2_normalize(F.col("_raw"))).drop("_raw")
     out.write.mode("overwrite").parquet(path)
     index = load_index(chunks.sparkSession, path)
     if index.isEmpty():
