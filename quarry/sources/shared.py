@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -19,8 +21,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_MADE: list[tuple] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quarry-{tag}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; ``clean`` or the end of the program deletes what is there."""
+    path = f"{shared_dir(spark)}/quarry-{tag}-{uuid.uuid4().hex}"
+    _MADE.append((spark._jvm, spark._jsc.hadoopConfiguration(), path))
+    return path
+
+
+@atexit.register
+def clean() -> None:
+    """Delete every intermediate table this program made. Frames that still read them fail afterwards."""
+    while _MADE:
+        jvm, conf, path = _MADE.pop()
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
