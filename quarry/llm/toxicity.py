@@ -13,7 +13,7 @@ from quarry.llm.common import batch, fold, id_and_bytes
 
 BUCKETS, FACTORS, THRESHOLD = 1 << 17, 6, 0.3
 #: The classifier is fitted on about so many labelled documents of each class at most, chosen by a hash of their id.
-MOST_POSITIVE, MOST_NEGATIVE = 4_000, 6_000
+MOST_POSITIVE, MOST_NEGATIVE = 3_000, 4_000
 #: Hashed terms of a word: itself and its first bytes, so that unseen inflections meet their stem.
 PREFIXES = (5, 6)
 #: Terms of fewer labelled documents get no weight: they would only be memorised.
@@ -23,15 +23,15 @@ _EDGE = b".,;:!?\"'()[]{}*"
 
 
 class _Terms(dict):
-    """word -> its term buckets as int32 bytes; forgotten when large."""
+    """word -> its term buckets as int32 bytes; once full, new words are not remembered."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 400_000:
-            self.clear()
         bare = word.strip(_EDGE) or word
         h = xxhash.xxh3_64_intdigest
         ids = [h(bare) % BUCKETS, *(h(b"^" + bare[:n], n) % BUCKETS for n in PREFIXES)]
-        out = self[word] = np.array(ids, np.int32).tobytes()
+        out = np.array(ids, np.int32).tobytes()
+        if len(self) < 120_000:
+            self[word] = out
         return out
 
 
@@ -63,21 +63,25 @@ def _forward(model, ids, x, starts, sizes):
     return 1 / (1 + np.exp(-np.clip(y, -30, 30))), s, vx
 
 
-def fit(rows: list[tuple[bytes, int]], weights: tuple[float, float]) -> tuple:
-    """AdaGrad on the weighted logistic loss. ``rows``: texts and labels; ``weights``: of label 0 and 1.
+def fit(rows, weights: tuple[float, float]) -> tuple:
+    """AdaGrad on the weighted logistic loss. ``rows``: texts and labels, gone through twice; ``weights``: of label 0 and 1.
 
     Values are scaled by how far the classes differ in a term's document share, so that the many
     terms without a bearing on the label hardly move the score.
     """
     rng, terms = np.random.default_rng(SEED), _Terms()
-    data = [(*features(t, terms), y) for t, y in rows]
-    df = np.zeros((2, BUCKETS))
-    for ids, _, y in data:
-        df[y, np.unique(ids)] += 1
-    kept, n = df.sum(axis=0) >= LEAST_DOCUMENTS, np.array([[sum(d[2] == y for d in data)] for y in (0, 1)])
+    df, n = np.zeros((2, BUCKETS)), np.zeros((2, 1))
+    for t, y in rows:
+        df[y, np.unique(features(t, terms)[0])] += 1
+        n[y] += 1
+    kept = df.sum(axis=0) >= LEAST_DOCUMENTS
     share = np.log((df + 1) / (n + 2))
     scale = (np.abs(share[1] - share[0]) * kept).astype(np.float32)
-    data = [(ids[kept[ids]], x[kept[ids]] * scale[ids[kept[ids]]], y) for ids, x, y in data]
+    data = []
+    for t, y in rows:  # again, so that only what is kept is held
+        ids, x = features(t, terms)
+        live = kept[ids]
+        data.append((ids[live], x[live] * scale[ids[live]], y))
     w0 = np.float32(0)
     w = np.zeros(BUCKETS, np.float32)
     v = rng.normal(0, 0.05, (BUCKETS, FACTORS)).astype(np.float32) * kept[:, None]
@@ -123,8 +127,20 @@ def train(docs: DataFrame, labels: DataFrame, usable=None) -> tuple:
     rate = {y: min(1 << 20, (k << 20) // max(1, n.get(y, 0))) for y, k in most.items()}
     take = known.where(share < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))
     sample = id_and_bytes(docs).join(F.broadcast(take), F.col("doc_id") == F.col("id"))
-    rows = sorted((r.doc_id, bytes(r.text), r.y) for r in sample.select("doc_id", "text", "y").collect())
-    return fit([r[1:] for r in rows], tuple((1 << 20) / max(1, rate[y]) for y in (0, 1)))
+    got = sample.select("doc_id", "text", "y").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return fit(_Rows(got), tuple((1 << 20) / max(1, rate[y]) for y in (0, 1)))
+
+
+class _Rows:
+    """(text, label) of an Arrow table's rows, one at a time."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+
+    def __iter__(self):
+        for b in self.table.to_batches():
+            yield from ((t.as_py(), y) for t, y in zip(b.column(1), b.column(2).to_pylist()))
 
 
 def score(docs: DataFrame, model: tuple) -> DataFrame:
