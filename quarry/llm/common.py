@@ -23,6 +23,23 @@ def id_and_bytes(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *more)
 
 
+def every(docs: DataFrame) -> list[Column]:
+    """All columns of ``docs``, whatever their names hold."""
+    return [F.col(quoted(c)) for c in docs.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def fold(mod: int, doc_id: str = "doc_id") -> Column:
     """True where crc32(doc_id as text) mod ``mod`` is 2; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == 2, F.lit(False))

@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import batch, id_and_bytes, mix64
+from quarry.llm.common import batch, every, id_and_bytes, mix64
 
 SHINGLE, CONTAINMENT = 5, 0.8
 #: MinHash functions an item: a document that holds 80 % of an item misses all with probability 0.2 ** 32.
@@ -122,7 +122,7 @@ def search(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, containme
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
     """The documents that contain no benchmark item, with all their columns; null ids stay."""
     bad = search(docs, benchmark, size, containment).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bad, "doc_id", "left_anti").select(*every(docs))
 
 
 def oracle(size: int = SHINGLE, containment: float = CONTAINMENT) -> str:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from quarry.llm.common import every, fresh, quoted
+
 MIN_SITES, LG_K = 10, 12
 #: Estimates within this factor of the threshold are counted exactly; the sketch's standard error is under 2 %.
 BAND = 1.25
@@ -14,12 +16,12 @@ def _rows(docs: DataFrame, site: str) -> DataFrame:
     """One row per line that has a word: the document's key, place, site and two hashes of the trimmed line."""
     line = F.regexp_replace("l.line", f"^[{_WS}]+|[{_WS}]+$", "")
     split = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
-    rows = docs.select(_key(), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.explode(split).alias("l"))
+    rows = docs.select(_key("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.explode(split).alias("l"))
     return rows.select("key", "doc_id", "site", F.col("l.pos").alias("pos"), line.alias("line")).where("line <> ''").select("key", "doc_id", "site", "pos", F.struct(F.xxhash64("line").alias("x"), F.hash("line").alias("y")).alias("h"))
 
 
-def _key():
-    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("key")
+def _key(name: str):
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias(name)
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
@@ -39,7 +41,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", keep_first: bool = True) -> DataFrame:
-    """``docs`` with boilerplate lines removed from ``text``, plus n_lines and n_removed.
+    """``docs`` with boilerplate lines removed from ``text``, plus n_lines and n_removed (in place of columns so named).
 
     Lines are split at ``\\n`` and compared without surrounding white space; lines without a word are
     never removed. A line on ``min_sites`` or more distinct values of ``site`` (null: one site of
@@ -47,19 +49,41 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source
     position: groups of copies keep their text once. A null text stays null; every row stays, with
     its other columns. The lines' join carries hashes and positions only; texts move once.
     """
-    taken = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    bad = boilerplate(docs, min_sites, site)
-    hits = _rows(docs, site).join(bad, "h")
+    key, drop = fresh(docs, "_key"), fresh(docs, "_drop")
+    out = _marked(docs, min_sites, site, keep_first, key, drop)
+    size = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
+    n = F.when(F.col("text").isNull(), 0).otherwise(size).cast("long").alias("n_lines")
+    kept = [_stripped(drop) if c == "text" else F.col(quoted(c)) for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return out.select(*kept, n, F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def strip_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", keep_first: bool = True) -> DataFrame:
+    """As ``dedup_lines``, with the columns of ``docs`` and no others; a column n_chars follows the text."""
+    key, drop = fresh(docs, "_key"), fresh(docs, "_drop")
+    out = _marked(docs, min_sites, site, keep_first, key, drop)
+    text = _stripped(drop)
+    size = F.when(F.col(drop).isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None
+    return out.select(*[text if c == "text" else size.alias(c) if c == "n_chars" else F.col(quoted(c)) for c in docs.columns])
+
+
+def _marked(docs: DataFrame, min_sites: int, site: str, keep_first: bool, key: str, drop: str) -> DataFrame:
+    """``docs`` with each text's lines to drop, null if none; ``key`` and ``drop`` are names that docs doesn't have."""
+    hits = _rows(docs, site).join(boilerplate(docs, min_sites, site), "h")
     if keep_first:
         hits = hits.where(~(F.col("first.key").eqNullSafe(F.col("key")) & (F.col("first.pos") == F.col("pos"))))
-    drop = hits.groupBy("key").agg(F.collect_set("pos").alias("_drop"))
-    lines = F.split("text", "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("_drop", s["i"]))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    out = docs.select(*taken, _key()).join(drop, "key", "left")
-    size = F.coalesce(F.size(lines), F.lit(0))
-    n = F.when(F.col("text").isNull(), 0).otherwise(size).cast("long").alias("n_lines")
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in taken], n, F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"))
+    gone = hits.groupBy(F.col("key").alias(key)).agg(F.collect_set("pos").alias(drop))
+    return docs.select(*every(docs), _key(key)).join(gone, key, "left")
+
+
+def _stripped(drop: str):
+    """The text without the lines at ``drop``; the set difference keeps order and takes time linear in the lines."""
+
+    def kept(lines):
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    text = F.transform(F.array(F.split("text", "\n")), kept)[0]  # the lines are bound once
+    return F.when(F.col(drop).isNull(), F.col("text")).otherwise(text).alias("text")
 
 
 def oracle(min_sites: int = MIN_SITES) -> str:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import batch, fold, id_and_bytes
+from quarry.llm.common import batch, every, fold, id_and_bytes
 
 BUCKETS, FACTORS, THRESHOLD = 1 << 17, 6, 0.3
 #: The classifier is fitted on about so many labelled documents of each class at most, chosen by a hash of their id.
@@ -179,4 +179,4 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns; null ids stay."""
     bad = classify(docs, labels, threshold).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bad, "doc_id", "left_anti").select(*every(docs))
