@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import batch, id_and_bytes, key_runs, mix64, written
+from quarry.llm.common import batch, fresh, id_and_bytes, key_runs, mix64, written
 from quarry.llm.components import connected_components
 
 SHINGLE, BITS, ERRORS = 4, 64, 4
 #: A bucket with more fingerprints is dealt out over pairs of parts of about this size.
 PART = 40_000
+#: Shingles of a long text whose bits are counted at once.
+SHINGLES = 1 << 16
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -28,9 +33,11 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
         return h(joined, 42)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[: len(words) - size].tolist()]
-    hashes = np.array([h(joined[a:b], 42) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())], np.uint64)
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    stops, ones = (ends[size - 1 :] - 1).tolist(), np.zeros(BITS, np.int64)
+    for k in range(0, len(stops), SHINGLES):
+        hashes = np.array([h(joined[a:b], 42) for a, b in zip(starts[k : k + SHINGLES], stops[k : k + SHINGLES])], np.uint64)
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(stops), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -134,15 +141,32 @@ def spanning_links(group: np.ndarray, fps: np.ndarray, errors: int = ERRORS) ->
     return linked, root[linked]
 
 
-def links(distinct: DataFrame, errors: int = ERRORS, part: int = PART) -> DataFrame:
+def block_count(n: int, errors: int = ERRORS, part: int = PART) -> int:
+    """Bit blocks that copy each of ``n`` fingerprints least often: more blocks give more and longer keys."""
+    def copies(m):
+        return comb(m, errors) * max(1.0, n / 2.0 ** (BITS * (m - errors) / m) / part)
+
+    return min(range(errors + 1, errors + 5), key=copies)
+
+
+def masks(blocks: int, errors: int = ERRORS) -> list[int]:
+    """Signed 64-bit masks of every choice of ``blocks - errors`` bit blocks."""
+    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    own = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    sums = [sum(c) for c in combinations(own, blocks - errors)]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in sums]
+
+
+def links(distinct: DataFrame, errors: int = ERRORS, part: int = PART, blocks: int | None = None) -> DataFrame:
     """``distinct(fp)`` -> ``(a, b)`` fingerprints whose links connect all pairs within ``errors`` bits.
 
-    With errors + 1 bit blocks two linked fingerprints agree in one block at least, so each is
-    rotated errors + 1 times and dealt out by that block. A block value with more than ``part``
-    fingerprints is cut into parts and every pair of parts is one unit of work.
+    Of ``blocks`` bit blocks two linked fingerprints agree in all but ``errors`` at least, so each
+    is dealt out by every choice of ``blocks - errors`` blocks; their number follows from the number of
+    fingerprints (``block_count``). A key with more than ``part`` fingerprints is cut into parts
+    and every pair of parts is one unit of work.
     """
-    edges = [round(i * BITS / (errors + 1)) for i in range(errors + 2)]
-    spec = F.array(*[F.struct(F.lit(k).alias("t"), (F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1)).alias("v")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))])
+    keys = masks(blocks or block_count(distinct.count(), errors, part), errors)
+    spec = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("v")) for k, m in enumerate(keys)])
     rows = distinct.select("fp", F.explode(spec).alias("s")).select("fp", F.col("s.t").alias("t"), F.col("s.v").alias("v"))
     sizes = rows.groupBy("t", "v").count().where(f"count > {part}").select("t", "v", F.ceil(F.col("count") / part).cast("int").alias("parts"))
     rows = rows.join(sizes, ["t", "v"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -193,6 +217,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, errors: int = ERRORS)
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, errors: int = ERRORS) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest id stays."""
-    out = near_duplicates(docs, size, errors).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id"))
-    kept = docs.join(out.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept
+    own = fresh(docs, "_id")
+    out = near_duplicates(docs, size, errors).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias(own))
+    return docs.join(out.distinct(), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")

@@ -103,6 +103,48 @@ def test_hot_buckets_are_cut(spark):
     assert sorted(r["count"] for r in one) == sorted(r["count"] for r in cut)
 
 
+@pytest.mark.parametrize("blocks", [5, 6, 7])
+def test_block_choices_find_the_same_components(spark, blocks):
+    rng = random.Random(blocks)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 6))) for b in base for _ in range(4)})
+    root = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4 and root[i] != root[j]:
+                root = [root[i] if x == root[j] else x for x in root]
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    label = {r.node: r.label for r in components.connected_components(simhash.links(df, blocks=blocks)).collect()}
+    got = [label.get(x, x) for x in signed]
+    assert len(set(root)) == len(set(got)) == len(set(zip(root, got)))
+
+
+def test_more_fingerprints_take_longer_keys():
+    assert [simhash.block_count(n) for n in (0, 10**6, 10**11, 10**12)] == [5, 5, 6, 7]
+    for m in (5, 6, 7):
+        assert all((x % (1 << 64)).bit_count() <= 64 * (m - 4) // m + m for x in simhash.masks(m))
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    t = text(random.Random(9), 500).encode()
+    whole = simhash.fingerprint(t)
+    monkeypatch.setattr(simhash, "SHINGLES", 64)
+    assert simhash.fingerprint(t) == whole
+
+
+def test_clashing_columns(spark, docs, labels):
+    extra = ["key", "_key", "_drop", "_id", "id", "h", "site", "pos", "l", "n_lines", "n_removed", "a.b", "good", "rep", "label"]
+    d = docs.select("doc_id", "text", "source", "n_chars")
+    for c in extra:
+        d = d.withColumn(c, d["n_chars"])
+    bench = spark.createDataFrame([(1, "a shared line of words", 1, 2)], "item_id long, text string, doc_id long, hit long")
+    for out in (toxicity.drop_toxic(d, labels), lines.strip_lines(d, 8), simhash.keep_one(d), decontaminate.decontaminate(d, bench)):
+        assert out.columns == d.columns and out.count() > 0
+    out = lines.dedup_lines(d, 8)
+    assert set(out.columns) == set(d.columns) and sum(r.n_removed for r in out.where("doc_id between 300 and 313").select("n_removed").collect()) == 13
+
+
 def test_toxicity(spark, empty, labels):
     rng = random.Random(2)
     data = [(i, text(rng, 60) + (" scumbag" * (i % 2 == 0)), "en", "s") for i in range(400)] + [(500, None, None, None), (501, "", None, None)]
@@ -152,6 +194,8 @@ def test_lines(docs, empty):
     assert sum(r.n_removed for r in hit) == 13 and sum("a shared line" in r.text for r in hit) == 1
     assert out.where("doc_id = 200 and text is null and n_lines = 0").count() == 1
     assert sum(r.n_removed for r in lines.dedup_lines(docs, min_sites=15).collect()) == 0
+    strip = lines.strip_lines(docs, min_sites=8).where("doc_id between 300 and 313").collect()
+    assert sorted(r.text for r in strip) == sorted(r.text for r in hit) and all(r.n_chars == len(r.text) for r in strip)
     assert all("shared line" not in r.text for r in lines.dedup_lines(docs, min_sites=8, keep_first=False).where("doc_id between 300 and 313").collect())
 
 
