@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import every, fresh, quoted
+from quarry.llm.common import every, fresh, quoted, written
 
 MIN_SITES, LG_K = 10, 12
 #: Estimates within this factor of the threshold are counted exactly; the sketch's standard error is under 2 %.
 BAND = 1.25
+#: Bound on the lines sent to every executor.
+HOT_LINES = 5_000
 _WS = " \\t\\n\\x0B\\f\\r"
 
 
@@ -24,20 +26,29 @@ def _key(name: str):
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias(name)
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
-    """(h, first): hashes of the lines on ``min_sites`` distinct sites or more, and where each is first.
+def boilerplate(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """(h, first, n) of ``_rows``: the lines on ``min_sites`` distinct sites or more, where each is first and how often it is.
 
     One HyperLogLog sketch a line hash, built on the map side and merged by the aggregation; lines
     whose estimate is near the threshold get an exact distinct count.
     """
-    rows = _rows(docs, site)
-    sites = rows.groupBy("h").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("doc_id", "pos", "key")).alias("first"))
-    spread = sites.select("h", "first", F.hll_sketch_estimate("sketch").alias("estimate"))
-    sure = spread.where(F.col("estimate") > min_sites * BAND).select("h", "first")
-    near = spread.where(F.col("estimate").between(min_sites / BAND - 1, min_sites * BAND)).select("h", "first")
+    sites = rows.groupBy("h").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("doc_id", "pos", "key")).alias("first"), F.count("*").alias("n"))
+    spread = sites.select("h", "first", "n", F.hll_sketch_estimate("sketch").alias("estimate"))
+    sure = spread.where(F.col("estimate") > min_sites * BAND).select("h", "first", "n")
+    near = spread.where(F.col("estimate").between(min_sites / BAND - 1, min_sites * BAND)).select("h", "first", "n")
     pairs = rows.select("h", "site").distinct().join(near, "h")
-    exact = pairs.groupBy("h").agg(F.count("*").alias("n"), F.first("first").alias("first")).where(F.col("n") >= min_sites)
-    return sure.unionByName(exact.select("h", "first"))
+    exact = pairs.groupBy("h").agg(F.count("*").alias("k"), F.first("first").alias("first"), F.first("n").alias("n")).where(F.col("k") >= min_sites)
+    return sure.unionByName(exact.select("h", "first", "n"))
+
+
+def _hits(rows: DataFrame, min_sites: int) -> DataFrame:
+    """The rows of boilerplate lines. Lines that hold over 1 / HOT_LINES of all rows are fewer than HOT_LINES, so they are
+    sent to every executor and their rows never meet in one task; the others' rows are joined by hash."""
+    bad = written(boilerplate(rows, min_sites), "boilerplate")
+    hot = F.col("n") > rows.count() // HOT_LINES
+    often = F.broadcast(bad.where(hot))
+    rest = rows.join(F.broadcast(bad.where(hot).select("h")), "h", "left_anti").join(bad.where(~hot), "h")
+    return rows.join(often, "h").unionByName(rest)
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", keep_first: bool = True) -> DataFrame:
@@ -47,7 +58,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source
     never removed. A line on ``min_sites`` or more distinct values of ``site`` (null: one site of
     its own) is removed everywhere but, with ``keep_first``, at its first place by doc_id and
     position: groups of copies keep their text once. A null text stays null; every row stays, with
-    its other columns. The lines' join carries hashes and positions only; texts move once.
+    its other columns. Lines are cut once, into a table of hashes and positions; texts move once.
     """
     key, drop = fresh(docs, "_key"), fresh(docs, "_drop")
     out = _marked(docs, min_sites, site, keep_first, key, drop)
@@ -68,7 +79,7 @@ def strip_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source
 
 def _marked(docs: DataFrame, min_sites: int, site: str, keep_first: bool, key: str, drop: str) -> DataFrame:
     """``docs`` with each text's lines to drop, null if none; ``key`` and ``drop`` are names that docs doesn't have."""
-    hits = _rows(docs, site).join(boilerplate(docs, min_sites, site), "h")
+    hits = _hits(written(_rows(docs, site), "lines"), min_sites)
     if keep_first:
         hits = hits.where(~(F.col("first.key").eqNullSafe(F.col("key")) & (F.col("first.pos") == F.col("pos"))))
     gone = hits.groupBy(F.col("key").alias(key)).agg(F.collect_set("pos").alias(drop))

@@ -199,6 +199,13 @@ def test_lines(docs, empty):
     assert all("shared line" not in r.text for r in lines.dedup_lines(docs, min_sites=8, keep_first=False).where("doc_id between 300 and 313").collect())
 
 
+@pytest.mark.parametrize("hot", [1, 40, 10**9])
+def test_hot_lines_are_sent(docs, monkeypatch, hot):
+    want = pairs(lines.dedup_lines(docs, 3), "doc_id", "n_lines", "n_removed", "text")
+    monkeypatch.setattr(lines, "HOT_LINES", hot)
+    assert pairs(lines.dedup_lines(docs, 3), "doc_id", "n_lines", "n_removed", "text") == want
+
+
 def test_quality(spark, docs, empty, labels):
     extra = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c a b c a b", "x " * 300, "# | $ a\nb\na\n\n a", " ".join(f"p{i % 60} q" for i in range(400)), "é ü x y"])], "doc_id long, text string")
 
