@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from quarry.llm import nearcopies
 from quarry.llm.common import batch, fresh, id_and_bytes, key_runs, mix64, written
 from quarry.llm.components import connected_components
 
@@ -215,8 +216,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, errors: int = ERRORS)
     return fps.join(by_fp, "fp").select("doc_id", hexed, "component_id", "component_size")
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE, errors: int = ERRORS) -> DataFrame:
-    """The documents without near-duplicates: of each component the one with the smallest id stays."""
+def keep_one(docs: DataFrame, size: int = nearcopies.SHINGLE, similarity: float = nearcopies.SIMILARITY) -> DataFrame:
+    """The documents without near-duplicates: of each component the one with the smallest id stays.
+
+    Near-duplicates have ``similarity`` or more of their ``size``-word shingles in common (``nearcopies``):
+    fingerprints of such texts lie up to 13 bits apart, out of reach for bit blocks.
+    """
+    row = fresh(docs, "_row")
+    held = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = nearcopies.components(id_and_bytes(held, F.col(row).alias("row")).select("row", "doc_id", "text"), size, similarity)
+    least = found.groupBy("label").agg(F.min("doc_id").alias("least")).where("least is not null").select("least")
     own = fresh(docs, "_id")
-    out = near_duplicates(docs, size, errors).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias(own))
-    return docs.join(out.distinct(), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    out = least.select(F.col("least").alias(own)).unionByName(found.where("doc_id is null").select(F.col("doc_id").alias(own)))
+    return held.join(out.distinct(), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").drop(row)

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
-from quarry.llm import binary, components, decontaminate, language, lines, maxent, packing, quality, simhash, suffixes, tokens, toxicity
+from quarry.llm import binary, components, decontaminate, language, lines, maxent, nearcopies, packing, quality, simhash, suffixes, tokens, toxicity
 from quarry.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, h string, core string, word string, label string"
@@ -79,6 +79,30 @@ def test_simhash(docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id between 100 and 105").count() == 0
 
 
+@pytest.mark.parametrize("few", [4, 0])
+def test_near_copies_equal_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(nearcopies, "FEW", few)
+    rng = random.Random(11)
+    data = []
+    for k in range(30):
+        w = text(rng, rng.randint(40, 150)).split()
+        for j in range(4):
+            x = list(w)
+            for i in rng.sample(range(len(x)), j * len(x) // 60):
+                x[i] = f"new{rng.randrange(10**6)}"
+            data.append((len(data), " ".join(x)))
+    data += [(1000, "one two"), (1001, "One  two"), (1002, "one two three"), (1003, ""), (1004, None), (1005, "a a a a a a a"), (1006, "a a a a a")]
+    sets = [decontaminate.shingles((t or "").encode().lower().split()) for _, t in data]
+    root = list(range(len(data)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                root = [root[j] if x == root[i] else x for x in root]
+    want = {min(d for (d, _), r in zip(data, root) if r == k) for k in set(root)}
+    got = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want) and len(want) < 100
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=12), st.lists(st.sets(st.integers(0, 63), max_size=5), max_size=12))
 def test_trie_join(base, flips):
