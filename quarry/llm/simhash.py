@@ -217,15 +217,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, errors: int = ERRORS)
 
 
 def keep_one(docs: DataFrame, size: int = nearcopies.SHINGLE, similarity: float = nearcopies.SIMILARITY) -> DataFrame:
-    """The documents without near-duplicates: of each component the one with the smallest id stays.
+    """The documents without near-duplicates: of each component exactly one row stays.
 
+    That is the one with the smallest id; null ids come last, and rows of one id are told apart by their
+    place in the input: of equal rows one stays, and rows of one id with unlike texts are different documents.
     Near-duplicates have ``similarity`` or more of their ``size``-word shingles in common (``nearcopies``):
-    fingerprints of such texts lie up to 13 bits apart, out of reach for bit blocks.
+    fingerprints of such texts lie up to 14 bits apart, out of reach for bit blocks.
     """
     row = fresh(docs, "_row")
     held = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     found = nearcopies.components(id_and_bytes(held, F.col(row).alias("row")).select("row", "doc_id", "text"), size, similarity)
-    least = found.groupBy("label").agg(F.min("doc_id").alias("least")).where("least is not null").select("least")
-    own = fresh(docs, "_id")
-    out = least.select(F.col("least").alias(own)).unionByName(found.where("doc_id is null").select(F.col("doc_id").alias(own)))
-    return held.join(out.distinct(), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").drop(row)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
+    out = found.groupBy("label").agg(first).select(F.col("first.row").alias(row))
+    return held.join(out, row, "left_semi").drop(row)

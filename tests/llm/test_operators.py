@@ -103,6 +103,14 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, few):
     assert sorted(r.doc_id for r in got.collect()) == sorted(want) and len(want) < 100
 
 
+def test_keep_one_chooses_rows(spark):
+    rng = random.Random(12)
+    a, b, c, d = (text(rng, 50) for _ in range(4))
+    data = [(5, a), (5, a), (None, a), (7, b), (5, b), (3, b), (5, c), (None, d), (None, d), (None, None), (9, "")]
+    got = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string"))
+    assert pairs(got, "doc_id", "text") == Counter([(5, a), (3, b), (5, c), (None, d), (9, "")])
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=12), st.lists(st.sets(st.integers(0, 63), max_size=5), max_size=12))
 def test_trie_join(base, flips):
