@@ -30,8 +30,8 @@ SYMBOLS = OWN + ENDINGS + 1
 #: top; counts of all others are joined.
 KNOWN = 250_000
 BATCH, RATE, SEED = 8192, 0.25, 3
-#: Input partitions that one training shard goes through, and blocks a model is cut into for averaging.
-SHARD, BLOCKS, FANIN = 2, 16, 64
+#: Input partitions that one training shard goes through, synchronous rounds of training, blocks a model is cut into for averaging.
+SHARD, ROUNDS, BLOCKS, FANIN = 2, 3, 16, 64
 END = b""
 LOG10E = float(np.log10(np.e))
 
@@ -156,19 +156,21 @@ def log_probs(tables: Tables, model, idx: np.ndarray, starts: np.ndarray) -> np.
     return out
 
 
-def _descend(weights: np.ndarray, second: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-    """AdaGrad with one step size a row, on the summed gradient of each row used."""
+def _descend(weights: np.ndarray, second: np.ndarray, used: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
+    """AdaGrad with one step size a row, on the summed gradient of each row used; ``used`` counts tokens a row."""
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits sort by radix
     r = rows[order]
     first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
     g = np.add.reduceat(grad[order].view(np.complex64), first, axis=0).view(np.float32)  # two columns a step
     uniq = r[first]
-    g /= np.sqrt(np.diff(np.r_[first, len(r)]))[:, None].astype(np.float32)
+    n = np.diff(np.r_[first, len(r)])
+    used[uniq] += n
+    g /= np.sqrt(n)[:, None].astype(np.float32)
     second[uniq] += np.einsum("ij,ij->i", g, g)
     weights[uniq] -= (np.float32(RATE) / np.sqrt(second[uniq]))[:, None] * g
 
 
-def learn(tables: Tables, model, second, idx: np.ndarray, starts: np.ndarray) -> None:
+def learn(tables: Tables, model, second, used, idx: np.ndarray, starts: np.ndarray) -> None:
     """Gradient steps over the tokens, in place."""
     head, cls, place, feats = features(tables, idx, starts)
     for a in range(0, len(idx), BATCH):
@@ -177,13 +179,13 @@ def learn(tables: Tables, model, second, idx: np.ndarray, starts: np.ndarray) ->
         p = _softmax(tables.prior + model[0][f[0]] + model[1][f[1]] + model[2][f[2]])
         p[np.arange(len(p)), cls[s]] -= 1
         for k in range(3):
-            _descend(model[k], second[k], f[k], p)
+            _descend(model[k], second[k], used[k], f[k], p)
         rows = np.flatnonzero(head[s]) + a
         if len(rows):
             own, q = _within(tables, model, cls, feats, rows)
             q[np.arange(len(rows)), place[rows]] -= 1
             for k in (0, 1):
-                _descend(model[3 + k], second[3 + k], own[k], q)
+                _descend(model[3 + k], second[3 + k], used[3 + k], own[k], q)
 
 
 def _texts(known: _Known, batches, most: int):
@@ -203,50 +205,90 @@ def _texts(known: _Known, batches, most: int):
         yield np.concatenate(idx), np.cumsum([0, *map(len, idx[:-1])]), ids, words
 
 
-def train(docs: DataFrame, tables: Tables) -> list[np.ndarray]:
+def _cut(k: int, rows: int) -> slice:
+    """Rows of block ``k`` of a table."""
+    return slice(k * rows // BLOCKS, (k + 1) * rows // BLOCKS)
+
+
+def mix(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights (rows x width), second moments and token counts a row of several shards, as one.
+
+    Each row is averaged by the tokens that used it in each shard, so shards that never saw a feature don't
+    take from what others learnt of it; a row nobody used stays as it was.
+    """
+    w, s, total = np.float32(0), np.float32(0), np.float32(0)
+    for weights, second, used in shards:
+        share = used + np.float32(1e-6)
+        w, s, total = w + weights * share[:, None], s + second * share, total + share
+    return w / total[:, None], s / total, sum(used for _, _, used in shards)
+
+
+def train(docs: DataFrame, tables: Tables, rounds: int | None = None) -> list[np.ndarray]:
     """Every token of ``docs`` is learnt from once, by iterative parameter mixing.
 
-    Each shard of the input makes its own gradient steps from the same start; the shards' weights,
-    cut into blocks, are averaged by token counts in a tree of at most FANIN shards a task.
+    Documents are dealt to ROUNDS rounds by a hash. In each, every shard of the input makes its own gradient
+    steps from the model mixed so far; the shards' rows, cut into blocks, are averaged by the tokens that used
+    them (``mix``) in a tree of at most FANIN shards a task.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(tables)
+    model, rounds = new_model(), rounds or ROUNDS
+    second = [np.full(len(w), 1e-2, np.float32) for w in model]
     src = id_and_bytes(docs)
-    shards = max(spark.sparkContext.defaultParallelism, src.rdd.getNumPartitions() // SHARD)
-    schema = pa.schema([("block", pa.int32()), ("shard", pa.int64()), ("weight", pa.float64()), ("w", pa.binary())])
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
+    for r in range(rounds):
+        _round(src.where(turn == r) if rounds > 1 else src, tables, model, second)
+    return model
+
+
+def _round(src: DataFrame, tables: Tables, model, second) -> None:
+    """One round of training, in place."""
+    sc = src.sparkSession.sparkContext
+    sent = sc.broadcast((tables, [w.astype(np.float16) for w in model], second))
+    shards = max(sc.defaultParallelism, src.rdd.getNumPartitions() // SHARD)
+    schema = pa.schema([("block", pa.int32()), ("shard", pa.int64()), *((c, pa.binary()) for c in ("w", "s", "used"))])
+    widths = [w.shape[1] for w in model]
+    sizes = [len(w) for w in model]
+
+    def packed(tables3):
+        return [b"".join(np.ascontiguousarray(x, kind).tobytes() for x in col) for col, kind in zip(tables3, (np.float16, np.float32, np.float32))]
+
+    def unpacked(k, w, s, used):
+        w, s, used = np.frombuffer(w, np.float16), np.frombuffer(s, np.float32), np.frombuffer(used, np.float32)
+        at = row = 0
+        for width, size in zip(widths, sizes):
+            n = _cut(k, size).stop - _cut(k, size).start
+            yield w[at : at + n * width].reshape(n, width).astype(np.float32), s[row : row + n], used[row : row + n]
+            at, row = at + n * width, row + n
 
     def run(batches):
-        tables, model = sent.value, new_model()
-        second, seen = [np.full(len(w), 1e-2, np.float32) for w in model], 0
+        tables, start, second = sent.value
+        model, second = [w.astype(np.float32) for w in start], [x.copy() for x in second]
+        used, seen = [np.zeros(len(w), np.float32) for w in model], False
         for idx, starts, _, _ in _texts(tables.lookup(), batches, 100_000):
-            learn(tables, model, second, idx, starts)
-            seen += len(idx)
+            learn(tables, model, second, used, idx, starts)
+            seen = True
         if seen:
-            flat, shard = np.concatenate([w.ravel() for w in model]).astype(np.float16), TaskContext.get().partitionId()
-            for k, part in enumerate(np.array_split(flat, BLOCKS)):
-                yield batch(schema, [k], [shard], [float(seen)], [part.tobytes()])
+            shard = TaskContext.get().partitionId()
+            for k in range(BLOCKS):
+                parts = [[x[_cut(k, len(x))] for x in col] for col in (model, second, used)]
+                yield batch(schema, [k], [shard], *([x] for x in packed(parts)))
 
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = pdf.weight.sum()
-        w = sum(np.frombuffer(x, np.float16).astype(np.float32) * np.float32(k / total) for x, k in zip(pdf.w, pdf.weight))
-        return pd.DataFrame({"block": pdf.block.iloc[:1], "shard": [int(pdf.shard.iloc[0]) // FANIN], "weight": [total], "w": [w.astype(np.float16).tobytes()]})
+        k = int(pdf.block.iloc[0])
+        tables = zip(*(list(unpacked(k, *x)) for x in zip(pdf.w, pdf.s, pdf.used)))
+        w, s, used = packed(list(zip(*(mix(list(t)) for t in tables))))
+        return pd.DataFrame({"block": [k], "shard": [int(pdf.shard.iloc[0]) // FANIN], "w": [w], "s": [s], "used": [used]})
 
-    kind = "block int, shard long, weight double, w binary"
-    rows = src.coalesce(shards).mapInArrow(run, kind)
-    left = shards
+    kind = "block int, shard long, w binary, s binary, used binary"
+    rows, left = src.coalesce(shards).mapInArrow(run, kind), shards
     while True:
         rows = rows.groupBy("block", F.floor(F.col("shard") / FANIN).alias("g")).applyInPandas(mean, kind)
         left = -(-left // FANIN)
         if left <= 1:
             break
-    blocks = {r.block: bytes(r.w) for r in rows.collect()}
-    model = new_model()
-    if blocks:
-        flat, at = np.concatenate([np.frombuffer(blocks[k], np.float16) for k in range(BLOCKS)]).astype(np.float32), 0
-        for w in model:
-            w[:] = flat[at : at + w.size].reshape(w.shape)
-            at += w.size
-    return model
+    for r in rows.collect():
+        for t, (w, s, _) in enumerate(unpacked(r.block, r.w, r.s, r.used)):
+            model[t][_cut(r.block, sizes[t])], second[t][_cut(r.block, sizes[t])] = w, s
+    sent.unpersist()
 
 
 def score(docs: DataFrame, counts: DataFrame, tables: Tables, model) -> DataFrame:

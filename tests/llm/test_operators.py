@@ -273,6 +273,17 @@ def test_maxent(docs, empty):
     assert maxent.score_language(empty).count() == 0
 
 
+def test_mixing_keeps_what_one_shard_learnt(monkeypatch, docs):
+    one = np.ones((3, 2), np.float32)
+    shards = [(one * 4, one[:, 0], np.array([8, 0, 0], np.float32)), *((one * x, one[:, 0], np.array([0, n, 0], np.float32)) for x, n in ((0, 3), (2, 1), (2, 0)))]
+    w, s, used = maxent.mix(shards)
+    assert np.allclose(w, [[4, 4], [0.5, 0.5], [2, 2]], atol=1e-4) and (s == 1).all() and used.tolist() == [8, 4, 0]
+    starts = []
+    monkeypatch.setattr(maxent, "_round", lambda src, tables, model, second: (starts.append((src.count(), float(model[0][0, 0]))), model[0].__iadd__(1)))
+    maxent.train(docs, None)
+    assert [x for _, x in starts] == [0, 1, 2] and sum(n for n, _ in starts) == docs.count()
+
+
 def test_encoder_is_exact():
     e = tokens.Encoder(tokenizer_path())
     rng = random.Random(3)
