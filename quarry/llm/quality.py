@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,7 +11,7 @@ BUCKETS, SMOOTH = 10_000, 1.0
 #: A document is kept if its mean log-likelihood ratio per n-gram is at least this.
 LEAST_RATIO = -0.06
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
-#: Expected bound of the trusted sample, whose ids go to every executor.
+#: Expected number of trusted ids that go to every executor at once; more are counted in blocks.
 MOST_TRUSTED = 200_000
 _SPACE = "\\x20\\x09-\\x0D"
 _SYMBOLS = "#*$%&|<>"
@@ -72,17 +73,21 @@ def ngrams(w: Column) -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """log(trusted share / corpus share) of every bucket, from counts over all documents.
 
-    ``trusted(doc_id)`` names the trusted target documents, of which about MOST_TRUSTED at most, chosen by a
-    hash, make the target's multinomial; the corpus's is counted over every document. The result has BUCKETS numbers, so it is
+    ``trusted(doc_id)`` names the trusted target documents; all of them make the target's multinomial, and the
+    corpus's is counted over every document. About MOST_TRUSTED ids are sent at once, so the documents are read once for
+    every block of them. The result has BUCKETS numbers, so it is
     the one thing brought to the driver. Without trusted or any documents every ratio is zero.
     """
     target = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    rate = min(1 << 20, (MOST_TRUSTED << 20) // max(1, target.count()))
-    target = target.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate).withColumn("good", F.lit(1))
+    blocks = max(1, -(-target.count() // MOST_TRUSTED))
     grams = F.explode(ngrams_of(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    per = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(target), "doc_id", "left")
-    counts = per.select(F.coalesce("good", F.lit(0)).alias("good"), grams.alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()
-    raw, good = {r.b: r.raw for r in counts}, {r.b: r.good for r in counts}
+    source, raw, good = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), Counter(), Counter()
+    for k in range(blocks):
+        some = target.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k).withColumn("good", F.lit(1))
+        per = source.join(F.broadcast(some), "doc_id", "inner" if k else "left")  # the first pass counts the corpus too
+        for r in per.select(F.coalesce("good", F.lit(0)).alias("good"), grams.alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect():
+            raw[r.b] += 0 if k else r.raw
+            good[r.b] += r.good
     n, m = sum(raw.values()), sum(good.values())
     if not m:
         return [0.0] * BUCKETS

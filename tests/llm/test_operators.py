@@ -259,6 +259,13 @@ def test_quality(spark, docs, empty, labels):
     assert quality.filter_quality(docs, labels.limit(0)).where("base_failed and kept").count() == 0
 
 
+def test_all_trusted_documents_count(spark, docs, monkeypatch):
+    trusted = spark.createDataFrame([(i,) for i in range(0, 40, 2)] + [(205,), (None,), (999,)], "doc_id long")
+    want = quality.log_ratios(docs, trusted)
+    monkeypatch.setattr(quality, "MOST_TRUSTED", 5)
+    assert quality.log_ratios(docs, trusted) == want and len(set(want)) > 2
+
+
 def test_maxent(docs, empty):
     out = {r.doc_id: r for r in maxent.score_language(docs).collect()}
     learn = [r for r in rows() if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2]
