@@ -97,7 +97,7 @@ def search(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, containme
 
     An item counts as contained if ``containment`` or more of its distinct word shingles (A-Z
     lower-cased) occur anywhere in the document. Texts of fewer than ``size`` words are one
-    shingle; null and empty items and documents never match. Documents are never shuffled: each is
+    shingle, so an item that short is found only as a document's whole text, as in the SQL; null and empty items and documents never match. Documents are never shuffled: each is
     scanned once for every BLOCK items.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).distinct()
