@@ -3,9 +3,9 @@
 The corpus-wide question is cut into small exact ones. Each string of LENGTH bytes has one anchor, the
 place in it whose CORE-byte string has the least hash; equal strings have equal anchors at equal
 places. An anchor owns the run of strings it anchors, and its context is the bytes of that run.
-Contexts meet by the core's hash. Equal contexts are repeats throughout; contexts that differ are
-ordered by a suffix array, built by linear grouping, and neighbours' common prefixes tell which of
-their strings are equal.
+Contexts meet by the core's hash; copies of one context are merged and counted first. The contexts of some
+cores at a time are one part of the corpus, and a suffix array over it, built by linear grouping, brings equal
+strings together: runs of neighbours whose common prefixes are long enough.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from quarry.llm.common import batch, id_and_bytes, key_runs, written
 
 LENGTH, CORE = 400, 128
 SPREAD = LENGTH - CORE + 1
-#: Bytes a symbol of the suffix array; contexts are ordered in sets of about CONTEXTS.
+#: Bytes a symbol of the suffix array; contexts are ordered in parts of about CONTEXTS.
 SYMBOL, CONTEXTS = 32, 3000
-#: A core with more different contexts than this is compared string by string instead.
-HOT = 20_000
+#: Contexts of a core with more than this are cut into pieces that meet by more of their bytes.
+KINDS = 1000
 #: Texts are read in pieces of so many strings' starts, so one piece's arrays stay small.
 PIECE = 1 << 22
 _BASE = 0x9E3779B97F4A7C15
@@ -191,87 +191,133 @@ def _own(raw: bytes, part, base: int, out, digest, length: int, core: int) -> No
         x.append(v)
 
 
-def _ranks(parts: list[bytes]) -> np.ndarray:
-    """Rank of each byte string among all, from the suffix array over their blocks of SYMBOL bytes."""
-    sizes = np.array([max(1, -(-len(p) // SYMBOL)) for p in parts])
-    wide = int(sizes.sum())
+def repeated_starts(bodies: list[bytes], left: np.ndarray, copies: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """For contexts ``bodies`` with anchors at ``left``: which of each one's strings occur twice or more in the part.
+
+    The part's text is each context's blocks of SYMBOL bytes, laid out from the anchor, as symbols of a suffix
+    array. A string that begins r bytes before a block is repeated if its context has copies, or another
+    suffix shares length - r bytes with that block's suffix, so that both lie in one run of the order, and the r bytes before it.
+    """
+    head = left % SYMBOL
+    blocks = np.array([-(-(len(b) - h) // SYMBOL) for b, h in zip(bodies, head.tolist())])
+    at = np.cumsum(blocks) - blocks
+    wide = int(blocks.sum())
     flat = np.zeros((wide, SYMBOL + 1), np.uint8)
-    at = np.cumsum(sizes) - sizes
-    for p, a, k in zip(parts, at.tolist(), sizes.tolist()):
-        body = np.zeros(k * SYMBOL, np.uint8)
-        body[: len(p)] = np.frombuffer(p, np.uint8)
-        flat[a : a + k, :SYMBOL] = body.reshape(k, SYMBOL)
+    for body, h, a, k in zip(bodies, head.tolist(), at.tolist(), blocks.tolist()):
+        own = np.zeros(k * SYMBOL, np.uint8)
+        own[: len(body) - h] = np.frombuffer(body, np.uint8)[h:]
+        flat[a : a + k, :SYMBOL] = own.reshape(k, SYMBOL)
         flat[a : a + k, SYMBOL] = SYMBOL
-        flat[a + k - 1, SYMBOL] = len(p) - (k - 1) * SYMBOL
+        flat[a + k - 1, SYMBOL] = len(body) - h - (k - 1) * SYMBOL
     _, symbol = np.unique(np.ascontiguousarray(flat).view(f"V{SYMBOL + 1}").reshape(-1), return_inverse=True)
-    text = np.ones(wide + len(parts) + 1, np.int64)
-    text[-1] = 0
-    begin = at + np.arange(len(parts))
-    spots = np.ones(wide + len(parts), bool)
-    spots[begin + sizes] = False
-    text[:-1][spots] = symbol + 2
-    sa = np.asarray(lyndon_suffix_array(text.tolist()))
-    inverse = np.empty(len(sa), np.int64)
-    inverse[sa] = np.arange(len(sa))
-    return np.argsort(np.argsort(inverse[begin], kind="stable"), kind="stable")
-
-
-def _common(parts: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The strings' order and the bytes each shares with the one before it."""
-    order = np.argsort(rank)
-    wide = max(map(len, parts))
-    rows = np.zeros((len(parts), wide), np.uint8)
-    size = np.array([len(p) for p in parts])
-    for k, i in enumerate(order.tolist()):
-        rows[k, : size[i]] = np.frombuffer(parts[i], np.uint8)
-    differ = rows[1:] != rows[:-1]
-    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), wide) if len(parts) > 1 else np.empty(0, np.int64)
-    s = size[order]
-    return order, np.r_[-1, np.minimum(lcp, np.minimum(s[1:], s[:-1]))]
-
-
-def repeated_starts(bodies: list[bytes], left: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For contexts ``bodies`` with anchors at ``left``: which of each one's strings occur in another.
-
-    A string that begins d bytes before the anchor equals another context's exactly if they share d
-    bytes to the left and length - d to the right; both sides are classes of a sorted order.
-    """
-    m = len(bodies)
-    n = np.array([len(b) - length + 1 for b in bodies])
-    right = [b[a:] for b, a in zip(bodies, left.tolist())]
-    back = [b[:a][::-1] for b, a in zip(bodies, left.tolist())]
-    rank = _ranks(right + back)
-    r_order, r_lcp = _common(right, rank[:m])
-    l_order, l_lcp = _common(back, rank[m:])
-    hits = [np.zeros(k, bool) for k in n.tolist()]
-    low = left - n + 1  # the last string begins so many bytes before the anchor
-    cr, cl = np.empty(m, np.int64), np.empty(m, np.int64)
-    for d in range(int(low.min()), int(left.max()) + 1):
-        own = np.flatnonzero((low <= d) & (d <= left))
-        if len(own) < 2:
-            continue
-        cr[r_order] = np.cumsum(r_lcp < length - d)
-        cl[l_order] = np.cumsum(l_lcp < d)
-        pair = cr[own] * (m + 1) + cl[own]
+    owner = np.repeat(np.arange(len(bodies)), blocks)
+    place = np.arange(wide) + owner  # of each block in the text: one end mark behind every context
+    steps = -(-length // SYMBOL) + 1
+    text = np.ones(wide + len(bodies) + 1 + steps, np.int64)
+    text[place] = symbol + 2
+    text[wide + len(bodies) :] = 0
+    block_at = np.full(len(text), wide)  # the row of an end mark is empty
+    block_at[place] = np.arange(wide)
+    flat = np.concatenate([flat, np.zeros((1, SYMBOL + 1), np.uint8)])
+    order = np.asarray(lyndon_suffix_array(text[: wide + len(bodies) + 1].tolist()))
+    # the suffixes that begin at or before their context's anchor, in order
+    block = block_at[order]
+    block = block[block < wide]
+    begin = head[owner[block]] + SYMBOL * (block - at[owner[block]])  # in its context
+    block = block[begin <= left[owner[block]]]
+    own, size = owner[block], np.array([len(b) for b in bodies])
+    begin = head[own] + SYMBOL * (block - at[own])
+    shared = _common_prefixes(text, flat, block_at, place[block], size[own] - begin, steps)
+    # classes of equal bytes before a block, one byte more each time
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    base = (np.cumsum(size) - size)[own] + begin
+    last = size[own] - length  # the last start of the context
+    hits = [np.full(n, c > 1) for n, c in zip((size - length + 1).tolist(), copies.tolist())]
+    before = np.zeros(len(block), np.int64)
+    for r in range(min(SYMBOL, length)):
+        live = begin >= r
+        if r:
+            grown = np.where(live, before * 256 + data[np.maximum(base - r, 0)], -1)
+            before = np.unique(grown, return_inverse=True)[1]
+        live &= begin - r <= last
+        run = np.cumsum(shared < length - r)
+        rows = np.flatnonzero(live)
+        pair = run[rows] * (len(block) + 1) + before[rows]
         srt = np.argsort(pair, kind="stable")
-        p = pair[srt]
-        eq = p[1:] == p[:-1]
-        for i in own[srt[np.r_[eq, False] | np.r_[False, eq]]].tolist():
-            hits[i][left[i] - d] = True
+        same = pair[srt][1:] == pair[srt][:-1]
+        for i in rows[srt[np.r_[same, False] | np.r_[False, same]]].tolist() if same.any() else ():
+            hits[own[i]][begin[i] - r] = True
     return hits
 
 
+def _common_prefixes(text, flat, block_at, start: np.ndarray, size: np.ndarray, steps: int) -> np.ndarray:
+    """Bytes that each suffix shares with the one before it in ``start``, up to ``steps`` symbols; -1 for the first."""
+    a, b = start[:-1], start[1:]
+    same, equal = np.zeros(len(b), np.int64), np.ones(len(b), bool)
+    for k in range(steps):
+        equal &= (text[a + k] == text[b + k]) & (text[a + k] > 1)
+        same += equal
+    rows_a, rows_b = flat[block_at[a + np.minimum(same, steps - 1)]], flat[block_at[b + np.minimum(same, steps - 1)]]
+    differ = rows_a[:, :SYMBOL] != rows_b[:, :SYMBOL]
+    more = np.where(differ.any(axis=1), differ.argmax(axis=1), SYMBOL)
+    shared = np.where(equal, steps * SYMBOL, SYMBOL * same + np.minimum(more, np.minimum(rows_a[:, SYMBOL], rows_b[:, SYMBOL])))
+    return np.r_[-1, np.minimum(shared, np.minimum(size[1:], size[:-1]))] if len(start) else np.empty(0, np.int64)
+
+
 def _ranges(hit: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
     return [{"a": int(a), "b": int(b)} for a, b in zip(edge[::2], edge[1::2])]
 
 
+def _pieces(body: bytes, left: int, lo: int, hi: int, length: int):
+    """The two pieces of a context whose strings begin ``lo`` to ``hi`` bytes before the anchor: (key, lo, hi, first start, left, body).
+
+    All strings that begin so far before equal anchors share the bytes that the key is a hash of.
+    """
+    n, middle = len(body) - length + 1, (lo + hi) // 2
+    for l, h in ((lo, middle), (middle + 1, hi)):
+        first, last = max(0, left - h), min(n - 1, left - l)
+        if l <= h and first <= last:
+            key = xxhash.xxh3_64_intdigest(body[left - l : left + length - h], l << 16 | h)
+            yield key, l, h, first, left - first, body[first : last + length]
+
+
+def _cut_hot(hot: DataFrame, length: int, core: int) -> DataFrame:
+    """``hot(core, context, copies, left, body)`` cut until no key has more than KINDS different pieces:
+    (core, context, key, piece, shift, copies, left, body).
+
+    Every cut halves the strings of a piece, so the last one has single strings, of which a key has one.
+    """
+    schema = pa.schema([*((c, pa.int64()) for c in ("core", "context", "key", "piece", "lo", "hi", "shift", "copies", "left")), ("body", pa.binary())])
+
+    def cut(batches):
+        for b in batches:
+            rows = []
+            for *own, lo, hi, shift, copies, left, body in zip(*(c.to_pylist() for c in b.columns)):
+                for key, l, h, first, at, part in _pieces(body, left, lo, hi, length):
+                    piece = xxhash.xxh3_64_intdigest(part, at)
+                    rows.append((*own, *(x - (1 << 64) if x >> 63 else x for x in (key, piece)), l, h, shift + first, copies, at, part))
+            yield batch(schema, *(zip(*rows) if rows else [[]] * len(schema)))
+
+    kinds = ", ".join(f"{f.name} long" for f in schema)[: -len("long")] + "binary"
+    rows, done = hot.select("core", "context", F.lit(0).alias("lo"), F.lit(length - core).alias("hi"), F.lit(0).alias("shift"), "copies", "left", "body"), None
+    while True:
+        rows = written(rows.mapInArrow(cut, kinds), "pieces")
+        over = rows.select("key", "piece").distinct().groupBy("key").count().where(F.col("count") > KINDS).select("key")
+        over = written(over, "over")
+        some = rows.join(over, "key", "left_anti")
+        done = some if done is None else done.unionByName(some)
+        if over.isEmpty():
+            return done.drop("lo", "hi")
+        rows = rows.join(over, "key", "left_semi").select("core", "context", "lo", "hi", "shift", "copies", "left", "body")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
     """(doc, a, b): string starts a <= p < b in a text (by its hash) that occur elsewhere too.
 
-    Exact. Copies meet by their context's hash on the map side first; only different contexts of one
-    core are sent on as bytes, and a core with more than HOT of those is compared by the hashes of
-    single strings, over the whole cluster.
+    Exact. Copies of a context are merged on the map side first, with their number; where a core has different
+    contexts, those are sent on as bytes and ordered. Contexts of a core with more than KINDS of them are cut into pieces
+    (``_cut_hot``), so that a large family of near copies goes to many tasks and meets in the same order.
     """
     spark = docs.sparkSession
     all_ = written(contexts(docs, length, core), "contexts")
@@ -285,34 +331,27 @@ def repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFram
     body = F.col("text").substr(F.col("w.at").cast("int") + 1, F.col("w.n") + length - 1)
     reps = written(got.select("w.core", "w.context", "w.copies", "w.kinds", "w.left", body.alias("body")).dropDuplicates(["core", "context"]), "bodies")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = "context long, core long, ranges array<struct<a:int,b:int>>"
 
     def order(batches):
-        schema = pa.schema([("context", pa.int64()), ("core", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
-        for t in key_runs(batches, "core", CONTEXTS):
-            hits = repeated_starts(t.column("body").to_pylist(), t.column("left").to_numpy().astype(np.int64), length)
-            yield batch(schema, t.column("context").to_numpy(), t.column("core").to_numpy(), [_ranges(h) for h in hits])
-
-    small = reps.where(F.col("kinds") <= HOT).select("core", "context", "left", "body")
-    found = small.repartition(n, "core").sortWithinPartitions("core").mapInArrow(order, ranges)
-
-    def strings(batches):
-        schema = pa.schema([("context", pa.int64()), ("core", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("i", pa.int32())])
-        for b in batches:
-            for c, k, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                h = [xxhash.xxh3_128_digest(body[i : i + length]) for i in range(len(body) - length + 1)]
-                pair = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
-                yield batch(schema, [c] * len(h), [k] * len(h), pair[:, 0], pair[:, 1], range(len(h)))
-
-    big = reps.where(F.col("kinds") > HOT).select("context", "core", "body").mapInArrow(strings, "context long, core long, x long, y long, i int")
-    twice = big.groupBy("x", "y").count().where("count > 1").select("x", "y")
-    big = big.join(twice, ["x", "y"]).groupBy("context", "core").agg(F.collect_list(F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b"))).alias("ranges"))
-    found = found.unionByName(big)
-    part = live.where("copies = 1 and kinds > 1").select("core", "context").join(found, ["core", "context"])
-    whole = live.where("copies > 1").select("core", "context", F.lit(None).cast("array<struct<a:int,b:int>>").alias("ranges"))
-    marked = whole.unionByName(part.where("size(ranges) > 0"))
-    spans = F.coalesce("ranges", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))))
-    out = all_.join(marked, ["core", "context"]).select("doc", "at", F.explode(spans).alias("r"))
+        schema = pa.schema([("key", pa.int64()), ("piece", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
+        for t in key_runs(batches, "key", CONTEXTS):
+            hits = repeated_starts(t.column("body").to_pylist(), t.column("left").to_numpy().astype(np.int64), t.column("copies").to_numpy(), length)
+            yield batch(schema, t.column("key").to_numpy(), t.column("piece").to_numpy(), [_ranges(h) for h in hits])
+
+    def ordered(rows):  # (key, piece, copies, left, body) -> (key, piece, ranges)
+        rows = rows.select("key", "piece", "copies", "left", "body").repartition(n, "key").sortWithinPartitions("key")
+        return rows.mapInArrow(order, "key long, piece long, ranges array<struct<a:int,b:int>>").where("size(ranges) > 0")
+
+    few = reps.where(F.col("kinds") <= KINDS).select(F.col("core").alias("key"), F.col("context").alias("piece"), "copies", "left", "body")
+    marked = ordered(few).toDF("core", "context", "ranges")
+    hot = reps.where(F.col("kinds") > KINDS)
+    if not hot.isEmpty():
+        pieces = written(_cut_hot(hot, length, core), "cut")
+        merged = pieces.groupBy("key", "piece").agg(F.sum("copies").alias("copies"), F.first("left").alias("left"), F.first("body").alias("body"))
+        ranges = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("shift")).cast("int").alias("a"), (r["b"] + F.col("shift")).cast("int").alias("b")))
+        marked = marked.unionByName(pieces.select("core", "context", "key", "piece", "shift").join(ordered(merged), ["key", "piece"]).select("core", "context", ranges.alias("ranges")))
+    whole = live.where("copies > 1 and kinds = 1").select("core", "context", F.array(F.struct(F.lit(0).alias("a"), F.col("one.n").alias("b"))).alias("ranges"))
+    out = all_.join(marked.unionByName(whole), ["core", "context"]).select("doc", "at", F.explode("ranges").alias("r"))
     return out.select("doc", (F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b")).alias("b"))
 
 
