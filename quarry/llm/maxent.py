@@ -1,50 +1,95 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | history) = P(class | history) * P(token | class, history). The VOCAB commonest tokens sit
-in HEAD classes of WIDTH tokens, each with a softmax of its own; every rarer token belongs to one
-of TAIL classes by a hash of its last bytes and gets its share of the class's smoothed count.
-Features are the previous token, the one before it (a skip) and the pair of both, hashed; logits
-are sums of one weight row a feature.
+P(token | history) = P(class | history) * P(place | class, history) * P(token | place). The VOCAB commonest
+tokens sit in HEAD classes of WIDTH places, a token each. Every rarer token belongs to one of TAIL classes
+by a hash of its last bytes and to one of its NARROW places by a hash of the word, and gets its share of the
+place's smoothed count. Each class has a learnt softmax over its places. Features are the previous token, the one before it (a
+skip) and the pair of both, hashed; logits are sums of one weight row a feature.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.common import batch, fold, id_and_bytes, written
 
-HEAD, WIDTH, TAIL = 16, 64, 16
+HEAD, WIDTH, TAIL, NARROW = 16, 64, 16, 16
 VOCAB, CLASSES = HEAD * WIDTH, HEAD + TAIL
-#: Context symbols: the commonest words stand for themselves, others for a hash of their last bytes.
-OWN, ENDINGS, COARSE, PAIRS = 4096, 1024, 512, 1 << 14
-SYMBOLS = OWN + ENDINGS + 1
+#: Context symbols: the commonest words stand for themselves, others for a hash of their last bytes. Own symbols and pairs
+#: double at each of GROW different words.
+OWN, ENDINGS, COARSE, PAIRS, GROW = 4096, 1024, 512, 1 << 14, (1 << 20, 1 << 22)
 #: At most so many words' exact counts go to every executor, as whole levels of a log scale from the
 #: top; counts of all others are joined.
 KNOWN = 250_000
 BATCH, RATE, SEED = 8192, 0.25, 3
-#: Input partitions that one training shard goes through, synchronous rounds of training, blocks a model is cut into for averaging.
-SHARD, ROUNDS, BLOCKS, FANIN = 2, 3, 16, 64
+#: Synchronous rounds of training; tokens of a round that one shard learns from, until there are MOST_SHARDS; blocks
+#: a model is cut into for averaging, shards averaged by a task.
+ROUNDS, SHARD, MOST_SHARDS, BLOCKS, FANIN = 3, 500_000, 4096, 16, 64
+#: Text that is cut into words at once.
+CUT = 1 << 20
 END = b""
 LOG10E = float(np.log10(np.e))
+#: A-Z to lower case, and white space to spaces; no UTF-8 text has the byte that stands for its end.
+_LOWER = bytes.maketrans(bytes([*range(65, 91), *range(9, 14)]), bytes([*range(97, 123), *[32] * 5]))
+_END = b" \xff"
 
 
 def _ending(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % ENDINGS
 
 
-class _Known(dict):
-    """word -> rank among the known words, or -1 - ending for others."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1 - _ending(word)
+def _narrow(word: bytes) -> int:
+    return zlib.crc32(word) % NARROW
+
+
+def cut(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of the texts, each behind a space (the end as ``_END``), each token's place among them and
+    where texts begin."""
+    data = b"".join(b" " + t.translate(_LOWER) + _END for t in texts)
+    space = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    offsets = np.append(space, len(data)).astype(np.int32)
+    units = pa.BinaryArray.from_buffers(pa.binary(), len(space), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    words, code = units.dictionary, units.indices.to_numpy()
+    blank = pc.index(words, pa.scalar(b" ", pa.binary())).as_py()
+    if blank >= 0:
+        code = code[code != blank]
+    ends = np.flatnonzero(code == pc.index(words, pa.scalar(_END, pa.binary())).as_py())
+    return words, code, np.r_[0, ends[:-1] + 1]
+
+
+def _bare(words: pa.Array) -> pa.Array:
+    """Words of ``cut`` without the space before each, the end as END."""
+    _, offsets, data = pa.concat_arrays([words]).buffers()
+    n = len(words)
+    if not n:
+        return pa.array([], pa.binary())
+    at = np.frombuffer(offsets, np.int32, n + 1)
+    raw = np.frombuffer(data, np.uint8, at[-1] - at[0], at[0])
+    keep = np.ones(len(raw), bool)
+    keep[at[:-1] - at[0]] = False
+    out = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((at - at[0] - np.arange(n + 1, dtype=np.int32)).astype(np.int32)), pa.py_buffer(raw[keep])])
+    return pc.if_else(pc.equal(out, pa.scalar(_END[1:], pa.binary())), pa.scalar(END, pa.binary()), out)
+
+
+def _some(batches, most: int):
+    """(ids, texts) of the rows of (doc_id, text, ..) batches, about ``most`` bytes at a time, whatever the batches."""
+    ids, texts, size = [], [], 0
+    for b in batches:
+        for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
+            ids.append(doc), texts.append(t.as_py())
+            size += len(texts[-1]) + 1
+            if size >= most:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -52,26 +97,24 @@ def count_words(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches):
-        seen: Counter = Counter()
-        for b in batches:
-            for t in b.column(1):
-                seen.update(t.as_py().lower().split())
-                seen[END] += 1
-                if len(seen) > 400_000:
-                    yield batch(schema, list(seen), list(seen.values()))
-                    seen.clear()
-        if seen:
-            yield batch(schema, list(seen), list(seen.values()))
+        for _, texts in _some(batches, 16 * CUT):
+            words, code, _ = cut(texts)
+            n = np.bincount(code, minlength=len(words))
+            met = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([_bare(words.take(pa.array(met))), pa.array(n[met])], schema=schema)
 
     return id_and_bytes(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Tables:
-    """What scoring needs of the counts: bounded by KNOWN words, VOCAB and TAIL."""
+    """What scoring needs of the counts: bounded by KNOWN words, VOCAB and TAIL * NARROW."""
 
     def __init__(self, counts: DataFrame):
         row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         self.n, self.v = row.n, row.v
+        grow = 1 << sum(self.v >= g for g in GROW)
+        self.own, self.pairs = OWN * grow, PAIRS * grow
+        self.symbols = self.own + ENDINGS + 1
         level = F.floor(F.log2("n") * 16).cast("int").alias("level")
         least, room = 1 << 30, KNOWN
         for r in sorted(counts.groupBy(level).count().collect(), reverse=True):
@@ -82,11 +125,14 @@ class Tables:
         top.sort(key=lambda r: (-r.n, bytes(r.word)))
         self.words = [bytes(r.word) for r in top]
         self.counts = np.array([r.n for r in top], np.float64)
-        ending = F.pmod(F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(ENDINGS)), F.lit(TAIL)).alias("k")
-        whole = {r.k: r.z for r in counts.groupBy(ending).agg(F.sum(F.col("n") + 1).alias("z")).collect()}
-        self.mass = np.array([float(whole.get(k, 0)) for k in range(TAIL)])
-        for w, c in zip(self.words[:VOCAB], self.counts[:VOCAB]):
-            self.mass[_ending(w) % TAIL] -= c + 1
+        self.tails = np.array([_ending(w) * NARROW + _narrow(w) for w in self.words], np.int64)
+        ending = F.pmod(F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(ENDINGS)), F.lit(TAIL))
+        place = (ending * NARROW + F.pmod(F.crc32("word"), F.lit(NARROW))).alias("k")
+        self.mass = np.zeros(TAIL * NARROW)
+        for r in counts.groupBy(place).agg(F.sum(F.col("n") + 1).alias("z")).collect():
+            self.mass[r.k] = float(r.z)
+        for t, c in zip(self.tails[:VOCAB].tolist(), self.counts[:VOCAB].tolist()):
+            self.mass[t // NARROW % TAIL * NARROW + t % NARROW] -= c + 1
         self.mass = np.maximum(self.mass, 0) + 1
         in_head = np.zeros(VOCAB)
         in_head[: len(self.counts[:VOCAB])] = self.counts[:VOCAB]
@@ -94,35 +140,51 @@ class Tables:
         live = in_head > 0
         self.within[live] = np.log(in_head[live])
         self.within = self.within.reshape(WIDTH, HEAD).T.copy()  # rank r: class r % HEAD, place r // HEAD
-        totals = np.r_[in_head.reshape(WIDTH, HEAD).sum(axis=0), self.mass]
+        per = self.mass.reshape(TAIL, NARROW)
+        self.narrow = np.log(per).astype(np.float32)
+        totals = np.r_[in_head.reshape(WIDTH, HEAD).sum(axis=0), per.sum(axis=1)]
         self.prior = np.log((totals + 0.1) / (totals.sum() + 0.1 * CLASSES)).astype(np.float32)
-        self.endings = np.array([_ending(w) for w in self.words], np.int64)
 
-    def lookup(self) -> _Known:
-        return _Known(zip(self.words, range(len(self.words))))
+    def lookup(self) -> dict[bytes, int]:
+        """Word, as ``cut`` gives it, to its rank."""
+        return {b" " + w if w else _END: k for k, w in enumerate(self.words)}
+
 
+def _indices(known: dict[bytes, int], words: pa.Array) -> np.ndarray:
+    """Each word's rank, or -1 - its ending and place for those not known."""
+    out = list(map(known.get, words.to_pylist()))
+    if None in out:
+        for k, i in enumerate(out):
+            if i is None:
+                w = words[k].as_py()[1:]
+                out[k] = -1 - (_ending(w) * NARROW + _narrow(w))
+    return np.array(out, np.int64)
 
-def new_model() -> list[np.ndarray]:
-    """Weight rows of the class features (previous, skip, pair) and of the two within-class features."""
-    rows = [SYMBOLS, SYMBOLS, PAIRS]
-    return [np.zeros((r, CLASSES), np.float32) for r in rows] + [np.zeros((COARSE * HEAD, WIDTH), np.float32) for _ in range(2)]
+
+def new_model(tables: Tables) -> list[np.ndarray]:
+    """Weight rows of the class features (previous, skip, pair) and of the two features within head and tail classes."""
+    out = [np.zeros((r, CLASSES), np.float32) for r in (tables.symbols, tables.symbols, tables.pairs)]
+    return out + [np.zeros((COARSE * n, w), np.float32) for n, w in ((HEAD, WIDTH), (HEAD, WIDTH), (TAIL, NARROW), (TAIL, NARROW))]
 
 
 def features(tables: Tables, idx: np.ndarray, starts: np.ndarray):
-    """Class, place in class and feature rows of each token; ``idx`` as from ``_Known``, texts begin at ``starts``."""
+    """Whether in the head, class, place in class and feature rows of each token; ``idx`` as from ``_indices``, texts begin at ``starts``."""
     known = idx >= 0
-    ending = np.where(known, tables.endings[np.maximum(idx, 0)] if len(tables.endings) else 0, -1 - idx)
-    symbol = np.where(known & (idx < OWN), idx, OWN + ending)
+    tail = np.where(known, tables.tails[np.maximum(idx, 0)] if len(tables.tails) else 0, -1 - idx)
+    ending = tail // NARROW
+    symbol = np.where(known & (idx < tables.own), idx, tables.own + ending)
     head = known & (idx < VOCAB)
     cls = np.where(head, idx % HEAD, HEAD + ending % TAIL)
-    s1, s2 = np.full(len(idx), SYMBOLS - 1), np.full(len(idx), SYMBOLS - 1)
+    place = np.where(head, idx // HEAD, tail % NARROW)
+    first = tables.symbols - 1
+    s1, s2 = np.full(len(idx), first), np.full(len(idx), first)
     s1[1:], s2[2:] = symbol[:-1], symbol[:-2]
-    s1[starts] = SYMBOLS - 1
-    s2[starts] = SYMBOLS - 1
+    s1[starts] = first
+    s2[starts] = first
     after = starts + 1
-    s2[after[after < len(idx)]] = SYMBOLS - 1
-    pair = (s1 * 40503 + s2 * 9973 + (s1 ^ (s2 << 3))) % PAIRS
-    return head, cls, np.where(head, idx // HEAD, 0), (s1, s2, pair)
+    s2[after[after < len(idx)]] = first
+    pair = (s1 * 40503 + s2 * 9973 + (s1 ^ (s2 << 3))) % tables.pairs
+    return head, cls, place, (s1, s2, pair)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -132,26 +194,30 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def _within(tables, model, cls, feats, rows):
-    c = cls[rows]
-    own = [(f[rows] % COARSE) * HEAD + c for f in feats[:2]]
-    return own, _softmax(tables.within[c] + model[3][own[0]] + model[4][own[1]])
+def _within(tables, model, head: bool, cls, feats, rows):
+    """Feature rows and place probabilities of tokens in head or in tail classes."""
+    at, n, base = (3, HEAD, tables.within) if head else (5, TAIL, tables.narrow)
+    c = cls[rows] - (0 if head else HEAD)
+    own = [(f[rows] % COARSE) * n + c for f in feats[:2]]
+    return at, own, _softmax(base[c] + model[at][own[0]] + model[at + 1][own[1]])
 
 
 def log_probs(tables: Tables, model, idx: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Natural log probability of each token, without a tail token's own count."""
     out = np.empty(len(idx))
     head, cls, place, feats = features(tables, idx, starts)
+    log_mass = np.log(tables.mass)
     for a in range(0, len(idx), BATCH):
         s = slice(a, a + BATCH)
         p = _softmax(tables.prior + model[0][feats[0][s]] + model[1][feats[1][s]] + model[2][feats[2][s]])
         y = np.log(p[np.arange(len(p)), cls[s]] + 1e-12)
-        rows = np.flatnonzero(head[s]) + a
-        if len(rows):
-            _, q = _within(tables, model, cls, feats, rows)
-            y[rows - a] += np.log(q[np.arange(len(rows)), place[rows]] + 1e-12)
-        tail = ~head[s]
-        y[tail] -= np.log(tables.mass)[cls[s][tail] - HEAD]
+        for which in (True, False):
+            rows = np.flatnonzero(head[s] == which) + a
+            if len(rows):
+                _, _, q = _within(tables, model, which, cls, feats, rows)
+                y[rows - a] += np.log(q[np.arange(len(rows)), place[rows]] + 1e-12)
+                if not which:
+                    y[rows - a] -= log_mass[(cls[rows] - HEAD) * NARROW + place[rows]]
         out[s] = y
     return out
 
@@ -180,29 +246,13 @@ def learn(tables: Tables, model, second, used, idx: np.ndarray, starts: np.ndarr
         p[np.arange(len(p)), cls[s]] -= 1
         for k in range(3):
             _descend(model[k], second[k], used[k], f[k], p)
-        rows = np.flatnonzero(head[s]) + a
-        if len(rows):
-            own, q = _within(tables, model, cls, feats, rows)
-            q[np.arange(len(rows)), place[rows]] -= 1
-            for k in (0, 1):
-                _descend(model[3 + k], second[3 + k], used[3 + k], own[k], q)
-
-
-def _texts(known: _Known, batches, most: int):
-    """(indices, text starts, ids, texts' words) of some texts at a time, about ``most`` tokens."""
-    ids, words, idx, size = [], [], [], 0
-    for b in batches:
-        for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
-            w = t.as_py().lower().split()
-            w.append(END)
-            ids.append(doc), words.append(w)
-            idx.append(np.fromiter(map(known.__getitem__, w), np.int64, len(w)))
-            size += len(w)
-            if size >= most:
-                yield np.concatenate(idx), np.cumsum([0, *map(len, idx[:-1])]), ids, words
-                ids, words, idx, size = [], [], [], 0
-    if ids:
-        yield np.concatenate(idx), np.cumsum([0, *map(len, idx[:-1])]), ids, words
+        for which in (True, False):
+            rows = np.flatnonzero(head[s] == which) + a
+            if len(rows):
+                at, own, q = _within(tables, model, which, cls, feats, rows)
+                q[np.arange(len(rows)), place[rows]] -= 1
+                for k in (0, 1):
+                    _descend(model[at + k], second[at + k], used[at + k], own[k], q)
 
 
 def _cut(k: int, rows: int) -> slice:
@@ -226,24 +276,26 @@ def mix(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.nda
 def train(docs: DataFrame, tables: Tables, rounds: int | None = None) -> list[np.ndarray]:
     """Every token of ``docs`` is learnt from once, by iterative parameter mixing.
 
-    Documents are dealt to ROUNDS rounds by a hash. In each, every shard of the input makes its own gradient
-    steps from the model mixed so far; the shards' rows, cut into blocks, are averaged by the tokens that used
-    them (``mix``) in a tree of at most FANIN shards a task.
+    A hash deals documents to ROUNDS rounds and to shards of about SHARD tokens a round. In each round every shard
+    makes its own gradient steps, over its documents by id, from the model mixed so far; the shards' rows, cut into blocks, are
+    averaged by the tokens that used them (``mix``) in a tree of at most FANIN shards a task. Neither the
+    input's partitions nor the cluster's size has a bearing on the model.
     """
-    model, rounds = new_model(), rounds or ROUNDS
+    model, rounds = new_model(tables), rounds or ROUNDS
     second = [np.full(len(w), 1e-2, np.float32) for w in model]
-    src = id_and_bytes(docs)
-    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
+    shards = max(1, min(MOST_SHARDS, -(-int(tables.n) // (rounds * SHARD))))
+    hashed = F.xxhash64("doc_id", "text")
+    src = id_and_bytes(docs).withColumn("h", hashed).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
+    turn = F.pmod("h", F.lit(rounds))
     for r in range(rounds):
-        _round(src.where(turn == r) if rounds > 1 else src, tables, model, second)
+        _round(src.where(turn == r), shards, tables, model, second)
     return model
 
 
-def _round(src: DataFrame, tables: Tables, model, second) -> None:
+def _round(src: DataFrame, shards: int, tables: Tables, model, second) -> None:
     """One round of training, in place."""
     sc = src.sparkSession.sparkContext
     sent = sc.broadcast((tables, [w.astype(np.float16) for w in model], second))
-    shards = max(sc.defaultParallelism, src.rdd.getNumPartitions() // SHARD)
     schema = pa.schema([("block", pa.int32()), ("shard", pa.int64()), *((c, pa.binary()) for c in ("w", "s", "used"))])
     widths = [w.shape[1] for w in model]
     sizes = [len(w) for w in model]
@@ -262,9 +314,10 @@ def _round(src: DataFrame, tables: Tables, model, second) -> None:
     def run(batches):
         tables, start, second = sent.value
         model, second = [w.astype(np.float32) for w in start], [x.copy() for x in second]
-        used, seen = [np.zeros(len(w), np.float32) for w in model], False
-        for idx, starts, _, _ in _texts(tables.lookup(), batches, 100_000):
-            learn(tables, model, second, used, idx, starts)
+        used, seen, known = [np.zeros(len(w), np.float32) for w in model], False, tables.lookup()
+        for _, texts in _some(batches, CUT):
+            words, code, starts = cut(texts)
+            learn(tables, model, second, used, _indices(known, words)[code], starts)
             seen = True
         if seen:
             shard = TaskContext.get().partitionId()
@@ -273,13 +326,15 @@ def _round(src: DataFrame, tables: Tables, model, second) -> None:
                 yield batch(schema, [k], [shard], *([x] for x in packed(parts)))
 
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shard")  # sums of floats depend on their order
         k = int(pdf.block.iloc[0])
         tables = zip(*(list(unpacked(k, *x)) for x in zip(pdf.w, pdf.s, pdf.used)))
         w, s, used = packed(list(zip(*(mix(list(t)) for t in tables))))
         return pd.DataFrame({"block": [k], "shard": [int(pdf.shard.iloc[0]) // FANIN], "w": [w], "s": [s], "used": [used]})
 
     kind = "block int, shard long, w binary, s binary, used binary"
-    rows, left = src.coalesce(shards).mapInArrow(run, kind), shards
+    dealt = src.repartitionById(shards, F.col("shard")).sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    rows, left = dealt.mapInArrow(run, kind), shards
     while True:
         rows = rows.groupBy("block", F.floor(F.col("shard") / FANIN).alias("g")).applyInPandas(mean, kind)
         left = -(-left // FANIN)
@@ -303,16 +358,17 @@ def score(docs: DataFrame, counts: DataFrame, tables: Tables, model) -> DataFram
 
     def run(batches):
         tables, model = sent.value
-        log_c = np.r_[np.log10(tables.counts + 1), 0.0]
+        log_c, known = np.r_[np.log10(tables.counts + 1), 0.0], tables.lookup()
         tail_log = np.r_[np.where(np.arange(len(tables.counts)) < VOCAB, 0, log_c[:-1]), 0.0]
         row = TaskContext.get().partitionId() << 40
-        for idx, starts, ids, words in _texts(tables.lookup(), batches, 60_000):
+        for ids, texts in _some(batches, CUT):
+            words, code, starts = cut(texts)
+            idx = _indices(known, words)[code]
             y = log_probs(tables, model, idx, starts) * LOG10E
             at = np.where(idx >= 0, idx, -1)
             total = [np.add.reduceat(x, starts) for x in (np.ones(len(idx), np.int64), (idx >= 0).astype(np.int64), log_c[at], y + tail_log[at])]
-            rare = (idx < 0).tolist()
-            bounds = [*starts.tolist(), len(idx)]
-            lists = [list(compress(w, rare[a:e])) for w, a, e in zip(words, bounds, bounds[1:])]
+            rare = np.r_[0, np.cumsum(np.add.reduceat((idx < 0).astype(np.int32), starts))].astype(np.int32)
+            lists = pa.ListArray.from_arrays(rare, _bare(words.take(pa.array(code[idx < 0]))))
             yield batch(schema, np.arange(row, row + len(ids)), ids, *total, lists)
             row += len(ids)
 
