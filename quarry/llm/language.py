@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -12,11 +10,15 @@ from quarry.llm.common import batch, fold, id_and_bytes
 
 WINDOW, DIM, WIDTHS, FILTERS = 96, 8, (2, 3, 4), 16
 #: The network is fitted on at most this many documents a language, the first by a hash of their id,
-#: and on so many windows of each.
+#: and on so many windows of each, spread over its whole text; only those windows reach the driver.
 MOST_DOCUMENTS, MOST_WINDOWS = 1_500, 6
 STEPS, BATCH, RATE, SEED = 500, 256, 4e-3, 5
 _SPAN = max(WIDTHS)
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; digits, marks and signs such as superscripts and fractions are not."""
+    return any(map(str.isalpha, text))
 
 
 def windows(text: str) -> np.ndarray:
@@ -52,19 +54,23 @@ def log_probabilities(model, x: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def fit(rows: list[tuple[str, int]], n_langs: int):
-    """Adam on the cross entropy of sampled windows; narrower filters are masked out of the widest."""
+def sampled(text: str) -> np.ndarray:
+    """At most MOST_WINDOWS windows, evenly spread from the first to the last."""
+    w = windows(text)
+    return w[np.unique(np.linspace(0, len(w) - 1, MOST_WINDOWS).astype(int))]
+
+
+def fit(rows: list[tuple[np.ndarray, int]], n_langs: int):
+    """Adam on the cross entropy of ``sampled`` windows; narrower filters are masked out of the widest."""
     rng = np.random.default_rng(SEED)
     n = FILTERS * len(WIDTHS)
     mask = np.concatenate([np.repeat((np.arange(_SPAN) < w).astype(np.float32), DIM)[:, None].repeat(FILTERS, 1) for w in WIDTHS], 1)
     model = [rng.normal(0, 0.5, (256, DIM)), rng.normal(0, 0.3, (_SPAN * DIM, n)) * mask, np.zeros(n), rng.normal(0, 0.2, (n, n_langs)), np.zeros(n_langs)]
     model = [p.astype(np.float32) for p in model]
     xs, ys = [], []
-    for text, y in rows:
-        w = windows(text)
-        pick = np.unique(np.linspace(0, len(w) - 1, MOST_WINDOWS).astype(int))
-        xs.append(w[pick])
-        ys += [y] * len(pick)
+    for w, y in rows:
+        xs.append(w)
+        ys += [y] * len(w)
     if not xs:
         return model
     x, y = np.concatenate(xs), np.array(ys)
@@ -110,19 +116,29 @@ def train(docs: DataFrame, usable=None):
         return [], fit([], 1)
     rate = F.create_map(*[F.lit(z) for k in langs for z in (k, min(1 << 20, -(-(MOST_DOCUMENTS << 20) // counts[k])))])
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate[F.col("lang")])
-    rows = sorted((r.lang, r.doc_id, bytes(r.text)) for r in id_and_bytes(chosen, F.col("lang")).collect())
+    schema = pa.schema([("lang", pa.string()), ("doc_id", pa.int64()), ("h", pa.int64()), ("windows", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            yield batch(schema, b.column(2), b.column(0), b.column(3), [sampled(t.decode("utf-8", "replace")).tobytes() for t in texts])
+
+    src = id_and_bytes(chosen, F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"))
+    rows = sorted((r.lang, r.doc_id, r.h, bytes(r.windows)) for r in src.mapInArrow(run, "lang string, doc_id long, h long, windows binary").collect())
     taken, used = [], dict.fromkeys(langs, 0)
-    for lang, _, text in rows:
+    for lang, _, _, raw in rows:
         if used[lang] < MOST_DOCUMENTS:
             used[lang] += 1
-            taken.append((text.decode("utf-8", "replace"), langs.index(lang)))
+            taken.append((np.frombuffer(raw, np.uint8).reshape(-1, WINDOW), langs.index(lang)))
     return langs, fit(taken, len(langs))
 
 
 def predict(docs: DataFrame, trained) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text, from the mean log probability of its windows.
 
-    Null texts, texts without a letter, and all texts when nothing was learnt, are ``und`` with score 0.
+    Null texts, texts without a letter, and all texts when nothing was learnt, are ``und`` with score 0. Of equally likely
+    languages the first by name is predicted. Repeated rows give repeated rows, an empty table none, a very long text is
+    scored over all of its windows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(trained)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -135,7 +151,7 @@ def predict(docs: DataFrame, trained) -> DataFrame:
                 first, part, size = at, [], 0
                 while at < len(ids) and size < 20_000:
                     text = b.column(1)[at].as_py().decode("utf-8", "replace")
-                    part.append(windows(text) if langs and _LETTER.search(text) else np.empty((0, WINDOW), np.uint8))
+                    part.append(windows(text) if langs and has_letter(text) else np.empty((0, WINDOW), np.uint8))
                     size += len(part[-1])
                     at += 1
                 sizes = np.array([len(p) for p in part])
