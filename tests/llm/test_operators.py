@@ -1,6 +1,7 @@
 """Each operator against brute force, and nulls, empty texts and tables, ties, repeats and extra columns."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
@@ -79,9 +80,10 @@ def test_simhash(docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id between 100 and 105").count() == 0
 
 
-@pytest.mark.parametrize("few", [4, 0])
-def test_near_copies_equal_brute_force(spark, monkeypatch, few):
-    monkeypatch.setattr(nearcopies, "FEW", few)
+@pytest.mark.parametrize("stars, part", [(6, 1024), (0, 1024), (0, 7), (1, 3)])
+def test_near_copies_equal_brute_force(spark, monkeypatch, stars, part):
+    monkeypatch.setattr(nearcopies, "STARS", stars)
+    monkeypatch.setattr(nearcopies, "PART", part)
     rng = random.Random(11)
     data = []
     for k in range(30):
@@ -203,6 +205,83 @@ def test_language(spark, empty):
     assert language.identify(empty).count() == 0
 
 
+def test_language_rules_and_network(spark):
+    assert [language.has_letter(t) for t in ("½ ² 12", "", "!?", "ß", "1a", "ª", "日")] == [False, False, False, True, True, True, True]
+    assert language.sampled("x" * 5000).shape == (6, 96) and language.sampled("").shape == (1, 96)
+    rng = np.random.default_rng(4)
+    n = language.FILTERS * len(language.WIDTHS)
+    model = [rng.normal(0, 1, s).astype(np.float32) for s in ((256, language.DIM), (4 * language.DIM, n), (n,), (n, 3), (3,))]
+    x = rng.integers(0, 256, (2, language.WINDOW)).astype(np.uint8)
+    for row, got in zip(x, language.log_probabilities(model, x)):
+        pooled = [max(sum(float(model[0][row[p + k], d]) * float(model[1][k * language.DIM + d, f]) for k in range(4) for d in range(language.DIM)) for p in range(language.WINDOW - 3)) + float(model[2][f]) for f in range(n)]
+        z = [sum(max(h, 0) * float(model[3][f, k]) for f, h in enumerate(pooled)) + float(model[4][k]) for k in range(3)]
+        want = [v - max(z) - np.log(sum(np.exp(u - max(z)) for u in z)) for v in z]
+        assert np.allclose(got, want, atol=1e-3)
+    data = [(1, "the house", "xx"), (None, "the house", "xx"), (2, "das haus", "yy"), (2, "das haus", "yy"), (3, "½ ² 12", "xx"), (4, "das haus " * 30_000, "yy")]
+    d = spark.createDataFrame([(a, b, c, 1, 1) for a, b, c in data], "doc_id long, text string, lang string, h long, windows long")
+    out = language.identify(d).collect()
+    assert len(out) == 6 and {r.lang_pred for r in out if r.doc_id == 3} == {"und"} and all(0 <= r.score <= 1 for r in out)
+
+
+def test_factorization_machine_scores_pairs(spark):
+    rng = np.random.default_rng(3)
+    model = (np.float32(0.1), rng.normal(0, 1, toxicity.BUCKETS).astype(np.float32), rng.normal(0, 1, (toxicity.BUCKETS, toxicity.FACTORS)).astype(np.float32), np.abs(rng.normal(0, 1, toxicity.BUCKETS)).astype(np.float32), 0.25)
+    texts = ["a bad word here", "one", "", None, "a a a b", "Long text " * 2000]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "one", 1), (1, "one", 1)], "doc_id long, text string, score long")
+    got = Counter((r.doc_id, round(r.score, 4)) for r in toxicity.score(df, model).collect())
+    want = Counter()
+    for i, t in [*enumerate(texts), (None, "one"), (1, "one")]:
+        ids, x = toxicity.features((t or "").encode(), toxicity._Terms())
+        x = [float(a) * float(model[3][k]) for k, a in zip(ids, x)]
+        y = float(model[0]) + sum(float(model[1][k]) * a for k, a in zip(ids, x))
+        for p in range(len(ids)):
+            for q in range(p):
+                y += float(model[2][ids[p]] @ model[2][ids[q]]) * x[p] * x[q]
+        want[i, round(float(1 / (1 + np.exp(-np.clip(y, -30, 30)))) if len(ids) else 0.25, 4)] += 1
+    assert {k[0] for k in got} == {k[0] for k in want} and all(min(abs(k[1] - j[1]) for j in want if j[0] == k[0]) < 2e-3 for k in got)
+
+
+def test_toxic_pairs_are_learnt(spark):
+    rng = random.Random(8)
+    data = []
+    for i in range(1200):
+        words = text(rng, 20).split()
+        for word, odds in (("insult", 0.5), ("group", 0.5)):
+            if rng.random() < odds:
+                words.insert(rng.randrange(len(words)), word)
+        data.append((i, " ".join(words), int("insult" in words and "group" in words)))
+    d = spark.createDataFrame([r[:2] for r in data], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    model = list(toxicity.train(d, lab, "doc_id % 4 <> 2"))
+    right = [np.mean([(r.score >= 0.5) == bool(data[r.doc_id][2]) for r in toxicity.score(d, tuple(m)).collect() if r.doc_id % 4 == 2]) for m in (model, [*model[:2], model[2] * 0, *model[3:]])]
+    assert right[0] > 0.93 and right[0] > right[1] + 0.05
+
+
+def test_rows_are_judged_one_by_one(spark):
+    rng = random.Random(13)
+    item, clean = text(rng, 30), text(rng, 40)
+    data = [(1, clean), (1, clean + " " + item), (None, item), (None, clean), (2, None), (2, ""), (3, item + " " + clean * 50), (1, clean)]
+    d = spark.createDataFrame([(a, b, i, "x") for i, (a, b) in enumerate(data)], "doc_id long, text string, `a.b` long, _text string")
+    bench = spark.createDataFrame([(None, item), (4, item), (5, None)], "item_id long, text string")
+    assert sorted(r["a.b"] for r in decontaminate.decontaminate(d, bench).collect()) == [0, 3, 4, 5, 7]
+    assert pairs(decontaminate.search(d, bench), "doc_id", "item_id") == Counter((a, b) for a in (1, None, 3) for b in (None, 4))
+    train_on = [(i, text(rng, 40) + (" scumbag" * (i % 5 == 0))) for i in range(100, 600)]
+    more = [(None, text(rng, 40) + " scumbag"), (100, text(rng, 40) + " scumbag"), (100, text(rng, 40)), (None, text(rng, 40)), (7, None)]
+    d = spark.createDataFrame([*train_on, *more], "doc_id long, text string")
+    left = toxicity.drop_toxic(d, spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in train_on], "doc_id long, toxic int"))
+    got = pairs(left, "doc_id", "text")
+    assert not got[more[0]] and not got[more[1]] and got[more[2]] and got[more[3]] and got[more[4]]
+
+
+@pytest.mark.parametrize("block, size", [(5, 1 << 20), (20_000, 2000)])
+def test_benchmark_blocks(spark, docs, monkeypatch, block, size):
+    bench = spark.createDataFrame([(i, rows()[i][1]) for i in range(0, 40, 3)], "item_id long, text string")
+    want = pairs(decontaminate.search(docs, bench), "doc_id", "item_id", "n_shingles", "n_found"), decontaminate.decontaminate(docs, bench).count()
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+    assert (pairs(decontaminate.search(docs, bench), "doc_id", "item_id", "n_shingles", "n_found"), decontaminate.decontaminate(docs, bench).count()) == want
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, rows()[3][1]), (2, "not in any text at all here"), (3, None), (4, ""), (5, " ".join(rows()[7][1].split()[:40] + ["zz"] * 4)), (6, "a shared"), (6, "A SHARED LINE OF WORDS")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -286,11 +365,44 @@ def test_mixing_keeps_what_one_shard_learnt(monkeypatch, docs):
     w, s, used = maxent.mix(shards)
     assert np.allclose(w, [[4, 4], [0.5, 0.5], [2, 2]], atol=1e-4) and (s == 1).all() and used.tolist() == [8, 4, 0]
     starts = []
-    monkeypatch.setattr(maxent, "_round", lambda src, tables, model, second: (starts.append((src.count(), float(model[0][0, 0]))), model[0].__iadd__(1)))
-    maxent.train(docs, None)
+    monkeypatch.setattr(maxent, "_round", lambda src, shards, tables, model, second: (starts.append((src.count(), float(model[0][0, 0]))), model[0].__iadd__(1)))
+    maxent.train(docs, maxent.Tables(maxent.count_words(docs)))
     assert [x for _, x in starts] == [0, 1, 2] and sum(n for n, _ in starts) == docs.count()
 
 
+@pytest.mark.parametrize("shard", [3000, 10**6])
+def test_model_does_not_depend_on_partitions(spark, monkeypatch, shard):
+    monkeypatch.setattr(maxent, "SHARD", shard)
+    rng, data = random.Random(7), []
+    for i in range(400):
+        w = [rng.choice(WORDS[:40])]
+        while len(w) < 60:
+            w.append(WORDS[(WORDS.index(w[-1]) * 7 + rng.randint(0, 2)) % 300])
+        data.append((i, " ".join(w)))
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    a, b = ({r.doc_id: r for r in maxent.score_language(d.repartition(n)).collect()} for n in (4, 32))
+    assert all(abs(a[i].score - b[i].score) < 1e-6 and a[i].base_score == pytest.approx(b[i].base_score) for i in a)
+    held = [r for r in a.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
+
+
+def test_probabilities_sum_to_one(spark):
+    data = [(i, " ".join(f"w{(i * 37 + j * j) % 4000}" for j in range(400))) for i in range(400)]
+    counts = maxent.count_words(spark.createDataFrame(data, "doc_id long, text string")).cache()
+    tables = maxent.Tables(counts)
+    rng = np.random.default_rng(1)
+    model = [rng.normal(0, 0.3, w.shape).astype(np.float32) for w in maxent.new_model(tables)]
+    all_words = [bytes(r.word) for r in counts.collect()]
+    n = {bytes(r.word): r.n for r in counts.collect()}
+    known = tables.lookup()
+    total = 0.0
+    for w in all_words:
+        idx = np.array([known[b" w3"], known[b" w5"], known[b" " + w if w else b" \xff"]])
+        p = np.exp(maxent.log_probs(tables, model, idx, np.array([0]))[2])
+        total += p * (n[w] + 1 if idx[2] >= maxent.VOCAB else 1)
+    assert 0.98 < total < 1 + 1e-6  # a little is kept for unknown words
+
+
 def test_encoder_is_exact():
     e = tokens.Encoder(tokenizer_path())
     rng = random.Random(3)
@@ -373,10 +485,10 @@ def _removed(texts, length):
         yield len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("kinds", [1000, 2])
 @pytest.mark.parametrize("length, core", [(400, 128), (40, 8)])
-def test_suffix_dedup(spark, docs, monkeypatch, hot, length, core):
-    monkeypatch.setattr(suffixes, "HOT", hot)
+def test_suffix_dedup(spark, docs, monkeypatch, kinds, length, core):
+    monkeypatch.setattr(suffixes, "KINDS", kinds)
     rng = random.Random(5)
     passage = text(rng, 150)
     data = [(r[0], r[1]) for r in rows()] + [(1000 + i, text(rng, rng.randint(0, 40)) + passage[i : 700 - 3 * i] + text(rng, 50)) for i in range(12)] + [(2000, "ab" * 900), (2001, passage[:300] * 3)]
@@ -385,6 +497,40 @@ def test_suffix_dedup(spark, docs, monkeypatch, hot, length, core):
     assert pairs(suffixes.dedup(d, length, core), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_suffix_dedup_of_whole_table(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    data = [(r.doc_id, (r.text or "").encode()) for r in d.collect()]
+    seen = Counter()
+    for _, t in data:
+        seen.update(xxhash.xxh3_128_digest(t[i : i + 400]) for i in range(len(t) - 399))
+    want = Counter()
+    for i, t in data:
+        gone = np.zeros(len(t) + 1, np.int64)
+        for p in range(len(t) - 399):
+            if seen[xxhash.xxh3_128_digest(t[p : p + 400])] > 1:
+                gone[p] += 1
+                gone[p + 400] -= 1
+        gone = np.cumsum(gone)[: len(t)] > 0
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        want[i, len(t), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]][: len(t)]).sum()), hashlib.sha256(kept).hexdigest()] += 1
+    assert pairs(suffixes.dedup(d), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40), st.integers(0, 3), st.integers(1, 2)), min_size=1, max_size=12), st.integers(0, 2**32))
+def test_order_of_a_part_finds_repeats(shapes, seed):
+    rng, length = random.Random(seed), 40
+    both = [bytes(rng.choice(b"ab") for _ in range(120)) for _ in range(4)]
+    bodies = [both[k][60 - a : 60 + length + b] for a, b, k, _ in shapes]
+    uniq = {(x, a): c for x, (a, _, _, c) in zip(bodies, shapes)}
+    bodies, left, copies = [x for x, _ in uniq], np.array([a for _, a in uniq]), np.array(list(uniq.values()))
+    strings = Counter((a - i, x[i : i + length]) for (x, a), c in uniq.items() for i in range(len(x) - length + 1) if a >= i for _ in range(c))
+    for x, a, hit in zip(bodies, left, suffixes.repeated_starts(bodies, left, copies, length)):
+        for i in range(min(a, len(x) - length) + 1):
+            assert hit[i] >= (strings[a - i, x[i : i + length]] > 1)
+
+
 def test_suffix_dedup_empty(empty):
     assert suffixes.dedup(empty).count() == 0
 
