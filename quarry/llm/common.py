@@ -6,19 +6,33 @@ Words everywhere are maximal runs outside ``\\x20\\x09-\\x0D``; on UTF-8 bytes t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from quarry.sources.shared import new_path, shared_dir, written  # noqa: F401
 
 
+#: Bytes of an Arrow batch, unless the session has a bound of its own: what a Python worker and the JVM beside it hold at once.
+BATCH_BYTES = 4 << 20
+_BOUND, _UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", (64 << 20, "64m")
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes; a session that sets the bound itself keeps it."""
+    if spark.conf.get(_BOUND, "64m").rstrip("bB") in map(str, _UNSET):
+        spark.conf.set(_BOUND, str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_and_bytes(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id as long and the whole text as UTF-8 bytes; a null text is empty."""
+    bounded(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *more)
 
@@ -56,6 +70,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def kept(docs: DataFrame, verdict: Callable) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns: one pass on the map side, nothing is shuffled.
+
+    ``verdict()`` is called once a task and gives a function from an Arrow column of UTF-8 texts (null: empty) to a boolean
+    array, true for the rows that stay. Rows are judged one by one, whatever their id: null and repeated
+    ids, repeated rows and clashing names need no care.
+    """
+
+    def run(batches):
+        judge = verdict()
+        for b in batches:
+            yield b.select(range(b.num_columns - 1)).filter(pa.array(judge(b.column(b.num_columns - 1)), pa.bool_()))
+
+    bounded(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
+    plain = [f"c{k}" for k in range(len(docs.columns))]  # a UDF's columns can't have names with dots
+    schema = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(plain, docs.schema)])
+    return docs.select(*[c.alias(n) for c, n in zip(every(docs), plain)], text).mapInArrow(run, schema).toDF(*docs.columns)
+
+
 def key_runs(batches, key: str, least: int):
     """Tables of at least ``least`` rows, cut only where ``key`` changes; the input comes sorted by it."""
     held: list[pa.RecordBatch] = []
@@ -77,5 +111,13 @@ def key_runs(batches, key: str, least: int):
         yield pa.Table.from_batches(held)
 
 
+def as_bytes(column: pa.BinaryArray) -> list[bytes]:
+    """The values of a binary column without nulls; many times faster than ``to_pylist``."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

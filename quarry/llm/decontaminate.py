@@ -7,13 +7,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import batch, every, id_and_bytes, mix64
+from quarry.llm.common import batch, id_and_bytes, kept, mix64, written
 
 SHINGLE, CONTAINMENT = 5, 0.8
 #: MinHash functions an item: a document that holds 80 % of an item misses all with probability 0.2 ** 32.
 HASHES = 32
-#: Items sent to the executors at once; a larger benchmark is searched in blocks of this many.
-BLOCK = 20_000
+#: Items and bytes of items sent to the executors at once; a larger benchmark is searched in blocks by a hash of the item.
+BLOCK, BLOCK_BYTES = 20_000, 8 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,70 +46,88 @@ class Index:
     """MinHash signatures of the items, by size class: class c holds items of 2**c to 2**(c+1) - 1 shingles.
 
     A signature is the set of shingles that are least under HASHES permutations, all of them for
-    small items. A document is only probed in classes whose items it is large enough to contain.
+    small items. A document is only probed in classes whose items it is large enough to contain. Built once on
+    the driver and sent as arrays and texts; an item's exact shingles are cut when it is first verified.
     """
 
-    def __init__(self, items: list[tuple[int, bytes]], size: int = SHINGLE, containment: float = CONTAINMENT):
+    def __init__(self, items: list[tuple[int | None, bytes]], size: int = SHINGLE, containment: float = CONTAINMENT):
         self.size, self.containment, hashes = size, containment, _WordHashes()
-        self.items, self.classes = [], []
+        self.items, self.classes, self.exact = [], [], {}
         by_class: dict[int, list] = {}
         for item_id, text in items:
             words = text.lower().split()
             if not words:
                 continue
             h = np.unique(shingle_hashes(words, hashes, size))
+            sign = h
             if len(h) > HASHES:
-                h = np.unique(np.array([h[mix64(h ^ mix64(np.array([k], np.uint64))).argmin()] for k in range(HASHES)]))
-            exact = shingles(words, size)
-            by_class.setdefault(len(exact).bit_length() - 1, []).extend((x, len(self.items)) for x in h.tolist())
-            self.items.append((item_id, exact))
+                sign = np.unique(np.array([h[mix64(h ^ mix64(np.array([k], np.uint64))).argmin()] for k in range(HASHES)]))
+            by_class.setdefault(len(shingles(words, size)).bit_length() - 1, []).extend((x, len(self.items)) for x in sign.tolist())
+            self.items.append((item_id, text, h))
         for c, pairs in sorted(by_class.items()):
             keys = np.array([p[0] for p in pairs], np.uint64)
             order = np.argsort(keys, kind="stable")
             seen = np.zeros(1 << 20, bool)
             seen[keys >> np.uint64(44)] = True
-            self.classes.append((2**c, seen, keys[order], np.array([p[1] for p in pairs])[order]))
+            self.classes.append((2**c, np.packbits(seen), keys[order], np.array([p[1] for p in pairs])[order]))
 
-    def search(self, text: bytes, hashes: dict) -> list[tuple[int, int, int]]:
-        """(item_id, item's shingles, of those in the text) of each item contained in the text."""
+    def search(self, text: bytes, hashes: dict, first: bool = False) -> list[tuple[int | None, int, int]]:
+        """(item_id, item's shingles, of those in the text) of each item contained in the text, or of the ``first`` found."""
         words = text.lower().split()
         h = shingle_hashes(words, hashes, self.size)
-        found, own = [], None
+        found: list[tuple[int | None, int, int]] = []
         for least, seen, keys, items in self.classes:
             if len(h) < self.containment * least:
                 break
-            probe = h[seen[h >> np.uint64(44)]]
+            top = h >> np.uint64(44)
+            probe = h[(seen[top >> np.uint64(3)] >> (np.uint8(7) - (top & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)]
             if not len(probe):
                 continue
             at, to = np.searchsorted(keys, probe), np.searchsorted(keys, probe, "right")
             hit = {i for a, b in zip(at[to > at], to[to > at]) for i in items[a:b].tolist()}
             for i in sorted(hit):
-                own = shingles(words, self.size) if own is None else own
-                item_id, exact = self.items[i]
-                both = len(exact & own)
+                item_id, item, own = self.items[i]
+                exact = self.exact.get(i)
+                if exact is None:
+                    if len(self.exact) >= 1000:
+                        self.exact.clear()
+                    exact = self.exact[i] = shingles(item.lower().split(), self.size)
+                # only the places whose hash is one of the item's can hold its shingles
+                place = np.flatnonzero(own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h).tolist()
+                both = len(exact & {b" ".join(words[p : p + self.size]) for p in place})
                 if both >= self.containment * len(exact):
                     found.append((item_id, len(exact), both))
+                    if first:
+                        return found
         return found
 
 
+def _indexes(docs: DataFrame, benchmark: DataFrame, size: int, containment: float):
+    """A broadcast index of every block of the benchmark's different items."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).distinct()
+    many = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("size")).first()
+    blocks = max(1, -(-many.n // BLOCK), -(-many.size // BLOCK_BYTES))
+    for k in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        texts = sorted(((r.item_id, bytes(r.text)) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        yield docs.sparkSession.sparkContext.broadcast(Index(texts, size, containment))
+
+
 def search(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment) of every contained benchmark item.
 
     An item counts as contained if ``containment`` or more of its distinct word shingles (A-Z
     lower-cased) occur anywhere in the document. Texts of fewer than ``size`` words are one
-    shingle, so an item that short is found only as a document's whole text, as in the SQL; null and empty items and documents never match. Documents are never shuffled: each is
-    scanned once for every BLOCK items.
+    shingle, so an item that short is found only as a document's whole text, as in the SQL; null and empty items and
+    documents never match. Null ids are kept as null, repeated rows give one row. Documents are never shuffled: each is
+    scanned once for every block of BLOCK items or BLOCK_BYTES.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).distinct()
-    blocks = max(1, -(-items.count() // BLOCK))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shingles", pa.int64()), ("n_found", pa.int64())])
     out = None
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        sent = docs.sparkSession.sparkContext.broadcast(sorted((r.item_id if r.item_id is not None else -1, bytes(r.text)) for r in rows))
+    for sent in _indexes(docs, benchmark, size, containment):
 
         def run(batches, sent=sent):
-            index, hashes = Index(sent.value, size, containment), _WordHashes()
+            index, hashes = sent.value, _WordHashes()
             for b in batches:
                 rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for m in index.search(t.as_py(), hashes)]
                 yield batch(schema, *(zip(*rows) if rows else [[]] * 4))
@@ -120,9 +138,21 @@ def search(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, containme
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
-    """The documents that contain no benchmark item, with all their columns; null ids stay."""
-    bad = search(docs, benchmark, size, containment).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*every(docs))
+    """The rows that contain no benchmark item, with all their columns.
+
+    Every row is judged by its own text, whatever its id: a contaminated row with a null id goes too, and a clean row stays
+    though another row of its id goes. A larger benchmark filters once a block, what is left being written in
+    between. Empty tables give an empty table.
+    """
+    for k, sent in enumerate(_indexes(docs, benchmark, size, containment)):
+        docs = written(docs, "clean") if k else docs
+
+        def verdict(sent=sent):
+            index, hashes = sent.value, _WordHashes()
+            return lambda texts: [not index.search(t.as_py(), hashes, first=True) for t in texts]
+
+        docs = kept(docs, verdict)
+    return docs
 
 
 def oracle(size: int = SHINGLE, containment: float = CONTAINMENT) -> str:

@@ -9,11 +9,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import batch, every, fold, id_and_bytes
+from quarry.llm.common import batch, fold, id_and_bytes, kept, written
 
 BUCKETS, FACTORS, THRESHOLD = 1 << 17, 6, 0.3
 #: The classifier is fitted on about so many labelled documents of each class at most, chosen by a hash of their id.
 MOST_POSITIVE, MOST_NEGATIVE = 3_000, 4_000
+#: Terms of the sample that reach the driver, 8 bytes each; a sample of longer texts is thinned by the same hash.
+MOST_TERMS = 12_000_000
 #: Hashed terms of a word: itself and its first bytes, so that unseen inflections meet their stem.
 PREFIXES = (5, 6)
 #: Terms of fewer labelled documents get no weight: they would only be memorised.
@@ -63,28 +65,27 @@ def _forward(model, ids, x, starts, sizes):
     return 1 / (1 + np.exp(-np.clip(y, -30, 30))), s, vx
 
 
-def fit(rows, weights: tuple[float, float]) -> tuple:
-    """AdaGrad on the weighted logistic loss. ``rows``: texts and labels, gone through twice; ``weights``: of label 0 and 1.
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], weights: tuple[float, float]) -> tuple:
+    """AdaGrad on the weighted logistic loss. ``rows``: ``features`` of texts and labels; ``weights``: of label 0 and 1.
 
     Values are scaled by how far the classes differ in a term's document share, so that the many
     terms without a bearing on the label hardly move the score.
     """
-    rng, terms = np.random.default_rng(SEED), _Terms()
+    rng = np.random.default_rng(SEED)
     df, n = np.zeros((2, BUCKETS)), np.zeros((2, 1))
-    for t, y in rows:
-        df[y, np.unique(features(t, terms)[0])] += 1
+    for ids, _, y in rows:
+        df[y, np.unique(ids)] += 1
         n[y] += 1
-    kept = df.sum(axis=0) >= LEAST_DOCUMENTS
+    common = df.sum(axis=0) >= LEAST_DOCUMENTS
     share = np.log((df + 1) / (n + 2))
-    scale = (np.abs(share[1] - share[0]) * kept).astype(np.float32)
+    scale = (np.abs(share[1] - share[0]) * common).astype(np.float32)
     data = []
-    for t, y in rows:  # again, so that only what is kept is held
-        ids, x = features(t, terms)
-        live = kept[ids]
+    for ids, x, y in rows:
+        live = common[ids]
         data.append((ids[live], x[live] * scale[ids[live]], y))
     w0 = np.float32(0)
     w = np.zeros(BUCKETS, np.float32)
-    v = rng.normal(0, 0.05, (BUCKETS, FACTORS)).astype(np.float32) * kept[:, None]
+    v = rng.normal(0, 0.05, (BUCKETS, FACTORS)).astype(np.float32) * common[:, None]
     hw, hv, h0 = np.full(BUCKETS, 1e-3, np.float32), np.full(BUCKETS, 1e-2, np.float32), 1e-3
     for _ in range(EPOCHS if data else 0):
         order = rng.permutation(len(data))
@@ -114,8 +115,9 @@ def fit(rows, weights: tuple[float, float]) -> tuple:
 def train(docs: DataFrame, labels: DataFrame, usable=None) -> tuple:
     """Fit on ``labels.toxic`` of documents where ``usable`` (a column of doc_id; default all) holds.
 
-    The labelled sample's expected size is bounded by MOST_POSITIVE and MOST_NEGATIVE; each class is weighted back to its
-    share among all usable labels. Null labels and ids are left out; repeated labels count as the greatest.
+    The labelled sample's expected size is bounded by MOST_POSITIVE and MOST_NEGATIVE documents and MOST_TERMS terms; each class is
+    weighted back to its share among all usable labels. Only hashed terms reach the driver. Null labels and ids are
+    left out, repeated labels count as the greatest, and each row of a repeated id is learnt from.
     """
     known = labels.where("doc_id is not null and toxic is not null")
     if usable is not None:
@@ -125,47 +127,57 @@ def train(docs: DataFrame, labels: DataFrame, usable=None) -> tuple:
     most = {1: MOST_POSITIVE, 0: MOST_NEGATIVE}
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     rate = {y: min(1 << 20, (k << 20) // max(1, n.get(y, 0))) for y, k in most.items()}
-    take = known.where(share < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))
+    take = known.where(share < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0])).withColumn("share", share)
     sample = id_and_bytes(docs).join(F.broadcast(take), F.col("doc_id") == F.col("id"))
-    got = sample.select("doc_id", "text", "y").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit(_Rows(got), tuple((1 << 20) / max(1, rate[y]) for y in (0, 1)))
+    schema = pa.schema([("doc_id", pa.int64()), ("share", pa.int64()), ("y", pa.int32()), ("h", pa.int64()), ("size", pa.int64()), ("ids", pa.binary()), ("x", pa.binary())])
 
-
-class _Rows:
-    """(text, label) of an Arrow table's rows, one at a time."""
-
-    def __init__(self, table: pa.Table):
-        self.table = table
-
-    def __iter__(self):
-        for b in self.table.to_batches():
-            yield from ((t.as_py(), y) for t, y in zip(b.column(1), b.column(2).to_pylist()))
+    def run(batches):
+        terms = _Terms()
+        for b in batches:
+            found = [features(t.as_py(), terms) for t in b.column(3)]
+            hashes = [xxhash.xxh3_64_intdigest(t.as_py()) >> 1 for t in b.column(3)]
+            yield batch(schema, b.column(0), b.column(1), b.column(2), hashes, [len(i) for i, _ in found], [i.tobytes() for i, _ in found], [x.tobytes() for _, x in found])
+
+    kinds = "doc_id long, share long, y int, h long, size long, ids binary, x binary"
+    rows = written(sample.select("doc_id", "share", "y", "text").mapInArrow(run, kinds), "terms")
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    cut = min(1.0, MOST_TERMS / max(1, total))
+    rate = {y: int(k * cut) for y, k in rate.items()}
+    got = rows.where(F.col("share") < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0])).select("doc_id", "h", "y", "ids", "x").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    data = [(np.frombuffer(i.as_py(), np.int32), np.frombuffer(x.as_py(), np.float32), y) for i, x, y in zip(got["ids"], got["x"], got["y"].to_pylist())]
+    return fit(data, tuple((1 << 20) / max(1, rate[y]) for y in (0, 1)))
+
+
+def _scores(model: tuple, texts, terms: dict):
+    """Scores of an Arrow column of texts, some texts at a time."""
+    at, n = 0, len(texts)
+    while at < n:
+        part, nnz = [], 0
+        while at < n and nnz < 400_000:
+            part.append(features(texts[at].as_py(), terms))
+            nnz += len(part[-1][0])
+            at += 1
+        sizes = np.array([len(p[0]) for p in part])
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        ids, x = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])
+        scale = model[3][ids]
+        yield np.where(_sums(scale, starts, sizes) > 0, _forward(model, ids, x * scale, starts, sizes)[0], model[4]).astype(np.float64)
 
 
 def score(docs: DataFrame, model: tuple) -> DataFrame:
     """(doc_id, score): of every whole text. Texts without a term that was learnt, such as empty and null
-    ones, get the share of label 1; without labels every score is 0."""
+    ones, get the share of label 1; without labels every score is 0. Repeated rows give repeated rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        terms, model_ = _Terms(), sent.value
+        terms = _Terms()
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1)
             at = 0
-            while at < len(ids):
-                part, nnz, first = [], 0, at
-                while at < len(ids) and nnz < 400_000:
-                    part.append(features(texts[at].as_py(), terms))
-                    nnz += len(part[-1][0])
-                    at += 1
-                sizes = np.array([len(p[0]) for p in part])
-                starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                terms_of, x = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])
-                scale = model_[3][terms_of]
-                p = np.where(_sums(scale, starts, sizes) > 0, _forward(model_, terms_of, x * scale, starts, sizes)[0], model_[4])
-                yield batch(schema, ids[first:at], p.astype(np.float64))
+            for p in _scores(sent.value, b.column(1), terms):
+                yield batch(schema, b.column(0).slice(at, len(p)), p)
+                at += len(p)
 
     return id_and_bytes(docs).mapInArrow(run, "doc_id long, score double")
 
@@ -177,6 +189,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns; null ids stay."""
-    bad = classify(docs, labels, threshold).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*every(docs))
+    """The rows that are not predicted toxic, with all their columns. Every row is judged by its own text, whatever its
+    id; an empty table gives an empty table."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, ~fold(4)))
+
+    def verdict():
+        terms = _Terms()
+        return lambda texts: np.concatenate([np.empty(0), *_scores(sent.value, texts, terms)]) < threshold
+
+    return kept(docs, verdict)
