@@ -116,7 +116,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
     schema = pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def run(batches):
-        ids_of, tail, shard = encoder(tokenizer), end.to_bytes(4, "little"), TaskContext.get().partitionId()
+        own, tail, shard = encoder(tokenizer), end.to_bytes(4, "little"), TaskContext.get().partitionId()
         held, docs_, lens, first, total = [], [], [], 0, 0
 
         def row():
@@ -124,7 +124,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
             return batch(schema, [shard], [first], [docs_], [lens], [encode(ids)])
 
         for b in batches:
-            for doc, ids in ids_of.rows(b.column(0).to_pylist(), b.column(1)):
+            for doc, ids in own.rows(b.column(0).to_pylist(), b.column(1)):
                 ids += tail
                 held.append(ids)
                 docs_.append(doc)

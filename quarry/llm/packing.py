@@ -53,7 +53,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, group
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
     def run(batches):
-        encode, tail = encoder(path), end.to_bytes(4, "little")
+        own, tail = encoder(path), end.to_bytes(4, "little")
         rests, rows, count = [], [], (TaskContext.get().partitionId()) << 36
 
         def flush():
@@ -67,7 +67,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, group
             rests.clear()
 
         for b in batches:
-            for doc, ids in encode.rows(b.column(0).to_pylist(), b.column(1)):
+            for doc, ids in own.rows(b.column(0).to_pylist(), b.column(1)):
                 ids += tail
                 total = len(ids) // 4
                 full = total - total % length
