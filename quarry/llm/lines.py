@@ -26,29 +26,37 @@ def _key(name: str):
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias(name)
 
 
+def _of(rows: DataFrame, some: DataFrame, total: int) -> DataFrame:
+    """``rows`` joined with ``some(h, n, ..)``, of which n is how many rows have h. Lines that hold over 1 / HOT_LINES of all
+    rows are fewer than HOT_LINES, so they are sent to every executor and their rows never meet in one task; the
+    others' rows are joined by hash."""
+    hot = F.col("n") > total // HOT_LINES
+    rest = rows.join(F.broadcast(some.where(hot).select("h")), "h", "left_anti").join(some.where(~hot), "h")
+    return rows.join(F.broadcast(some.where(hot)), "h").unionByName(rest)
+
+
 def boilerplate(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(h, first, n) of ``_rows``: the lines on ``min_sites`` distinct sites or more, where each is first and how often it is.
 
-    One HyperLogLog sketch a line hash, built on the map side and merged by the aggregation; lines
-    whose estimate is near the threshold get an exact distinct count.
+    Lines are counted first: only those met ``min_sites`` times can be on so many sites. For these, one HyperLogLog sketch
+    a line hash is built on the map side and merged by the aggregation; lines whose estimate is near the threshold get an
+    exact distinct count.
     """
-    sites = rows.groupBy("h").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("doc_id", "pos", "key")).alias("first"), F.count("*").alias("n"))
-    spread = sites.select("h", "first", "n", F.hll_sketch_estimate("sketch").alias("estimate"))
+    total = rows.count()
+    often = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "key")).alias("first")).where(F.col("n") >= min_sites)
+    often = written(often, "often")
+    spread = _of(rows.select("h", "site"), often.select("h", "n"), total).groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("estimate"))
+    spread = written(often.join(spread, "h"), "spread")
     sure = spread.where(F.col("estimate") > min_sites * BAND).select("h", "first", "n")
     near = spread.where(F.col("estimate").between(min_sites / BAND - 1, min_sites * BAND)).select("h", "first", "n")
-    pairs = rows.select("h", "site").distinct().join(near, "h")
-    exact = pairs.groupBy("h").agg(F.count("*").alias("k"), F.first("first").alias("first"), F.first("n").alias("n")).where(F.col("k") >= min_sites)
-    return sure.unionByName(exact.select("h", "first", "n"))
+    pairs = _of(rows.select("h", "site"), near.select("h", "n"), total).select("h", "site").distinct()
+    exact = pairs.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= min_sites)
+    return sure.unionByName(near.join(exact.select("h"), "h").select("h", "first", "n"))
 
 
 def _hits(rows: DataFrame, min_sites: int) -> DataFrame:
-    """The rows of boilerplate lines. Lines that hold over 1 / HOT_LINES of all rows are fewer than HOT_LINES, so they are
-    sent to every executor and their rows never meet in one task; the others' rows are joined by hash."""
-    bad = written(boilerplate(rows, min_sites), "boilerplate")
-    hot = F.col("n") > rows.count() // HOT_LINES
-    often = F.broadcast(bad.where(hot))
-    rest = rows.join(F.broadcast(bad.where(hot).select("h")), "h", "left_anti").join(bad.where(~hot), "h")
-    return rows.join(often, "h").unionByName(rest)
+    """The rows of boilerplate lines."""
+    return _of(rows, written(boilerplate(rows, min_sites), "boilerplate"), rows.count())
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", keep_first: bool = True) -> DataFrame:
