@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import batch, fold, id_and_bytes, written
+from quarry.llm.common import as_bytes, batch, fold, id_and_bytes, written
 
 HEAD, WIDTH, TAIL, NARROW = 16, 64, 16, 16
 VOCAB, CLASSES = HEAD * WIDTH, HEAD + TAIL
@@ -31,9 +31,9 @@ KNOWN = 250_000
 BATCH, RATE, SEED = 8192, 0.25, 3
 #: Synchronous rounds of training; tokens of a round that one shard learns from, until there are MOST_SHARDS; blocks
 #: a model is cut into for averaging, shards averaged by a task.
-ROUNDS, SHARD, MOST_SHARDS, BLOCKS, FANIN = 3, 500_000, 4096, 16, 64
+ROUNDS, SHARD, MOST_SHARDS, BLOCKS, FANIN = 2, 3_000_000, 4096, 16, 64
 #: Text that is cut into words at once.
-CUT = 1 << 20
+CUT = 2 << 20
 END = b""
 LOG10E = float(np.log10(np.e))
 #: A-Z to lower case, and white space to spaces; no UTF-8 text has the byte that stands for its end.
@@ -111,7 +111,7 @@ class Tables:
 
     def __init__(self, counts: DataFrame):
         row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-        self.n, self.v = row.n, row.v
+        self.n, self.v, self._known = row.n, row.v, None
         grow = 1 << sum(self.v >= g for g in GROW)
         self.own, self.pairs = OWN * grow, PAIRS * grow
         self.symbols = self.own + ENDINGS + 1
@@ -146,25 +146,26 @@ class Tables:
         self.prior = np.log((totals + 0.1) / (totals.sum() + 0.1 * CLASSES)).astype(np.float32)
 
     def lookup(self) -> dict[bytes, int]:
-        """Word, as ``cut`` gives it, to its rank."""
-        return {b" " + w if w else _END: k for k, w in enumerate(self.words)}
+        """Word, as ``cut`` gives it, to its rank; made once in each worker that has the tables."""
+        if self._known is None:
+            self._known = {b" " + w if w else _END: k for k, w in enumerate(self.words)}
+        return self._known
 
 
 def _indices(known: dict[bytes, int], words: pa.Array) -> np.ndarray:
     """Each word's rank, or -1 - its ending and place for those not known."""
-    out = list(map(known.get, words.to_pylist()))
+    words = as_bytes(words)
+    out, crc = list(map(known.get, words)), zlib.crc32
     if None in out:
-        for k, i in enumerate(out):
-            if i is None:
-                w = words[k].as_py()[1:]
-                out[k] = -1 - (_ending(w) * NARROW + _narrow(w))
+        for k, w in [(k, w) for k, (i, w) in enumerate(zip(out, words)) if i is None]:
+            out[k] = -1 - (crc(w[-2:] if len(w) > 2 else w[1:]) % ENDINGS * NARROW + crc(w[1:]) % NARROW)
     return np.array(out, np.int64)
 
 
 def new_model(tables: Tables) -> list[np.ndarray]:
-    """Weight rows of the class features (previous, skip, pair) and of the two features within head and tail classes."""
+    """Weight rows of the class features (previous, skip, pair), of the two features within head and the one within tail classes."""
     out = [np.zeros((r, CLASSES), np.float32) for r in (tables.symbols, tables.symbols, tables.pairs)]
-    return out + [np.zeros((COARSE * n, w), np.float32) for n, w in ((HEAD, WIDTH), (HEAD, WIDTH), (TAIL, NARROW), (TAIL, NARROW))]
+    return out + [np.zeros((COARSE * n, w), np.float32) for n, w in ((HEAD, WIDTH), (HEAD, WIDTH), (TAIL, NARROW))]
 
 
 def features(tables: Tables, idx: np.ndarray, starts: np.ndarray):
@@ -187,6 +188,15 @@ def features(tables: Tables, idx: np.ndarray, starts: np.ndarray):
     return head, cls, place, (s1, s2, pair)
 
 
+def _logits(base: np.ndarray, tables: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
+    """``base`` and one row of each table, summed."""
+    z = tables[0].take(rows[0], axis=0)
+    for t, r in zip(tables[1:], rows[1:]):
+        z += t.take(r, axis=0)
+    z += base
+    return z
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     """Row softmax in place. Logits are capped, not shifted: a matrix product is far cheaper than a row maximum."""
     np.exp(np.minimum(z, np.float32(60), out=z), out=z)
@@ -197,9 +207,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def _within(tables, model, head: bool, cls, feats, rows):
     """Feature rows and place probabilities of tokens in head or in tail classes."""
     at, n, base = (3, HEAD, tables.within) if head else (5, TAIL, tables.narrow)
-    c = cls[rows] - (0 if head else HEAD)
-    own = [(f[rows] % COARSE) * n + c for f in feats[:2]]
-    return at, own, _softmax(base[c] + model[at][own[0]] + model[at + 1][own[1]])
+    c = cls.take(rows) - (0 if head else HEAD)
+    own = [(f.take(rows) % COARSE) * n + c for f in feats[: 2 if head else 1]]
+    return at, own, _softmax(_logits(base.take(c, axis=0), model[at : at + len(own)], own))
 
 
 def log_probs(tables: Tables, model, idx: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -209,7 +219,7 @@ def log_probs(tables: Tables, model, idx: np.ndarray, starts: np.ndarray) -> np.
     log_mass = np.log(tables.mass)
     for a in range(0, len(idx), BATCH):
         s = slice(a, a + BATCH)
-        p = _softmax(tables.prior + model[0][feats[0][s]] + model[1][feats[1][s]] + model[2][feats[2][s]])
+        p = _softmax(_logits(tables.prior, model[:3], [f[s] for f in feats]))
         y = np.log(p[np.arange(len(p)), cls[s]] + 1e-12)
         for which in (True, False):
             rows = np.flatnonzero(head[s] == which) + a
@@ -227,13 +237,14 @@ def _descend(weights: np.ndarray, second: np.ndarray, used: np.ndarray, rows: np
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits sort by radix
     r = rows[order]
     first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-    g = np.add.reduceat(grad[order].view(np.complex64), first, axis=0).view(np.float32)  # two columns a step
+    g = np.add.reduceat(grad.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)  # two columns a step
     uniq = r[first]
-    n = np.diff(np.r_[first, len(r)])
+    n = np.diff(np.append(first, len(r))).astype(np.float32)
     used[uniq] += n
-    g /= np.sqrt(n)[:, None].astype(np.float32)
-    second[uniq] += np.einsum("ij,ij->i", g, g)
-    weights[uniq] -= (np.float32(RATE) / np.sqrt(second[uniq]))[:, None] * g
+    square = np.einsum("ij,ij->i", g, g) / n + second.take(uniq)
+    second[uniq] = square
+    g *= (np.float32(RATE) / np.sqrt(n * square))[:, None]
+    weights[uniq] = weights.take(uniq, axis=0) - g
 
 
 def learn(tables: Tables, model, second, used, idx: np.ndarray, starts: np.ndarray) -> None:
@@ -242,7 +253,7 @@ def learn(tables: Tables, model, second, used, idx: np.ndarray, starts: np.ndarr
     for a in range(0, len(idx), BATCH):
         s = slice(a, a + BATCH)
         f = [x[s] for x in feats]
-        p = _softmax(tables.prior + model[0][f[0]] + model[1][f[1]] + model[2][f[2]])
+        p = _softmax(_logits(tables.prior, model[:3], f))
         p[np.arange(len(p)), cls[s]] -= 1
         for k in range(3):
             _descend(model[k], second[k], used[k], f[k], p)
@@ -251,8 +262,8 @@ def learn(tables: Tables, model, second, used, idx: np.ndarray, starts: np.ndarr
             if len(rows):
                 at, own, q = _within(tables, model, which, cls, feats, rows)
                 q[np.arange(len(rows)), place[rows]] -= 1
-                for k in (0, 1):
-                    _descend(model[at + k], second[at + k], used[at + k], own[k], q)
+                for k, own_rows in enumerate(own):
+                    _descend(model[at + k], second[at + k], used[at + k], own_rows, q)
 
 
 def _cut(k: int, rows: int) -> slice:
@@ -286,16 +297,15 @@ def train(docs: DataFrame, tables: Tables, rounds: int | None = None) -> list[np
     shards = max(1, min(MOST_SHARDS, -(-int(tables.n) // (rounds * SHARD))))
     hashed = F.xxhash64("doc_id", "text")
     src = id_and_bytes(docs).withColumn("h", hashed).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
-    turn = F.pmod("h", F.lit(rounds))
+    turn, known = F.pmod("h", F.lit(rounds)), docs.sparkSession.sparkContext.broadcast(tables)
     for r in range(rounds):
-        _round(src.where(turn == r), shards, tables, model, second)
+        _round(src.where(turn == r), shards, known, model, second)
     return model
 
 
-def _round(src: DataFrame, shards: int, tables: Tables, model, second) -> None:
-    """One round of training, in place."""
-    sc = src.sparkSession.sparkContext
-    sent = sc.broadcast((tables, [w.astype(np.float16) for w in model], second))
+def _round(src: DataFrame, shards: int, known, model, second) -> None:
+    """One round of training, in place; ``known`` is the broadcast tables."""
+    sent = src.sparkSession.sparkContext.broadcast(([w.astype(np.float16) for w in model], second))
     schema = pa.schema([("block", pa.int32()), ("shard", pa.int64()), *((c, pa.binary()) for c in ("w", "s", "used"))])
     widths = [w.shape[1] for w in model]
     sizes = [len(w) for w in model]
@@ -312,12 +322,12 @@ def _round(src: DataFrame, shards: int, tables: Tables, model, second) -> None:
             at, row = at + n * width, row + n
 
     def run(batches):
-        tables, start, second = sent.value
+        tables, (start, second) = known.value, sent.value
         model, second = [w.astype(np.float32) for w in start], [x.copy() for x in second]
-        used, seen, known = [np.zeros(len(w), np.float32) for w in model], False, tables.lookup()
+        used, seen, ranks = [np.zeros(len(w), np.float32) for w in model], False, tables.lookup()
         for _, texts in _some(batches, CUT):
             words, code, starts = cut(texts)
-            learn(tables, model, second, used, _indices(known, words)[code], starts)
+            learn(tables, model, second, used, _indices(ranks, words)[code], starts)
             seen = True
         if seen:
             shard = TaskContext.get().partitionId()
