@@ -122,6 +122,7 @@ def by_sentences(docs: DataFrame, chunk_size: int = 250, overlap: int = 0) -> Da
 # --- boundaries suggested by a model -----------------------------------------------------------
 
 TOKEN_TARGET, SHORT = 550, 5
+#: Fixed value: how a model names the paragraph where the topic turns.
 ANSWER = re.compile(r"Answer:\s*ID\s*(\d+)", re.IGNORECASE)
 
 
@@ -134,49 +135,54 @@ def rule_detector(window: list[tuple[int, str]]) -> str:
 
 def find_boundaries(paras: list[str], detect: Callable[[list[tuple[int, str]]], str | None]) -> list[int]:
     """Exclusive ends of the chunks. ``detect`` sees numbered paragraphs of about TOKEN_TARGET tokens and names the
-    one where the topic turns; no usable answer joins the window to the next chunk."""
+    one where the topic turns.
+
+    A window ends before the paragraph that its end numbers, and never holds the last paragraph. A paragraph that fills a
+    window alone is a chunk; a number outside (start, end] counts as the end; no usable answer joins the
+    window to the next chunk.
+    """
     n, start, ends = len(paras), 0, []
     if n <= SHORT:
         return [n] if n else []
+    total = np.cumsum([0, *(2 + len(p.split()) for p in paras)])  # a paragraph is shown behind "ID" and its number
     while start < n - SHORT:
-        end, tokens_of = start, ""
-        while True:
-            tokens_of += f"ID {end}: {paras[end]}\n"
-            if T.approx(tokens_of) >= TOKEN_TARGET or end == n - 1:
-                break
-            end += 1
-        if end == start:
-            end = start + 1
-            ends.append(end)
-            start = end
-            continue
-        m = ANSWER.search(detect([(k, paras[k]) for k in range(start, end + 1)]) or "")
-        if not m:
-            start = end
-            continue
-        k = int(m[1])
-        ends.append(k if start < k <= end else end)
-        start = ends[-1]
+        tokens = np.array([round(1.2 * w) for w in (total[start + 1 : n] - total[start]).tolist()])
+        full = np.flatnonzero(tokens >= TOKEN_TARGET)
+        end = start + 1 + int(full[0]) if len(full) else n - 1
+        if end > start + 1:
+            m = ANSWER.search(detect([(k, paras[k]) for k in range(start, end)]) or "")
+            if not m:
+                start = end
+                continue
+            if start < int(m[1]) <= end:
+                end = int(m[1])
+        ends.append(end)
+        start = end
     return [*ends, n]
 
 
 def by_model(docs: DataFrame, detect=rule_detector, cache: DataFrame | None = None) -> DataFrame:
-    """Chunks between boundaries; those in ``cache(doc_id, text_hash, boundary_ids)`` are not asked for again."""
-    known = boundaries(docs, detect, cache)
-    joined = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").join(known.select("doc_id", "boundary_ids"), "doc_id")
+    """Chunks between boundaries; those in ``cache(doc_id, text_hash, boundary_ids)`` are not asked for again.
+
+    Boundaries are found and cut in one pass over each row; without a cache nothing is shuffled.
+    """
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").withColumn("boundary_ids", F.lit(None).cast("array<int>"))
+    if cache is not None:
+        known = cache.where("boundary_ids is not null").groupBy("doc_id", "text_hash").agg(F.min("boundary_ids").alias("boundary_ids"))
+        rows = rows.drop("boundary_ids").withColumn("text_hash", T.text_hash(F.coalesce("text", F.lit("")))).join(known, ["doc_id", "text_hash"], "left").drop("text_hash")
 
     def run(batches):
         for pdf in batches:
-            rows = []
+            out = []
             for d, t, ends in zip(pdf.doc_id, pdf.text, pdf.boundary_ids):
                 paras, a = T.split_paragraphs((t or "").strip()), 0
-                for i, b in enumerate(ends):
+                for i, b in enumerate(find_boundaries(paras, detect) if ends is None else ends):
                     if b > a:
-                        rows.append((f"{d}_chunk_{i}", d, i, "\n\n".join(paras[a:b]), "lumber_chunker", {"para_start": str(a), "para_end": str(b - 1)}))
+                        out.append((f"{d}_chunk_{i}", d, i, "\n\n".join(paras[a:b]), "lumber_chunker", {"para_start": str(a), "para_end": str(b - 1)}))
                     a = max(a, b)
-            yield pd.DataFrame(rows, columns=["chunk_id", "doc_id", "chunk_idx", "text", "chunker_name", "metadata"])
+            yield pd.DataFrame(out, columns=["chunk_id", "doc_id", "chunk_idx", "text", "chunker_name", "metadata"])
 
-    return joined.mapInPandas(run, CHUNK)
+    return rows.mapInPandas(run, CHUNK)
 
 
 def boundaries(docs: DataFrame, detect=rule_detector, cache: DataFrame | None = None) -> DataFrame:

@@ -35,12 +35,27 @@ def rejected(response: Column) -> Column:
     return (F.trim(response) == REFUSAL).cast("int")
 
 
+def relevancy(question: Column, response: Column) -> Column:
+    """Cosine of the distinct words of question and response; 0 where either has none."""
+    a, b = claims(question), claims(response)
+    return F.when(F.least(F.size(a), F.size(b)) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.sqrt(F.size(a) * F.size(b)))
+
+
 def evaluate(rows: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """answer_correctness, context_recall and faithfulness of ``rows(response, reference, retrieved_contexts)``; a ``judge`` replaces them."""
+    """answer_correctness, context_recall, faithfulness and, where ``rows`` have a user_input, answer_relevancy of
+    ``rows(response, reference, retrieved_contexts)``; a ``judge`` replaces them."""
     if judge is not None:
         return judge(rows)
     ctx = F.array_join("retrieved_contexts", " ")
-    return rows.withColumns({"answer_correctness": token_f1(F.col("response"), F.col("reference")), "context_recall": supported(F.col("reference"), ctx), "faithfulness": supported(F.col("response"), ctx)})
+    more = {"answer_relevancy": relevancy(F.col("user_input"), F.col("response"))} if "user_input" in rows.columns else {}
+    return evaluate_minimal(rows).withColumns({"context_recall": supported(F.col("reference"), ctx), "faithfulness": supported(F.col("response"), ctx), **more})
+
+
+def evaluate_minimal(rows: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """answer_correctness alone, for experiments with many runs."""
+    if judge is not None:
+        return judge(rows)
+    return rows.withColumn("answer_correctness", token_f1(F.col("response"), F.col("reference")))
 
 
 def evaluate_rejection(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import random
 import re
 import time
@@ -9,9 +11,11 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.schemas import DOCUMENT
+from quarry.sources.shared import written
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -30,6 +34,32 @@ def cached(docs: DataFrame, step: Step, cache: DataFrame) -> tuple[DataFrame, Da
     return hit.select(*new.columns).unionByName(new), new
 
 
+def write_through(docs: DataFrame, step: Step, folder: str, name: str) -> DataFrame:
+    """``step``, which processes texts under their ids, over ``docs`` with the cache ``name`` in ``folder``: only what it
+    lacks is processed, and is added to it; ids get the step's name.
+
+    The cache is a Parquet table (doc_id, source_hash, text); an absent folder is an empty one. The new texts are
+    written before anything is read back, so a repeated run processes nothing.
+    """
+    spark, path, kind = docs.sparkSession, f"{folder}/{name}", "doc_id string, source_hash string, text string"
+    keyed = docs.withColumn("source_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    try:
+        known = spark.read.schema(kind).parquet(path)
+    except AnalysisException:
+        known = spark.createDataFrame([], kind)
+    miss = written(keyed.join(known, ["doc_id", "source_hash"], "left_anti"), "misses")
+    new = step(miss.drop("source_hash")).select("doc_id", "text").join(miss.select("doc_id", "source_hash"), "doc_id")
+    new.select("doc_id", "source_hash", "text").dropDuplicates(["doc_id", "source_hash"]).write.mode("append").parquet(path)
+    known = spark.read.schema(kind).parquet(path).dropDuplicates(["doc_id", "source_hash"])
+    return renamed(keyed.drop("text").join(known, ["doc_id", "source_hash"]).drop("source_hash").select(*docs.columns), name)
+
+
+def preconverted(docs: DataFrame, name: str) -> DataFrame:
+    """Texts converted elsewhere; one that is missing (null) fails the query, for nothing is converted here."""
+    missing = F.raise_error(F.concat(F.lit("not converted and not in the text cache: "), F.col("doc_id")))
+    return renamed(docs.withColumn("text", F.when(F.col("text").isNull(), missing).otherwise(F.col("text"))), name)
+
+
 def chain(docs: DataFrame, steps: list[Step]) -> DataFrame:
     return reduce(lambda df, s: df.transform(s), steps, docs)
 
@@ -91,6 +121,44 @@ def table_prompt(caption: Column, data: Column) -> Column:
     return F.concat(F.lit("Describe this table in full sentences.\nCaption: "), F.coalesce(caption, F.lit("")), F.lit("\nRows: "), F.to_json(data))
 
 
+def describe(prompt: str) -> str:
+    """Default table model: a sentence of ``header: cell`` pairs for every row behind the first."""
+    rows = json.loads(prompt.rsplit("\nRows: ", 1)[-1])
+    head = [c or "" for c in rows[0]] if rows else []
+    return " ".join("; ".join(f"{h}: {c}" for h, c in zip(head, r) if c) + "." for r in rows[1:])
+
+
+def paper(docs: DataFrame, model: Callable[[str], str] = describe, name: str = "paper_llm_processor") -> DataFrame:
+    """Texts whose Markdown tables are replaced by a model's descriptions, the text between them kept in order.
+
+    The last line above a table is its caption and goes to the model with it; a failed request leaves an empty description.
+    """
+
+    def run(batches):
+        call = with_retries(model)
+        for pdf in batches:
+            yield pdf.assign(text=[_described(t or "", call) for t in pdf.text])
+
+    return renamed(docs.select("doc_id", "source_path", "text", "preprocessor_name").mapInPandas(run, DOCUMENT), name)
+
+
+def _described(text: str, call: Callable[[str], str]) -> str:
+    out: list[str] = []
+    for is_table, group in itertools.groupby(text.splitlines(), lambda x: x.lstrip().startswith("|")):
+        part = list(group)
+        if not is_table:
+            out.append("\n".join(part).strip())
+            continue
+        rows = [[c.strip().strip("*") for c in x.strip().strip("|").split("|")] for x in part]
+        rows = [r for r in rows if not all(re.fullmatch(r":?-+:?", c) for c in r)]
+        caption = (out[-1].splitlines() or [""])[-1] if out else ""
+        try:
+            out.append(call(f"Describe this table in full sentences.\nCaption: {caption}\nRows: {json.dumps(rows, ensure_ascii=False)}"))
+        except Exception:
+            out.append("")
+    return "\n".join(out)
+
+
 def interleave(contexts: Column, descriptions: Column) -> Column:
     """context, description, context, ..., context by line; a failed (null) description is empty, no table leaves the first context."""
     pairs = F.flatten(F.transform(descriptions, lambda d, i: F.array(F.get(contexts, i), F.coalesce(d, F.lit("")))))
@@ -133,8 +201,11 @@ def page_contexts(items: DataFrame) -> DataFrame:
     return g.select("doc_id", F.transform(F.sequence(F.lit(0), n), of).alias("contexts"), F.transform("c", lambda s: s["above"]).alias("captions"))
 
 
-def batch_describe(tables: DataFrame, model: Callable[[str], str]) -> DataFrame:
-    """A description for each row's ``prompt``; a failed request is the empty string."""
+def batch_describe(tables: DataFrame, model: Callable[[str], str] | None = None, job: Callable[[list[str]], list[str | None]] | None = None) -> DataFrame:
+    """A description for each row's ``prompt``, from ``model`` prompt by prompt or from a batch ``job`` for the prompts of an Arrow batch.
+
+    A failed request (an error, or null from the job) is the empty string; a job that fails as a whole fails the query.
+    """
 
     def run(batches):
         def one(p):
@@ -144,6 +215,10 @@ def batch_describe(tables: DataFrame, model: Callable[[str], str]) -> DataFrame:
                 return ""
 
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "table_index": pdf.table_index, "description": [one(p) for p in pdf.prompt]})
+            prompts = pdf.prompt.tolist()
+            found = [x or "" for x in job(prompts)] if job is not None else [one(p) for p in prompts]
+            if len(found) != len(prompts):
+                raise RuntimeError(f"the job answered {len(found)} of {len(prompts)} prompts")
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "table_index": pdf.table_index, "description": found})
 
     return tables.select("doc_id", "table_index", "prompt").mapInPandas(run, "doc_id string, table_index int, description string")

@@ -15,6 +15,11 @@ RRF_K = 60
 QUERY_BLOCK = 2048
 #: Fixed value: the answer where the context has none.
 REFUSAL = "Dazu enthalten die bereitgestellten Dokumente keine Informationen."
+#: The generator's instruction and the frame of its prompt.
+SYSTEM = "Du bist ein hilfreicher Assistent. Beantworte die Frage basierend auf dem gegebenen Kontext."
+BRIEF = "Halte dich kurz und gib nur die Informationen, nach denen gefragt wurde."
+OTHERWISE = "Wenn die Antwort nicht im Kontext zu finden ist, antworte:"
+QUESTION, CONTEXT, ANSWER, SOURCE = "Frage: ", "Kontext: ", "Antwort:", "Source "
 
 
 # --- index ---------------------------------------------------------------------------------------
@@ -84,9 +89,18 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int | str = 20, ordinal: str
                     continue
                 s = np.round(_unit(np.stack(pdf.v.to_numpy()).astype(np.float64)) @ q.T, 9)
                 o = pdf.ordinal.to_numpy()
-                for j in range(len(ids)):
-                    best = np.lexsort((o, -s[:, j]))[:k]
-                    yield pd.DataFrame({"query_id": ids[j], "variant": variants[j], "ordinal": o[best], "score": s[best, j]})
+                order = np.argsort(o, kind="stable")  # ties go by ordinal
+                s, o = s[order], o[order]
+                if len(s) > k:  # all at or above each query's k-th score, and no sort of the rest
+                    near = s >= np.partition(s, len(s) - k, axis=0)[len(s) - k]
+                else:
+                    near = np.ones_like(s, bool)
+                j, i = np.nonzero(near.T)
+                top = np.lexsort((i, -s[i, j], j))
+                j, i = j[top], i[top]
+                place = np.arange(len(j)) - np.searchsorted(j, j)
+                j, i = j[place < k], i[place < k]
+                yield pd.DataFrame({"query_id": np.array(ids)[j], "variant": np.array(variants)[j], "ordinal": o[i], "score": s[i, j]})
 
         part = src.mapInPandas(run, kind)
         out = part if out is None else out.unionByName(part)
@@ -154,12 +168,18 @@ def contexts(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, original_query, context, retrieved_contexts, reranking_scores); empty without hits."""
     g = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "reranking_score"))).alias("h"))
     x = queries.select("query_id", "original_query").join(g, "query_id", "left").withColumn("h", F.coalesce("h", F.array().cast(g.schema["h"].dataType)))
-    parts = F.transform("h", lambda s, i: F.concat(F.lit("Source "), i + 1, F.lit(":\n"), s["text"]))
+    parts = F.transform("h", lambda s, i: F.concat(F.lit(SOURCE), i + 1, F.lit(":\n"), s["text"]))
     return x.select("query_id", "original_query", F.array_join(parts, "\n").alias("context"), F.transform("h", lambda s: s["text"]).alias("retrieved_contexts"), F.transform("h", lambda s: s["reranking_score"]).alias("reranking_scores"))
 
 
-def prompt(query: Column, context: Column) -> Column:
-    return F.concat(F.lit("Frage: "), query, F.lit("\n\nKontext:\n"), context)
+def system_prompt() -> str:
+    return f"{SYSTEM} {BRIEF} {OTHERWISE} '{REFUSAL}'"
+
+
+def full_prompt(query: Column, context: Column) -> Column:
+    """What a generator without a system role gets: instruction, refusal sentence, question and context."""
+    head = f'{SYSTEM}\n{OTHERWISE} "{REFUSAL}"\n\n{QUESTION}'
+    return F.concat(F.lit(head), query, F.lit(f"\n{CONTEXT}"), context, F.lit(f"\n\n{ANSWER}"))
 
 
 def answer_context(ctx: DataFrame) -> DataFrame:
@@ -167,7 +187,7 @@ def answer_context(ctx: DataFrame) -> DataFrame:
 
 
 def answer(ctx: DataFrame, generate: Callable[[list[str]], list[str]] | None = None, batch: int = 64) -> DataFrame:
-    """Answers by a batched model (stripped); a batch out of memory is halved. Without a model, and without context, the refusal."""
+    """Answers by a batched model (stripped) to ``full_prompt``; a batch out of memory is halved. Without a model, and without context, the refusal."""
     if generate is None:
         return ctx.withColumn("response", F.when(F.col("context") == "", F.lit(REFUSAL)).otherwise(F.element_at(F.col("retrieved_contexts"), 1)))
     kind = ctx.withColumn("response", F.lit("")).schema
@@ -183,7 +203,7 @@ def answer(ctx: DataFrame, generate: Callable[[list[str]], list[str]] | None = N
 
     def run(batches):
         for pdf in batches:
-            p = [f"Frage: {q}\n\nKontext:\n{c}" for q, c in zip(pdf.original_query, pdf.context)]
-            yield pdf.assign(response=[a.strip() for k in range(0, len(p), batch) for a in halve(p[k : k + batch])])
+            p = pdf["_prompt"].tolist()
+            yield pdf.drop(columns="_prompt").assign(response=[a.strip() for k in range(0, len(p), batch) for a in halve(p[k : k + batch])])
 
-    return ctx.mapInPandas(run, kind)
+    return ctx.withColumn("_prompt", full_prompt(F.col("original_query"), F.col("context"))).mapInPandas(run, kind)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quarry.functions import text as T, vectors as V
 from quarry.operators import chunk as C, evaluate as E, preprocess as P, retrieve as R, tables as TB
 from quarry.sources import tables as S
+from quarry.sources.shared import written
 
 
 @dataclass
@@ -28,17 +29,13 @@ class Online:
     generation_model: str = "none"
 
 
-def _same(docs: DataFrame, name: str) -> DataFrame:
-    return P.renamed(docs, name)
-
-
 #: Component names as configurations spell them. Models behind them are replaceable.
 COMPONENTS: dict[str, Callable] = {
-    "RawTextProcessor": lambda docs: _same(docs, "raw_text"),
-    "DoclingMarkdownProcessor": lambda docs: _same(docs, "markdown_docling"),
-    "GeminiMarkdownProcessor": lambda docs: _same(docs, "markdown_gemini"),
+    "RawTextProcessor": lambda docs: P.renamed(docs, "raw_text"),
+    "DoclingMarkdownProcessor": lambda docs: P.renamed(docs, "markdown_docling"),
+    "GeminiMarkdownProcessor": lambda docs: P.preconverted(docs, "markdown_gemini"),
     "DirectLLMProcessor": P.rewrite,
-    "PaperLLMProcessor": lambda docs: P.rewrite(docs, name="paper_llm_processor"),
+    "PaperLLMProcessor": P.paper,
     "FixedParagraphChunker": C.by_paragraphs,
     "FixedCharacterChunker": C.by_characters,
     "LumberChunker": C.by_model,
@@ -61,6 +58,20 @@ COMPONENTS: dict[str, Callable] = {
 }
 
 
+#: What the preprocessors add to a document's id, and the names of their caches.
+SUFFIXES = {"RawTextProcessor": "raw_text", "DoclingMarkdownProcessor": "markdown_docling", "GeminiMarkdownProcessor": "markdown_gemini", "DirectLLMProcessor": "direct_llm", "PaperLLMProcessor": "paper_llm_processor"}
+
+
+def cached_component(name: str, folder: str) -> Callable:
+    """The preprocessor ``name`` behind a text cache in ``folder``."""
+    suffix, make = SUFFIXES.get(name, name), component(name)
+
+    def under_own_id(docs: DataFrame) -> DataFrame:
+        return make(docs).withColumn("doc_id", F.expr(f"substr(doc_id, 1, length(doc_id) - {len(suffix) + 1})"))
+
+    return lambda docs: P.write_through(docs, under_own_id, folder, suffix)
+
+
 def component(name: str) -> Callable:
     if name not in COMPONENTS:
         raise ValueError(f"unknown component: {name}")
@@ -73,13 +84,13 @@ def register(name: str, make: Callable) -> None:
 
 
 class OfflinePipeline:
-    """documents -> preprocessors -> chunks -> index on disk."""
+    """documents -> preprocessors -> chunks -> index on disk; with ``cache``, a folder, texts are processed once."""
 
-    def __init__(self, preprocessors: list[str], chunker: str, index_builder: str, config: Offline, embed=None):
+    def __init__(self, preprocessors: list[str], chunker: str, index_builder: str, config: Offline, embed=None, cache: str | None = None):
         if not preprocessors:
             raise ValueError("at least one preprocessor is required")
         self.names = [*preprocessors, chunker, index_builder]
-        self.steps = [component(p) for p in preprocessors]
+        self.steps = [component(p) if cache is None else cached_component(p, cache) for p in preprocessors]
         params = dict(config.chunking_params)
         if chunker == "MaxMinChunker":
             params.setdefault("model", config.embedding_model)
@@ -114,11 +125,15 @@ class OnlinePipeline:
     def query(self, index: DataFrame, text: str) -> DataFrame:
         return self.batch(index, index.sparkSession.createDataFrame([(0, text)], "query_id bigint, original_query string"))
 
+    def multiple(self, index: DataFrame, texts: list[str]) -> DataFrame:
+        """Answers to several texts, numbered from 0, by one plan."""
+        return self.batch(index, index.sparkSession.createDataFrame(list(enumerate(texts)), "query_id bigint, original_query string"))
+
 
 def from_config(config: dict, embed=None) -> tuple[OfflinePipeline, OnlinePipeline]:
     off, on = config.get("offline_config", {}), config.get("online_config", {})
     a, b = config["offline_pipeline"], config["online_pipeline"]
-    offline = OfflinePipeline(a["preprocessors"], a["chunker"], a["index_builder"], Offline(**off), embed)
+    offline = OfflinePipeline(a["preprocessors"], a["chunker"], a["index_builder"], Offline(**off), embed, config.get("cache"))
     online = OnlinePipeline(b["query_processor"], b["retriever"], b["reranker"], b["generator"], Online(embedding_model=off.get("embedding_model", "hash"), **on), embed)
     return offline, online
 
@@ -145,14 +160,55 @@ def grids(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "chunker string, p1 double, p2 double").unionByName(maxmin)
 
 
-def run_experiment(docs: DataFrame, qa: DataFrame, runs: list[dict], folder: str) -> DataFrame:
+def answered(online: OnlinePipeline, index: DataFrame, qa: DataFrame) -> DataFrame:
+    """``qa(qa_idx, user_input, reference)`` with the pipeline's response, retrieved_contexts and reranking_scores."""
+    queries = qa.select(F.col("qa_idx").alias("query_id"), F.col("user_input").alias("original_query"))
+    got = online.batch(index, queries).withColumnRenamed("query_id", "qa_idx")
+    return E.attach(qa, got.select("qa_idx", "response", "retrieved_contexts", "reranking_scores"))
+
+
+def run_main(config: dict, docs: DataFrame, positive: DataFrame, negative: DataFrame, folder: str, embed=None) -> tuple[DataFrame, DataFrame]:
+    """The configured pipelines over answerable and unanswerable questions: results and evaluations are written below ``folder``.
+
+    Returns the answer correctness of each positive and the rejection of each negative question.
+    """
+    offline, online = from_config(config, embed)
+    name = pipeline_name(offline, online)
+    index = offline.run(docs, f"{folder}/index/{name}")[1]
+    out = []
+    for kind, qa, judge in (("positive", positive, E.evaluate_minimal), ("negative", negative, E.evaluate_rejection)):
+        path = f"{folder}/results/{kind}/{name}"
+        S.write_results(answered(online, index, qa), f"{path}.json")
+        rows = judge(docs.sparkSession.read.schema(S.RESULTS).json(f"{path}.json"))
+        S.write_evaluation(rows, f"{path}_evaluation.csv")
+        out.append(rows)
+    return out[0], out[1]
+
+
+def two_phases(docs: DataFrame, qa: DataFrame, folder: str, chunker: str = "FixedParagraphChunker", params: dict | None = None, first=None, then=None) -> DataFrame:
+    """The preprocessing experiment: the better of the ``first`` runs' preprocessors, by answer correctness (the earlier wins
+    ties), goes into the second phase, alone replaced by ``then``'s. Summary rows of both with their phase."""
+    first = first or {"docling_only": ["DoclingMarkdownProcessor"], "gemini_only": ["GeminiMarkdownProcessor"]}
+    own = params or {"chunk_size": 1, "overlap": 0}
+
+    def phase(k: int, names: dict) -> DataFrame:
+        runs = [{"name": n, "preprocessors": p, "chunker": chunker, "params": own, "threshold": 0.1} for n, p in names.items()]
+        return written(run_experiment(docs, qa, runs, f"{folder}/phase{k}").withColumn("phase", F.lit(k)), "phase")
+
+    one = phase(1, first)
+    scores = {r.run_name: r.answer_correctness or 0.0 for r in one.collect()}
+    best = max(first, key=lambda n: scores.get(n, 0.0))
+    then = then or {f"{best}_direct_llm": [*first[best], "DirectLLMProcessor"], "paper_llm": ["PaperLLMProcessor"]}
+    return E.summary([one, phase(2, then)])
+
+
+def run_experiment(docs: DataFrame, qa: DataFrame, runs: list[dict], folder: str, negative: DataFrame | None = None) -> DataFrame:
     """Summary rows of ``runs``: dicts of preprocessors, chunker, params, query_processor, threshold and name.
 
     Runs that share preprocessors, chunker and parameters share one index; the budget follows from its
-    average chunk.
+    average chunk. ``negative`` questions add the mean of their rejection.
     """
     spark, parts, built = docs.sparkSession, [], {}
-    queries = qa.select(F.col("qa_idx").alias("query_id"), F.col("user_input").alias("original_query"))
     for run in runs:
         key = repr((run["preprocessors"], run["chunker"], run.get("params", {})))
         if key not in built:
@@ -163,8 +219,10 @@ def run_experiment(docs: DataFrame, qa: DataFrame, runs: list[dict], folder: str
             built[key] = index, avg.select("*", k.alias("top_k"), n.alias("top_n")).first()
         index, size = built[key]
         online = OnlinePipeline(run.get("query_processor", "NoProcessingProcessor"), "FaissRetriever", "JinaReranker", "HuggingfaceGenerator", Online(size.top_k, size.top_n, run.get("threshold")))
-        answers = online.batch(index, queries).withColumnRenamed("query_id", "qa_idx")
-        scored = E.evaluate(E.attach(qa, answers)).select("answer_correctness", "context_recall", "faithfulness")
+        scored = E.evaluate(answered(online, index, qa)).select("answer_correctness", "context_recall", "faithfulness", "answer_relevancy")
         facts = {"run_name": run["name"], "num_chunks": size.num_chunks, "avg_chunk_tokens": round(size.avg_chunk_tokens, 1), "top_k": size.top_k, "top_n": size.top_n, **run.get("params", {})}
-        parts.append(E.means(scored).select(*[F.lit(v).alias(k) for k, v in facts.items()], "*"))
+        row = E.means(scored).select(*[F.lit(v).alias(k) for k, v in facts.items()], "*")
+        if negative is not None:
+            row = row.join(E.means(E.evaluate_rejection(answered(online, index, negative)).select("negative_rejection"), prefix="negative_"))  # one row with one row
+        parts.append(row)
     return E.summary(parts) if parts else spark.createDataFrame([], "run_name string")

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a local folder is made only where it is unset (tests)."""
+    """The session's spark.checkpoint.dir; where it is unset, a local folder in local mode (tests), an error on a cluster."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         handle = spark.sparkContext._jsc.sc().getCheckpointDir()
         if handle.isDefined():
             return handle.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(base := tempfile.mkdtemp(prefix="quarry-"))
     return base
 

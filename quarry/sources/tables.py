@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions.text import doc_id_from_path
@@ -10,10 +13,28 @@ from quarry.schemas import QA
 from quarry.sources.shared import written
 
 
-def from_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Raw documents, their ids from the paths; texts are read as whole files."""
+#: Rows of ``write_results``.
+RESULTS = "qa_idx long, user_input string, reference string, response string, retrieved_contexts array<string>, reranking_scores array<double>"
+
+
+def from_paths(spark: SparkSession, paths: list[str], convert: Callable[[bytes], str] | None = None) -> DataFrame:
+    """Raw documents, their ids from the paths; texts are read as whole files.
+
+    Bytes that are not UTF-8 text, such as a PDF's, go through ``convert`` (a PDF reader); without one they fail the query.
+    """
     files = spark.read.format("binaryFile").load(paths)
-    return files.select(doc_id_from_path(F.col("path")).alias("doc_id"), F.col("path").alias("source_path"), F.decode("content", "UTF-8").alias("text"), F.lit("").alias("preprocessor_name"))
+    is_text = F.is_valid_utf8(F.col("content").cast("string")) & ~F.startswith("content", F.lit(b"%PDF"))
+    if convert is None:
+        other = F.raise_error(F.concat(F.lit("not a text file, and no converter given: "), "path"))
+    else:
+
+        @F.pandas_udf("string")
+        def other_text(content: pd.Series) -> pd.Series:
+            return content.map(lambda c: None if c is None else convert(bytes(c)))
+
+        other = other_text(F.when(~is_text, F.col("content")))
+    text = F.when(is_text, F.col("content").cast("string")).otherwise(other)
+    return files.select(doc_id_from_path(F.col("path")).alias("doc_id"), F.col("path").alias("source_path"), text.alias("text"), F.lit("").alias("preprocessor_name"))
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
