@@ -8,6 +8,7 @@ from quarry.functions import text as T, vectors as V
 from quarry.operators import chunk as C, evaluate as E, preprocess as P, retrieve as R, tables as TB
 from quarry.plans import pipeline as PL
 from quarry.sources import tables as S
+from quarry.sources.shared import new_path
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -137,7 +138,24 @@ def chunk_maxmin_sentences(spark, sf_dir):
     return C.by_similarity(documents(spark, sf_dir)).select("chunk_id", "chunk_idx", "text")
 
 
-@query()
+def _boundaries() -> str:
+    paras = _PARAS.format(x="text", sep="\\n\\s*\\n"), _PARAS.format(x="text", sep="\\n")
+    return f"""with recursive q as (select doc_id, {paras[0]} as a, {paras[1]} as b from (select doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as text from documents where text is not null)),
+p as (select doc_id, case when len(a) < 10 then b else a end as p from q),
+u as (select doc_id, unnest(p) as x, generate_subscripts(p, 1) as k from p where len(p) > 0),
+c as (select doc_id, k, lower(left(x, 1)) as f, sum(len(regexp_split_to_array(x, '\\s+')) + 2) over (partition by doc_id order by k) as c from u),
+d as (select doc_id, list(f order by k) as f, list_prepend(0, list(c order by k)) as c from c group by doc_id),
+r as (select doc_id, 0::bigint as step, 0::bigint as a, case when len(f) <= 5 then len(f) else -1 end::bigint as b from d
+ union all
+ select doc_id, step + 1, s, case when s >= len(f) - 5 then len(f)
+   else (select case when e - s = 1 then e else coalesce(list_min(list_filter(range(s + 1, e), lambda k: f[k + 1] <> f[s + 1])), e - 1) end
+         from (select coalesce(list_min(list_filter(range(s + 1, len(f)), lambda e: round_even(1.2 * (c[e + 1] - c[s + 1]), 0) >= 550)), len(f) - 1) as e)) end
+ from (select r.doc_id, step, case when r.b < 0 then 0 else r.b end as s, d.f, d.c, r.b as last from r join d using (doc_id)) where last < len(f)),
+o as (select doc_id, step - (min(step) over (partition by doc_id)) as i, a, b from r where b > a)
+select doc_id::varchar || '_chunk_' || i as chunk_id, i::int as chunk_idx, array_to_string(p[a + 1:b], chr(10) || chr(10)) as text, a::int as para_start, (b - 1)::int as para_end from o join p using (doc_id)"""
+
+
+@query(_boundaries())
 def chunk_lumber_rule(spark, sf_dir):
     return C.by_model(documents(spark, sf_dir)).select("chunk_id", "chunk_idx", "text", F.col("metadata")["para_start"].cast("int").alias("para_start"), F.col("metadata")["para_end"].cast("int").alias("para_end"))
 
@@ -237,7 +255,13 @@ def pages_to_documents(spark, sf_dir):
     return S.from_pages(table(spark, sf_dir, "pages")).select("doc_id", "source_path", "preprocessor_name")
 
 
-@query()
+_PAGE = "regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<head\\b.*?</head>|<!--.*?-->', '', 'g'), '(?i)</(p|div|li|tr|h[1-6]|section|article|ul|ol|table)>|<br\\s*/?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _PAGE = f"replace({_PAGE}, '{_entity}', '{_char}')"
+
+
+@query(f"""select 'page_' || page_id as doc_id, url as source_path, 'raw_text' as preprocessor_name,
+ array_to_string(list_filter(list_transform(string_split({_PAGE}, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10)) as text from pages""")
 def pages_to_text(spark, sf_dir):
     return S.from_pages(table(spark, sf_dir, "pages"))
 
@@ -453,3 +477,273 @@ def rag_end_to_end(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("original_query"))
     online = PL.OnlinePipeline("NoProcessingProcessor", "FaissRetriever", "JinaReranker", "PassthroughGenerator", PL.Online(top_k=15, top_n=5, reranking_score_threshold=0.1))
     return online.batch(index, queries).select("query_id", F.size("retrieved_contexts").alias("n"), "response")
+
+
+# --- sources, sinks and the cache ----------------------------------------------------------------
+
+
+def _qa(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qa_idx"), F.col("text").alias("user_input"), F.reverse("text").alias("reference"))
+
+
+@query("select row_number() over (order by item_id) - 1 as qa_idx, text as user_input, reverse(text) as reference from benchmark")
+def qa_source(spark, sf_dir):
+    """QA pairs of a JSON array file."""
+    path = new_path(spark, "qa")
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("qa_idx", "user_input", "reference"))), lambda s: F.struct(s["user_input"].alias("user_input"), s["reference"].alias("reference")))
+    _qa(spark, sf_dir).agg(F.to_json(pairs).alias("value")).write.text(path)
+    return S.qa_pairs(spark, path)
+
+
+@query("select conv_id as qa_idx, text as user_input, 'r' || turn as reference, role as response, text || '|' || role as retrieved_contexts, turn + 0.5::double as reranking_scores from conversations where text is not null")
+def results_sink(spark, sf_dir):
+    c, path = table(spark, sf_dir, "conversations").where("text is not null"), new_path(spark, "results")
+    S.write_results(c.select(F.col("conv_id").alias("qa_idx"), F.col("text").alias("user_input"), F.concat(F.lit("r"), "turn").alias("reference"), F.col("role").alias("response"), F.array("text", "role").alias("retrieved_contexts"), F.array(F.col("turn").cast("double"), F.lit(0.5)).alias("reranking_scores")), path)
+    back = spark.read.schema(S.RESULTS).json(path)
+    return back.withColumns({"retrieved_contexts": F.array_join("retrieved_contexts", "|"), "reranking_scores": F.col("reranking_scores")[0] + F.col("reranking_scores")[1]})
+
+
+@query("select source as run_name, count(*) as num_chunks, max(n_chars) as top_k, null::bigint as phase from documents group by source union all select 'all', count(*), null, 2 from labels")
+def summary_sink(spark, sf_dir):
+    path = new_path(spark, "summary")
+    a = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("run_name")).agg(F.count("*").alias("num_chunks"), F.max("n_chars").alias("top_k"))
+    b = table(spark, sf_dir, "labels").agg(F.count("*").alias("num_chunks")).withColumns({"run_name": F.lit("all"), "phase": F.lit(2)})
+    S.write_summary([a, b], path)
+    return spark.read.csv(path, header=True, schema="run_name string, num_chunks long, top_k long, phase long")
+
+
+@query("select conv_id as qa_idx, turn::double / 8 as answer_correctness, 'a \"b\", ' || role || chr(10) || 'c' as response, '[\"' || role || '\",\"x\"]' as retrieved_contexts from conversations")
+def evaluation_sink(spark, sf_dir):
+    path, c = new_path(spark, "evaluation"), table(spark, sf_dir, "conversations")
+    S.write_evaluation(c.select(F.col("conv_id").alias("qa_idx"), (F.col("turn") / 8).alias("answer_correctness"), F.concat(F.lit('a "b", '), "role", F.lit("\nc")).alias("response"), F.array("role", F.lit("x")).alias("retrieved_contexts")), path)
+    return spark.read.csv(path, header=True, multiLine=True, escape='"', schema="qa_idx long, answer_correctness double, response string, retrieved_contexts string")
+
+
+@query("select doc_id::varchar as doc_id, substring(sha256(coalesce(text, '')), 1, 16) as text_hash, len(string_split(text, chr(10)))::int as n from documents where doc_id % 3 <> 0 and text is not null")
+def boundary_sink(spark, sf_dir):
+    """Boundaries of what was not cached, written and read back."""
+    path = new_path(spark, "boundaries")
+    d = documents(spark, sf_dir).join(table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_semi")
+    found = d.select("doc_id", T.text_hash(F.col("text")).alias("text_hash"), F.array(F.size(F.split("text", "\n"))).alias("boundary_ids"), (F.col("doc_id") % 3 == 0).alias("cached"))
+    S.write_boundaries(found, path)
+    return spark.read.parquet(path).select("doc_id", "text_hash", F.col("boundary_ids")[0].alias("n"))
+
+
+@query("select doc_id::varchar || '_chunk_0' as chunk_id, text, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) as unit, list_position(e, list_max(e))::int as top from (select doc_id, text, " + "list_transform(range(0, 64), lambda b: len(list_filter(h, lambda x: x = b))::double) as n, list_transform(n, lambda x: case when list_sum(list_transform(n, lambda y: y * y)) > 0 then x / sqrt(list_sum(list_transform(n, lambda y: y * y))) else 0 end) as e from (select doc_id, text, list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), lambda w: ('0x' || substring(md5(w), 1, 6))::bigint % 64) as h from documents where text <> ''))")
+def index_vectors(spark, sf_dir):
+    """Whole documents as an index of unit vectors on disk, loaded again."""
+    path = new_path(spark, "index")
+    R.build_index(C.whole(documents(spark, sf_dir)), V.hash_embedder(), path)
+    e = R.load_index(spark, path)
+    return e.select("chunk_id", "text", F.round(V.norm(F.col("embedding")), 6).alias("unit"), F.array_position("embedding", F.array_max("embedding")).cast("int").alias("top"))
+
+
+@query("select doc_id::varchar || '_chunk_0' as chunk_id, text from documents where text <> ''")
+def index_passthrough(spark, sf_dir):
+    return PL.component("PassthroughIndexBuilder")(C.whole(documents(spark, sf_dir)), new_path(spark, "index"), None).select("chunk_id", "text")
+
+
+@query("select doc_id::varchar || '_raw_text' as doc_id, '> ' || coalesce(text, '') as text, case when doc_id % 2 = 0 then 2 else 1 end::bigint as runs from documents")
+def cache_write_through(spark, sf_dir):
+    """Half the documents, then all of them through one cache: what the first run wrote is not processed again."""
+    folder, docs = new_path(spark, "cache"), documents(spark, sf_dir)
+    step = lambda mark: lambda d: d.withColumn("text", F.concat(F.lit(mark), "text"))
+    first = P.write_through(docs.where("doc_id % 2 = 0"), step("> "), folder, "raw_text")
+    second = P.write_through(docs, lambda d: step("> ")(d.where("doc_id % 2 = 1")), folder, "raw_text")
+    return first.unionByName(second).groupBy("doc_id", "text").agg(F.count("*").alias("runs"))
+
+
+@query("select doc_id::varchar || '_markdown_gemini' as doc_id, text, 'markdown_gemini' as preprocessor_name from documents where text is not null")
+def preconverted_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("source_path"), "text", F.lit("").alias("preprocessor_name"))
+    return PL.component("GeminiMarkdownProcessor")(d).select("doc_id", "text", "preprocessor_name")
+
+
+@query("""with o as (select *, o_orderkey % 3 as m from orders where o_orderkey % 3 < 2)
+select (o_orderkey - m)::varchar || '_paper_llm_processor' as doc_id, string_agg('vor ' || o_orderkey || chr(10) || 'A: ' || o_orderstatus || '; B: ' || o_custkey || '. A: x.', chr(10) order by o_orderkey) || chr(10) || 'nach' as text from o group by o_orderkey - m""")
+def paper_tables(spark, sf_dir):
+    """Texts with tables through the table-describing preprocessor."""
+    o = table(spark, sf_dir, "orders").withColumn("m", F.col("o_orderkey") % 3).where("m < 2")
+    part = F.concat(F.lit("vor "), "o_orderkey", F.lit("\n| A | B |\n| :-- | --- |\n| **"), "o_orderstatus", F.lit("** | "), "o_custkey", F.lit(" |\n| x | |"))
+    g = o.groupBy((F.col("o_orderkey") - F.col("m")).cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", part.alias("t")))).alias("ts"))
+    docs = g.select("doc_id", F.lit("").alias("source_path"), F.concat(F.array_join(F.transform("ts", lambda s: s["t"]), "\n"), F.lit("\nnach")).alias("text"), F.lit("").alias("preprocessor_name"))
+    return PL.component("PaperLLMProcessor")(docs).select("doc_id", "text")
+
+
+@query("""select p_partkey, 'Describe this table in full sentences.' || chr(10) || 'Caption: ' || p_brand || chr(10) || 'Rows: [["A","B"],["' || p_size || '","' || p_type || '"]]' as prompt,
+ case when p_size % 5 = 0 then '' else 'A: ' || p_size || '; B: ' || p_type || '.' end as description from part""")
+def table_descriptions(spark, sf_dir):
+    """Prompts of tables and a model's descriptions, empty where the request fails."""
+    data = F.array(F.array(F.lit("A"), F.lit("B")), F.array(F.col("p_size").cast("string"), "p_type"))
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.lit(0).alias("table_index"), P.table_prompt(F.col("p_brand"), data).alias("prompt"))
+
+    def some(prompt):
+        if int(prompt.split('["')[2].split('"')[0]) % 5 == 0:
+            raise RuntimeError("no answer")
+        return P.describe(prompt)
+
+    return t.join(P.batch_describe(t, some), "doc_id").select(F.col("doc_id").cast("long").alias("p_partkey"), "prompt", "description")
+
+
+@query("select doc_id::varchar || '_direct_llm' as doc_id, text from (select o_custkey as doc_id, string_agg('Plan ' || o_orderkey || chr(10) || 'Status: ' || o_orderstatus || '; Preis: ' || o_custkey || '.', chr(10) order by o_orderkey) as text from orders group by o_custkey)")
+def linearized_tables(spark, sf_dir):
+    row = F.concat(F.lit("## Plan "), "o_orderkey", F.lit("\n| Status | Preis |\n|---|:-:|\n| "), "o_orderstatus", F.lit(" | "), "o_custkey", F.lit(" |"))
+    g = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("t")))).alias("ts"))
+    return P.rewrite(g.select("doc_id", F.lit("").alias("source_path"), F.array_join(F.transform("ts", lambda s: s["t"]), "\n").alias("text"), F.lit("").alias("preprocessor_name"))).select("doc_id", "text")
+
+
+@query("""with c as (select conv_id, turn, role = 'user' as t, coalesce(text, '') as text, sum((role = 'user')::int) over (partition by conv_id order by turn) - (role = 'user')::int as gap from conversations),
+n as (select conv_id, sum(t::int)::int as n from c group by conv_id),
+k as (select conv_id, n, unnest(range(0, n + 1)) as gap from n),
+x as (select k.conv_id, k.n, k.gap, coalesce(string_agg(c.text, chr(10) order by c.turn) filter (where not c.t), '') as context from k left join c on c.conv_id = k.conv_id and c.gap = k.gap group by all)
+select conv_id::varchar as doc_id, n as n_tables, string_agg(context, '#' order by gap) as contexts from x group by conv_id, n""")
+def page_text_contexts(spark, sf_dir):
+    """Conversations as pages: a user's turn is a table, all others are text."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), (F.col("turn") * 10.0).alias("y"), F.when(F.col("role") == "user", "table").otherwise("text").alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
+    return P.page_contexts(c).select("doc_id", F.size("captions").alias("n_tables"), F.array_join("contexts", "#").alias("contexts"))
+
+
+# --- scalar rules --------------------------------------------------------------------------------
+
+
+@query("select doc_id, len(l)::int - (l[len(l)] = '')::int as n_lines, l[1] as first from (select doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') as l from documents where text is not null)")
+def split_lines(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null").withColumn("l", T.lines(F.col("text")))
+    return d.select("doc_id", F.size("l").alias("n_lines"), F.coalesce(F.get("l", F.lit(0)), F.lit("")).alias("first"))
+
+
+@query("select p_partkey, case when p_partkey % 3 = 0 then null else p_size end as id from part")
+def boundary_answers(spark, sf_dir):
+    answer = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("none, ID "), "p_size")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("Well. ANSWER:  id "), "p_size", F.lit(". Answer: ID 7"))).otherwise(F.concat(F.lit("answer: ID"), "p_size"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.boundary_answer(answer).alias("id"))
+
+
+@query("select vec_id, round(list_cosine_similarity(embedding::double[], reverse(embedding)::double[]), 6) as cosine, round(1 / (1 + exp(-embedding[1]::double)), 9) as sigmoid from embeddings".replace("reverse(embedding)", "list_reverse(embedding)"))
+def vector_scalars(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.round(V.cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("cosine"), F.round(V.sigmoid(F.col("embedding")[0].cast("double")), 9).alias("sigmoid"))
+
+
+# --- generation, evaluation and pipelines --------------------------------------------------------
+
+
+def _full(question: str, context: str) -> str:
+    return f"""'{R.SYSTEM}' || chr(10) || '{R.OTHERWISE} "{R.REFUSAL}"' || chr(10) || chr(10) || 'Frage: ' || {question} || chr(10) || 'Kontext: ' || {context} || chr(10) || chr(10) || 'Antwort:'"""
+
+
+@query(f"select conv_id, turn, {_full("text", "role")} as prompt from conversations where text is not null")
+def full_prompts(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", R.full_prompt(F.col("text"), F.col("role")).alias("prompt"))
+
+
+def _contexts(spark, sf_dir) -> DataFrame:
+    q = _users(spark, sf_dir)
+    hits = q.where("query_id % 3 > 0").select("query_id", F.lit(1).alias("rank"), F.reverse("original_query").alias("text"), F.lit(1.0).alias("reranking_score"))
+    return R.contexts(q, hits)
+
+
+@query(f"select query_id, case when query_id % 3 > 0 then reverse(q) else '{R.REFUSAL}' end as response from {_USERS}")
+def generator_default(spark, sf_dir):
+    return R.answer(_contexts(spark, sf_dir)).select("query_id", "response")
+
+
+@query(f"select query_id, 'n' || length({_full("q", "c")}) as response from (select query_id, q, case when query_id % 3 > 0 then 'Source 1:' || chr(10) || reverse(q) else '' end as c from {_USERS})")
+def generator_halving(spark, sf_dir):
+    """A model that only takes three prompts at once: larger batches are halved."""
+
+    def small(prompts):
+        if len(prompts) > 3:
+            raise MemoryError
+        return [f" n{len(p)}\n" for p in prompts]
+
+    return R.answer(_contexts(spark, sf_dir), small).select("query_id", "response")
+
+
+_EVAL = f"""with t as (select conv_id, turn, {_CLAIMS.format(x="a")} as a, {_CLAIMS.format(x="b")} as b from {_PAIRS} where a is not null and b is not null),
+x as (select conv_id, turn, a, b, len(list_intersect(a, b)) as n from t)"""
+
+
+@query(_EVAL + " select conv_id, turn, round(n / (n + 0.5 * (len(a) + len(b) - 2 * n)), 9)::double as answer_correctness, round(n / len(a), 9)::double as context_recall, round(n / len(b), 9)::double as faithfulness, round(n / sqrt(len(a) * len(b)), 9)::double as answer_relevancy from x where len(a) > 0 and len(b) > 0")
+def evaluate_full(spark, sf_dir):
+    t = _turns(spark, sf_dir).where("a is not null").where((F.size(E.claims(F.col("a"))) > 0) & (F.size(E.claims(F.col("b"))) > 0))
+    rows = t.select("conv_id", "turn", F.col("a").alias("user_input"), F.col("a").alias("reference"), F.col("b").alias("response"), F.array("b").alias("retrieved_contexts"))
+    # the contexts are the response for recall and the reference for faithfulness
+    recall = E.evaluate(rows).select("conv_id", "turn", "answer_correctness", "context_recall", "answer_relevancy")
+    faith = E.evaluate(rows.withColumn("retrieved_contexts", F.array("reference"))).select("conv_id", "turn", "faithfulness")
+    return recall.join(faith, ["conv_id", "turn"]).select("conv_id", "turn", *[F.round(c, 9).alias(c) for c in ("answer_correctness", "context_recall", "faithfulness", "answer_relevancy")])
+
+
+@query(_EVAL + " select conv_id, turn, round(case when len(a) + len(b) = 0 then 0 else n / (n + 0.5 * (len(a) + len(b) - 2 * n)) end, 9)::double as answer_correctness from x")
+def evaluate_only_correctness(spark, sf_dir):
+    t = _turns(spark, sf_dir).where("a is not null").select("conv_id", "turn", F.col("a").alias("reference"), F.col("b").alias("response"))
+    return E.evaluate_minimal(t).select("conv_id", "turn", F.round("answer_correctness", 9).alias("answer_correctness"))
+
+
+@query("select 0::bigint as query_id, 0::int as rank, 0::bigint as ordinal, 0.0::double as score where false")
+def search_without_queries(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return R.top_k(v, v.where("false").select(F.col("ordinal").alias("query_id"), F.lit(0).alias("variant"), "embedding"), 20).select("query_id", "rank", "ordinal", "score")
+
+
+@query("select unnest([" + ", ".join(f"'{n}'" for n in PL.COMPONENTS) + "]) as name")
+def component_names(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n in PL.COMPONENTS if callable(PL.component(n))], "name string")
+
+
+@query("""select c.*, (row_number() over (order by doc_id, chunk_idx) - 1) as ordinal from (select doc_id || '_raw_text' as doc_id, k::int as chunk_idx, substring(text, (k * 1000 + 1)::bigint, 1000) as text
+ from (select doc_id, text, unnest(generate_series(0, greatest(0, ceil((length(text) - 1000) / 1000.0))::bigint)) as k from documents where text <> '')) c""")
+def offline_pipeline(spark, sf_dir):
+    offline = PL.OfflinePipeline(["RawTextProcessor"], "FixedCharacterChunker", "PassthroughIndexBuilder", PL.Offline({"chunk_size": 1000, "overlap": 0}))
+    return offline.run(documents(spark, sf_dir), new_path(spark, "offline"))[1].select("doc_id", "chunk_idx", "text", "ordinal")
+
+
+def _first_words(name: str, condition: str) -> str:
+    return f"""with c as (select row_number() over (order by doc_id::varchar) - 1 as ordinal, text from documents where text <> ''),
+q as (select row_number() over (order by item_id) - 1 as query_id, text as q from benchmark {condition}),
+ce as {_EMBED.format(key="ordinal", src="c")}, qe as {_EMBED.format(key="query_id", src="(select query_id, q as text from q)")},
+h as (select query_id, ordinal from ce, qe qualify row_number() over (partition by query_id order by round(list_cosine_similarity(ce.e, qe.e), 9) desc, ordinal) <= 1)
+select h.query_id, 'Source 1:' || chr(10) || c.text as {name} from h join c using (ordinal)"""
+
+
+def _answers(spark, sf_dir, ask) -> DataFrame:
+    offline = PL.OfflinePipeline(["RawTextProcessor"], "PassthroughChunker", "FaissIndexBuilder", PL.Offline())
+    index = offline.run(documents(spark, sf_dir), new_path(spark, "online"))[1]
+    online = PL.OnlinePipeline("NoProcessingProcessor", "FaissRetriever", "PassthroughReranker", "PassthroughGenerator", PL.Online(top_k=1, top_n=1))
+    texts = [r.text for r in table(spark, sf_dir, "benchmark").orderBy("item_id").collect()]  # the query set, not the corpus
+    return ask(online, index, texts)
+
+
+@query(_first_words("response", ""))
+def multiple_queries(spark, sf_dir):
+    return _answers(spark, sf_dir, lambda online, index, texts: online.multiple(index, texts)).select("query_id", "response")
+
+
+@query(_first_words("response", "qualify query_id = 0"))
+def online_query(spark, sf_dir):
+    return _answers(spark, sf_dir, lambda online, index, texts: online.query(index, texts[0])).select("query_id", "response")
+
+
+@query("""with c as (select 'c' || s as run_name, s, unnest(generate_series(0, greatest(0, ceil((length(text) - s) / s::double))::bigint)) as k, text from documents, (select unnest([500, 1500]) as s) where text <> ''),
+n as (select run_name, round_even(1.2 * len(list_filter(regexp_split_to_array(substring(text, (k * s + 1)::bigint, s), '\\s+'), lambda w: w <> '')), 0)::int as n from c)
+select run_name, count(*) as num_chunks, round(avg(n), 1) as avg_chunk_tokens, greatest(1, floor(1500 / avg(n)))::int as top_n, 0.0::double as negative_negative_rejection from n group by run_name""")
+def experiment_runs(spark, sf_dir):
+    """Two runs of an experiment over all documents, with negative questions; the default generator answers from the best chunk."""
+    runs = [{"name": f"c{s}", "preprocessors": ["RawTextProcessor"], "chunker": "FixedCharacterChunker", "params": {"chunk_size": s, "overlap": 0}, "threshold": None} for s in (500, 1500)]
+    out = PL.run_experiment(documents(spark, sf_dir), _qa(spark, sf_dir), runs, new_path(spark, "runs"), negative=_qa(spark, sf_dir))
+    return out.select("run_name", "num_chunks", "avg_chunk_tokens", "top_n", "negative_negative_rejection")
+
+
+@query("select unnest(['docling_only', 'gemini_only', 'docling_only_direct_llm', 'paper_llm']) as run_name, unnest([1, 1, 2, 2])::int as phase")
+def preprocessing_phases(spark, sf_dir):
+    """The two-phase experiment: equal first runs, so the first wins and goes on."""
+    out = PL.two_phases(documents(spark, sf_dir), _qa(spark, sf_dir), new_path(spark, "phases"), "FixedCharacterChunker", {"chunk_size": 1500, "overlap": 0})
+    return out.select("run_name", "phase")
+
+
+@query(f"select 'positive' as kind, count(*) as n from benchmark union all select 'negative', count(*) from benchmark")
+def main_program(spark, sf_dir):
+    """The main program over all documents: how many questions of each kind were evaluated."""
+    config = {"offline_config": {"chunking_params": {"chunk_size": 1500, "overlap": 0}}, "online_config": {"top_k": 9, "top_n": 3, "reranking_score_threshold": 0.0}, "offline_pipeline": {"preprocessors": ["RawTextProcessor"], "chunker": "FixedCharacterChunker", "index_builder": "FaissIndexBuilder"}, "online_pipeline": {"query_processor": "NoProcessingProcessor", "retriever": "FaissRetriever", "reranker": "JinaReranker", "generator": "HuggingfaceGenerator"}}
+    a, b = PL.run_main(config, documents(spark, sf_dir), _qa(spark, sf_dir), _qa(spark, sf_dir), new_path(spark, "main"))
+    count = lambda df, kind, score: df.where(F.col(score).isNotNull()).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return count(a, "positive", "answer_correctness").unionByName(count(b, "negative", "negative_rejection"))

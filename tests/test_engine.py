@@ -117,6 +117,10 @@ def test_boundaries(spark):
     assert C.find_boundaries(paras, lambda w: "answer: id 999")[0] == C.find_boundaries(paras, lambda w: "Answer: ID 0")[0]
     assert C.find_boundaries(paras, lambda w: "no idea") == [20]
     assert C.find_boundaries(["w " * 600] * 8, lambda w: 1 / 0) == [1, 2, 3, 8]
+    ten = ["w " * 300] * 10
+    assert C.find_boundaries(ten, lambda w: "Answer: ID 99") == [2, 4, 6, 10] and C.find_boundaries(ten, lambda w: f"Answer: ID {w[0][0]}") == [2, 4, 6, 10]
+    assert C.find_boundaries(ten, lambda w: f"Answer: ID {w[-1][0]}") == [1, 2, 3, 4, 5, 10] and C.find_boundaries(ten, lambda w: f"Answer: ID {w[-1][0] + 1}") == [2, 4, 6, 10]
+    assert C.find_boundaries(ten, lambda w: None) == [10] and C.find_boundaries(ten, lambda w: None if w[0][0] == 0 else "Answer: ID 0") == [4, 6, 10]
     d = docs(spark, "\n\n".join(paras))
     first = C.boundaries(d)
     again = C.boundaries(d, lambda w: 1 / 0, first)
@@ -214,6 +218,12 @@ def test_sources(spark, tmp_path):
     (tmp_path / "b" / "doc_1__0123456789abcdef.json").write_text('{"boundary_ids": [1, 4]}')
     (tmp_path / "b" / "doc_2__0123456789abcdef.json").write_text("{broken")
     assert [tuple(r) for r in S.boundary_cache(spark, f"{tmp_path}/b").collect()] == [("doc_1", "0123456789abcdef", [1, 4])]
+    (tmp_path / "docs" / "p.pdf").write_bytes(b"%PDF-1.4 \xff\xfe")
+    with pytest.raises(Exception, match="not a text file"):
+        S.from_paths(spark, [f"{tmp_path}/docs"]).collect()
+    assert {r.text for r in S.from_paths(spark, [f"{tmp_path}/docs"], lambda b: f"{len(b)} bytes").collect()} == {"eins", "zwei", "11 bytes"}
+    with pytest.raises(Exception, match="not converted"):
+        P.preconverted(spark.createDataFrame([("a", None)], "doc_id string, text string"), "x").collect()
     a, b = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([("z",)], "y string")
     S.write_summary([a, b], f"{tmp_path}/s.csv")
     assert spark.read.csv(f"{tmp_path}/s.csv", header=True).columns == ["x", "y"]
