@@ -206,28 +206,40 @@ def boundaries(docs: DataFrame, detect=rule_detector, cache: DataFrame | None =
 # --- similarity-driven clusters ------------------------------------------------------------------
 
 
+class Clusters:
+    """Cluster numbers of vectors given in order; only the open cluster's vectors are held."""
+
+    def __init__(self, fixed_threshold: float, c: float, init_constant: float):
+        self.bars = fixed_threshold, c, init_constant
+        self.open, self.size, self.tight, self.number = np.empty((0, 0)), 0, -np.inf, -1
+
+    def add(self, v: np.ndarray) -> int:
+        """A vector joins if its greatest similarity to the cluster beats the fixed threshold and the cluster's own
+        tightness, which weighs more as the cluster grows."""
+        fixed, c, init = self.bars
+        n = np.linalg.norm(v)
+        u = v / n if n > 0 else np.zeros_like(v)
+        if self.size:
+            near = self.open[: self.size] @ u
+            if self.size == 1:
+                least, sim, bar = near[0], init * near[0], 0.0
+            else:
+                bar, sim = self.tight * c / (1 + np.exp(-(self.size - 1.0))), near.max()
+                least = min(near.min(), self.tight)
+            if sim > max(bar, fixed):
+                if self.size == len(self.open):
+                    self.open = np.concatenate([self.open, np.empty_like(self.open)])
+                self.open[self.size] = u
+                self.size, self.tight = self.size + 1, least
+                return self.number
+        self.open, self.size, self.tight, self.number = u[None].repeat(2, axis=0), 1, -np.inf, self.number + 1
+        return self.number
+
+
 def cluster_vectors(v: np.ndarray, fixed_threshold: float, c: float, init_constant: float) -> list[int]:
-    """Cluster number of each vector in order: it joins if its greatest similarity to the cluster beats the
-    fixed threshold and the cluster's own tightness, which weighs more as the cluster grows."""
-    if not len(v):
-        return []
-    n = np.linalg.norm(v, axis=1, keepdims=True)
-    u = np.divide(v, n, out=np.zeros_like(v, dtype=np.float64), where=n > 0)
-    out, first, tight = [0], 0, -np.inf
-    for i in range(1, len(u)):
-        near = u[first:i] @ u[i]
-        if i - first == 1:
-            least, sim, bar = near[0], init_constant * near[0], 0.0
-        else:
-            bar, sim = tight * c / (1 + np.exp(-(i - first - 1.0))), near.max()
-            least = min(near.min(), tight)
-        if sim > max(bar, fixed_threshold):
-            tight = least
-            out.append(out[-1])
-        else:
-            first, tight = i, -np.inf
-            out.append(out[-1] + 1)
-    return out
+    """Cluster number of each vector in order."""
+    clusters = Clusters(fixed_threshold, c, init_constant)
+    return [clusters.add(x) for x in np.asarray(v, np.float64)]
 
 
 def by_similarity(docs: DataFrame, embed: Callable[[list[str]], np.ndarray] | None = None, fixed_threshold: float = 0.6, c: float = 0.9, init_constant: float = 1.5, model: str = "hash") -> DataFrame:
@@ -253,12 +265,21 @@ def by_similarity(docs: DataFrame, embed: Callable[[list[str]], np.ndarray] | No
 
 
 def cluster_rows(rows: DataFrame, key: str, order: str, vector: str, fixed_threshold: float = 0.6, c: float = 0.9, init_constant: float = 1.5) -> DataFrame:
-    """(key, i, cluster) for vectors that already have rows of their own, in ``order`` within each ``key``."""
+    """(key, i, cluster) for vectors that already have rows of their own, in ``order`` within each ``key``.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o")
-        ids = cluster_vectors(np.stack(pdf.v.to_numpy()).astype(np.float64), fixed_threshold, c, init_constant)
-        return pd.DataFrame({"k": pdf.k, "i": np.arange(1, len(pdf) + 1), "cluster": ids})
+    Rows come sorted and go through batch by batch; of a key only its open cluster is held, however many rows it has.
+    """
+
+    def run(batches):
+        last, clusters, i = object(), None, 0
+        for pdf in batches:
+            out = []
+            for k, v in zip(pdf.k, pdf.v):
+                if clusters is None or k != last:
+                    last, clusters, i = k, Clusters(fixed_threshold, c, init_constant), 0
+                i += 1
+                out.append((k, i, clusters.add(np.asarray(v, np.float64))))
+            yield pd.DataFrame(out, columns=["k", "i", "cluster"])
 
     src = rows.select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), F.col(vector).alias("v"))
-    return src.groupBy("k").applyInPandas(run, "k string, i long, cluster long")
+    return src.repartition("k").sortWithinPartitions("k", "o").mapInPandas(run, "k string, i long, cluster long")
