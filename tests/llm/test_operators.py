@@ -366,7 +366,7 @@ def test_mixing_keeps_what_one_shard_learnt(monkeypatch, docs):
     assert np.allclose(w, [[4, 4], [0.5, 0.5], [2, 2]], atol=1e-4) and (s == 1).all() and used.tolist() == [8, 4, 0]
     starts = []
     monkeypatch.setattr(maxent, "_round", lambda src, shards, tables, model, second: (starts.append((src.count(), float(model[0][0, 0]))), model[0].__iadd__(1)))
-    maxent.train(docs, maxent.Tables(maxent.count_words(docs)))
+    maxent.train(docs, maxent.Tables(maxent.count_words(docs)), rounds=3)
     assert [x for _, x in starts] == [0, 1, 2] and sum(n for n, _ in starts) == docs.count()
 
 
