@@ -8,7 +8,7 @@ from quarry.functions import text as T, vectors as V
 from quarry.operators import chunk as C, evaluate as E, preprocess as P, retrieve as R, tables as TB
 from quarry.plans import pipeline as PL
 from quarry.sources import tables as S
-from quarry.sources.shared import new_path
+from quarry.sources.shared import new_path, spread
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -25,7 +25,7 @@ def query(oracle: str | None = None, name: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

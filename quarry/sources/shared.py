@@ -48,3 +48,22 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of files that are worth a task of their own.
+TASK_BYTES = 1 << 20
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """``scan``, a plain read of files, with its rows dealt out where a few large row groups would leave most cores idle.
+
+    That is a scan of fewer files than tasks worth starting and of less than one split a core: so much is shuffled at most, whatever
+    the input's size. A larger scan fills the cores with splits of its own and stays as it is.
+    """
+    spark = scan.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    tasks = min(cores, size // TASK_BYTES)
+    if size >= cores * split or len(scan._jdf.inputFiles()) >= tasks:
+        return scan
+    return scan.repartition(tasks)

@@ -8,12 +8,13 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, strategies as st
 
 from quarry.functions import text as T, vectors as V
 from quarry.operators import chunk as C, evaluate as E, preprocess as P, retrieve as R, tables as TB
 from quarry.plans import pipeline as PL
 from quarry.queries import ORACLES, QUERIES
-from quarry.sources import tables as S
+from quarry.sources import shared, tables as S
 
 DATA = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -272,3 +273,28 @@ def test_text_rules_agree(spark):
     for r in df.select("t", T.sentences(F.col("t")).alias("s"), T.paragraphs(F.col("t")).alias("p"), T.approx_tokens(F.col("t")).alias("n"), T.expand_abbreviations(F.col("t")).alias("e"), T.lines(F.col("t")).alias("l")).collect():
         assert (r.s, r.p, r.n, r.e, r.l) == (T.split_sentences(r.t), T.split_paragraphs(r.t), T.approx(r.t), T.expand(r.t), r.t.splitlines())
     assert re.match(r"[0-9a-f]{16}$", T.short_hash("x")) and V.hash_bucket("x") < V.DIM
+
+
+@given(st.lists(st.sampled_from(["SWS", "ECTS-LP", "LP", "MP", "SL", "PBB", "Pnr.", "Pnr", "ECTS-", "7", "12", "\u0663", " ", "  ", "\n", "-", ".", "x", "ä", "_", "|"]), max_size=12).map("".join))
+def test_one_scan_expands_like_one_pattern_after_the_other(text):
+    expected = text
+    for pattern, full in T.ABBREVIATIONS:
+        expected = re.sub(pattern, full, expected)
+    assert T.expand(text) == expected
+
+
+def test_few_large_row_groups_are_dealt_out(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/one"
+    spark.range(1000).selectExpr("id", "repeat(md5(string(id)), 100) as t").coalesce(1).write.parquet(path)
+    scan = spark.read.parquet(path)
+    assert shared.spread(scan) is scan  # too small for tasks of its own
+    monkeypatch.setattr(shared, "TASK_BYTES", 1 << 10)
+    dealt = shared.spread(scan)
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(dealt.collect()) == sorted(scan.collect())
+    many = f"{tmp_path}/many"
+    scan.repartition(spark.sparkContext.defaultParallelism).write.parquet(many)
+    many = spark.read.parquet(many)
+    assert shared.spread(many) is many
+    scan.limit(0).write.parquet(f"{tmp_path}/none")
+    assert shared.spread(spark.read.parquet(f"{tmp_path}/none")).count() == 0
