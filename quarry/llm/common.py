@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from quarry.sources.shared import new_path, shared_dir, written  # noqa: F401
+from quarry.sources.shared import new_path, shared_dir, spread, written  # noqa: F401
 
 
 #: Bytes of an Arrow batch, unless the session has a bound of its own: what a Python worker and the JVM beside it hold at once.
@@ -27,7 +27,7 @@ def bounded(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def id_and_bytes(docs: DataFrame, *more: Column) -> DataFrame:
