@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import binary, decontaminate, language, lines, maxent, packing, quality, simhash, suffixes, toxicity
+from quarry.llm import binary, chat, clusters, decontaminate, language, lines, maxent, packing, quality, simhash, spelling, suffixes, toxicity
 from quarry.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -56,12 +56,24 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.expand(chat.with_probe(read(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_language, op4_decontamination, op5_simhash, op6_lines, op7_quality, op8_maxent, op9_simple8b, op10_suffixes, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_language, op4_decontamination, op5_simhash, op6_lines, op7_quality, op8_maxent, op9_simple8b, op10_suffixes, op11_lloyd, op12_spelling, op13_chat, pipeline)}
 
-ORACLE_SQL = {"op4_decontamination": decontaminate.oracle(), "op6_lines": lines.oracle()}
+ORACLE_SQL = {"op4_decontamination": decontaminate.oracle(), "op6_lines": lines.oracle(), "op11_lloyd": clusters.oracle(), "op12_spelling": spelling.oracle(), "op13_chat": chat.oracle()}
