@@ -9,6 +9,7 @@ skip) and the pair of both, hashed; logits are sums of one weight row a feature.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -29,9 +30,9 @@ OWN, ENDINGS, COARSE, PAIRS, GROW = 4096, 1024, 512, 1 << 14, (1 << 20, 1 << 22)
 #: top; counts of all others are joined.
 KNOWN = 250_000
 BATCH, RATE, SEED = 8192, 0.25, 3
-#: Synchronous rounds of training; tokens of a round that one shard learns from, until there are MOST_SHARDS; blocks
-#: a model is cut into for averaging, shards averaged by a task.
-ROUNDS, SHARD, MOST_SHARDS, BLOCKS, FANIN = 2, 3_000_000, 4096, 16, 64
+#: Synchronous rounds of training; tokens of a round that one shard learns from; tasks that shards are dealt to, at
+#: most; blocks a model is cut into for averaging, tasks' models averaged by one.
+ROUNDS, SHARD, TASKS, BLOCKS, FANIN = 2, 3_000_000, 20_000, 16, 64
 #: Text that is cut into words at once.
 CUT = 2 << 20
 END = b""
@@ -92,6 +93,16 @@ def _some(batches, most: int):
         yield ids, texts
 
 
+def _by_shard(batches):
+    """(shard, rows without it) of batches that come sorted by their first column."""
+    for b in batches:
+        shard = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for a, e in zip(cuts, cuts[1:]):
+            if e > a:
+                yield int(shard[a]), b.slice(a, e - a).select([1, 2])
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word binary, n): counts of A-Z-lower-cased words over all whole texts; END once a text."""
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
@@ -289,14 +300,15 @@ def train(docs: DataFrame, tables: Tables, rounds: int | None = None) -> list[np
 
     A hash deals documents to ROUNDS rounds and to shards of about SHARD tokens a round. In each round every shard
     makes its own gradient steps, over its documents by id, from the model mixed so far; the shards' rows, cut into blocks, are
-    averaged by the tokens that used them (``mix``) in a tree of at most FANIN shards a task. Neither the
-    input's partitions nor the cluster's size has a bearing on the model.
+    averaged by the tokens that used them (``mix``) in a tree of at most FANIN models a task. Shards keep their size
+    however large the input; beyond TASKS of them a task learns several, each from the mixed model, and averages them as
+    it goes. Neither the input's partitions nor the cluster's size has a bearing on the model.
     """
     model, rounds = new_model(tables), rounds or ROUNDS
     second = [np.full(len(w), 1e-2, np.float32) for w in model]
-    shards = max(1, min(MOST_SHARDS, -(-int(tables.n) // (rounds * SHARD))))
+    shards = max(1, -(-int(tables.n) // (rounds * SHARD)))
     hashed = F.xxhash64("doc_id", "text")
-    src = id_and_bytes(docs).withColumn("h", hashed).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
+    src = id_and_bytes(docs).withColumn("h", hashed).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     turn, known = F.pmod("h", F.lit(rounds)), docs.sparkSession.sparkContext.broadcast(tables)
     for r in range(rounds):
         _round(src.where(turn == r), shards, known, model, second)
@@ -322,18 +334,21 @@ def _round(src: DataFrame, shards: int, known, model, second) -> None:
             at, row = at + n * width, row + n
 
     def run(batches):
-        tables, (start, second) = known.value, sent.value
-        model, second = [w.astype(np.float32) for w in start], [x.copy() for x in second]
-        used, seen, ranks = [np.zeros(len(w), np.float32) for w in model], False, tables.lookup()
-        for _, texts in _some(batches, CUT):
-            words, code, starts = cut(texts)
-            learn(tables, model, second, used, _indices(ranks, words)[code], starts)
-            seen = True
-        if seen:
-            shard = TaskContext.get().partitionId()
+        tables, (start, moments) = known.value, sent.value
+        ranks, mixed = tables.lookup(), None
+        for _, rows in itertools.groupby(_by_shard(batches), key=lambda x: x[0]):
+            model, second = [w.astype(np.float32) for w in start], [x.copy() for x in moments]
+            used = [np.zeros(len(w), np.float32) for w in model]
+            for _, texts in _some((b for _, b in rows), CUT):
+                words, code, starts = cut(texts)
+                learn(tables, model, second, used, _indices(ranks, words)[code], starts)
+            own = list(zip(model, second, used))
+            mixed = own if mixed is None else [mix(pair) for pair in zip(mixed, own)]
+        if mixed is not None:
+            task = TaskContext.get().partitionId()
             for k in range(BLOCKS):
-                parts = [[x[_cut(k, len(x))] for x in col] for col in (model, second, used)]
-                yield batch(schema, [k], [shard], *([x] for x in packed(parts)))
+                parts = [[x[_cut(k, len(x))] for x in col] for col in zip(*mixed)]
+                yield batch(schema, [k], [task], *([x] for x in packed(parts)))
 
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard")  # sums of floats depend on their order
@@ -343,8 +358,9 @@ def _round(src: DataFrame, shards: int, known, model, second) -> None:
         return pd.DataFrame({"block": [k], "shard": [int(pdf.shard.iloc[0]) // FANIN], "w": [w], "s": [s], "used": [used]})
 
     kind = "block int, shard long, w binary, s binary, used binary"
-    dealt = src.repartitionById(shards, F.col("shard")).sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    rows, left = dealt.mapInArrow(run, kind), shards
+    tasks = min(shards, TASKS)
+    dealt = src.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "doc_id", "h").select("shard", "doc_id", "text")
+    rows, left = dealt.mapInArrow(run, kind), tasks
     while True:
         rows = rows.groupBy("block", F.floor(F.col("shard") / FANIN).alias("g")).applyInPandas(mean, kind)
         left = -(-left // FANIN)

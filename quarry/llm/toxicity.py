@@ -112,6 +112,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], weights: tuple[float, fl
     return w0, w, v, scale, float(mass[1] / max(1e-9, mass.sum()))
 
 
+#: Hash values that deal labels to the sample.
+SHARES = 1 << 40
+
+
+def sample_rate(most: int, n: int) -> int:
+    """Of SHARES hash values those that take about ``most`` of ``n`` labels."""
+    return min(SHARES, most * SHARES // max(1, n))
+
+
 def train(docs: DataFrame, labels: DataFrame, usable=None) -> tuple:
     """Fit on ``labels.toxic`` of documents where ``usable`` (a column of doc_id; default all) holds.
 
@@ -125,8 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, usable=None) -> tuple:
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     most = {1: MOST_POSITIVE, 0: MOST_NEGATIVE}
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    rate = {y: min(1 << 20, (k << 20) // max(1, n.get(y, 0))) for y, k in most.items()}
+    h = F.xxhash64("id")  # 40 bits of it: a class keeps its bound up to a million million labels times the bound
+    share = F.pmod(h, F.lit(1 << 20)) * (1 << 20) + F.pmod(F.shiftright(h, 20), F.lit(1 << 20))
+    rate = {y: sample_rate(k, n.get(y, 0)) for y, k in most.items()}
     take = known.where(share < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0])).withColumn("share", share)
     sample = id_and_bytes(docs).join(F.broadcast(take), F.col("doc_id") == F.col("id"))
     schema = pa.schema([("doc_id", pa.int64()), ("share", pa.int64()), ("y", pa.int32()), ("h", pa.int64()), ("size", pa.int64()), ("ids", pa.binary()), ("x", pa.binary())])
@@ -146,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, usable=None) -> tuple:
     got = rows.where(F.col("share") < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0])).select("doc_id", "h", "y", "ids", "x").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("h", "ascending")])
     data = [(np.frombuffer(i.as_py(), np.int32), np.frombuffer(x.as_py(), np.float32), y) for i, x, y in zip(got["ids"], got["x"], got["y"].to_pylist())]
-    return fit(data, tuple((1 << 20) / max(1, rate[y]) for y in (0, 1)))
+    return fit(data, tuple(SHARES / max(1, rate[y]) for y in (0, 1)))
 
 
 def _scores(model: tuple, texts, terms: dict):

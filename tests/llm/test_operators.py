@@ -386,6 +386,42 @@ def test_model_does_not_depend_on_partitions(spark, monkeypatch, shard):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
 
 
+def test_shards_keep_their_size(spark, monkeypatch):
+    """Where a task learns several shards, each starts from the mixed model and the average is the tree's."""
+    monkeypatch.setattr(maxent, "SHARD", 1500)
+    rng = random.Random(8)
+    d = spark.createDataFrame([(i, text(rng, 60)) for i in range(300)], "doc_id long, text string")
+    tables = maxent.Tables(maxent.count_words(d))
+    models = []
+    for tasks in (10_000, 2, 1):
+        monkeypatch.setattr(maxent, "TASKS", tasks)
+        models.append(maxent.train(d, tables))
+    assert all(np.allclose(a, b, atol=2e-3) for other in models[1:] for a, b in zip(models[0], other)) and max(abs(w).max() for w in models[0]) > 0.05
+
+
+def test_gradient_steps_lower_the_loss(spark):
+    """The loss a step descends is the model's own log probability, which sums over features one by one."""
+    rng = random.Random(9)
+    data = [" ".join(WORDS[(i * 7 + j * j) % 90] for j in range(80)).encode() for i in range(30)]
+    d = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(data)], "doc_id long, text string")
+    tables = maxent.Tables(maxent.count_words(d))
+    words, code, starts = maxent.cut(data)
+    idx = maxent._indices(tables.lookup(), words)[code]
+    model = maxent.new_model(tables)
+    before = maxent.log_probs(tables, model, idx, starts).sum()
+    second, used = [np.full(len(w), 1e-2, np.float32) for w in model], [np.zeros(len(w), np.float32) for w in model]
+    for _ in range(3):
+        maxent.learn(tables, model, second, used, idx, starts)
+    assert maxent.log_probs(tables, model, idx, starts).sum() > before + 0.2 * abs(before)
+
+
+def test_sample_rate_never_loses_a_class():
+    for n in (0, 1, 3000, 10**6, 5 * 10**9, 10**13):
+        rate = toxicity.sample_rate(4000, n)
+        assert 0 < rate <= toxicity.SHARES and rate * max(1, n) <= 4000 * toxicity.SHARES
+        assert n < 4000 or rate * n > 0.99 * 4000 * toxicity.SHARES
+
+
 def test_probabilities_sum_to_one(spark):
     data = [(i, " ".join(f"w{(i * 37 + j * j) % 4000}" for j in range(400))) for i in range(400)]
     counts = maxent.count_words(spark.createDataFrame(data, "doc_id long, text string")).cache()
@@ -446,6 +482,37 @@ def test_assign(lengths):
     assert sum(1024 - x for x in fill.values()) < 1024 and sum(fill.values()) == sum(lengths)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 1023), min_size=1, max_size=120))
+def test_assign_takes_the_cheapest_with_room(lengths):
+    n = -(-sum(lengths) // 1024)
+    costs, fill, last = [0.0] * n, [0] * n, 1024
+    for i, a, size, s, _ in packing.assign(lengths):
+        assert costs[s] == min(c for c, f in zip(costs, fill) if f < 1024) and lengths[i] <= last
+        costs[s], fill[s], last = costs[s] + packing.cost(size), fill[s] + size, lengths[i]
+
+
+def test_assign_balances_cost():
+    """Against filling one sequence after the other, the spread of costs falls to a small part."""
+    rng = random.Random(4)
+    lengths = [rng.choice([30, 60, 900]) for _ in range(600)]
+
+    def spread(pieces):
+        costs = Counter()
+        for s, size in pieces:
+            costs[s] += packing.cost(size)
+        full = sorted(costs.values())[1:]  # one sequence may be short
+        return max(full) - min(full)
+
+    one_by_one, at = [], 0
+    for n in lengths:
+        while n:
+            size = min(n, 1024 - at % 1024)
+            one_by_one.append((at // 1024, size))
+            n, at = n - size, at + size
+    assert spread([(s, size) for _, _, size, s, _ in packing.assign(lengths)]) < 0.5 * spread(one_by_one)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50256), st.integers(0, 2**64 - 1)), max_size=600))
 def test_simple8b(ids):
