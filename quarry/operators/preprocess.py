@@ -11,11 +11,11 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarry.functions.models import LayoutModel, Once
 from quarry.schemas import DOCUMENT
-from quarry.sources.shared import written
+from quarry.sources.store import text_store
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -34,24 +34,34 @@ def cached(docs: DataFrame, step: Step, cache: DataFrame) -> tuple[DataFrame, Da
     return hit.select(*new.columns).unionByName(new), new
 
 
+#: The source hash of a null text, which no text has.
+NO_TEXT = "-" * 64
+
+
+def source_hash(text: Column) -> Column:
+    return F.coalesce(F.sha2(text, 256), F.lit(NO_TEXT))
+
+
 def write_through(docs: DataFrame, step: Step, folder: str, name: str) -> DataFrame:
-    """``step``, which processes texts under their ids, over ``docs`` with the cache ``name`` in ``folder``: only what it
-    lacks is processed, and is added to it; ids get the step's name.
+    """``step`` over ``docs`` with the cache ``name`` in ``folder``: only what it lacks is processed, and is added to
+    it; ids get the step's name.
 
-    The cache is a Parquet table (doc_id, source_hash, text); an absent folder is an empty one. The new texts are
-    written before anything is read back, so a repeated run processes nothing.
+    ``step`` gets every different pair of id and text once, under an id of its own (the text's hash and the document's id), so
+    documents that share an id keep their own texts, null ones too. What it computed is staged, read back and published
+    whole (see ``Store``), so a repeated run processes nothing and one that is killed leaves nothing.
     """
-    spark, path, kind = docs.sparkSession, f"{folder}/{name}", "doc_id string, source_hash string, text string"
-    keyed = docs.withColumn("source_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
-    try:
-        known = spark.read.schema(kind).parquet(path)
-    except AnalysisException:
-        known = spark.createDataFrame([], kind)
-    miss = written(keyed.join(known, ["doc_id", "source_hash"], "left_anti"), "misses")
-    new = step(miss.drop("source_hash")).select("doc_id", "text").join(miss.select("doc_id", "source_hash"), "doc_id")
-    new.select("doc_id", "source_hash", "text").dropDuplicates(["doc_id", "source_hash"]).write.mode("append").parquet(path)
-    known = spark.read.schema(kind).parquet(path).dropDuplicates(["doc_id", "source_hash"])
-    return renamed(keyed.drop("text").join(known, ["doc_id", "source_hash"]).drop("source_hash").select(*docs.columns), name)
+    cache = text_store(docs.sparkSession, f"{folder}/{name}")
+    keyed = docs.withColumn("source_hash", source_hash(F.col("text")))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["source_hash"] == b["source_hash"])
+    known = cache.read()
+    miss = keyed.join(known, same(keyed, known), "left_anti").dropDuplicates(["doc_id", "source_hash"])
+    own = F.concat("source_hash", F.coalesce(F.concat(F.lit("."), "doc_id"), F.lit("")))
+    done = step(miss.withColumn("doc_id", own).drop("source_hash")).select(F.col("doc_id").alias("own"), "text")
+    doc_id = F.when(F.length("own") > len(NO_TEXT), F.expr(f"substr(own, {len(NO_TEXT) + 2})"))
+    cache.add(done.select(doc_id.alias("doc_id"), F.substring("own", 1, len(NO_TEXT)).alias("source_hash"), "text"))
+    known = cache.read()
+    both = keyed.drop("text").alias("k").join(known.alias("c"), F.col("k.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("k.source_hash") == F.col("c.source_hash")))
+    return renamed(both.select(*[F.col(f"c.{c}" if c == "text" else f"k.{c}") for c in docs.columns]), name)
 
 
 def preconverted(docs: DataFrame, name: str) -> DataFrame:
@@ -117,6 +127,17 @@ def rewrite(docs: DataFrame, model: Callable[[str], str] = linearize, name: str
     return renamed(docs.select("doc_id", "source_path", "text", "preprocessor_name").mapInPandas(run, DOCUMENT), name)
 
 
+def by_layout(docs: DataFrame, make: Callable[[], Callable[[str], str]] = LayoutModel, name: str = "markdown_docling") -> DataFrame:
+    """Texts converted by a layout model, which ``make`` builds on first use, once a worker process."""
+    model = Once(make)
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(text=[None if t is None else model(t) for t in pdf.text])
+
+    return renamed(docs.select("doc_id", "source_path", "text", "preprocessor_name").mapInPandas(run, DOCUMENT), name)
+
+
 def table_prompt(caption: Column, data: Column) -> Column:
     return F.concat(F.lit("Describe this table in full sentences.\nCaption: "), F.coalesce(caption, F.lit("")), F.lit("\nRows: "), F.to_json(data))
 
@@ -201,11 +222,9 @@ def page_contexts(items: DataFrame) -> DataFrame:
     return g.select("doc_id", F.transform(F.sequence(F.lit(0), n), of).alias("contexts"), F.transform("c", lambda s: s["above"]).alias("captions"))
 
 
-def batch_describe(tables: DataFrame, model: Callable[[str], str] | None = None, job: Callable[[list[str]], list[str | None]] | None = None) -> DataFrame:
-    """A description for each row's ``prompt``, from ``model`` prompt by prompt or from a batch ``job`` for the prompts of an Arrow batch.
-
-    A failed request (an error, or null from the job) is the empty string; a job that fails as a whole fails the query.
-    """
+def batch_describe(tables: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """A description for each row's ``prompt``, prompt by prompt; a failed request is the empty string. ``operators.jobs`` sends
+    the same requests as batch jobs."""
 
     def run(batches):
         def one(p):
@@ -215,10 +234,6 @@ def batch_describe(tables: DataFrame, model: Callable[[str], str] | None = None,
                 return ""
 
         for pdf in batches:
-            prompts = pdf.prompt.tolist()
-            found = [x or "" for x in job(prompts)] if job is not None else [one(p) for p in prompts]
-            if len(found) != len(prompts):
-                raise RuntimeError(f"the job answered {len(found)} of {len(prompts)} prompts")
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "table_index": pdf.table_index, "description": found})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "table_index": pdf.table_index, "description": [one(p) for p in pdf.prompt]})
 
     return tables.select("doc_id", "table_index", "prompt").mapInPandas(run, "doc_id string, table_index int, description string")

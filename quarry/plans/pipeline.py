@@ -32,7 +32,7 @@ class Online:
 #: Component names as configurations spell them. Models behind them are replaceable.
 COMPONENTS: dict[str, Callable] = {
     "RawTextProcessor": lambda docs: P.renamed(docs, "raw_text"),
-    "DoclingMarkdownProcessor": lambda docs: P.renamed(docs, "markdown_docling"),
+    "DoclingMarkdownProcessor": P.by_layout,
     "GeminiMarkdownProcessor": lambda docs: P.preconverted(docs, "markdown_gemini"),
     "DirectLLMProcessor": P.rewrite,
     "PaperLLMProcessor": P.paper,

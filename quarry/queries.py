@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import text as T, vectors as V
-from quarry.operators import chunk as C, evaluate as E, preprocess as P, retrieve as R, tables as TB
+from quarry.operators import chunk as C, evaluate as E, jobs as J, preprocess as P, retrieve as R, tables as TB
 from quarry.plans import pipeline as PL
 from quarry.sources import tables as S
+from quarry.sources.paged import pages_as_documents, read_pages
 from quarry.sources.shared import new_path, spread
+from quarry.sources.store import text_store
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -522,11 +524,9 @@ def evaluation_sink(spark, sf_dir):
 @query("select doc_id::varchar as doc_id, substring(sha256(coalesce(text, '')), 1, 16) as text_hash, len(string_split(text, chr(10)))::int as n from documents where doc_id % 3 <> 0 and text is not null")
 def boundary_sink(spark, sf_dir):
     """Boundaries of what was not cached, written and read back."""
-    path = new_path(spark, "boundaries")
     d = documents(spark, sf_dir).join(table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_semi")
     found = d.select("doc_id", T.text_hash(F.col("text")).alias("text_hash"), F.array(F.size(F.split("text", "\n"))).alias("boundary_ids"), (F.col("doc_id") % 3 == 0).alias("cached"))
-    S.write_boundaries(found, path)
-    return spark.read.parquet(path).select("doc_id", "text_hash", F.col("boundary_ids")[0].alias("n"))
+    return S.keep_boundaries(found, new_path(spark, "boundaries")).select("doc_id", "text_hash", F.col("boundary_ids")[0].alias("n"))
 
 
 @query("select doc_id::varchar || '_chunk_0' as chunk_id, text, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) as unit, list_position(e, list_max(e))::int as top from (select doc_id, text, " + "list_transform(range(0, 64), lambda b: len(list_filter(h, lambda x: x = b))::double) as n, list_transform(n, lambda x: case when list_sum(list_transform(n, lambda y: y * y)) > 0 then x / sqrt(list_sum(list_transform(n, lambda y: y * y))) else 0 end) as e from (select doc_id, text, list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), lambda w: ('0x' || substring(md5(w), 1, 6))::bigint % 64) as h from documents where text <> ''))")
@@ -549,10 +549,135 @@ def cache_write_through(spark, sf_dir):
     folder, docs = new_path(spark, "cache"), documents(spark, sf_dir)
     step = lambda mark: lambda d: d.withColumn("text", F.concat(F.lit(mark), "text"))
     first = P.write_through(docs.where("doc_id % 2 = 0"), step("> "), folder, "raw_text")
-    second = P.write_through(docs, lambda d: step("> ")(d.where("doc_id % 2 = 1")), folder, "raw_text")
+    second = P.write_through(docs, lambda d: step("> ")(d.where("substring_index(doc_id, '.', -1) % 2 = 1")), folder, "raw_text")
     return first.unionByName(second).groupBy("doc_id", "text").agg(F.count("*").alias("runs"))
 
 
+@query("""with x as (select doc_id // 3 as k, text, bool_or(doc_id % 2 = 0) over (partition by doc_id // 3, text) as early from documents)
+select k || '_raw_text' as doc_id, (case when early then '> ' else '! ' end) || coalesce(text, '(none)') as text from x""")
+def cache_repeated_ids(spark, sf_dir):
+    """Three documents an id, null texts among them. A writer that is killed before it publishes is not seen, and what one run
+    published the next one doesn't process again."""
+    folder = new_path(spark, "cache")
+    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 3).cast("string").alias("doc_id"), F.lit("").alias("source_path"), "text", F.lit("").alias("preprocessor_name"), (F.col("doc_id") % 2 == 0).alias("early"))
+    step = lambda mark: lambda d: d.withColumn("text", F.concat(F.lit(mark), F.coalesce("text", F.lit("(none)"))))
+    P.write_through(docs.where("early").drop("early"), step("> "), folder, "raw_text")
+    store = text_store(spark, f"{folder}/raw_text")
+    store.stage(docs.select("doc_id", P.source_hash(F.col("text")).alias("source_hash"), F.lit("half written").alias("text")))
+    store.compact()
+    return P.write_through(docs.drop("early"), step("! "), folder, "raw_text").select("doc_id", "text")
+
+
+# --- files and batch jobs ------------------------------------------------------------------------
+
+
+def _text_files(spark, sf_dir) -> str:
+    """All documents as files named by their ids."""
+    folder = new_path(spark, "texts")
+    S.write_texts(documents(spark, sf_dir).select(F.concat("doc_id", F.lit(".md.txt")).alias("name"), "text"), folder)
+    return folder
+
+
+@query("select doc_id::varchar || '.md' as doc_id, coalesce(text, '') as text from documents")
+def path_documents(spark, sf_dir):
+    return S.from_paths(spark, [_text_files(spark, sf_dir)]).select("doc_id", "text")
+
+
+@query("select doc_id::varchar || '.md_gemini' as doc_id, reverse(coalesce(text, '')) as text from documents")
+def text_cache_files(spark, sf_dir):
+    """Converted texts from a folder of files named by the documents they belong to."""
+    docs, folder = documents(spark, sf_dir).withColumn("doc_id", F.concat("doc_id", F.lit(".md"))), new_path(spark, "texts")
+    S.write_texts(docs.select(F.concat("doc_id", F.lit("_gemini.txt")).alias("name"), F.reverse("text").alias("text")), folder)
+    return S.converted(docs, S.text_cache(spark, folder), "gemini").select("doc_id", "text")
+
+
+@query("select doc_id::varchar as doc_id, substring(sha256(coalesce(text, '')), 1, 16) as text_hash, (doc_id % 5)::int as a, length(coalesce(text, ''))::int as b, doc_id % 7 = 0 as cached from documents where doc_id % 3 > 0 or doc_id % 7 = 0")
+def boundary_json_cache(spark, sf_dir):
+    """JSON files of boundaries, a third of them broken or without the key, taken into the store beside rows it has already."""
+    d = documents(spark, sf_dir).withColumn("text_hash", T.text_hash(F.col("text")))
+    ids = F.array((F.col("doc_id") % 5).cast("int"), F.length("text"))
+    broken = F.when(F.col("doc_id") % 2 == 0, F.lit("{broken")).otherwise(F.lit('{"other": 1}'))
+    content = F.when(F.col("doc_id") % 3 > 0, F.to_json(F.struct(ids.alias("boundary_ids")))).otherwise(broken)
+    files, folder = new_path(spark, "boundaries"), new_path(spark, "boundaries")
+    S.write_texts(d.select(F.concat("doc_id", F.lit("__"), "text_hash", F.lit(".json")).alias("name"), content.alias("text")), files)
+    S.keep_boundaries(d.where("doc_id % 7 = 0").select("doc_id", "text_hash", ids.alias("boundary_ids")), folder)
+    rows = S.keep_boundaries(S.boundary_cache(spark, files), folder)
+    return rows.select("doc_id", "text_hash", F.col("boundary_ids")[0].alias("a"), F.col("boundary_ids")[1].alias("b"), (F.col("doc_id") % 7 == 0).alias("cached"))
+
+
+@query("""select c.*, (row_number() over (order by doc_id, chunk_idx) - 1) as ordinal from (select doc_id || '_raw_text' as doc_id, k::int as chunk_idx, substring(text, (k * 900 + 1)::bigint, 1000) as text
+ from (select doc_id, text, unnest(generate_series(0, greatest(0, ceil((length(text) - 1000) / 900.0))::bigint)) as k from documents where text <> '')) c""")
+def yaml_pipeline(spark, sf_dir):
+    """The offline pipeline as a YAML file describes it."""
+    path = new_path(spark, "config")
+    said = "offline_config:\n  chunking_params: {chunk_size: 1000, overlap: 100}\noffline_pipeline:\n  preprocessors: [RawTextProcessor]\n  chunker: FixedCharacterChunker\n  index_builder: PassthroughIndexBuilder\nonline_pipeline: {query_processor: NoProcessingProcessor, retriever: FaissRetriever, reranker: JinaReranker, generator: HuggingfaceGenerator}"
+    spark.createDataFrame([(said,)], "value string").coalesce(1).write.text(path)
+    offline, _ = PL.from_config(S.load_yaml(path, spark))
+    return offline.run(documents(spark, sf_dir), new_path(spark, "offline"))[1].select("doc_id", "chunk_idx", "text", "ordinal")
+
+
+_LINES = f"array_to_string(list_filter(list_transform(string_split({_PAGE}, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10))"
+
+
+@query(f"select (page_id // 8)::bigint as file, count(*)::int as pages, string_agg(case when t = '' then '' else t || chr(10) end, '' order by page_id) as text from (select page_id, {_LINES} as t from pages) group by page_id // 8")
+def paged_files(spark, sf_dir):
+    """Pages written as files of eight, read page by page, cleaned, and put together as documents again."""
+    folder = new_path(spark, "paged")
+    pages = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 8).alias("file"), "page_id", F.coalesce("html", F.lit("")).alias("value"))
+    pages.repartition("file").sortWithinPartitions("file", "page_id").select("file", "value").write.partitionBy("file").option("lineSep", "\f").text(folder)
+    back = read_pages(spark, [folder], run_bytes=1 << 16).withColumn("text", P.html_to_text(F.col("text")))
+    docs = pages_as_documents(back).select(F.regexp_extract("source_path", "file=([0-9]+)", 1).cast("long").alias("file"), "text")
+    return docs.join(back.groupBy(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file")).agg(F.max("page").alias("pages")), "file").select("file", "pages", "text")
+
+
+_MARKS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(coalesce(html, ''), chr(10), ' '), '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<head\\b.*?</head>|<!--.*?-->', '', 'g'), '(?i)<li>', chr(10) || '- ', 'g'), '(?i)<h1>', chr(10) || '# ', 'g'), '(?i)</?(p|div|li|h1|article|section|ul|nav|footer|body)\\b[^>]*>|<br>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+for _entity, _char_of in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
+    _MARKS = f"replace({_MARKS}, '{_entity}', '{_char_of}')"
+
+
+@query(f"select 'page_' || page_id || '_markdown_docling' as doc_id, array_to_string(list_filter(list_transform(string_split({_MARKS}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10) || chr(10)) as text from pages")
+def layout_markdown(spark, sf_dir):
+    """Pages as Markdown by the layout model."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page_"), "page_id").alias("doc_id"), F.col("url").alias("source_path"), F.coalesce("html", F.lit("")).alias("text"), F.lit("").alias("preprocessor_name"))
+    return PL.component("DoclingMarkdownProcessor")(pages).select("doc_id", "text")
+
+
+@query("select p_partkey, case when p_size % 5 = 0 then '' else 'A: ' || p_size || '; B: ' || p_type || '.' end as description, 1::bigint as plans, 1::bigint as submissions from part")
+def table_batch_jobs(spark, sf_dir):
+    """Descriptions by batch jobs. The first program dies while it collects; the second one goes on and sends nothing again."""
+    data, folder = F.array(F.array(F.lit("A"), F.lit("B")), F.array(F.col("p_size").cast("string"), "p_type")), new_path(spark, "jobs")
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.lit(0).alias("table_index"), P.table_prompt(F.col("p_brand"), data).alias("prompt"))
+
+    def some(prompt):
+        if int(prompt.split('["')[2].split('"')[0]) % 5 == 0:
+            raise RuntimeError("no answer")
+        return P.describe(prompt)
+
+    first = J.Jobs(t, folder, lambda: J.Direct(some), 300)
+    first.plan(), first.submit()
+    second = J.Jobs(t, folder, lambda: J.Direct(some), 300)
+    out = second.run(0.0)
+    return out.select(F.col("doc_id").cast("long").alias("p_partkey"), "description", F.lit(len(second.planned.commits())).cast("long").alias("plans"), F.lit(len(second.submitted.commits())).cast("long").alias("submissions"))
+
+
+@query("select p_partkey, case when p_size % 7 in (3, 5, 6) then '' else p_partkey || ' after ' || (p_size % 7) end as description from part")
+def overload_retries(spark, sf_dir):
+    """A model that is overloaded for up to six calls a prompt: five attempts are made, other errors are not repeated."""
+    calls: dict[str, int] = {}
+
+    def busy(prompt):
+        n, most = calls.get(prompt, 0), int(prompt.split("/")[1]) % 7
+        calls[prompt] = n + 1
+        if most == 3:
+            raise ValueError("400 bad request")
+        if n < most:
+            raise RuntimeError("503 overloaded")
+        return f"{prompt.split('/')[0]} after {n}"
+
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.lit(0).alias("table_index"), F.concat_ws("/", "p_partkey", "p_size").alias("prompt"))
+    return P.batch_describe(t, P.with_retries(busy, wait=lambda s: None)).select(F.col("doc_id").cast("long").alias("p_partkey"), "description")
+
+
 @query("select doc_id::varchar || '_markdown_gemini' as doc_id, text, 'markdown_gemini' as preprocessor_name from documents where text is not null")
 def preconverted_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("source_path"), "text", F.lit("").alias("preprocessor_name"))
@@ -685,9 +810,13 @@ def search_without_queries(spark, sf_dir):
     return R.top_k(v, v.where("false").select(F.col("ordinal").alias("query_id"), F.lit(0).alias("variant"), "embedding"), 20).select("query_id", "rank", "ordinal", "score")
 
 
-@query("select unnest([" + ", ".join(f"'{n}'" for n in PL.COMPONENTS) + "]) as name")
+@query("select unnest(['raw_text', 'markdown_docling', 'markdown_gemini', 'direct_llm', 'paper_llm_processor']) as name, (select count(*) from documents where text is not null) as n")
 def component_names(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in PL.COMPONENTS if callable(PL.component(n))], "name string")
+    """The registry's preprocessors over all documents, by the names that they leave in the documents' ids."""
+    docs = documents(spark, sf_dir).join(table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    done = [PL.component(f"{n}Processor")(docs) for n in ("RawText", "DoclingMarkdown", "GeminiMarkdown", "DirectLLM", "PaperLLM")]
+    every = E.summary(done)
+    return every.where(F.expr("endswith(doc_id, '_' || preprocessor_name)")).groupBy(F.col("preprocessor_name").alias("name")).agg(F.count("*").alias("n")).select("name", "n")
 
 
 @query("""select c.*, (row_number() over (order by doc_id, chunk_idx) - 1) as ordinal from (select doc_id || '_raw_text' as doc_id, k::int as chunk_idx, substring(text, (k * 1000 + 1)::bigint, 1000) as text

@@ -54,16 +54,33 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 TASK_BYTES = 1 << 20
 
 
+def row_groups(spark: SparkSession, files: list[str], enough: int) -> int:
+    """Row groups of Parquet ``files``, from their footers; counting stops at ``enough``."""
+    hadoop, parquet = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.org.apache.parquet.hadoop
+    conf, n = spark._jsc.hadoopConfiguration(), 0
+    for f in files:
+        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(hadoop(f), conf))
+        n += reader.getRowGroups().size()
+        reader.close()
+        if n >= enough:
+            break
+    return n
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """``scan``, a plain read of files, with its rows dealt out where a few large row groups would leave most cores idle.
+    """``scan``, a plain read of Parquet files, with its rows dealt out where a few large row groups would leave most cores idle.
 
-    That is a scan of fewer files than tasks worth starting and of less than one split a core: so much is shuffled at most, whatever
-    the input's size. A larger scan fills the cores with splits of its own and stays as it is.
+    A row group is read by one task. So rows are dealt out where there are fewer row groups than tasks worth starting,
+    and the scan has less than one split a core: so much is shuffled at most, whatever the input's size. Footers are read
+    only of files that are fewer than those tasks. Any other scan fills the cores with splits of its own and stays as it is.
     """
     spark = scan.sparkSession
     cores, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     tasks = min(cores, size // TASK_BYTES)
-    if size >= cores * split or len(scan._jdf.inputFiles()) >= tasks:
+    if size >= cores * split:
+        return scan
+    files = list(scan._jdf.inputFiles())
+    if len(files) >= tasks or row_groups(spark, files, tasks) >= tasks:
         return scan
     return scan.repartition(tasks)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,6 +12,7 @@ from quarry.functions.text import doc_id_from_path
 from quarry.operators.evaluate import summary
 from quarry.schemas import QA
 from quarry.sources.shared import written
+from quarry.sources.store import boundary_store
 
 
 #: Rows of ``write_results``.
@@ -49,6 +51,25 @@ def text_cache(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), "^(.*)\\.[^.]+$", 1).alias("doc_id"), F.col("value").alias("text"))
 
 
+def write_texts(docs: DataFrame, folder: str) -> None:
+    """Every row's ``text`` as a file ``name`` in ``folder``, which appears whole by a rename; a retried task writes the same again. A
+    null text is an empty file."""
+    from quarry.sources.paged import file_system
+
+    def run(batches):
+        for pdf in batches:
+            store, inner = file_system(folder)
+            store.create_dir(inner, recursive=True)
+            for name, text in zip(pdf["name"], pdf["text"]):
+                draft = f"{inner}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as f:
+                    f.write((text or "").encode())
+                store.move(draft, f"{inner}/{name}")
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    docs.select("name", "text").mapInPandas(run, "n long").agg(F.sum("n")).collect()
+
+
 def converted(docs: DataFrame, cache: DataFrame, name: str) -> DataFrame:
     """Documents whose converted text must be in the cache already; a miss fails the query."""
     x = docs.withColumn("doc_id", F.concat("doc_id", F.lit(f"_{name}"))).drop("text").join(cache, "doc_id", "left")
@@ -56,45 +77,60 @@ def converted(docs: DataFrame, cache: DataFrame, name: str) -> DataFrame:
     return x.withColumn("text", text).withColumn("preprocessor_name", F.lit(name))
 
 
-def load_yaml(path: str) -> dict:
+def load_yaml(path: str, spark: SparkSession | None = None) -> dict:
+    """A configuration; with a session from any store that Spark reads."""
     import yaml
 
+    if spark is not None:
+        return yaml.safe_load("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())) or {}
     with open(path, encoding="utf-8") as f:
         return yaml.safe_load(f) or {}
 
 
 def qa_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """QA objects of a JSON array with their index."""
+    """(qa_idx, user_input, reference) of a JSON array, whose order numbers its objects, or of the lines that ``write_results`` writes,
+    which bring their numbers along."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    first = lines.select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
+    if first is not None and first.c != "[":
+        rows = spark.read.schema(RESULTS).json(path).select("qa_idx", "user_input", "reference")
+        if rows.where("qa_idx is null").isEmpty():
+            return rows
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.from_json("value", f"array<struct<{QA.replace(' string', ':string')}>>")).alias("qa_idx", "q")).select(F.col("qa_idx").cast("long").alias("qa_idx"), "q.*")
 
 
 def boundary_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, text_hash, boundary_ids) of ``<doc_id>__<hash>.json`` files; files that don't parse are misses."""
+    """(doc_id, text_hash, boundary_ids) of ``<doc_id>__<hash>.json`` files; files that don't parse are misses. ``keep_boundaries``
+    takes them into a ``boundary_store``, the one form in which boundaries are read and written."""
     name = F.regexp_extract(F.col("_metadata.file_name"), "^(.*)__([0-9a-f]+)\\.json$", 1)
     key = F.regexp_extract(F.col("_metadata.file_name"), "^(.*)__([0-9a-f]+)\\.json$", 2)
     ids = F.from_json("value", "boundary_ids array<int>", {"mode": "PERMISSIVE"})["boundary_ids"]
     return spark.read.text(folder, wholetext=True).select(name.alias("doc_id"), key.alias("text_hash"), ids.alias("boundary_ids")).where("boundary_ids is not null")
 
 
-def write_boundaries(found: DataFrame, path: str) -> None:
-    found.where("not cached").select("doc_id", "text_hash", "boundary_ids").write.mode("append").parquet(path)
+def keep_boundaries(found: DataFrame, folder: str) -> DataFrame:
+    """Add what is not marked as cached to the boundary store in ``folder``; returns the store's rows."""
+    store = boundary_store(found.sparkSession, folder)
+    new = found.where(~F.coalesce("cached", F.lit(False))) if "cached" in found.columns else found
+    store.add(new.select("doc_id", "text_hash", "boundary_ids"))
+    return store.read()
 
 
 def write_results(rows: DataFrame, path: str) -> None:
-    """Enriched QA pairs as JSON lines, one file."""
-    rows.coalesce(1).write.mode("overwrite").json(path)
+    """Enriched QA pairs as JSON lines, one file. Only the rows go through one task; what makes them stays as it is."""
+    rows.repartition(1).write.mode("overwrite").json(path)
 
 
 def write_summary(parts: list[DataFrame], path: str) -> None:
     """One CSV with the union of all columns; nothing without parts."""
     if parts:
-        summary(parts).coalesce(1).write.mode("overwrite").csv(path, header=True)
+        summary(parts).repartition(1).write.mode("overwrite").csv(path, header=True)
 
 
 def write_evaluation(rows: DataFrame, path: str) -> None:
     flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in rows.dtypes]
-    rows.select(*flat).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+    rows.select(*flat).repartition(1).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def with_ordinals(chunks: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import sys
 
 import duckdb
 import numpy as np
@@ -10,12 +11,19 @@ import pandas as pd
 import pytest
 from hypothesis import given, strategies as st
 
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
 from quarry.functions import text as T, vectors as V
-from quarry.operators import chunk as C, evaluate as E, preprocess as P, retrieve as R, tables as TB
+from quarry.functions.models import LayoutModel
+from quarry.operators import chunk as C, evaluate as E, jobs as J, preprocess as P, retrieve as R, tables as TB
 from quarry.plans import pipeline as PL
 from quarry.queries import ORACLES, QUERIES
 from quarry.sources import shared, tables as S
+from quarry.sources.paged import pages_as_documents, read_pages
+from quarry.sources.store import text_store
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import the tests
 DATA = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -151,8 +159,6 @@ def test_clusters():
 
 def test_budget_and_grid(spark):
     want = {221.9: (18, 6), 385.2: (9, 3), 97.4: (45, 15), 40.4: (111, 37), 121.6: (36, 12), 752.2: (3, 1), 77.2: (57, 19), 5000.0: (3, 1)}
-    from pyspark.sql import functions as F
-
     rows = spark.createDataFrame([(x,) for x in want], "avg double").select("avg", *E.budget(F.col("avg"))).collect()
     assert {r[0]: (r[1], r[2]) for r in rows} == want
     assert PL.grids(spark).groupBy("chunker").count().where("chunker = 'maxmin'").first()["count"] == 10
@@ -267,8 +273,6 @@ def test_stream(spark, tmp_path):
 def test_text_rules_agree(spark):
     rng = random.Random(9)
     texts = ["".join(rng.choice(["a", "B.", "ä", " ", "\n", "\n\n", "\xa0", "\x1c", "Ü", "1", "!", " LP"]) for _ in range(30)) for _ in range(60)]
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select("t", T.sentences(F.col("t")).alias("s"), T.paragraphs(F.col("t")).alias("p"), T.approx_tokens(F.col("t")).alias("n"), T.expand_abbreviations(F.col("t")).alias("e"), T.lines(F.col("t")).alias("l")).collect():
         assert (r.s, r.p, r.n, r.e, r.l) == (T.split_sentences(r.t), T.split_paragraphs(r.t), T.approx(r.t), T.expand(r.t), r.t.splitlines())
@@ -298,3 +302,171 @@ def test_few_large_row_groups_are_dealt_out(spark, tmp_path, monkeypatch):
     assert shared.spread(many) is many
     scan.limit(0).write.parquet(f"{tmp_path}/none")
     assert shared.spread(spark.read.parquet(f"{tmp_path}/none")).count() == 0
+
+
+def test_few_row_groups_of_few_files(spark, tmp_path, monkeypatch):
+    """A file of many row groups is read by many tasks, so it isn't shuffled."""
+    monkeypatch.setattr(shared, "TASK_BYTES", 1 << 10)
+    path = f"{tmp_path}/groups"
+    spark.range(20000).selectExpr("id", "repeat(md5(string(id)), 20) as t").coalesce(1).write.option("parquet.block.size", 1 << 16).option("parquet.page.size", 1 << 12).option("parquet.enable.dictionary", "false").parquet(path)
+    scan = spark.read.parquet(path)
+    assert len(scan._jdf.inputFiles()) == 1 and shared.row_groups(spark, list(scan._jdf.inputFiles()), 99) >= 8
+    assert shared.spread(scan) is scan
+
+
+# --- caches by manifest ------------------------------------------------------------------------------
+
+
+def test_store_shows_what_is_published(spark, tmp_path):
+    store = text_store(spark, f"{tmp_path}/store")
+    kind = "doc_id string, source_hash string, text string"
+    rows = lambda *x: spark.createDataFrame(list(x), kind)
+    read = lambda: sorted((tuple(r) for r in store.read().collect()), key=repr)
+    assert read() == [] and store.commits() == []
+    store.add(rows())
+    assert store.commits() == []
+    one, two = store.stage(rows(("a", "h", "one"), (None, "h", "null"), ("a", "h", "one"))), store.stage(rows(("a", "h", "two"), ("b", "h", None)))
+    assert read() == []  # staged rows are no one's
+    store.publish(two)
+    assert read() == [("a", "h", "two"), ("b", "h", None)]
+    store.publish(one), store.publish(one)  # the earlier writer comes last, and is told twice
+    want = [("a", "h", "one"), ("b", "h", None), (None, "h", "null")]
+    assert read() == want and len(store.commits()) == 2
+    store.compact()
+    assert read() == want and len(store.commits()) == 1
+    store.stage(rows(("a", "h", "lost"), ("z", "h", "lost")))
+    assert read() == want and text_store(spark, f"{tmp_path}/store").read().count() == 3
+
+
+def test_repeated_ids_keep_their_texts(spark, tmp_path):
+    calls = f"{tmp_path}/calls"
+
+    def step(d):
+        def run(batches):
+            for pdf in batches:
+                with open(calls, "a") as f:
+                    f.write("".join(f"{i}\n" for i in pdf.doc_id))
+                yield pdf.assign(text=[f"> {t}" for t in pdf.text])
+
+        return d.select("doc_id", "text").mapInPandas(run, "doc_id string, text string")
+
+    d = spark.createDataFrame([("x", "a"), ("x", "b"), ("x", "b"), ("x", None), ("x", ""), (None, "a"), (None, "c"), ("", "a")], "doc_id string, text string").withColumns({"source_path": F.lit(""), "preprocessor_name": F.lit("")})
+    want = [("_n", "> a"), ("x_n", "> "), ("x_n", "> None"), ("x_n", "> a"), ("x_n", "> b"), ("x_n", "> b"), (None, "> a"), (None, "> c")]
+    for _ in range(3):
+        got = P.write_through(d, step, f"{tmp_path}/cache", "n")
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr) and got.columns == d.columns
+    assert len(open(calls).readlines()) == 7  # different pairs, in the first run only
+
+    def killed(d):
+        return d.withColumn("text", F.raise_error(F.lit("killed")))
+
+    with pytest.raises(Exception, match="killed"):
+        P.write_through(d.withColumn("text", F.concat("text", F.lit("new"))), killed, f"{tmp_path}/cache", "n")
+    assert text_store(spark, f"{tmp_path}/cache/n").read().count() == 7
+
+
+# --- pages, layout, batch jobs -------------------------------------------------------------------------
+
+
+def test_pages_of_files(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for k in range(7):
+        (tmp_path / "in" / ("sub" if k % 2 else ".") / f"f{k}.txt").write_text("\f".join(f"page {i} of {k}\né" for i in range(k)))
+    (tmp_path / "in" / ".hidden.txt").write_text("no")
+    pages = read_pages(spark, [f"{tmp_path}/in"], run_bytes=60)
+    got = {(r.path.rsplit("/", 1)[1], r.page, r.text) for r in pages.collect()}
+    assert got == {(f"f{k}.txt", i + 1, f"page {i} of {k}\né") for k in range(7) for i in range(k)}
+    assert pages.rdd.getNumPartitions() > 2
+    most = pages.select(F.spark_partition_id().alias("p"), "path").distinct().groupBy("p").count().agg(F.max("count")).first()[0]
+    assert most < 4  # no task has the whole set
+    assert {r.path.rsplit("/", 1)[1] for r in read_pages(spark, [f"file://{tmp_path}/in/f*.txt"]).collect()} == {"f2.txt", "f4.txt", "f6.txt"}
+    d = {r.doc_id: r.text for r in pages_as_documents(pages.withColumn("text", F.when(F.col("page") == 2, "").otherwise(F.col("text")))).collect()}
+    assert d["f3_raw_text"] == "page 0 of 3\né\npage 2 of 3\né\n"
+    (tmp_path / "empty").mkdir()
+    assert read_pages(spark, [f"{tmp_path}/empty"]).count() == 0
+    with pytest.raises(Exception, match="nowhere"):
+        read_pages(spark, [f"{tmp_path}/nowhere"]).collect()
+
+    def convert(file, path):
+        yield from (file.read().decode().upper().split("\f"))
+
+    assert read_pages(spark, [f"{tmp_path}/in/f2.txt"], convert).orderBy("page").first().text == "PAGE 0 OF 2\nÉ"
+
+
+def test_layout_model():
+    page = "<!DOCTYPE html><html><head><title>x</title></head><body><h1>A &amp; B</h1><p><b>bold<br><p>next <i>it</i><ul><li>one</li><li>two</ul><table><tr><th>a</th><th>b|c</th></tr><tr><td>1<br>2</td></tr></table>tail<script>x</script></body>"
+    assert LayoutModel()(page) == "# A & B\n\nbold\n\nnext it\n\n- one\n\n- two\n\n| a | b\\|c |\n| --- | --- |\n| 1 2 |  |\n\ntail"
+    assert LayoutModel()("a < b\n| x |") == "a < b\n| x |" and LayoutModel()("") == ""
+
+
+def test_a_model_is_made_once_a_worker(spark, tmp_path):
+    made = f"{tmp_path}/made"
+
+    def make():
+        with open(made, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return str.upper
+
+    d = docs(spark, *(f"text {i}" for i in range(200))).repartition(40)
+    assert sorted(r.text for r in P.by_layout(d, make).collect()) == sorted(f"TEXT {i}" for i in range(200))
+    pids = open(made).read().split()
+    assert len(pids) == len(set(pids)) <= spark.sparkContext.defaultParallelism  # 40 tasks, one model a process
+
+
+class Service:
+    """A batch service of files, which notes every submission; jobs end when asked for the second time."""
+
+    def __init__(self, folder, dies=None, state="SUCCEEDED"):
+        self.folder, self.dies, self.end = folder, dies, state
+
+    def find(self, key):
+        return f"job-{key}" if os.path.exists(f"{self.folder}/{key}") else None
+
+    def submit(self, key, requests):
+        with open(f"{self.folder}/{key}", "x") as f:
+            f.write("\n".join(r for r, _ in requests))
+        if self.dies == "submit":
+            raise OSError("lost the connection")
+        return f"job-{key}"
+
+    def state(self, job):
+        asked = f"{self.folder}/asked-{job}"
+        if not os.path.exists(asked):
+            open(asked, "w").close()
+            return "RUNNING"
+        return self.end
+
+    def collect(self, job, requests):
+        if self.dies == "collect":
+            raise OSError("lost the connection")
+        return [(r, None if p.endswith("7") else p[::-1]) for r, p in requests if not p.endswith("8")]
+
+
+def test_killed_jobs_go_on(spark, tmp_path):
+    (tmp_path / "service").mkdir()
+    t = spark.createDataFrame([(f"d{i % 9}", i, f"prompt {i}") for i in range(50)] + [(None, 0, "none 1"), ("d", None, None), ("d0", 0, "prompt 0")], "doc_id string, table_index int, prompt string")
+    run = lambda dies=None, state="SUCCEEDED": J.Jobs(t, f"{tmp_path}/jobs", lambda: Service(f"{tmp_path}/service", dies, state), 10)
+    for dies in ("submit", "collect"):
+        with pytest.raises(Exception, match="lost the connection"):
+            run(dies).run(0.0)
+    waits = []
+    out = run().run(1.5, waits.append)
+    want = {(f"d{i % 9}", i, "" if i % 10 in (7, 8) else f"prompt {i}"[::-1]) for i in range(50)} | {(None, 0, "1 enon"), ("d", None, "")}
+    assert {tuple(r) for r in out.collect()} == want and out.count() == 53
+    sent = [line for p in (tmp_path / "service").iterdir() if not p.name.startswith("asked") for line in p.read_text().split("\n")]
+    assert len(sent) == len(set(sent)) == 52  # every different request once, through all three programs
+    before = len(list((tmp_path / "service").iterdir()))
+    assert run().run(0.0).count() == 53 and len(list((tmp_path / "service").iterdir())) == before
+
+
+def test_failed_jobs_are_named(spark, tmp_path):
+    (tmp_path / "service").mkdir()
+    t = spark.createDataFrame([("d", 1, "p")], "doc_id string, table_index int, prompt string")
+    with pytest.raises(RuntimeError, match="job-.*EXPIRED"):
+        J.Jobs(t, f"{tmp_path}/jobs", lambda: Service(f"{tmp_path}/service", state="EXPIRED")).run(0.0, lambda s: None)
+
+
+def test_results_are_a_qa_source(spark, tmp_path):
+    rows = spark.createDataFrame([(5, "q", "r", "a", ["c"], [0.5]), (2, "f", None, None, [], [])], S.RESULTS)
+    S.write_results(rows, f"{tmp_path}/r.json")
+    assert sorted(tuple(r) for r in S.qa_pairs(spark, f"{tmp_path}/r.json").collect()) == [(2, "f", None), (5, "q", "r")]
