@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.functions import text as T
 from quarry.schemas import CHUNK
+from quarry.sources.shared import written
 
 
 def _check(size: int, overlap: int) -> None:
@@ -264,11 +265,20 @@ def by_similarity(docs: DataFrame, embed: Callable[[list[str]], np.ndarray] | No
     return sequential(docs, f"maxmin_{model.rsplit('/', 1)[-1]}_ft{fixed_threshold}_c{c}_ic{init_constant}", cut)
 
 
-def cluster_rows(rows: DataFrame, key: str, order: str, vector: str, fixed_threshold: float = 0.6, c: float = 0.9, init_constant: float = 1.5) -> DataFrame:
+#: Rows of a key that are clustered by one task.
+SEGMENT = 4096
+
+
+def cluster_rows(rows: DataFrame, key: str, order: str, vector: str, fixed_threshold: float = 0.6, c: float = 0.9, init_constant: float = 1.5, segment: int = SEGMENT) -> DataFrame:
     """(key, i, cluster) for vectors that already have rows of their own, in ``order`` within each ``key``.
 
-    Rows come sorted and go through batch by batch; of a key only its open cluster is held, however many rows it has.
+    Where no key has more than ``segment`` rows, sorted rows go through batch by batch. Otherwise the rows of a key are cut into
+    segments that are clustered at once (``_by_segments``); the result is the same. A task holds an open cluster.
     """
+    bars = fixed_threshold, c, init_constant
+    src = rows.select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), F.col(vector).alias("v"))
+    if (src.groupBy("k").count().agg(F.max("count")).first()[0] or 0) > segment:
+        return _by_segments(src, bars, segment)
 
     def run(batches):
         last, clusters, i = object(), None, 0
@@ -276,10 +286,79 @@ def cluster_rows(rows: DataFrame, key: str, order: str, vector: str, fixed_thres
             out = []
             for k, v in zip(pdf.k, pdf.v):
                 if clusters is None or k != last:
-                    last, clusters, i = k, Clusters(fixed_threshold, c, init_constant), 0
+                    last, clusters, i = k, Clusters(*bars), 0
                 i += 1
                 out.append((k, i, clusters.add(np.asarray(v, np.float64))))
             yield pd.DataFrame(out, columns=["k", "i", "cluster"])
 
-    src = rows.select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), F.col(vector).alias("v"))
     return src.repartition("k").sortWithinPartitions("k", "o").mapInPandas(run, "k string, i long, cluster long")
+
+
+def _numbered(src: DataFrame) -> DataFrame:
+    """(k, i, v): each key's rows numbered from 1 in their order, without a task for all rows of a key."""
+    n = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = src.repartitionByRange(n, "k", "o").sortWithinPartitions("k", "o").withColumns({"p": F.spark_partition_id(), "m": F.monotonically_increasing_id()})
+    rows = written(rows.drop("o"), "ordered")  # range bounds are sampled: a second run could cut elsewhere
+    parts = rows.groupBy("p", "k").agg(F.count("*").alias("n"), F.min("m").alias("low"))
+    parts = parts.select(F.col("p").alias("p2"), F.col("k").alias("k2"), "low", (F.sum("n").over(Window.partitionBy("k").orderBy("p")) - F.col("n")).alias("before"))
+    return rows.join(parts, (F.col("p") == F.col("p2")) & F.col("k").eqNullSafe(F.col("k2"))).select("k", (F.col("m") - F.col("low") + F.col("before") + 1).alias("i"), "v")
+
+
+def _by_segments(src: DataFrame, bars: tuple, segment: int) -> DataFrame:
+    """``cluster_rows`` by speculation. Each segment is first clustered as if a cluster began with it. All that a segment needs of the
+    rows before it is where its open cluster began: it is clustered again from there, until a cluster begins where one did before,
+    after which nothing can differ. Segments whose open cluster turns out to begin elsewhere than assumed are repeated until
+    all agree; after n rounds the first n segments of a key are final, and most are after one.
+    """
+    rows = written(_numbered(src).withColumn("seg", F.expr(f"(i - 1) div {segment}")), "segments")
+    kind = "k string, seg long, came long, starts array<long>"
+
+    def clustered(parts: DataFrame) -> DataFrame:
+        """New states of ``parts(k, seg, came, old, i, own, v)``, sorted by i: old comes with a part's first row, own tells its rows
+        from those of the open cluster before it."""
+
+        def run(batches):
+            part, clusters, old, starts, done = None, None, (), [], False
+            for pdf in batches:
+                out = []
+                for k, seg, came, before, i, own, v in zip(pdf.k, pdf.seg, pdf.came, pdf.old, pdf.i, pdf.own, pdf.v):
+                    if part is None or part[0] != k or part[1] != seg:
+                        if part is not None:
+                            out.append((*part, starts))
+                        part, clusters, starts, done = (k, seg, came), Clusters(*bars), [], False
+                        old = [] if before is None else [int(x) for x in before]
+                        known = set(old)
+                    if done:
+                        continue
+                    last = clusters.number
+                    if clusters.add(np.asarray(v, np.float64)) != last and own:
+                        if i in known:
+                            starts, done = starts + [x for x in old if x >= i], True
+                        else:
+                            starts.append(i)
+                if out:
+                    yield pd.DataFrame(out, columns=["k", "seg", "came", "starts"])
+            if part is not None:
+                yield pd.DataFrame([(*part, starts)], columns=["k", "seg", "came", "starts"])
+
+        return parts.repartition("k", "seg").sortWithinPartitions("k", "seg", "i").mapInPandas(run, kind)
+
+    fresh = rows.select("k", "seg", F.lit(0).cast("long").alias("came"), F.lit(None).cast("array<long>").alias("old"), "i", F.lit(True).alias("own"), "v")
+    state = written(clustered(fresh), "states")
+    while True:
+        ends = state.select(F.col("k").alias("k2"), (F.col("seg") + 1).alias("seg2"), F.coalesce(F.try_element_at("starts", F.lit(-1)), "came").alias("now"))
+        work = state.join(ends, F.col("k").eqNullSafe(F.col("k2")) & (F.col("seg") == F.col("seg2"))).where("came <> now").select(F.col("k").alias("k2"), F.col("seg").alias("at"), "now", F.col("starts").alias("old"))
+        work = written(work.select("*", F.explode(F.sequence(F.expr(f"(now - 1) div {segment}"), F.col("at"))).alias("seg2")), "work")
+        if work.isEmpty():
+            break
+        again = rows.join(work, F.col("k").eqNullSafe(F.col("k2")) & (F.col("seg") == F.col("seg2")) & (F.col("i") >= F.col("now")))
+        again = again.select("k", F.col("at").alias("seg"), F.col("now").alias("came"), F.when(F.col("i") == F.col("now"), F.col("old")).alias("old"), "i", (F.col("seg") == F.col("at")).alias("own"), "v")
+        new = clustered(again).toDF("k2", "seg2", "came2", "starts2")
+        state = written(state.join(new, F.col("k").eqNullSafe(F.col("k2")) & (F.col("seg") == F.col("seg2")), "left").select("k", "seg", F.coalesce("came2", "came").alias("came"), F.coalesce("starts2", "starts").alias("starts")), "states")
+    sizes = rows.groupBy(F.col("k").alias("k2"), F.col("seg").alias("seg2")).agg(F.min("i").alias("first"), F.max("i").alias("last"))
+    x = state.join(sizes, F.col("k").eqNullSafe(F.col("k2")) & (F.col("seg") == F.col("seg2")))
+    x = x.withColumn("before", F.sum(F.size("starts")).over(Window.partitionBy("k").orderBy("seg")) - F.size("starts"))
+    edges = F.concat(F.array("first"), "starts", F.array(F.col("last") + 1))
+    runs = F.transform(F.slice(edges, F.lit(1), F.size(edges) - 1), lambda a, j: F.struct(a.alias("a"), (F.get(edges, j + 1) - 1).alias("b"), (F.col("before") + j - 1).alias("cluster")))
+    each = x.select("k", F.explode(F.filter(runs, lambda r: r["a"] <= r["b"])).alias("r"))
+    return each.select("k", F.explode(F.sequence("r.a", "r.b")).alias("i"), F.col("r.cluster").alias("cluster"))

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.functions import vectors as V
+from quarry.sources.shared import written
 
 RRF_K = 60
-#: Queries sent to every executor at once; more are searched in blocks of this many.
-QUERY_BLOCK = 2048
+#: Queries and chunks in a matrix product, and bytes of query vectors sent to every task at once.
+QUERY_BLOCK, QUERY_BYTES = 2048, 64 << 20
 #: Fixed value: the answer where the context has none.
 REFUSAL = "Dazu enthalten die bereitgestellten Dokumente keine Informationen."
 #: The generator's instruction and the frame of its prompt.
@@ -69,43 +70,73 @@ def _augmented(queries: DataFrame, processed: Column, name: str, kind: str) -> D
 def top_k(chunks: DataFrame, queries: DataFrame, k: int | str = 20, ordinal: str = "ordinal", vector: str = "embedding") -> DataFrame:
     """(query_id, variant, rank, ordinal, score): exact cosine top-k of ``queries(query_id, variant, embedding)``.
 
-    Queries go out in blocks; a task scores an Arrow batch of chunks against a block in one matrix product
-    and emits at most k rows a query, so what is shuffled does not grow with the chunks squared. Equal
-    scores (to 9 digits) are ranked by ordinal.
+    A task scores its chunks against blocks of queries in matrix products and keeps the best k of each query over all its
+    batches, so a task passes on at most k rows a query. Up to QUERY_BYTES of query vectors are sent to every task and served
+    by one pass over the chunks; more are written once and take further passes. Equal scores (to 9 digits) are ranked by ordinal.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    src = chunks.select(F.col(ordinal).cast("long").alias("ordinal"), F.col(vector).cast("array<double>").alias("v"))
-    kind = "query_id long, variant int, ordinal long, score double"
+    rank = F.row_number().over(Window.partitionBy("query_id", "variant").orderBy(F.desc("score"), "ordinal"))
+    out = partial_top_k(chunks, queries, k, ordinal, vector)
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "variant", "rank", "ordinal", "score")
+
+
+def partial_top_k(chunks: DataFrame, queries: DataFrame, k: int, ordinal: str = "ordinal", vector: str = "embedding") -> DataFrame:
+    """(query_id, variant, ordinal, score): the best k of each query in each task."""
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("variant").cast("int").alias("variant"), F.col("embedding").cast("array<double>").alias("e"))
+    src = chunks.where(F.col(vector).isNotNull()).select(F.col(ordinal).cast("long").alias("ordinal"), F.col(vector).cast("array<double>").alias("v"))
+    schema = pa.schema([("query_id", pa.int64()), ("variant", pa.int32()), ("ordinal", pa.int64()), ("score", pa.float64())])
+    first, passes = asked.limit(QUERY_BLOCK + 1).toArrow(), 1
+    if first.num_rows > QUERY_BLOCK:
+        asked = written(asked, "queries")
+        passes = -(-asked.count() * len(first["e"][0]) * 8 // QUERY_BYTES)
     out = None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id", "variant"), F.lit(blocks)) == b).select("query_id", "variant", F.col("embedding").cast("array<double>").alias("e")).collect()
-        sent = chunks.sparkSession.sparkContext.broadcast(([r.query_id for r in rows], [r.variant for r in rows], _unit(np.array([r.e for r in rows], np.float64)) if rows else None))
+    for p in range(passes):
+        t = first if first.num_rows <= QUERY_BLOCK else asked.where(F.pmod(F.xxhash64("query_id", "variant"), F.lit(passes)) == p).toArrow()
+        q = t["e"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) if t.num_rows else np.empty((0, 0))
+        sent = chunks.sparkSession.sparkContext.broadcast((t["query_id"].to_numpy(), t["variant"].to_numpy(), _unit(q)))
 
         def run(batches, sent=sent):
             ids, variants, q = sent.value
-            for pdf in batches:
-                if not len(pdf) or q is None:
+            best = [Best(k, len(x)) for x in (q[a : a + QUERY_BLOCK] for a in range(0, len(q), QUERY_BLOCK))]
+            for b in batches:
+                if not b.num_rows or not len(q):
                     continue
-                s = np.round(_unit(np.stack(pdf.v.to_numpy()).astype(np.float64)) @ q.T, 9)
-                o = pdf.ordinal.to_numpy()
-                order = np.argsort(o, kind="stable")  # ties go by ordinal
-                s, o = s[order], o[order]
-                if len(s) > k:  # all at or above each query's k-th score, and no sort of the rest
-                    near = s >= np.partition(s, len(s) - k, axis=0)[len(s) - k]
-                else:
-                    near = np.ones_like(s, bool)
-                j, i = np.nonzero(near.T)
-                top = np.lexsort((i, -s[i, j], j))
-                j, i = j[top], i[top]
-                place = np.arange(len(j)) - np.searchsorted(j, j)
-                j, i = j[place < k], i[place < k]
-                yield pd.DataFrame({"query_id": np.array(ids)[j], "variant": np.array(variants)[j], "ordinal": o[i], "score": s[i, j]})
-
-        part = src.mapInPandas(run, kind)
+                v, o = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1), b.column("ordinal").to_numpy()
+                for r in range(0, len(v), QUERY_BLOCK):
+                    unit = _unit(v[r : r + QUERY_BLOCK])
+                    for n, x in enumerate(best):
+                        x.add(np.round(unit @ q[n * QUERY_BLOCK : (n + 1) * QUERY_BLOCK].T, 9), o[r : r + QUERY_BLOCK])
+            for n, x in enumerate(best):
+                j = x.query + n * QUERY_BLOCK
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids[j], variants[j], x.ordinal, x.score), schema)], schema=schema)
+
+        part = src.mapInArrow(run, "query_id long, variant int, ordinal long, score double")
         out = part if out is None else out.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_id", "variant").orderBy(F.desc("score"), "ordinal"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "variant", "rank", "ordinal", "score")
+    return out
+
+
+class Best:
+    """The best k ordinals of each of n queries so far, by score and, among equals, the smaller ordinal."""
+
+    def __init__(self, k: int, n: int):
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.query, self.score, self.ordinal = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+
+    def add(self, s: np.ndarray, ordinal: np.ndarray) -> None:
+        """Take in scores (a row an ordinal, a column a query); only those that can still be among the best are sorted."""
+        near = s >= self.floor
+        if len(s) > self.k:
+            near &= s >= np.partition(s, len(s) - self.k, axis=0)[len(s) - self.k]
+        j, i = np.nonzero(near.T)
+        if not len(j):
+            return
+        j, s, o = np.r_[self.query, j], np.r_[self.score, s[i, j]], np.r_[self.ordinal, ordinal[i]]
+        order = np.lexsort((o, -s, j))
+        j, s, o = j[order], s[order], o[order]
+        place = np.arange(len(j)) - np.searchsorted(j, j)
+        full = place == self.k - 1
+        self.floor[j[full]] = s[full]
+        keep = place < self.k
+        self.query, self.score, self.ordinal = j[keep], s[keep], o[keep]
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import text as T, vectors as V
 from quarry.operators import chunk as C, evaluate as E, preprocess as P, retrieve as R, tables as TB
@@ -149,6 +149,25 @@ def run_name(prep: str, chunker: str, processor: str | None = None, threshold: f
 
 # --- experiments ---------------------------------------------------------------------------------
 
+#: The query processors and the thresholds that the experiments compare.
+PROCESSORS = {"no_processing": "NoProcessingProcessor", "hyde": "HyDEQueryProcessor", "cot": "CoTQueryProcessor"}
+THRESHOLDS = [0.0, 0.05, 0.1]
+
+
+def query_runs(configs: list[tuple[str, list[str], str, str, dict, float]]) -> list[dict]:
+    """The query experiment: every (preprocessing label, preprocessors, chunker label, chunker, params, threshold) with each processor."""
+    return [{"name": run_name(a, c, processor=label), "preprocessors": p, "chunker": chunker, "params": params, "threshold": t, "query_processor": q} for a, p, c, chunker, params, t in configs for label, q in PROCESSORS.items()]
+
+
+def context_runs(configs: list[tuple[str, list[str], str, str, dict]], thresholds: list[float] = THRESHOLDS) -> list[dict]:
+    """The context experiment: every configuration at each threshold."""
+    return [{"name": run_name(a, c, threshold=t), "preprocessors": p, "chunker": chunker, "params": params, "threshold": t} for a, p, c, chunker, params in configs for t in thresholds]
+
+
+def grid_runs(specs: list[tuple[str, list[str], str, str]], grid: dict[str, list[dict]], threshold: float = 0.1) -> list[dict]:
+    """The grid search: every (preprocessing label, preprocessors, chunker label, chunker) with each of the chunker's parameters."""
+    return [{"name": run_name(a, c, params=params), "preprocessors": p, "chunker": chunker, "params": params, "threshold": threshold} for a, p, c, chunker in specs for params in grid[c]]
+
 
 def grids(spark: SparkSession) -> DataFrame:
     """(chunker, p1, p2): the parameter grid of every chunker, 4 + 6 + 6 + 10 rows."""
@@ -167,6 +186,39 @@ def answered(online: OnlinePipeline, index: DataFrame, qa: DataFrame) -> DataFra
     return E.attach(qa, got.select("qa_idx", "response", "retrieved_contexts", "reranking_scores"))
 
 
+def out_of_memory(e: BaseException) -> bool:
+    """An error of a model that its batch was too large for, whether raised here or in a task."""
+    return isinstance(e, MemoryError) or any(x in str(e) for x in ("MemoryError", "OutOfMemory", "out of memory"))
+
+
+def run_queries(online: OnlinePipeline, index: DataFrame, qa: DataFrame, batching: bool = True) -> DataFrame:
+    """``answered``, written; where any part of the pipeline runs out of memory, the questions are halved (by a hash of their
+    index) and each half is answered by itself, down to single questions. Without ``batching`` the questions start as eighths.
+
+    Halves that are done stay done. One question that is too large by itself, or any other error, fails the query.
+    """
+
+    def halves(part: DataFrame, depth: int) -> list[DataFrame]:
+        bit = F.getbit(F.xxhash64("qa_idx"), F.lit(depth))
+        return [y for side in (0, 1) for y in solve(part.where(bit == side), depth + 1)]
+
+    def solve(part: DataFrame, depth: int) -> list[DataFrame]:
+        if depth < (0 if batching else 3):
+            return halves(part, depth)
+        if depth and part.isEmpty():
+            return []
+        try:
+            return [written(answered(online, index, part), "answers")]
+        except Exception as e:
+            if not out_of_memory(e) or depth > 63:
+                raise
+            if part.select("qa_idx").distinct().limit(2).count() < 2:
+                raise RuntimeError("one question is too large for the pipeline") from e
+        return halves(part, depth)
+
+    return E.summary(solve(qa, 0) or [written(answered(online, index, qa), "answers")])
+
+
 def run_main(config: dict, docs: DataFrame, positive: DataFrame, negative: DataFrame, folder: str, embed=None) -> tuple[DataFrame, DataFrame]:
     """The configured pipelines over answerable and unanswerable questions: results and evaluations are written below ``folder``.
 
@@ -178,7 +230,7 @@ def run_main(config: dict, docs: DataFrame, positive: DataFrame, negative: DataF
     out = []
     for kind, qa, judge in (("positive", positive, E.evaluate_minimal), ("negative", negative, E.evaluate_rejection)):
         path = f"{folder}/results/{kind}/{name}"
-        S.write_results(answered(online, index, qa), f"{path}.json")
+        S.write_results(run_queries(online, index, qa), f"{path}.json")
         rows = judge(docs.sparkSession.read.schema(S.RESULTS).json(f"{path}.json"))
         S.write_evaluation(rows, f"{path}_evaluation.csv")
         out.append(rows)
@@ -202,27 +254,62 @@ def two_phases(docs: DataFrame, qa: DataFrame, folder: str, chunker: str = "Fixe
     return E.summary([one, phase(2, then)])
 
 
-def run_experiment(docs: DataFrame, qa: DataFrame, runs: list[dict], folder: str, negative: DataFrame | None = None) -> DataFrame:
+def run_experiment(docs: DataFrame, qa: DataFrame, runs: list[dict], folder: str, negative: DataFrame | None = None, embed=None) -> DataFrame:
     """Summary rows of ``runs``: dicts of preprocessors, chunker, params, query_processor, threshold and name.
 
-    Runs that share preprocessors, chunker and parameters share one index; the budget follows from its
-    average chunk. ``negative`` questions add the mean of their rejection.
+    Runs that share preprocessors, chunker and parameters share an index, whose average chunk gives the budget, and are
+    variants of one search, one reranking and one evaluation (``scored_runs``). ``negative`` questions add the mean of
+    their rejection.
     """
-    spark, parts, built = docs.sparkSession, [], {}
+    spark, groups = docs.sparkSession, {}
     for run in runs:
-        key = repr((run["preprocessors"], run["chunker"], run.get("params", {})))
-        if key not in built:
-            off = OfflinePipeline(run["preprocessors"], run["chunker"], "FaissIndexBuilder", Offline(run.get("params", {})))
-            index = off.run(docs, f"{folder}/index_{len(built)}")[1]
-            avg = E.average_tokens(index, T.approx_tokens(F.col("text"))).crossJoin(index.agg(F.count("*").alias("num_chunks")))
-            k, n = E.budget(F.col("avg_chunk_tokens"))
-            built[key] = index, avg.select("*", k.alias("top_k"), n.alias("top_n")).first()
-        index, size = built[key]
-        online = OnlinePipeline(run.get("query_processor", "NoProcessingProcessor"), "FaissRetriever", "JinaReranker", "HuggingfaceGenerator", Online(size.top_k, size.top_n, run.get("threshold")))
-        scored = E.evaluate(answered(online, index, qa)).select("answer_correctness", "context_recall", "faithfulness", "answer_relevancy")
-        facts = {"run_name": run["name"], "num_chunks": size.num_chunks, "avg_chunk_tokens": round(size.avg_chunk_tokens, 1), "top_k": size.top_k, "top_n": size.top_n, **run.get("params", {})}
-        row = E.means(scored).select(*[F.lit(v).alias(k) for k, v in facts.items()], "*")
-        if negative is not None:
-            row = row.join(E.means(E.evaluate_rejection(answered(online, index, negative)).select("negative_rejection"), prefix="negative_"))  # one row with one row
-        parts.append(row)
-    return E.summary(parts) if parts else spark.createDataFrame([], "run_name string")
+        groups.setdefault(repr((run["preprocessors"], run["chunker"], run.get("params", {}))), []).append(run)
+    parts = {}
+    for number, own in enumerate(groups.values()):
+        off = OfflinePipeline(own[0]["preprocessors"], own[0]["chunker"], "FaissIndexBuilder", Offline(own[0].get("params", {})), embed)
+        index = off.run(docs, f"{folder}/index_{number}")[1]
+        k, n = E.budget(F.col("avg_chunk_tokens"))
+        size = index.agg(F.coalesce(F.avg(T.approx_tokens(F.col("text"))), F.lit(1.0)).alias("avg_chunk_tokens"), F.count("*").alias("num_chunks")).select("*", k.alias("top_k"), n.alias("top_n")).first()
+        scored = written(scored_runs(index, qa, own, size.top_k, size.top_n, negative, embed), "runs")
+        for r, run in enumerate(own):
+            facts = {"run_name": run["name"], "num_chunks": size.num_chunks, "avg_chunk_tokens": round(size.avg_chunk_tokens, 1), "top_k": size.top_k, "top_n": size.top_n, "query_processor": run.get("query_processor", PLAIN), "reranking_threshold": run.get("threshold"), **run.get("params", {})}
+            facts = {c: F.lit(v).cast("double") if c == "reranking_threshold" else F.lit(v) for c, v in facts.items()}
+            parts[id(run)] = scored.where(F.col("run") == r).select(*[v.alias(c) for c, v in facts.items()], *[c for c in scored.columns if c != "run"])
+    return E.summary([parts[id(run)] for run in runs]) if runs else spark.createDataFrame([], "run_name string")
+
+
+PLAIN = "NoProcessingProcessor"
+
+
+def scored_runs(index: DataFrame, qa: DataFrame, runs: list[dict], top_k: int, top_n: int, negative: DataFrame | None = None, embed=None) -> DataFrame:
+    """(run, mean of every metric) for ``runs`` over one index, numbered as they come, in one plan.
+
+    Every question goes through all query processors; their texts are searched together. A pair of question and chunk is scored
+    once, whatever processors and runs meet it; runs then differ by the hits they take from that: their processor's, at or
+    above their threshold (None: all). Answers and metrics are made for all runs together.
+    """
+    processors = list(dict.fromkeys(r.get("query_processor", PLAIN) for r in runs))
+    asked = qa.select((F.col("qa_idx") * 2).alias("query_id"), F.col("user_input").alias("original_query"), "reference")
+    if negative is not None:
+        asked = asked.unionByName(negative.select((F.col("qa_idx") * 2 + 1).alias("query_id"), F.col("user_input").alias("original_query"), F.lit(None).cast("string").alias("reference")))
+    asked = written(asked, "questions")
+    queries = asked.select("query_id", "original_query")
+    every = E.summary([component(p)(queries).withColumn("query_id", F.col("query_id") * len(processors) + k) for k, p in enumerate(processors)])
+    hits = written(component("FaissRetriever")(index, every, embed or V.hash_embedder(), top_k), "hits")
+    part = F.pmod("query_id", F.lit(len(processors)))
+    hits = hits.select(F.expr(f"(query_id - pmod(query_id, {len(processors)})) div {len(processors)}").alias("query_id"), part.cast("int").alias("processor"), "rank", "ordinal", "retrieval_score")
+    pairs = hits.select("query_id", "ordinal").distinct().join(index.select("ordinal", "chunk_id", "text"), "ordinal").join(queries, "query_id").withColumns({"rank": F.lit(1), "retrieval_score": F.lit(0.0)})
+    pairs = written(component("JinaReranker")(pairs, None, None).select("query_id", "ordinal", "text", "reranking_score"), "pairs")
+    low = float("-inf")
+    variants = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.lit(processors.index(v.get("query_processor", PLAIN))).alias("processor"), F.lit(low if v.get("threshold") is None else float(v["threshold"])).alias("threshold")) for r, v in enumerate(runs)])).alias("v")
+    taken = hits.join(pairs, ["query_id", "ordinal"]).select("*", variants).where((F.col("v.processor") == F.col("processor")) & (F.col("reranking_score") >= F.col("v.threshold")))
+    of_run = lambda: (F.col("query_id") * len(runs) + F.col("v.run")).alias("query_id")
+    taken = taken.select(of_run(), F.row_number().over(Window.partitionBy("query_id", "v.run").orderBy(F.desc("reranking_score"), "rank")).alias("rank"), "text", "reranking_score").where(F.col("rank") <= top_n)
+    each = asked.select("*", variants).select(of_run(), F.col("v.run").alias("run"), (F.col("query_id") % 2 == 1).alias("negative"), "original_query", "reference")
+    answers = component("HuggingfaceGenerator")(R.contexts(each.select("query_id", "original_query"), taken)).select("query_id", "response", "retrieved_contexts")
+    rows = written(each.join(answers, "query_id").withColumnRenamed("original_query", "user_input"), "answers")
+    numbers = index.sparkSession.range(len(runs)).select(F.col("id").cast("int").alias("run"))
+    out = E.means(E.evaluate(rows.where("not negative")).select("run", "answer_correctness", "context_recall", "faithfulness", "answer_relevancy"), ["run"])
+    if negative is not None:
+        out = out.join(E.means(E.evaluate_rejection(rows.where("negative")).select("run", "negative_rejection"), ["run"], "negative_"), "run", "full")
+    return numbers.join(out, "run", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import text as T, vectors as V
@@ -862,17 +863,111 @@ def experiment_runs(spark, sf_dir):
     return out.select("run_name", "num_chunks", "avg_chunk_tokens", "top_n", "negative_negative_rejection")
 
 
-@query("select unnest(['docling_only', 'gemini_only', 'docling_only_direct_llm', 'paper_llm']) as run_name, unnest([1, 1, 2, 2])::int as phase")
+_TOKENS = "round_even(1.2 * len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')), 0)::int"
+_DISTINCT = "list_distinct(list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda w: w <> ''))"
+
+
+def _experiment(sizes: list[int], runs: str, columns: str, budget: str = "greatest(1, floor(1500 / avg(n)))::int as top_n, 3 * greatest(1, floor(1500 / avg(n)))::int as top_k", docs: str = "documents", reference: str = "b.text", suffix: str = "_raw_text") -> str:
+    """Runs over windows of ``sizes`` characters: search by hashed words, rerank by overlap, answer from the best chunk, score. ``runs`` selects
+    (run, s, p, threshold); p is 0, 1 or 2 for the three query processors."""
+    return f"""with w as (select unnest({sizes}) as s),
+c as materialized (select s, row_number() over (partition by s order by id, k) - 1 as ordinal, text, {_TOKENS.format(x="text")} as n from (select s, doc_id::varchar || '{suffix}' as id, k, substring(text, (k * s + 1)::bigint, s) as text
+ from (select s, doc_id, text, unnest(generate_series(0, greatest(0, ceil((length(text) - s) / s::double))::bigint)) as k from {docs}, w where text <> ''))),
+z as (select s, count(*) as num_chunks, {budget} from c group by s),
+q as (select item_id * 3 + p as id, case p when 0 then text when 1 then 'Es gilt: ' || text else text || ' ' || text || ' ' || text || ' ' || text || ' ' || text || ' Gesucht: ' || text end as text from benchmark, range(3) t(p)),
+ce as materialized {_EMBED.format(key="s, ordinal", src="c")}, qe as materialized {_EMBED.format(key="id", src="q")},
+v as (select * from ({runs})),
+h as materialized (select s, id // 3 as item_id, id % 3 as p, ordinal, row_number() over (partition by s, id order by round(list_cosine_similarity(ce.e, qe.e), 9) desc, ordinal) as rank from ce, qe where id % 3 in (select p from v)),
+m as (select h.*, c.text, len(list_intersect({_DISTINCT.format(x="b.text")}, regexp_split_to_array(lower(c.text), '\\s+')))::double / nullif(len({_DISTINCT.format(x="b.text")}), 0) as rr
+ from h join z using (s) join c on c.s = h.s and c.ordinal = h.ordinal join benchmark b on b.item_id = h.item_id where rank <= top_k),
+t as (select run, m.s, item_id, m.text, row_number() over (partition by run, m.s, item_id order by rr desc, rank) as nr from m join v on v.s = m.s and v.p = m.p where rr >= threshold),
+a as (select v.run, v.s, b.item_id, {reference} as reference, coalesce(any_value(t.text) filter (where nr = 1), '{R.REFUSAL}') as response, coalesce(string_agg(t.text, ' ' order by nr) filter (where nr <= top_n), '') as ctx
+ from v join z using (s) cross join benchmark b left join t on t.run = v.run and t.s = v.s and t.item_id = b.item_id group by v.run, v.s, b.item_id, b.text),
+f as (select run, s, response, {_CLAIMS.format(x="response")} as x, {_CLAIMS.format(x="reference")} as y, {_CLAIMS.format(x="ctx")} as k from a),
+g as (select run, s, response = '{R.REFUSAL}' as rejected, case when len(x) + len(y) = 0 then 0 else len(list_intersect(x, y)) / (len(list_intersect(x, y)) + 0.5 * (len(x) + len(y) - 2 * len(list_intersect(x, y)))) end as f1, len(list_intersect(y, k)) / nullif(len(y), 0) as recall from f)
+{columns}"""
+
+
+_SCORES = "select 'raw__c' || s || '__' || run as run_name, any_value(num_chunks) as num_chunks, any_value(z.top_k)::int as top_k, round(avg(f1), 6)::double as answer_correctness, round(avg(recall), 6)::double as context_recall from g join z using (s) group by s, run"
+
+
+def _windows(sizes) -> list[tuple]:
+    return [("raw", ["RawTextProcessor"], f"c{s}", "FixedCharacterChunker", {"chunk_size": s, "overlap": 0}) for s in sizes]
+
+
+def _scores(spark, sf_dir, runs) -> DataFrame:
+    qa = _qa(spark, sf_dir).withColumn("reference", F.col("user_input"))
+    out = PL.run_experiment(documents(spark, sf_dir), qa, runs, new_path(spark, "runs"))
+    return out.select("run_name", "num_chunks", "top_k", F.round("answer_correctness", 6).alias("answer_correctness"), F.round("context_recall", 6).alias("context_recall"))
+
+
+@query(_experiment([500, 1500], "select run, s, p, 0.05 as threshold from (values ('no_processing', 0), ('hyde', 1), ('cot', 2)) r(run, p), w", _SCORES))
+def query_experiment(spark, sf_dir):
+    """All query processors over each index, as variants of one search."""
+    return _scores(spark, sf_dir, PL.query_runs([(*c, 0.05) for c in _windows((500, 1500))]))
+
+
+@query(_experiment([500, 1500], "select run, s, 0 as p, threshold from (values ('thr00', 0.0), ('thr005', 0.05), ('thr01', 0.1)) r(run, threshold), w", _SCORES))
+def context_experiment(spark, sf_dir):
+    """All thresholds over each index, as variants of one search and one reranking."""
+    return _scores(spark, sf_dir, PL.context_runs(_windows((500, 1500))))
+
+
+@query(_experiment([500, 1000, 1500], "select 'chunk_size' || s || '_overlap0' as run, s, 0 as p, 0.1 as threshold from w", _SCORES.replace("'raw__c' || s || '__'", "'raw__character__'")))
+def grid_search(spark, sf_dir):
+    """The character chunker's sizes without overlap as a grid search."""
+    grid = {"character": [{"chunk_size": s, "overlap": 0} for s in (500, 1000, 1500)]}
+    return _scores(spark, sf_dir, PL.grid_runs([("raw", ["RawTextProcessor"], "character", "FixedCharacterChunker")], grid))
+
+
+@query(_first_words("response", ""))
+def queries_in_halves(spark, sf_dir):
+    """A retriever that takes few questions at once and a reranker that takes few pairs at once: all questions are answered."""
+
+    def retriever(index, q, embed, k):
+        if q.count() > 16:
+            raise MemoryError("too many questions")
+        return R.retrieve(index, q, embed, k)
+
+    def reranker(hits, n, threshold):
+        @F.pandas_udf("double")
+        def score(x: pd.Series) -> pd.Series:
+            if len(x) > 5:
+                raise MemoryError("too many pairs")
+            return x
+
+        return R.keep_ranks(hits.coalesce(1).withColumn("retrieval_score", score("retrieval_score")), n)
+
+    PL.register("SmallRetriever", retriever)
+    PL.register("SmallReranker", reranker)
+    offline = PL.OfflinePipeline(["RawTextProcessor"], "PassthroughChunker", "FaissIndexBuilder", PL.Offline())
+    index = offline.run(documents(spark, sf_dir), new_path(spark, "online"))[1]
+    online = PL.OnlinePipeline("NoProcessingProcessor", "SmallRetriever", "SmallReranker", "PassthroughGenerator", PL.Online(top_k=1, top_n=1))
+    w = Window.orderBy("qa_idx")  # the query set, not the corpus
+    qa = _qa(spark, sf_dir).withColumn("qa_idx", F.row_number().over(w).cast("long") - 1)
+    return PL.run_queries(online, index, qa).select(F.col("qa_idx").alias("query_id"), "response")
+
+
+_PHASES = "select case when run = 'x' then 'docling_only' else 'gemini_only' end as run_name, 1 as phase, round(avg(f1), 6)::double as answer_correctness from g group by run"
+
+
+@query(_experiment([1500], "select run, s, 0 as p, 0.1 as threshold from (values ('x'), ('y')) r(run), w", _PHASES, suffix="_markdown_docling", reference="reverse(b.text)")
+       + " union all " + "select run_name, 2, round(avg(f1), 6)::double from (select unnest(['docling_only_direct_llm', 'paper_llm']) as run_name), g where run = 'x' group by run_name")
 def preprocessing_phases(spark, sf_dir):
-    """The two-phase experiment: equal first runs, so the first wins and goes on."""
-    out = PL.two_phases(documents(spark, sf_dir), _qa(spark, sf_dir), new_path(spark, "phases"), "FixedCharacterChunker", {"chunk_size": 1500, "overlap": 0})
-    return out.select("run_name", "phase")
+    """The two-phase experiment: equal first runs, so the first wins and goes on. The documents have no tables or headings, so the second
+    phase's preprocessors leave their words as they are."""
+    docs = documents(spark, sf_dir)
+    out = PL.two_phases(docs, _qa(spark, sf_dir), new_path(spark, "phases"), "FixedCharacterChunker", {"chunk_size": 1500, "overlap": 0})
+    return out.select("run_name", "phase", F.round("answer_correctness", 6).alias("answer_correctness"))
+
+
+_MAIN = "3 as top_n, 9 as top_k"
 
 
-@query(f"select 'positive' as kind, count(*) as n from benchmark union all select 'negative', count(*) from benchmark")
+@query(_experiment([1500], "select 'x' as run, s, 0 as p, 0.0 as threshold from w", "select 'positive' as kind, count(*) as n, round(avg(f1), 6)::double as score from g union all select 'negative', count(*), round(avg(rejected::int), 6)::double from g", _MAIN, reference="reverse(b.text)"))
 def main_program(spark, sf_dir):
-    """The main program over all documents: how many questions of each kind were evaluated."""
+    """The main program over all documents: how many questions of each kind were evaluated, and their scores."""
     config = {"offline_config": {"chunking_params": {"chunk_size": 1500, "overlap": 0}}, "online_config": {"top_k": 9, "top_n": 3, "reranking_score_threshold": 0.0}, "offline_pipeline": {"preprocessors": ["RawTextProcessor"], "chunker": "FixedCharacterChunker", "index_builder": "FaissIndexBuilder"}, "online_pipeline": {"query_processor": "NoProcessingProcessor", "retriever": "FaissRetriever", "reranker": "JinaReranker", "generator": "HuggingfaceGenerator"}}
     a, b = PL.run_main(config, documents(spark, sf_dir), _qa(spark, sf_dir), _qa(spark, sf_dir), new_path(spark, "main"))
-    count = lambda df, kind, score: df.where(F.col(score).isNotNull()).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    count = lambda df, kind, score: df.where(F.col(score).isNotNull()).agg(F.count("*").alias("n"), F.round(F.avg(score), 6).alias("score")).select(F.lit(kind).alias("kind"), "n", "score")
     return count(a, "positive", "answer_correctness").unionByName(count(b, "negative", "negative_rejection"))

@@ -470,3 +470,119 @@ def test_results_are_a_qa_source(spark, tmp_path):
     rows = spark.createDataFrame([(5, "q", "r", "a", ["c"], [0.5]), (2, "f", None, None, [], [])], S.RESULTS)
     S.write_results(rows, f"{tmp_path}/r.json")
     assert sorted(tuple(r) for r in S.qa_pairs(spark, f"{tmp_path}/r.json").collect()) == [(2, "f", None), (5, "q", "r")]
+
+
+# --- search, experiments and clusters at scale -----------------------------------------------------------
+
+
+@given(st.integers(0, 10**6), st.integers(1, 7), st.integers(1, 60))
+def test_best_keeps_the_best(seed, k, n):
+    rng = np.random.default_rng(seed)
+    s, o = np.round(rng.random((n, 5)), 1), rng.permutation(n)
+    best = R.Best(k, 5)
+    for a in range(0, n, 9):
+        best.add(s[a : a + 9], o[a : a + 9])
+        assert len(best.query) <= 5 * k
+    for j in range(5):
+        want = sorted(zip(-s[:, j], o))[:k]
+        mine = best.query == j
+        assert list(zip(-best.score[mine], best.ordinal[mine])) == want
+
+
+def test_a_task_passes_on_k_rows_a_query(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(900)], "ordinal long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(i, 0, rng.normal(size=4).tolist()) for i in range(40)], "query_id long, variant int, embedding array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        want = sorted(tuple(r) for r in R.top_k(v, q, 6).collect())
+        assert R.partial_top_k(v, q, 6).count() == 3 * 40 * 6  # 45 batches, 3 tasks
+        monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+        monkeypatch.setattr(R, "QUERY_BYTES", 13 * 4 * 8)  # four passes
+        assert sorted(tuple(r) for r in R.top_k(v, q, 6).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_runs_share_a_search(spark, tmp_path, monkeypatch):
+    """27 query runs and 27 threshold runs over nine indexes: one search, one reranking and one answer to all of an index's."""
+    calls = {"search": 0, "rerank": 0, "answer": 0}
+
+    def counted(name, f):
+        def run(*args, **more):
+            calls[name] += 1
+            return f(*args, **more)
+
+        return run
+
+    monkeypatch.setattr(R, "top_k", counted("search", R.top_k))
+    monkeypatch.setitem(PL.COMPONENTS, "JinaReranker", counted("rerank", PL.COMPONENTS["JinaReranker"]))
+    monkeypatch.setitem(PL.COMPONENTS, "HuggingfaceGenerator", counted("answer", PL.COMPONENTS["HuggingfaceGenerator"]))
+    rng = random.Random(3)
+    d = docs(spark, *(" ".join(rng.choice("haus katze hund baum see berg tal wald".split()) for _ in range(60)) for _ in range(6)))
+    qa = spark.createDataFrame([(i, " ".join(rng.sample("haus katze hund baum see berg".split(), 3)), "katze hund") for i in range(5)], "qa_idx long, user_input string, reference string")
+    configs = [("raw", ["RawTextProcessor"], f"c{s}", "FixedCharacterChunker", {"chunk_size": s, "overlap": 0}) for s in range(40, 130, 10)]
+    assert [r["name"] for r in PL.query_runs([(*configs[0], 0.05)])] == ["raw__c40__no_processing", "raw__c40__hyde", "raw__c40__cot"]
+    for runs in (PL.query_runs([(*c, 0.05) for c in configs]), PL.context_runs(configs)):
+        for name in calls:
+            calls[name] = 0
+        out = PL.run_experiment(d, qa, runs, f"{tmp_path}/{len(list(tmp_path.iterdir()))}", negative=qa)
+        assert calls == {"search": 9, "rerank": 9, "answer": 9}
+        assert [r.run_name for r in out.collect()] == [r["name"] for r in runs] and len(runs) == 27
+    # each run is what the pipeline gives by itself
+    off = PL.OfflinePipeline(["RawTextProcessor"], "FixedCharacterChunker", "FaissIndexBuilder", PL.Offline({"chunk_size": 40, "overlap": 0}))
+    index = off.run(d, f"{tmp_path}/alone")[1]
+    few = PL.context_runs(configs[:1], [0.0, 0.4, 0.7]) + [{**r, "threshold": None} for r in PL.query_runs([(*configs[0], 0.0)])[1:]]
+    got = {r.run: r for r in PL.scored_runs(index, qa, few, 6, 2, qa).collect()}
+    for k, run in enumerate(few):
+        online = PL.OnlinePipeline(run.get("query_processor", "NoProcessingProcessor"), "FaissRetriever", "JinaReranker", "HuggingfaceGenerator", PL.Online(6, 2, run["threshold"]))
+        rows = PL.answered(online, index, qa)
+        one = E.means(E.evaluate(rows).select("answer_correctness", "context_recall")).first()
+        assert (got[k].answer_correctness, got[k].context_recall) == pytest.approx(tuple(one))
+        assert got[k].negative_negative_rejection == pytest.approx(E.means(E.evaluate_rejection(rows).select("negative_rejection")).first()[0])
+
+
+def test_large_batches_are_halved(spark, tmp_path):
+    sizes = []
+
+    def retriever(index, q, embed, k):
+        sizes.append(q.count())
+        if sizes[-1] > 2:
+            raise MemoryError
+        return R.retrieve(index, q, embed, k)
+
+    PL.register("TwoAtOnce", retriever)
+    off = PL.OfflinePipeline(["RawTextProcessor"], "PassthroughChunker", "FaissIndexBuilder", PL.Offline())
+    index = off.run(docs(spark, "die katze", "der hund", "das haus"), f"{tmp_path}/i")[1]
+    online = PL.OnlinePipeline("NoProcessingProcessor", "TwoAtOnce", "PassthroughReranker", "PassthroughGenerator", PL.Online(1, 1))
+    qa = spark.createDataFrame([(i, ("katze", "hund", "haus")[i % 3], "r") for i in range(9)], "qa_idx long, user_input string, reference string")
+    got = {r.qa_idx: r.response.split()[-1] for r in PL.run_queries(online, index, qa).collect()}
+    assert got == {i: ("katze", "hund", "haus")[i % 3] for i in range(9)} and sizes[0] == 9 and max(sizes[1:]) < 9
+    sizes.clear()
+    assert PL.run_queries(online, index, qa, batching=False).count() == 9 and max(sizes) < 9
+    assert PL.run_queries(online, index, qa.limit(0)).count() == 0
+    PL.register("TwoAtOnce", lambda *a: (_ for _ in ()).throw(MemoryError()))
+    with pytest.raises(RuntimeError, match="one question"):
+        PL.run_queries(PL.OnlinePipeline("NoProcessingProcessor", "TwoAtOnce", "PassthroughReranker", "PassthroughGenerator", PL.Online(1, 1)), index, qa.limit(1))
+    PL.register("TwoAtOnce", lambda *a: (_ for _ in ()).throw(ValueError("other")))
+    with pytest.raises(ValueError, match="other"):
+        PL.run_queries(PL.OnlinePipeline("NoProcessingProcessor", "TwoAtOnce", "PassthroughReranker", "PassthroughGenerator", PL.Online(1, 1)), index, qa)
+
+
+@pytest.mark.parametrize("fixed, segment, n", [(0.3, 16, 400), (0.6, 7, 150), (-1.0, 20, 130), (0.99, 5, 60)])
+def test_segments_equal_the_loop(spark, fixed, segment, n):
+    """One label with most rows, small ones, a null one; clusters of one row, and one cluster over all segments."""
+    rng = np.random.default_rng(n)
+    walk = np.cumsum(rng.normal(size=(n, 3)) * 0.25, axis=0)
+    data = [("a", i, walk[i].tolist()) for i in range(n)] + [("b", i, walk[i].tolist()) for i in range(9)] + [(None, i, walk[3 * i].tolist()) for i in range(segment + 3)] + [("c", 5, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(data, "label string, pos long, v array<double>").repartition(6)
+    got = C.cluster_rows(df, "label", "pos", "v", fixed, 0.9, 1.5, segment)
+    want = []
+    for label in ("a", "b", None, "c"):
+        own = sorted((p, v) for k, p, v in data if k == label)
+        want += [(label, i + 1, c) for i, c in enumerate(C.cluster_vectors([v for _, v in own], fixed, 0.9, 1.5))]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert got.dtypes == C.cluster_rows(df, "label", "pos", "v", fixed, 0.9, 1.5).dtypes
+    if fixed == 0.3:
+        seen = C._by_segments(df.select(F.col("label").alias("k"), F.col("pos").alias("o"), "v").limit(0), (0.3, 0.9, 1.5), 4)
+        assert seen.count() == 0
