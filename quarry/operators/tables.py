@@ -20,6 +20,7 @@ LEGEND = (
     "* Profilbildungsbereich = PBB\n"
     "* Prüfungsnummer = Pnr.\n"
 )
+#: How modules and their courses are marked, and what table separators, bold rows and remarks look like.
 MODULE = "### Modul:"
 COURSES = "**Lehrveranstaltungen und Lehrformen:**"
 _SEPARATOR = re.compile(r"^\|\s*:?-+:?\s*\|")
