@@ -80,10 +80,10 @@ def test_simhash(docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id between 100 and 105").count() == 0
 
 
-@pytest.mark.parametrize("stars, part", [(6, 1024), (0, 1024), (0, 7), (1, 3)])
-def test_near_copies_equal_brute_force(spark, monkeypatch, stars, part):
-    monkeypatch.setattr(nearcopies, "STARS", stars)
-    monkeypatch.setattr(nearcopies, "PART", part)
+@pytest.mark.parametrize("stars, part, size, hub", [(6, 1024, 1 << 20, 4096), (0, 1024, 1 << 20, 4096), (0, 7, 1 << 20, 4096), (1, 3, 1 << 20, 1), (0, 1024, 2000, 1)])
+def test_near_copies_equal_brute_force(spark, monkeypatch, stars, part, size, hub):
+    for name, value in (("STARS", stars), ("PART", part), ("PART_BYTES", size), ("HUB", hub)):
+        monkeypatch.setattr(nearcopies, name, value)
     rng = random.Random(11)
     data = []
     for k in range(30):
@@ -105,6 +105,18 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, stars, part):
     assert sorted(r.doc_id for r in got.collect()) == sorted(want) and len(want) < 100
 
 
+def test_hubs_are_shared_out(spark, monkeypatch):
+    """A text that all others are compared with is sent to several tasks, and each pair is still judged once."""
+    monkeypatch.setattr(nearcopies, "HUB", 10)
+    base = text(random.Random(6), 60).split()
+    texts = spark.createDataFrame([(i, " ".join([*base[: 60 - i % 9], *(f"n{i}x{j}" for j in range(i % 9))]).encode()) for i in range(100)], "node long, text binary")
+    pairs = spark.createDataFrame([(i, 99) for i in range(99)], "a long, b long")
+    got = nearcopies.verified(pairs, texts, 5, 0.8)
+    sets = {r.node: decontaminate.shingles(r.text.split()) for r in texts.collect()}
+    want = [(i, 99) for i in range(99) if len(sets[i] & sets[99]) >= 0.8 * len(sets[i] | sets[99])]
+    assert sorted(tuple(r) for r in got.collect()) == want and 0 < len(want) < 99
+
+
 def test_keep_one_chooses_rows(spark):
     rng = random.Random(12)
     a, b, c, d = (text(rng, 50) for _ in range(4))
