@@ -110,8 +110,8 @@ def decode(payload: bytes, first_block: int = 0, blocks: int | None = None) -> n
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
     """Encode whole texts (null: empty), append ``end`` to each and write them in ascending doc_id order.
 
-    Texts move once, by range of doc_id; a task sorts its range and writes one shard, so shards in
-    order are the ids in order. Null ids come first, rows of equal id one after another.
+    Texts move once, by range of doc_id and a hash of the text, so that rows of one id can lie in several ranges; a task sorts
+    its range and writes one shard, so shards in order are the ids in order. Null ids come first.
     """
     schema = pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 
@@ -138,7 +138,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
             yield row()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = id_and_bytes(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    rows = id_and_bytes(docs).withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     rows.mapInArrow(run, "shard int, first long, doc_ids array<long>, lengths array<long>, payload binary").write.option("compression", "zstd").parquet(path)
 
 
@@ -162,6 +162,10 @@ def read(spark, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end: int = END, path: str | None = None) -> DataFrame:
+    """``write`` and ``read``: a row per row of ``docs``. A null or empty text is its end id alone, texts are encoded whole. Rows
+    go by doc_id, null ids first, and rows of one id by a hash of their texts, so repeated rows follow each other; an empty
+    table gives no rows, and further columns are ignored.
+    """
     path = path or new_path(docs.sparkSession, "ids")
     write(docs, path, tokenizer, end)
     return read(docs.sparkSession, path)

@@ -409,7 +409,8 @@ def score(docs: DataFrame, counts: DataFrame, tables: Tables, model) -> DataFram
 def score_language(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
-    Counts and weights are learnt from all documents outside the held-out fold. Without any the base
+    Counts and weights are learnt from all documents outside the held-out fold. Null texts are their end alone, texts are read
+    whole, and repeated rows count and are scored again; an empty table gives no rows. Without any to learn from the base
     is that of an empty vocabulary and the model uniform over its classes.
     """
     usable = docs.where(~fold(7))

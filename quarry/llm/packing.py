@@ -46,7 +46,9 @@ def assign(lengths: list[int], size: int = LENGTH) -> list[tuple[int, int, int,
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, group: int = GROUP) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document's ids are those of its whole text (null: empty) and ``end``. Full runs of ``length`` ids
+    A document's ids are those of its whole text (null: empty, so its end alone) and ``end``; texts are read whole, however
+    long. Rows are packed one by one: repeated rows and ids give pieces of their own, an empty table gives none, and further
+    columns are ignored. Ties of cost go to the sequence opened first, those of length to the row read first. Full runs of ``length`` ids
     make sequences of their own; the rests of ``group`` documents are packed by ``assign``. Nothing
     is shuffled and a task holds one group. sequence_id is the task's number and a count in it.
     """

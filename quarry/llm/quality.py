@@ -11,7 +11,7 @@ BUCKETS, SMOOTH = 10_000, 1.0
 #: A document is kept if its mean log-likelihood ratio per n-gram is at least this.
 LEAST_RATIO = -0.06
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
-#: Expected number of trusted ids that go to every executor at once; more are counted in blocks.
+#: Expected number of trusted ids that go to every executor at once.
 MOST_TRUSTED = 200_000
 _SPACE = "\\x20\\x09-\\x0D"
 _SYMBOLS = "#*$%&|<>"
@@ -74,18 +74,25 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """log(trusted share / corpus share) of every bucket, from counts over all documents.
 
     ``trusted(doc_id)`` names the trusted target documents; all of them make the target's multinomial, and the
-    corpus's is counted over every document. About MOST_TRUSTED ids are sent at once, so the documents are read once for
-    every block of them. The result has BUCKETS numbers, so it is
-    the one thing brought to the driver. Without trusted or any documents every ratio is zero.
+    corpus's is counted over every document. Up to two blocks of about MOST_TRUSTED ids are sent to where the documents are read,
+    a pass over them each. For more ids the documents' n-gram buckets, two bytes each, are joined with them by one shuffle: two
+    passes, however many ids there are. The result has BUCKETS numbers, so it is the one thing
+    brought to the driver. Without trusted or any documents every ratio is zero.
     """
     target = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     blocks = max(1, -(-target.count() // MOST_TRUSTED))
-    grams = F.explode(ngrams_of(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    source, raw, good = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), Counter(), Counter()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    source, raw, good = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), Counter(), Counter()
+    if blocks > 2:
+        of = lambda rows: {r.b: r.n for r in rows.groupBy("b").agg(F.count("*").alias("n")).collect()}
+        raw.update(of(source.select(F.explode(ngrams_of(F.col("text"))).alias("b"))))
+        lists = source.where("doc_id is not null").select("doc_id", ngrams_of(F.col("text")).cast("array<smallint>").alias("grams"))
+        good.update(of(lists.join(target, "doc_id").select(F.explode("grams").alias("b"))))
+        blocks = 0
     for k in range(blocks):
         some = target.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k).withColumn("good", F.lit(1))
         per = source.join(F.broadcast(some), "doc_id", "inner" if k else "left")  # the first pass counts the corpus too
-        for r in per.select(F.coalesce("good", F.lit(0)).alias("good"), grams.alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect():
+        for r in per.select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(ngrams_of(F.col("text"))).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect():
             raw[r.b] += 0 if k else r.raw
             good[r.b] += r.good
     n, m = sum(raw.values()), sum(good.values())
@@ -99,7 +106,7 @@ def rules(docs: DataFrame, ratios: list[float], least: float = LEAST_RATIO) -> D
     """One row per document: the base counts, base_failed, ratio and kept.
 
     A null text has no words. ``ratio`` is the mean log-likelihood ratio over the n-grams of the
-    lower-cased words, 0 without n-grams. Repeated rows give repeated rows.
+    lower-cased words, 0 without n-grams. Repeated rows give repeated rows, an empty table none; texts are read whole.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     table = F.split(F.lit(",".join(f"{x:.6g}" for x in ratios)), ",").cast("array<double>")

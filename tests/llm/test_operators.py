@@ -353,8 +353,41 @@ def test_quality(spark, docs, empty, labels):
 def test_all_trusted_documents_count(spark, docs, monkeypatch):
     trusted = spark.createDataFrame([(i,) for i in range(0, 40, 2)] + [(205,), (None,), (999,)], "doc_id long")
     want = quality.log_ratios(docs, trusted)
-    monkeypatch.setattr(quality, "MOST_TRUSTED", 5)
-    assert quality.log_ratios(docs, trusted) == want and len(set(want)) > 2
+    passes = []
+    monkeypatch.setattr(quality, "ngrams_of", lambda x, f=quality.ngrams_of: (passes.append(1), f(x))[1])
+    for most, expected in ((30, 1), (12, 2), (5, 2), (1, 2)):  # ids in one block, in two, and shuffled
+        passes.clear()
+        monkeypatch.setattr(quality, "MOST_TRUSTED", most)
+        assert quality.log_ratios(docs, trusted) == want and len(set(want)) > 2 and len(passes) == expected
+
+
+def test_ratio_and_verdict(docs, labels):
+    def hashed(*words):
+        h = 42
+        for w in words:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        return (h - (1 << 64) * (h >> 63)) % quality.BUCKETS
+
+    def grams(t):
+        w = [x for x in __import__("re").findall(r"[^\x20\x09-\x0D]+", (t or "").lower())]
+        return [hashed(x) for x in w] + [hashed(*x) for x in zip(w, w[1:])]
+
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and r.doc_id is not None}
+    raw, target = Counter(), Counter()
+    for r in rows():
+        raw.update(grams(r[1]))
+        target.update(grams(r[1]) if r[0] in good else [])
+    n, m = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
+    of = lambda g: sum(np.log((target[b] + 1) / m) - np.log((raw[b] + 1) / n) for b in g) / len(g) if g else 0.0
+    seen = set()
+    middle = sorted(r.ratio for r in quality.filter_quality(docs, labels).where("not base_failed").collect())
+    least = middle[len(middle) // 2]
+    for r in quality.filter_quality(docs, labels, least).collect():
+        ratios = [of(grams(t)) for i, t, *_ in rows() if i == r.doc_id]
+        assert min(abs(x - r.ratio) for x in ratios) < 1e-5
+        assert r.kept == (not r.base_failed and r.ratio >= least)
+        seen.add(r.kept)
+    assert seen == {True, False}
 
 
 def test_maxent(docs, empty):
@@ -534,6 +567,15 @@ def test_simple8b(ids):
     assert (np.concatenate([binary.decode(p, k, 1) for k in range(10)]) == x).all()
 
 
+def test_rows_of_one_id_are_dealt_out(spark, tmp_path):
+    d = spark.createDataFrame([(7, f"text {i}") for i in range(400)] + [(8, "x"), (3, "y")], "doc_id long, text string").repartition(4)
+    binary.write(d, f"{tmp_path}/ids", tokenizer_path())
+    assert spark.read.parquet(f"{tmp_path}/ids").select("shard").distinct().count() > 3
+    out = sorted(binary.read(spark, f"{tmp_path}/ids").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in out] == [3] + [7] * 400 + [8]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(out, out[1:]))
+
+
 def test_files(docs, empty):
     e = tokens.encoder(tokenizer_path())
     got = sorted(((-1 if r.doc_id is None else r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in binary.round_trip(docs, tokenizer_path()).collect()), key=lambda r: r[1])
