@@ -435,12 +435,22 @@ def threshold_sweep(spark, sf_dir):
     return E.sweep(h, [0.0, 0.05, 0.1, 0.3], 12).groupBy("threshold").agg(F.count("*").alias("kept"), F.round(F.avg("reranking_score"), 6).alias("mean_score"))
 
 
-@query("""select 'paragraph' as chunker, s::double as p1, o::double as p2 from (values (1, 0), (2, 0), (2, 1), (3, 0)) v(s, o)
+@query(f"""with g as (select 'paragraph' as chunker, s::double as p1, o::double as p2 from (values (1, 0), (2, 0), (2, 1), (3, 0)) v(s, o)
 union all select 'character', s, o from (select unnest([500, 1000, 1500])::double as s, [0, 0.1] as f), lateral (select unnest([0, s * 0.1])::double as o)
 union all select 'dynamic', s, o from (select unnest([150, 250, 500])::double as s), lateral (select unnest([0, s * 0.1])::double as o)
-union all select 'maxmin', a, b from (select unnest([0.7, 0.75, 0.8])::double as a), (select unnest([1.2, 1.3, 1.4, 1.5])::double as b) where a + b > 1.9::double and a + b < 2.3::double""")
+union all select 'maxmin', a, b from (select unnest([0.7, 0.75, 0.8])::double as a), (select unnest([1.2, 1.3, 1.4, 1.5])::double as b) where a + b > 1.9::double and a + b < 2.3::double),
+p as (select text, {_PARAS.format(x="text", sep="\\n\\s*\\n")} as a, {_PARAS.format(x="text", sep="\\n")} as b from documents where text is not null),
+n as (select length(text) as c, len(case when len(a) < 10 then b else a end) as k from p),
+m as (select chunker, p1, p2, case chunker when 'character' then c when 'paragraph' then k end as items from n, g)
+select chunker, p1, p2, (sum(case when items > 0 then greatest(0, ceil((items - p1) / (p1 - p2))) + 1 end))::bigint as num_chunks from m group by all""")
 def param_grid(spark, sf_dir):
-    return PL.grids(spark)
+    """Every chunker's parameters, with the chunks that those of fixed windows make of the documents."""
+    d = documents(spark, sf_dir).select(F.struct(F.length("text").alias("character"), F.size(T.paragraphs(F.col("text"))).alias("paragraph")).alias("n"))
+    rows = PL.grids(spark).collect()
+    each = d.select("n", F.explode(F.array(*[F.struct(F.lit(r.chunker).alias("chunker"), F.lit(r.p1).alias("p1"), F.lit(r.p2).alias("p2")) for r in rows])).alias("g")).select("n.*", "g.*")
+    items = F.when(F.col("chunker") == "character", F.col("character")).when(F.col("chunker") == "paragraph", F.col("paragraph"))
+    chunks = F.when(items > 0, F.greatest(F.lit(0), F.ceil((items - F.col("p1")) / (F.col("p1") - F.col("p2")))) + 1)
+    return each.groupBy("chunker", "p1", "p2").agg(F.sum(chunks).cast("long").alias("num_chunks"))
 
 
 @query("select source, round(avg(quality), 9) as answer_correctness from documents join labels using (doc_id) group by source order by avg(quality) desc, source limit 1")
@@ -685,11 +695,11 @@ def preconverted_documents(spark, sf_dir):
     return PL.component("GeminiMarkdownProcessor")(d).select("doc_id", "text", "preprocessor_name")
 
 
-@query("""with o as (select *, o_orderkey % 3 as m from orders where o_orderkey % 3 < 2)
+@query("""with o as (select *, o_orderkey % 3 as m from orders)
 select (o_orderkey - m)::varchar || '_paper_llm_processor' as doc_id, string_agg('vor ' || o_orderkey || chr(10) || 'A: ' || o_orderstatus || '; B: ' || o_custkey || '. A: x.', chr(10) order by o_orderkey) || chr(10) || 'nach' as text from o group by o_orderkey - m""")
 def paper_tables(spark, sf_dir):
     """Texts with tables through the table-describing preprocessor."""
-    o = table(spark, sf_dir, "orders").withColumn("m", F.col("o_orderkey") % 3).where("m < 2")
+    o = table(spark, sf_dir, "orders").withColumn("m", F.col("o_orderkey") % 3)
     part = F.concat(F.lit("vor "), "o_orderkey", F.lit("\n| A | B |\n| :-- | --- |\n| **"), "o_orderstatus", F.lit("** | "), "o_custkey", F.lit(" |\n| x | |"))
     g = o.groupBy((F.col("o_orderkey") - F.col("m")).cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", part.alias("t")))).alias("ts"))
     docs = g.select("doc_id", F.lit("").alias("source_path"), F.concat(F.array_join(F.transform("ts", lambda s: s["t"]), "\n"), F.lit("\nnach")).alias("text"), F.lit("").alias("preprocessor_name"))
@@ -789,9 +799,9 @@ _EVAL = f"""with t as (select conv_id, turn, {_CLAIMS.format(x="a")} as a, {_CLA
 x as (select conv_id, turn, a, b, len(list_intersect(a, b)) as n from t)"""
 
 
-@query(_EVAL + " select conv_id, turn, round(n / (n + 0.5 * (len(a) + len(b) - 2 * n)), 9)::double as answer_correctness, round(n / len(a), 9)::double as context_recall, round(n / len(b), 9)::double as faithfulness, round(n / sqrt(len(a) * len(b)), 9)::double as answer_relevancy from x where len(a) > 0 and len(b) > 0")
+@query(_EVAL + " select conv_id, turn, round(case when len(a) + len(b) = 0 then 0 else n / (n + 0.5 * (len(a) + len(b) - 2 * n)) end, 9)::double as answer_correctness, round(n / nullif(len(a), 0), 9)::double as context_recall, round(n / nullif(len(b), 0), 9)::double as faithfulness, round(case when least(len(a), len(b)) = 0 then 0 else n / sqrt(len(a) * len(b)) end, 9)::double as answer_relevancy from x")
 def evaluate_full(spark, sf_dir):
-    t = _turns(spark, sf_dir).where("a is not null").where((F.size(E.claims(F.col("a"))) > 0) & (F.size(E.claims(F.col("b"))) > 0))
+    t = _turns(spark, sf_dir).where("a is not null")
     rows = t.select("conv_id", "turn", F.col("a").alias("user_input"), F.col("a").alias("reference"), F.col("b").alias("response"), F.array("b").alias("retrieved_contexts"))
     # the contexts are the response for recall and the reference for faithfulness
     recall = E.evaluate(rows).select("conv_id", "turn", "answer_correctness", "context_recall", "answer_relevancy")
