@@ -2,7 +2,7 @@
 
 P(token | history) = P(class | history) * P(place | class, history) * P(token | place). The VOCAB commonest
 tokens sit in HEAD classes of WIDTH places, a token each. Every rarer token belongs to one of TAIL classes
-by a hash of its last bytes and to one of its NARROW places by a hash of the word, and gets its share of the
+by a hash of its last bytes and to one of its places by a hash of the word, and gets its share of the
 place's smoothed count. Each class has a learnt softmax over its places. Features are the previous token, the one before it (a
 skip) and the pair of both, hashed; logits are sums of one weight row a feature.
 """
@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.common import as_bytes, batch, fold, id_and_bytes, written
 
-HEAD, WIDTH, TAIL, NARROW = 16, 64, 16, 16
+HEAD, WIDTH, TAIL, NARROW = 16, 64, 16, 32
 VOCAB, CLASSES = HEAD * WIDTH, HEAD + TAIL
-#: Context symbols: the commonest words stand for themselves, others for a hash of their last bytes. Own symbols and pairs
-#: double at each of GROW different words.
+#: Context symbols: the commonest words stand for themselves, others for a hash of their last bytes. Own symbols, pairs and
+#: the tail's places double at each of GROW different words.
 OWN, ENDINGS, COARSE, PAIRS, GROW = 4096, 1024, 512, 1 << 14, (1 << 20, 1 << 22)
 #: At most so many words' exact counts go to every executor, as whole levels of a log scale from the
 #: top; counts of all others are joined.
@@ -46,10 +46,6 @@ def _ending(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % ENDINGS
 
 
-def _narrow(word: bytes) -> int:
-    return zlib.crc32(word) % NARROW
-
-
 def cut(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The different words of the texts, each behind a space (the end as ``_END``), each token's place among them and
     where texts begin."""
@@ -118,13 +114,13 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Tables:
-    """What scoring needs of the counts: bounded by KNOWN words, VOCAB and TAIL * NARROW."""
+    """What scoring needs of the counts: bounded by KNOWN words, VOCAB and the tail's places."""
 
     def __init__(self, counts: DataFrame):
         row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         self.n, self.v, self._known = row.n, row.v, None
         grow = 1 << sum(self.v >= g for g in GROW)
-        self.own, self.pairs = OWN * grow, PAIRS * grow
+        self.own, self.pairs, self.places = OWN * grow, PAIRS * grow, NARROW * grow
         self.symbols = self.own + ENDINGS + 1
         level = F.floor(F.log2("n") * 16).cast("int").alias("level")
         least, room = 1 << 30, KNOWN
@@ -136,14 +132,15 @@ class Tables:
         top.sort(key=lambda r: (-r.n, bytes(r.word)))
         self.words = [bytes(r.word) for r in top]
         self.counts = np.array([r.n for r in top], np.float64)
-        self.tails = np.array([_ending(w) * NARROW + _narrow(w) for w in self.words], np.int64)
+        narrow = self.places
+        self.tails = np.array([_ending(w) * narrow + zlib.crc32(w) % narrow for w in self.words], np.int64)
         ending = F.pmod(F.pmod(F.crc32(F.expr("substring(word, -2, 2)")), F.lit(ENDINGS)), F.lit(TAIL))
-        place = (ending * NARROW + F.pmod(F.crc32("word"), F.lit(NARROW))).alias("k")
-        self.mass = np.zeros(TAIL * NARROW)
+        place = (ending * narrow + F.pmod(F.crc32("word"), F.lit(narrow))).alias("k")
+        self.mass = np.zeros(TAIL * narrow)
         for r in counts.groupBy(place).agg(F.sum(F.col("n") + 1).alias("z")).collect():
             self.mass[r.k] = float(r.z)
         for t, c in zip(self.tails[:VOCAB].tolist(), self.counts[:VOCAB].tolist()):
-            self.mass[t // NARROW % TAIL * NARROW + t % NARROW] -= c + 1
+            self.mass[t // narrow % TAIL * narrow + t % narrow] -= c + 1
         self.mass = np.maximum(self.mass, 0) + 1
         in_head = np.zeros(VOCAB)
         in_head[: len(self.counts[:VOCAB])] = self.counts[:VOCAB]
@@ -151,7 +148,7 @@ class Tables:
         live = in_head > 0
         self.within[live] = np.log(in_head[live])
         self.within = self.within.reshape(WIDTH, HEAD).T.copy()  # rank r: class r % HEAD, place r // HEAD
-        per = self.mass.reshape(TAIL, NARROW)
+        per = self.mass.reshape(TAIL, narrow)
         self.narrow = np.log(per).astype(np.float32)
         totals = np.r_[in_head.reshape(WIDTH, HEAD).sum(axis=0), per.sum(axis=1)]
         self.prior = np.log((totals + 0.1) / (totals.sum() + 0.1 * CLASSES)).astype(np.float32)
@@ -163,31 +160,31 @@ class Tables:
         return self._known
 
 
-def _indices(known: dict[bytes, int], words: pa.Array) -> np.ndarray:
+def _indices(known: dict[bytes, int], words: pa.Array, narrow: int) -> np.ndarray:
     """Each word's rank, or -1 - its ending and place for those not known."""
     words = as_bytes(words)
     out, crc = list(map(known.get, words)), zlib.crc32
     if None in out:
         for k, w in [(k, w) for k, (i, w) in enumerate(zip(out, words)) if i is None]:
-            out[k] = -1 - (crc(w[-2:] if len(w) > 2 else w[1:]) % ENDINGS * NARROW + crc(w[1:]) % NARROW)
+            out[k] = -1 - (crc(w[-2:] if len(w) > 2 else w[1:]) % ENDINGS * narrow + crc(w[1:]) % narrow)
     return np.array(out, np.int64)
 
 
 def new_model(tables: Tables) -> list[np.ndarray]:
-    """Weight rows of the class features (previous, skip, pair), of the two features within head and the one within tail classes."""
+    """Weight rows of the class features (previous, skip, pair), of the two features within head classes and within tail classes."""
     out = [np.zeros((r, CLASSES), np.float32) for r in (tables.symbols, tables.symbols, tables.pairs)]
-    return out + [np.zeros((COARSE * n, w), np.float32) for n, w in ((HEAD, WIDTH), (HEAD, WIDTH), (TAIL, NARROW))]
+    return out + [np.zeros((COARSE * n, w), np.float32) for n, w in ((HEAD, WIDTH), (HEAD, WIDTH), (TAIL, tables.places), (TAIL, tables.places))]
 
 
 def features(tables: Tables, idx: np.ndarray, starts: np.ndarray):
     """Whether in the head, class, place in class and feature rows of each token; ``idx`` as from ``_indices``, texts begin at ``starts``."""
     known = idx >= 0
     tail = np.where(known, tables.tails[np.maximum(idx, 0)] if len(tables.tails) else 0, -1 - idx)
-    ending = tail // NARROW
+    ending = tail // tables.places
     symbol = np.where(known & (idx < tables.own), idx, tables.own + ending)
     head = known & (idx < VOCAB)
     cls = np.where(head, idx % HEAD, HEAD + ending % TAIL)
-    place = np.where(head, idx // HEAD, tail % NARROW)
+    place = np.where(head, idx // HEAD, tail % tables.places)
     first = tables.symbols - 1
     s1, s2 = np.full(len(idx), first), np.full(len(idx), first)
     s1[1:], s2[2:] = symbol[:-1], symbol[:-2]
@@ -219,7 +216,7 @@ def _within(tables, model, head: bool, cls, feats, rows):
     """Feature rows and place probabilities of tokens in head or in tail classes."""
     at, n, base = (3, HEAD, tables.within) if head else (5, TAIL, tables.narrow)
     c = cls.take(rows) - (0 if head else HEAD)
-    own = [(f.take(rows) % COARSE) * n + c for f in feats[: 2 if head else 1]]
+    own = [(f.take(rows) % COARSE) * n + c for f in feats[:2]]
     return at, own, _softmax(_logits(base.take(c, axis=0), model[at : at + len(own)], own))
 
 
@@ -238,7 +235,7 @@ def log_probs(tables: Tables, model, idx: np.ndarray, starts: np.ndarray) -> np.
                 _, _, q = _within(tables, model, which, cls, feats, rows)
                 y[rows - a] += np.log(q[np.arange(len(rows)), place[rows]] + 1e-12)
                 if not which:
-                    y[rows - a] -= log_mass[(cls[rows] - HEAD) * NARROW + place[rows]]
+                    y[rows - a] -= log_mass[(cls[rows] - HEAD) * tables.places + place[rows]]
         out[s] = y
     return out
 
@@ -341,7 +338,7 @@ def _round(src: DataFrame, shards: int, known, model, second) -> None:
             used = [np.zeros(len(w), np.float32) for w in model]
             for _, texts in _some((b for _, b in rows), CUT):
                 words, code, starts = cut(texts)
-                learn(tables, model, second, used, _indices(ranks, words)[code], starts)
+                learn(tables, model, second, used, _indices(ranks, words, tables.places)[code], starts)
             own = list(zip(model, second, used))
             mixed = own if mixed is None else [mix(pair) for pair in zip(mixed, own)]
         if mixed is not None:
@@ -389,7 +386,7 @@ def score(docs: DataFrame, counts: DataFrame, tables: Tables, model) -> DataFram
         row = TaskContext.get().partitionId() << 40
         for ids, texts in _some(batches, CUT):
             words, code, starts = cut(texts)
-            idx = _indices(known, words)[code]
+            idx = _indices(known, words, tables.places)[code]
             y = log_probs(tables, model, idx, starts) * LOG10E
             at = np.where(idx >= 0, idx, -1)
             total = [np.add.reduceat(x, starts) for x in (np.ones(len(idx), np.int64), (idx >= 0).astype(np.int64), log_c[at], y + tail_log[at])]

@@ -451,7 +451,7 @@ def test_gradient_steps_lower_the_loss(spark):
     d = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(data)], "doc_id long, text string")
     tables = maxent.Tables(maxent.count_words(d))
     words, code, starts = maxent.cut(data)
-    idx = maxent._indices(tables.lookup(), words)[code]
+    idx = maxent._indices(tables.lookup(), words, tables.places)[code]
     model = maxent.new_model(tables)
     before = maxent.log_probs(tables, model, idx, starts).sum()
     second, used = [np.full(len(w), 1e-2, np.float32) for w in model], [np.zeros(len(w), np.float32) for w in model]
