@@ -206,20 +206,27 @@ def stitch_tables(parts: DataFrame) -> DataFrame:
     return g.select("doc_id", F.col("table_index").cast("int").alias("table_index"), "start_page", "end_page", F.flatten(F.transform("b", lambda s: s["body"])).alias("data"))
 
 
+#: Text so many units above a table, and below the table before it, is its caption.
+CAPTION = 50
+
+
 def page_contexts(items: DataFrame) -> DataFrame:
     """(doc_id, contexts, captions): the text between tables, for ``items(doc_id, page, y, kind, text)``.
 
-    N tables leave N + 1 contexts; a caption is the text within 50 units above its table.
+    N tables leave N + 1 contexts and N captions. A text within CAPTION units above the next table of its page is that table's
+    caption and in no context. Texts of a document meet once, by the gap that they lie in.
     """
-    w = Window.partitionBy("doc_id").orderBy("page", "y", "kind")
     table = F.col("kind") == "table"
-    x = items.withColumn("gap", F.sum(table.cast("int")).over(w) - table.cast("int"))
-    up = Window.partitionBy("doc_id", "page").orderBy("y").rangeBetween(-50, 0)
-    x = x.withColumn("above", F.array_join(F.collect_list(F.when(F.col("kind") == "text", F.col("text"))).over(up), " "))
-    g = x.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("gap", "page", "y", "kind", "text"))).alias("i"), F.array_sort(F.collect_list(F.when(table, F.struct("page", "y", "above")))).alias("c"))
-    n = F.size("c")
-    of = lambda k: F.array_join(F.transform(F.filter("i", lambda s: (s["gap"] == k) & (s["kind"] == "text")), lambda s: s["text"]), "\n")
-    return g.select("doc_id", F.transform(F.sequence(F.lit(0), n), of).alias("contexts"), F.transform("c", lambda s: s["above"]).alias("captions"))
+    gap = F.sum(table.cast("int")).over(Window.partitionBy("doc_id").orderBy("page", "y", "kind")) - table.cast("int")
+    after = Window.partitionBy("doc_id", "page").orderBy("y", "kind").rowsBetween(1, Window.unboundedFollowing)
+    next_y = F.first(F.when(table, F.col("y")), ignorenulls=True).over(after)
+    x = items.withColumn("gap", gap).withColumn("caption", F.coalesce(next_y - F.col("y") <= CAPTION, F.lit(False)))
+    of = lambda which: F.transform(F.array_sort(F.collect_list(F.when(~table & which, F.struct("page", "y", "text")))), lambda s: s["text"])
+    gaps = x.groupBy("doc_id", "gap").agg(F.array_join(of(~F.col("caption")), "\n").alias("context"), F.array_join(of(F.col("caption")), " ").alias("caption"), F.max(table).alias("table"))
+    g = gaps.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("gap", "context", "caption", "table"))).alias("g"))
+    n = F.size(F.filter("g", lambda s: s["table"]))
+    last = F.when(F.size("g") == n, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))  # nothing follows the last table
+    return g.select("doc_id", F.concat(F.transform("g", lambda s: s["context"]), last).alias("contexts"), F.transform(F.filter("g", lambda s: s["table"]), lambda s: s["caption"]).alias("captions"))
 
 
 def batch_describe(tables: DataFrame, model: Callable[[str], str]) -> DataFrame:

@@ -728,15 +728,18 @@ def linearized_tables(spark, sf_dir):
     return P.rewrite(g.select("doc_id", F.lit("").alias("source_path"), F.array_join(F.transform("ts", lambda s: s["t"]), "\n").alias("text"), F.lit("").alias("preprocessor_name"))).select("doc_id", "text")
 
 
-@query("""with c as (select conv_id, turn, role = 'user' as t, coalesce(text, '') as text, sum((role = 'user')::int) over (partition by conv_id order by turn) - (role = 'user')::int as gap from conversations),
+@query("""with c as (select conv_id, turn, role = 'user' as t, coalesce(text, '') as text, sum((role = 'user')::int) over (partition by conv_id order by turn) - (role = 'user')::int as gap,
+  min(turn) filter (role = 'user') over (partition by conv_id order by turn rows between 1 following and unbounded following) as nt from conversations),
+d as (select *, coalesce((nt - turn) * 30 <= 50, false) as cap from c),
 n as (select conv_id, sum(t::int)::int as n from c group by conv_id),
 k as (select conv_id, n, unnest(range(0, n + 1)) as gap from n),
-x as (select k.conv_id, k.n, k.gap, coalesce(string_agg(c.text, chr(10) order by c.turn) filter (where not c.t), '') as context from k left join c on c.conv_id = k.conv_id and c.gap = k.gap group by all)
-select conv_id::varchar as doc_id, n as n_tables, string_agg(context, '#' order by gap) as contexts from x group by conv_id, n""")
+x as (select k.conv_id, k.n, k.gap, coalesce(string_agg(d.text, chr(10) order by d.turn) filter (where not d.t and not d.cap), '') as context, coalesce(string_agg(d.text, ' ' order by d.turn) filter (where not d.t and d.cap), '') as caption
+ from k left join d on d.conv_id = k.conv_id and d.gap = k.gap group by all)
+select conv_id::varchar as doc_id, n as n_tables, string_agg(context, '#' order by gap) as contexts, coalesce(string_agg(caption, '#' order by gap) filter (where gap < n), '') as captions from x group by conv_id, n""")
 def page_text_contexts(spark, sf_dir):
-    """Conversations as pages: a user's turn is a table, all others are text."""
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), (F.col("turn") * 10.0).alias("y"), F.when(F.col("role") == "user", "table").otherwise("text").alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
-    return P.page_contexts(c).select("doc_id", F.size("captions").alias("n_tables"), F.array_join("contexts", "#").alias("contexts"))
+    """Conversations as pages: a user's turn is a table, all others are text, 30 units apart."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), (F.col("turn") * 30.0).alias("y"), F.when(F.col("role") == "user", "table").otherwise("text").alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
+    return P.page_contexts(c).select("doc_id", F.size("captions").alias("n_tables"), F.array_join("contexts", "#").alias("contexts"), F.array_join("captions", "#").alias("captions"))
 
 
 # --- scalar rules --------------------------------------------------------------------------------

@@ -253,7 +253,10 @@ def test_retries():
 def test_page_contexts(spark):
     rows = [("d", 1, 10.0, "text", "vor"), ("d", 1, 90.0, "text", "titel"), ("d", 1, 100.0, "table", None), ("d", 2, 5.0, "text", "nach"), ("e", 1, 1.0, "text", "nur")]
     out = {r.doc_id: (r.contexts, r.captions) for r in P.page_contexts(spark.createDataFrame(rows, "doc_id string, page int, y double, kind string, text string")).collect()}
-    assert out == {"d": (["vor\ntitel", "nach"], ["titel"]), "e": (["nur"], [])}
+    assert out == {"d": (["vor", "nach"], ["titel"]), "e": (["nur"], [])}  # a caption is in no context
+    rows = [("f", 1, 0.0, "table", None), ("f", 1, 0.0, "text", "a"), ("f", 1, 20.0, "text", "b"), ("f", 1, 70.0, "table", None), ("f", 1, 100.0, "text", "c"), ("f", 2, 10.0, "table", None)]
+    got = P.page_contexts(spark.createDataFrame(rows, "doc_id string, page int, y double, kind string, text string")).first()
+    assert (got.contexts, got.captions) == (["", "a", "c", ""], ["", "b", ""])
 
 
 def test_stream(spark, tmp_path):
