@@ -105,6 +105,29 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, stars, part, size, hu
     assert sorted(r.doc_id for r in got.collect()) == sorted(want) and len(want) < 100
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([0.5, 0.8, 1.0]), st.booleans())
+def test_similar_sets_join_all_labels(seed, similarity, two):
+    rng = random.Random(seed)
+    base = [set(rng.sample(range(40), rng.randint(1, 20))) for _ in range(4)]
+    sets = [set(rng.choice(base)) ^ set(rng.sample(range(40), rng.randint(0, 3))) | {rng.randrange(40)} for _ in range(25)]
+    labels = np.array([rng.randrange(12) for _ in sets])
+    side = np.array([rng.randrange(2) if two else 0 for _ in sets])
+    two = len(set(side.tolist())) == 2
+    good = lambda a, b: labels[a] != labels[b] and (not two or side[a] != side[b]) and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])
+
+    def joined(pairs):
+        root = {x: x for x in labels.tolist()}
+        for a, b in pairs:
+            old, new = root[labels[a]], root[labels[b]]
+            root = {k: new if v == old else v for k, v in root.items()}
+        return {frozenset(k for k in root if root[k] == v) for v in root.values()}
+
+    got = nearcopies.similar([np.array(sorted(s), np.uint64) for s in sets], labels, side, similarity)
+    assert all(good(a, b) for a, b in got)
+    assert joined(got) == joined([(a, b) for a in range(25) for b in range(a) if good(a, b)]) and len(got) == len(set(labels.tolist())) - len(joined(got))
+
+
 def test_hubs_are_shared_out(spark, monkeypatch):
     """A text that all others are compared with is sent to several tasks, and each pair is still judged once."""
     monkeypatch.setattr(nearcopies, "HUB", 10)
