@@ -156,7 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, usable=None) -> tuple:
     got = rows.where(F.col("share") < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0])).select("doc_id", "h", "y", "ids", "x").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("h", "ascending")])
     data = [(np.frombuffer(i.as_py(), np.int32), np.frombuffer(x.as_py(), np.float32), y) for i, x, y in zip(got["ids"], got["x"], got["y"].to_pylist())]
-    return fit(data, tuple(SHARES / max(1, rate[y]) for y in (0, 1)))
+    model = fit(data, tuple(SHARES / max(1, rate[y]) for y in (0, 1)))
+    del data, got
+    pa.default_memory_pool().release_unused()  # the driver keeps the model alone
+    return model
 
 
 def _scores(model: tuple, texts, terms: dict):
