@@ -402,6 +402,11 @@ def test_layout_model():
     assert LayoutModel()("a < b\n| x |") == "a < b\n| x |" and LayoutModel()("") == ""
 
 
+def test_layout_model_cut_entities():
+    """A title that is cut within an entity keeps what is left of it; whole entities are resolved, once."""
+    assert LayoutModel()("<h1>a&amp;&amp</h1><p>b&lt;&#65;&#x42;&copy; &am &</p><p>&amp;lt; &lt &#6</p>") == "# a&&amp\n\nb<AB© &am &\n\n&lt; &lt &#6"
+
+
 def test_a_model_is_made_once_a_worker(spark, tmp_path):
     made = f"{tmp_path}/made"
 
