@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -116,10 +118,18 @@ class OnlinePipeline:
 
     def batch(self, index: DataFrame, queries: DataFrame) -> DataFrame:
         """``queries(query_id, original_query)`` -> with context, retrieved_contexts, reranking_scores, response."""
-        augmented = self.process(queries)
-        hits = self.retrieve(index, augmented, self.embed, self.config.top_k)
-        full = hits.join(index.select("ordinal", "chunk_id", "text"), "ordinal").join(queries, "query_id")
-        kept = self.rerank(full, self.config.top_n, self.config.reranking_score_threshold)
+        return self.respond(queries, self.keep(self.with_texts(index, queries, self.search(index, queries))))
+
+    def search(self, index: DataFrame, queries: DataFrame) -> DataFrame:
+        return self.retrieve(index, self.process(queries), self.embed, self.config.top_k)
+
+    def with_texts(self, index: DataFrame, queries: DataFrame, hits: DataFrame) -> DataFrame:
+        return hits.join(index.select("ordinal", "chunk_id", "text"), "ordinal").join(queries, "query_id")
+
+    def keep(self, hits: DataFrame) -> DataFrame:
+        return self.rerank(hits, self.config.top_n, self.config.reranking_score_threshold)
+
+    def respond(self, queries: DataFrame, kept: DataFrame) -> DataFrame:
         return self.generate(R.contexts(queries, kept))
 
     def query(self, index: DataFrame, text: str) -> DataFrame:
@@ -191,32 +201,47 @@ def out_of_memory(e: BaseException) -> bool:
     return isinstance(e, MemoryError) or any(x in str(e) for x in ("MemoryError", "OutOfMemory", "out of memory"))
 
 
-def run_queries(online: OnlinePipeline, index: DataFrame, qa: DataFrame, batching: bool = True) -> DataFrame:
-    """``answered``, written; where any part of the pipeline runs out of memory, the questions are halved (by a hash of their
-    index) and each half is answered by itself, down to single questions. Without ``batching`` the questions start as eighths.
+def in_halves(ids: DataFrame, act: Callable[[Callable[[DataFrame], DataFrame]], DataFrame], tag: str, depth: int = 0) -> DataFrame:
+    """``act(mine)``, written, where ``mine`` takes a part of any table with a query_id; a part that runs out of memory is halved (by
+    a hash of the id), down to single ids of ``ids``. Parts start as halves of halves, ``depth`` times.
 
     Halves that are done stay done. One question that is too large by itself, or any other error, fails the query.
     """
 
-    def halves(part: DataFrame, depth: int) -> list[DataFrame]:
-        bit = F.getbit(F.xxhash64("qa_idx"), F.lit(depth))
-        return [y for side in (0, 1) for y in solve(part.where(bit == side), depth + 1)]
-
-    def solve(part: DataFrame, depth: int) -> list[DataFrame]:
-        if depth < (0 if batching else 3):
-            return halves(part, depth)
-        if depth and part.isEmpty():
-            return []
-        try:
-            return [written(answered(online, index, part), "answers")]
-        except Exception as e:
-            if not out_of_memory(e) or depth > 63:
-                raise
-            if part.select("qa_idx").distinct().limit(2).count() < 2:
-                raise RuntimeError("one question is too large for the pipeline") from e
-        return halves(part, depth)
-
-    return E.summary(solve(qa, 0) or [written(answered(online, index, qa), "answers")])
+    def solve(bits: tuple) -> list[DataFrame]:
+        def mine(rows: DataFrame) -> DataFrame:
+            return rows.where(reduce(and_, [F.getbit(F.xxhash64("query_id"), F.lit(k)) == b for k, b in enumerate(bits)])) if bits else rows
+
+        if len(bits) >= depth:
+            if bits and mine(ids).isEmpty():
+                return []
+            try:
+                return [written(act(mine), tag)]
+            except Exception as e:
+                if not out_of_memory(e) or len(bits) > 63:
+                    raise
+                if mine(ids).distinct().limit(2).count() < 2:
+                    raise RuntimeError("one question is too large for the pipeline") from e
+        return [x for side in (0, 1) for x in solve((*bits, side))]
+
+    return E.summary(solve(()) or [written(act(lambda rows: rows), tag)])
+
+
+def run_queries(online: OnlinePipeline, index: DataFrame, qa: DataFrame, batching: bool = True) -> DataFrame:
+    """``answered``, written; where a part of the pipeline runs out of memory, that part takes the questions in halves (``in_halves``).
+    Without ``batching`` they start as eighths.
+
+    Search, reranking and generation are halved each by itself, over what the part before has written: the index is searched as
+    often as the retriever asks for, whatever the others can take, and its texts are read once.
+    """
+    depth = 0 if batching else 3
+    queries = written(qa.select(F.col("qa_idx").alias("query_id"), F.col("user_input").alias("original_query")), "questions")
+    ids = queries.select("query_id")
+    hits = in_halves(ids, lambda mine: online.search(index, mine(queries)), "found", depth)
+    hits = written(online.with_texts(index, queries, hits), "hits")
+    kept = in_halves(ids, lambda mine: online.keep(mine(hits)), "kept", depth)
+    got = in_halves(ids, lambda mine: online.respond(mine(queries), mine(kept)), "responses", depth).withColumnRenamed("query_id", "qa_idx")
+    return written(E.attach(qa, got.select("qa_idx", "response", "retrieved_contexts", "reranking_scores")), "answers")
 
 
 def run_main(config: dict, docs: DataFrame, positive: DataFrame, negative: DataFrame, folder: str, embed=None) -> tuple[DataFrame, DataFrame]:

@@ -577,6 +577,29 @@ def test_large_batches_are_halved(spark, tmp_path):
         PL.run_queries(PL.OnlinePipeline("NoProcessingProcessor", "TwoAtOnce", "PassthroughReranker", "PassthroughGenerator", PL.Online(1, 1)), index, qa)
 
 
+def test_a_small_reranker_repeats_no_search(spark, tmp_path):
+    """A reranker that takes one pair at once halves its own hits; the index is searched once."""
+    searches, pairs = [], []
+
+    def retriever(index, q, embed, k):
+        searches.append(q.count())
+        return R.retrieve(index, q, embed, k)
+
+    def reranker(hits, n, threshold):
+        pairs.append(hits.count())
+        if pairs[-1] > 1:
+            raise MemoryError
+        return R.keep_ranks(hits, n)
+
+    PL.register("CountedRetriever", retriever)
+    PL.register("OnePair", reranker)
+    index = PL.OfflinePipeline(["RawTextProcessor"], "PassthroughChunker", "FaissIndexBuilder", PL.Offline()).run(docs(spark, "die katze", "der hund", "das haus"), f"{tmp_path}/i")[1]
+    online = PL.OnlinePipeline("NoProcessingProcessor", "CountedRetriever", "OnePair", "PassthroughGenerator", PL.Online(1, 1))
+    qa = spark.createDataFrame([(i, ("katze", "hund", "haus")[i % 3], "r") for i in range(9)], "qa_idx long, user_input string, reference string")
+    got = {r.qa_idx: r.response.split()[-1] for r in PL.run_queries(online, index, qa).collect()}
+    assert got == {i: ("katze", "hund", "haus")[i % 3] for i in range(9)} and searches == [9] and pairs.count(1) == 9
+
+
 @pytest.mark.parametrize("fixed, segment, n", [(0.3, 16, 400), (0.6, 7, 150), (-1.0, 20, 130), (0.99, 5, 60)])
 def test_segments_equal_the_loop(spark, fixed, segment, n):
     """One label with most rows, small ones, a null one; clusters of one row, and one cluster over all segments."""
