@@ -12,11 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.functions import text as T
 from quarry.schemas import CHUNK
-from quarry.sources.shared import written
+from quarry.sources.shared import bounded, written
 
 
 def _check(size: int, overlap: int) -> None:
@@ -67,15 +68,37 @@ def whole(docs: DataFrame) -> DataFrame:
 Piece = tuple[int, str, dict]
 
 
-def sequential(docs: DataFrame, name: str, cut: Callable[[str, str], list[Piece]]) -> DataFrame:
-    """Run ``cut(doc_id, text) -> [(chunk_idx, text, metadata)]`` over the documents, batch by batch."""
+#: Rows and characters of chunks that a task passes on at once.
+CHUNK_ROWS, CHUNK_CHARS = 4096, 1 << 20
+_META = pa.map_(pa.string(), pa.string())
+_ARROW = pa.schema([("chunk_id", pa.string()), ("doc_id", pa.string()), ("chunk_idx", pa.int32()), ("text", pa.string()), ("chunker_name", pa.string()), ("metadata", _META)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(f"{d}_chunk_{i}", d, i, t, name, {k: str(v) for k, v in m.items()}) for d, x in zip(pdf.doc_id, pdf.text) for i, t, m in cut(d, x or "")]
-            yield pd.DataFrame(rows, columns=["chunk_id", "doc_id", "chunk_idx", "text", "chunker_name", "metadata"])
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, CHUNK)
+def cut_batches(batches: Iterator[pa.RecordBatch], name: str, cut: Callable[[str, str], list[Piece]]) -> Iterator[pa.RecordBatch]:
+    """The chunks of batches of (doc_id, text), document by document, as batches of bounded rows and characters."""
+    rows, size = [], 0
+
+    def passed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+
+    for b in batches:
+        for d, x in zip(*b.columns):
+            d = d.as_py()
+            for i, t, m in cut(d, x.as_py() or ""):
+                rows.append((f"{d}_chunk_{i}", d, i, t, name, [(k, str(v)) for k, v in m.items()]))
+                size += len(t)
+                if len(rows) >= CHUNK_ROWS or size >= CHUNK_CHARS:
+                    yield passed()
+                    rows, size = [], 0
+    if rows:
+        yield passed()
+
+
+def sequential(docs: DataFrame, name: str, cut: Callable[[str, str], list[Piece]]) -> DataFrame:
+    """Run ``cut(doc_id, text) -> [(chunk_idx, text, metadata)]`` over the documents one by one. A worker holds a batch of bounded
+    bytes, one document's chunks, and a bounded number of others that are not passed on yet."""
+    bounded(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(lambda batches: cut_batches(batches, name, cut), CHUNK)
 
 
 def _sentence_spans(text: str) -> list[tuple[int, int, list[tuple[int, int]]]]:

@@ -577,6 +577,30 @@ def test_large_batches_are_halved(spark, tmp_path):
         PL.run_queries(PL.OnlinePipeline("NoProcessingProcessor", "TwoAtOnce", "PassthroughReranker", "PassthroughGenerator", PL.Online(1, 1)), index, qa)
 
 
+def test_chunkers_pass_on_bounded_batches(spark):
+    """A worker passes chunks on as they come, in batches of bounded rows and characters, and reads batches of bounded bytes."""
+    import pyarrow as pa
+
+    done = []
+
+    def cut(d, text):
+        done.append(d)
+        return [(i, text, {"k": i}) for i in range(50)]
+
+    batch = pa.RecordBatch.from_arrays([pa.array(map(str, range(1000))), pa.array(["x" * 10] * 990 + ["y" * (C.CHUNK_CHARS // 10)] * 9 + [None])], names=["doc_id", "text"])
+    got = C.cut_batches(iter([batch, batch]), "n", cut)
+    first = next(got)
+    assert first.num_rows == C.CHUNK_ROWS and len(done) < 100 and first.column("metadata")[3].as_py() == [("k", "3")]
+    rest = [first, *got]
+    assert sum(b.num_rows for b in rest) == 100_000 and max(b.num_rows for b in rest) <= C.CHUNK_ROWS
+    assert max(sum(len(t.as_py()) for t in b.column("text")) for b in rest) < 1.2 * C.CHUNK_CHARS
+    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    C.sequential(docs(spark, "a"), "n", cut)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(shared.BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", held)
+
+
 def test_a_small_reranker_repeats_no_search(spark, tmp_path):
     """A reranker that takes one pair at once halves its own hits; the index is searched once."""
     searches, pairs = [], []
