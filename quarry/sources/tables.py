@@ -137,7 +137,8 @@ def with_ordinals(chunks: DataFrame) -> DataFrame:
     """``ordinal``: the storage order (document, chunk) as 0.. without one task for all rows.
 
     Chunks are range-partitioned, sorted and written once (range bounds are sampled, so a second run of the
-    same plan could cut elsewhere); partition sizes then give each partition its first number.
+    same plan could cut elsewhere); partition sizes then give each partition its first number, a row a partition that
+    every task gets, so texts are shuffled once.
     """
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = chunks.repartitionByRange(n, "doc_id", "chunk_idx").sortWithinPartitions("doc_id", "chunk_idx").withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
@@ -145,4 +146,4 @@ def with_ordinals(chunks: DataFrame) -> DataFrame:
     rows = written(rows.drop("_m"), "ordinals")
     sizes = rows.groupBy("_p").agg(F.count("*").alias("_n"))
     base = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
-    return rows.join(base, "_p").withColumn("ordinal", F.col("_b") + F.col("_k")).drop("_p", "_k", "_b")
+    return rows.join(F.broadcast(base), "_p").withColumn("ordinal", F.col("_b") + F.col("_k")).drop("_p", "_k", "_b")
