@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 DIM = 64
+#: Words whose buckets a worker remembers, twice.
+KNOWN = 1 << 16
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,9 +37,23 @@ def sigmoid(x: Column) -> Column:
 
 
 def hash_bucket(word: str, dim: int = DIM) -> int:
-    import hashlib
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:3], "big") % dim
 
-    return int(hashlib.md5(word.encode()).hexdigest()[:6], 16) % dim
+
+class Buckets(dict):
+    """word -> bucket, remembered for the words met last: KNOWN of them, and as many before those, from which words that are met
+    again come back. Common words so stay, whatever the number of rare ones."""
+
+    def __init__(self, dim: int = DIM):
+        self.dim, self.before = dim, {}
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN:
+            self.before = self.copy()
+            self.clear()
+        found = self.before.get(word)
+        self[word] = found = hash_bucket(word, self.dim) if found is None else found
+        return found
 
 
 def hash_embedder(dim: int = DIM):
@@ -44,16 +61,10 @@ def hash_embedder(dim: int = DIM):
 
     @F.pandas_udf("array<double>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, int] = {}
+        bucket = Buckets(dim).__getitem__
 
         def one(text):
-            v = np.zeros(dim)
-            for w in (text or "").lower().split():
-                if w not in known:
-                    if len(known) > 500_000:
-                        known.clear()
-                    known[w] = hash_bucket(w, dim)
-                v[known[w]] += 1
+            v = np.bincount(list(map(bucket, (text or "").lower().split())), minlength=dim).astype(np.float64)
             n = np.sqrt((v * v).sum())
             return v / n if n else v
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.functions import vectors as V
-from quarry.sources.shared import written
+from quarry.sources.shared import bounded, written
 
 RRF_K = 60
 #: Queries and chunks in a matrix product, and bytes of query vectors sent to every task at once.
@@ -30,6 +30,7 @@ def build_index(chunks: DataFrame, embed: Callable[[Column], Column] | None, pat
     """Write chunks, with unit embeddings where ``embed`` is given, and read them back; no chunks are an error."""
     out = chunks
     if embed is not None:
+        bounded(chunks.sparkSession)
         out = chunks.withColumn("_raw", embed(F.col("text"))).withColumn("embedding", V.l2_normalize(F.col("_raw"))).drop("_raw")
     out.write.mode("overwrite").parquet(path)
     index = load_index(chunks.sparkSession, path)
@@ -81,6 +82,7 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int | str = 20, ordinal: str
 
 def partial_top_k(chunks: DataFrame, queries: DataFrame, k: int, ordinal: str = "ordinal", vector: str = "embedding") -> DataFrame:
     """(query_id, variant, ordinal, score): the best k of each query in each task."""
+    bounded(chunks.sparkSession)
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("variant").cast("int").alias("variant"), F.col("embedding").cast("array<double>").alias("e"))
     src = chunks.where(F.col(vector).isNotNull()).select(F.col(ordinal).cast("long").alias("ordinal"), F.col(vector).cast("array<double>").alias("v"))
     schema = pa.schema([("query_id", pa.int64()), ("variant", pa.int32()), ("ordinal", pa.int64()), ("score", pa.float64())])

@@ -601,6 +601,28 @@ def test_chunkers_pass_on_bounded_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", held)
 
 
+def test_ordinals_shuffle_texts_once(spark):
+    """First numbers go to every task, whatever Spark takes for their size; chunks are not shuffled again for them."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = S.with_ordinals(C.by_characters(docs(spark, *("abc" * k for k in range(1, 40))), 10, 0))
+        rows = out.orderBy("ordinal").collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [r.ordinal for r in rows] == list(range(len(rows))) and [(r.doc_id, r.chunk_idx) for r in rows] == sorted((r.doc_id, r.chunk_idx) for r in rows)
+
+
+def test_embedder_remembers_a_bounded_number_of_words(monkeypatch):
+    monkeypatch.setattr(V, "KNOWN", 100)
+    bucket = V.Buckets()
+    words = [w for k in range(2000) for w in (f"rare{k}", "common")]
+    assert [bucket[w] for w in words] == [V.hash_bucket(w) for w in words]
+    assert len(bucket) <= 100 and len(bucket.before) <= 100 and "common" in bucket and V.hash_bucket("common") == int(__import__("hashlib").md5(b"common").hexdigest()[:6], 16) % V.DIM
+
+
 def test_a_small_reranker_repeats_no_search(spark, tmp_path):
     """A reranker that takes one pair at once halves its own hits; the index is searched once."""
     searches, pairs = [], []
