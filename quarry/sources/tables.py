@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions.text import doc_id_from_path
 from quarry.operators.evaluate import summary
@@ -19,12 +19,30 @@ from quarry.sources.store import boundary_store
 RESULTS = "qa_idx long, user_input string, reference string, response string, retrieved_contexts array<string>, reranking_scores array<double>"
 
 
+#: Bytes of whole files, and splits of a few small ones, that a task reads.
+TASK_BYTES, TASK_SPLITS = 32 << 20, 64
+
+
+def whole_files(spark: SparkSession, paths: list[str] | str, *columns: str | Column) -> DataFrame:
+    """``columns`` of whole files as Spark's ``binaryFile`` source has them, with many files to a task.
+
+    Spark counts a small file as 4 MB, so each task of its own would read some 32 of them, whatever they hold; here as
+    many of those splits go to a task as keep all cores busy, 64 (some 2,048 files) or 32 MB at most.
+    """
+    files = spark.read.format("binaryFile").load(paths)
+    size = files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    files = files.select(*columns)
+    splits = files.rdd.getNumPartitions()
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-splits // TASK_SPLITS), -(-size // TASK_BYTES))
+    return files.coalesce(tasks) if tasks < splits else files
+
+
 def from_paths(spark: SparkSession, paths: list[str], convert: Callable[[bytes], str] | None = None) -> DataFrame:
     """Raw documents, their ids from the paths; texts are read as whole files.
 
     Bytes that are not UTF-8 text, such as a PDF's, go through ``convert`` (a PDF reader); without one they fail the query.
     """
-    files = spark.read.format("binaryFile").load(paths)
+    files = whole_files(spark, paths, "path", "content")
     is_text = F.is_valid_utf8(F.col("content").cast("string")) & ~F.startswith("content", F.lit(b"%PDF"))
     if convert is None:
         other = F.raise_error(F.concat(F.lit("not a text file, and no converter given: "), "path"))
@@ -47,25 +65,30 @@ def from_pages(pages: DataFrame) -> DataFrame:
 
 
 def text_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, text) of a folder of whole-text files."""
-    return spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), "^(.*)\\.[^.]+$", 1).alias("doc_id"), F.col("value").alias("text"))
+    """(doc_id, text) of a folder of whole-text files, which are not compressed."""
+    files = whole_files(spark, folder, F.col("_metadata.file_name").alias("name"), "content")
+    return files.select(F.regexp_extract("name", "^(.*)\\.[^.]+$", 1).alias("doc_id"), F.col("content").cast("string").alias("text"))
 
 
 def write_texts(docs: DataFrame, folder: str) -> None:
     """Every row's ``text`` as a file ``name`` in ``folder``, which appears whole by a rename; a retried task writes the same again. A
-    null text is an empty file."""
+    null text is an empty file.
+
+    A task drafts in a hidden folder of its own: tasks that make drafts beside the files wait for each other at every one.
+    """
     from quarry.sources.paged import file_system
 
     def run(batches):
+        store, inner = file_system(folder)
+        own = f"{inner}/.{uuid.uuid4().hex}"
+        store.create_dir(own, recursive=True)
         for pdf in batches:
-            store, inner = file_system(folder)
-            store.create_dir(inner, recursive=True)
             for name, text in zip(pdf["name"], pdf["text"]):
-                draft = f"{inner}/.{name}.{uuid.uuid4().hex}"
-                with store.open_output_stream(draft) as f:
+                with store.open_output_stream(f"{own}/.draft") as f:
                     f.write((text or "").encode())
-                store.move(draft, f"{inner}/{name}")
+                store.move(f"{own}/.draft", f"{inner}/{name}")
             yield pd.DataFrame({"n": [len(pdf)]})
+        store.delete_dir(own)
 
     docs.select("name", "text").mapInPandas(run, "n long").agg(F.sum("n")).collect()
 
@@ -103,10 +126,11 @@ def qa_pairs(spark: SparkSession, path: str) -> DataFrame:
 def boundary_cache(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, text_hash, boundary_ids) of ``<doc_id>__<hash>.json`` files; files that don't parse are misses. ``keep_boundaries``
     takes them into a ``boundary_store``, the one form in which boundaries are read and written."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), "^(.*)__([0-9a-f]+)\\.json$", 1)
-    key = F.regexp_extract(F.col("_metadata.file_name"), "^(.*)__([0-9a-f]+)\\.json$", 2)
-    ids = F.from_json("value", "boundary_ids array<int>", {"mode": "PERMISSIVE"})["boundary_ids"]
-    return spark.read.text(folder, wholetext=True).select(name.alias("doc_id"), key.alias("text_hash"), ids.alias("boundary_ids")).where("boundary_ids is not null")
+    name = "^(.*)__([0-9a-f]+)\\.json$"
+    ids = F.from_json(F.col("content").cast("string"), "boundary_ids array<int>", {"mode": "PERMISSIVE"})["boundary_ids"]
+    files = whole_files(spark, folder, F.col("_metadata.file_name").alias("name"), "content")
+    rows = files.select(F.regexp_extract("name", name, 1).alias("doc_id"), F.regexp_extract("name", name, 2).alias("text_hash"), ids.alias("boundary_ids"))
+    return rows.where("boundary_ids is not null")
 
 
 def keep_boundaries(found: DataFrame, folder: str) -> DataFrame:

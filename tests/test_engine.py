@@ -396,6 +396,16 @@ def test_pages_of_files(spark, tmp_path):
     assert read_pages(spark, [f"{tmp_path}/in/f2.txt"], convert).orderBy("page").first().text == "PAGE 0 OF 2\nÉ"
 
 
+def test_many_small_files(spark, tmp_path):
+    names = [f"d{k}__{k:x}.json" for k in range(2000)]
+    rows = spark.createDataFrame([(n, f'{{"boundary_ids": [{k}]}}') for k, n in enumerate(names)], "name string, text string")
+    S.write_texts(rows, f"{tmp_path}/in")
+    assert sorted(os.listdir(tmp_path / "in")) == sorted(names)  # no drafts are left
+    for read in (lambda p: S.from_paths(spark, [p]), lambda p: S.text_cache(spark, p), lambda p: S.boundary_cache(spark, p)):
+        got = read(f"{tmp_path}/in")
+        assert got.rdd.getNumPartitions() <= 32 and got.count() == 2000
+
+
 def test_layout_model():
     page = "<!DOCTYPE html><html><head><title>x</title></head><body><h1>A &amp; B</h1><p><b>bold<br><p>next <i>it</i><ul><li>one</li><li>two</ul><table><tr><th>a</th><th>b|c</th></tr><tr><td>1<br>2</td></tr></table>tail<script>x</script></body>"
     assert LayoutModel()(page) == "# A & B\n\nbold\n\nnext it\n\n- one\n\n- two\n\n| a | b\\|c |\n| --- | --- |\n| 1 2 |  |\n\ntail"
