@@ -634,11 +634,12 @@ _LINES = f"array_to_string(list_filter(list_transform(string_split({_PAGE}, chr(
 def paged_files(spark, sf_dir):
     """Pages written as files of eight, read page by page, cleaned, and put together as documents again."""
     folder = new_path(spark, "paged")
-    pages = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 8).alias("file"), "page_id", F.coalesce("html", F.lit("")).alias("value"))
-    pages.repartition("file").sortWithinPartitions("file", "page_id").select("file", "value").write.partitionBy("file").option("lineSep", "\f").text(folder)
+    pages = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 8).alias("file"), F.struct("page_id", F.concat(F.coalesce("html", F.lit("")), F.lit("\f")).alias("html")).alias("p"))
+    files = pages.groupBy("file").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    S.write_texts(files.select(F.concat(F.lit("file="), "file", F.lit(".txt")).alias("name"), F.array_join("p.html", "").alias("text")), folder)
     back = read_pages(spark, [folder], run_bytes=1 << 16).withColumn("text", P.html_to_text(F.col("text")))
-    docs = pages_as_documents(back).select(F.regexp_extract("source_path", "file=([0-9]+)", 1).cast("long").alias("file"), "text")
-    return docs.join(back.groupBy(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file")).agg(F.max("page").alias("pages")), "file").select("file", "pages", "text")
+    docs = pages_as_documents(back, "raw_text", F.max("page").alias("pages"))
+    return docs.select(F.regexp_extract("source_path", "file=([0-9]+)", 1).cast("long").alias("file"), "pages", "text")
 
 
 _MARKS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(coalesce(html, ''), chr(10), ' '), '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<head\\b.*?</head>|<!--.*?-->', '', 'g'), '(?i)<li>', chr(10) || '- ', 'g'), '(?i)<h1>', chr(10) || '# ', 'g'), '(?i)</?(p|div|li|h1|article|section|ul|nav|footer|body)\\b[^>]*>|<br>', chr(10), 'g'), '<[^>]*>', '', 'g')"

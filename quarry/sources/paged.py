@@ -8,13 +8,15 @@ import posixpath
 from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quarry.functions.text import doc_id_from_path
 
 #: Bytes of files that one partition reads, at most, unless a single file has more.
 RUN_BYTES = 32 << 20
+#: Smaller partitions are joined, up to RUN_BYTES, where there would be more of them: starting each costs a tenth of a second.
+RUNS = 256
 PAGE = "path string, page int, text string"
 
 
@@ -62,10 +64,11 @@ class _Reader(DataSourceReader):
         self.convert, self.paths, self.most = convert, paths, most
 
     def partitions(self):
-        """A partition a run of files of ``most`` bytes together."""
-        runs, size = [[]], 0
-        for path, n in (f for p in self.paths for f in listed(p)):
-            if runs[-1] and size + n > self.most:
+        """A partition a run of files of ``most`` bytes together, or of what leaves RUNS of them."""
+        runs, size, files = [[]], 0, [f for p in self.paths for f in listed(p)]
+        most = max(self.most, min(RUN_BYTES, sum(n for _, n in files) // RUNS))
+        for path, n in files:
+            if runs[-1] and size + n > most:
                 runs.append([])
                 size = 0
             runs[-1].append(path)
@@ -110,9 +113,9 @@ def read_pages(spark: SparkSession, paths: list[str], convert: Callable[[BinaryI
     return spark.read.format("paged_files").option("paths", json.dumps(paths)).option("runBytes", str(run_bytes)).load()
 
 
-def pages_as_documents(pages: DataFrame, name: str = "raw_text") -> DataFrame:
+def pages_as_documents(pages: DataFrame, name: str = "raw_text", *more: Column) -> DataFrame:
     """One document per file of ``pages(path, page, text)``: the texts of its pages in order, each with a line end; empty
-    pages are left out."""
+    pages are left out. ``more`` are further aggregates over a file's pages, taken in the same pass."""
     text = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.when(F.length("text") > 0, F.struct("page", "text")))), lambda p: F.concat(p["text"], F.lit("\n"))))
-    docs = pages.groupBy("path").agg(text.alias("text"))
-    return docs.select(F.concat(doc_id_from_path(F.col("path")), F.lit(f"_{name}")).alias("doc_id"), F.col("path").alias("source_path"), "text", F.lit(name).alias("preprocessor_name"))
+    docs = pages.groupBy("path").agg(text.alias("text"), *more)
+    return docs.select(F.concat(doc_id_from_path(F.col("path")), F.lit(f"_{name}")).alias("doc_id"), F.col("path").alias("source_path"), "text", F.lit(name).alias("preprocessor_name"), *docs.columns[2:])

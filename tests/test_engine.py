@@ -406,6 +406,19 @@ def test_many_small_files(spark, tmp_path):
         assert got.rdd.getNumPartitions() <= 32 and got.count() == 2000
 
 
+def test_pages_in_few_tasks(spark, tmp_path):
+    for k in range(1000):
+        (tmp_path / f"f{k}.txt").write_text("a\fb")
+    pages = read_pages(spark, [str(tmp_path)], run_bytes=1)
+    assert pages.rdd.getNumPartitions() <= 512 and pages.count() == 2000
+
+
+def test_pages_with_aggregates(spark):
+    pages = spark.createDataFrame([("/in/a.txt", 1, "x"), ("/in/a.txt", 2, ""), ("/in/b.txt", 1, "y")], "path string, page int, text string")
+    got = pages_as_documents(pages, "raw_text", F.max("page").alias("pages"))
+    assert {(r.doc_id, r.text, r.pages) for r in got.collect()} == {("a_raw_text", "x\n", 2), ("b_raw_text", "y\n", 1)}
+
+
 def test_layout_model():
     page = "<!DOCTYPE html><html><head><title>x</title></head><body><h1>A &amp; B</h1><p><b>bold<br><p>next <i>it</i><ul><li>one</li><li>two</ul><table><tr><th>a</th><th>b|c</th></tr><tr><td>1<br>2</td></tr></table>tail<script>x</script></body>"
     assert LayoutModel()(page) == "# A & B\n\nbold\n\nnext it\n\n- one\n\n- two\n\n| a | b\\|c |\n| --- | --- |\n| 1 2 |  |\n\ntail"
