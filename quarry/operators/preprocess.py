@@ -47,21 +47,18 @@ def write_through(docs: DataFrame, step: Step, folder: str, name: str) -> DataFr
     it; ids get the step's name.
 
     ``step`` gets every different pair of id and text once, under an id of its own (the text's hash and the document's id), so
-    documents that share an id keep their own texts, null ones too. What it computed is staged, read back and published
+    documents that share an id keep their own texts, null ones too; it gives a row for each at most. What it computed is staged, read back and published
     whole (see ``Store``), so a repeated run processes nothing and one that is killed leaves nothing.
     """
     cache = text_store(docs.sparkSession, f"{folder}/{name}")
-    keyed = docs.withColumn("source_hash", source_hash(F.col("text")))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["source_hash"] == b["source_hash"])
-    known = cache.read()
-    miss = keyed.join(known, same(keyed, known), "left_anti").dropDuplicates(["doc_id", "source_hash"])
-    own = F.concat("source_hash", F.coalesce(F.concat(F.lit("."), "doc_id"), F.lit("")))
-    done = step(miss.withColumn("doc_id", own).drop("source_hash")).select(F.col("doc_id").alias("own"), "text")
+    own = F.concat("source_hash", F.coalesce(F.concat(F.lit("."), "doc_id"), F.lit(""))).alias("own")
+    keyed = docs.withColumn("source_hash", source_hash(F.col("text"))).select(*docs.columns, own)
+    miss = keyed.join(cache.read().select(own), "own", "left_anti").dropDuplicates(["own"])  # by one key, so in one shuffle
+    done = step(miss.withColumn("doc_id", F.col("own")).select(*docs.columns)).select(F.col("doc_id").alias("own"), "text")
     doc_id = F.when(F.length("own") > len(NO_TEXT), F.expr(f"substr(own, {len(NO_TEXT) + 2})"))
-    cache.add(done.select(doc_id.alias("doc_id"), F.substring("own", 1, len(NO_TEXT)).alias("source_hash"), "text"))
-    known = cache.read()
-    both = keyed.drop("text").alias("k").join(known.alias("c"), F.col("k.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("k.source_hash") == F.col("c.source_hash")))
-    return renamed(both.select(*[F.col(f"c.{c}" if c == "text" else f"k.{c}") for c in docs.columns]), name)
+    cache.add(done.select(doc_id.alias("doc_id"), F.substring("own", 1, len(NO_TEXT)).alias("source_hash"), "text"), unique=True)
+    both = keyed.drop("text").join(cache.read().select(own, "text"), "own")
+    return renamed(both.select(*docs.columns), name)
 
 
 def preconverted(docs: DataFrame, name: str) -> DataFrame:

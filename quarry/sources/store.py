@@ -11,8 +11,9 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 class Store:
@@ -49,14 +50,20 @@ class Store:
         rows = self.spark.read.schema(self.schema).parquet(*[f"{self.folder}/data/{c}" for c in commits])
         if len(commits) == 1:  # a commit has a key once
             return rows
-        order = F.substring_index(F.col("_metadata.file_path"), "/data/", -1)
-        first = F.row_number().over(Window.partitionBy(*self.keys).orderBy("_order"))
-        return rows.withColumn("_order", order).withColumn("_n", first).where("_n = 1").drop("_order", "_n")
-
-    def stage(self, rows: DataFrame) -> str:
-        """Write ``rows``, one of each key, where no reader looks; returns the name that ``publish`` takes."""
+        rows = rows.withColumn("_order", F.substring_index(F.col("_metadata.file_path"), "/data/", -1))
+        again = rows.groupBy(*self.keys).agg(F.count("*").alias("_n"), F.min("_order").alias("_first")).where("_n > 1").drop("_n")
+        if again.isEmpty():  # the keys tell, without a shuffle of the rows
+            return rows.drop("_order")
+        same = reduce(Column.__and__, [F.col(f"r.{k}").eqNullSafe(F.col(f"a.{k}")) for k in self.keys])
+        kept = rows.alias("r").join(again.alias("a"), same, "left").where("a._first is null or r._order = a._first")
+        return kept.select(*[F.col(f"r.{f.name}") for f in self.schema])
+
+    def stage(self, rows: DataFrame, unique: bool = False) -> str:
+        """Write ``rows``, one of each key, where no reader looks; returns the name that ``publish`` takes. ``unique`` rows have
+        each key once already and are not shuffled."""
         name = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
-        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).dropDuplicates(self.keys).write.parquet(f"{self.folder}/data/{name}")
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
+        (rows if unique else rows.dropDuplicates(self.keys)).write.parquet(f"{self.folder}/data/{name}")
         return name
 
     def publish(self, name: str, replaces: list[str] = ()) -> None:
@@ -70,9 +77,9 @@ class Store:
         if not self._fs.rename(draft, target) and not self._fs.exists(target):
             raise OSError(f"could not publish {target}")
 
-    def add(self, rows: DataFrame) -> None:
+    def add(self, rows: DataFrame, unique: bool = False) -> None:
         """Stage and publish; no rows publish nothing."""
-        name = self.stage(rows)
+        name = self.stage(rows, unique)
         if not self.spark.read.schema(self.schema).parquet(f"{self.folder}/data/{name}").isEmpty():
             self.publish(name)
 

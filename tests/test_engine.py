@@ -368,6 +368,30 @@ def test_repeated_ids_keep_their_texts(spark, tmp_path):
     assert text_store(spark, f"{tmp_path}/cache/n").read().count() == 7
 
 
+def test_write_through_shuffles_texts_once(spark, tmp_path):
+    d = spark.range(3000).select(F.col("id").cast("string").alias("doc_id"), F.lit("").alias("source_path"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 20).alias("text"), F.lit("").alias("preprocessor_name"))
+    step = lambda x: x.withColumn("text", F.upper("text"))
+    P.write_through(d.where("doc_id % 2 = 0"), step, f"{tmp_path}/cache", "n")
+    seen, real = [], type(d.write).parquet
+
+    def parquet(self, path, *a, **k):
+        seen.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return real(self, path, *a, **k)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(d.write), "parquet", parquet)
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            got = P.write_through(d, step, f"{tmp_path}/cache", "n")
+            plan = got._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(seen) == 1 and seen[0].count("Exchange hashpartitioning") == 2  # documents and known keys
+    assert plan.count("Exchange hashpartitioning") == 2  # keys and known texts
+    assert got.count() == 3000 and got.where("text <> upper(text)").isEmpty()
+
+
 # --- pages, layout, batch jobs -------------------------------------------------------------------------
 
 
