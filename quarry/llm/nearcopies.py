@@ -1,4 +1,4 @@
-"""Near copies by the exact Jaccard similarity of word shingles, with MinHash bands for candidates."""
+"""Near copies by the exact Jaccard similarity of word shingles; candidates from given groups and from MinHash bands."""
 
 from __future__ import annotations
 
@@ -169,18 +169,21 @@ def links_apart(now: DataFrame, texts: DataFrame, size: int, similarity: float)
     return units.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(rows: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def components(rows: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, groups: DataFrame | None = None) -> DataFrame:
     """``rows(row, doc_id, text)`` -> ``(row, doc_id, label)``: one label for all texts joined by links.
 
     A link is a Jaccard similarity of ``similarity`` or more between the sets of ``size``-word shingles of
     two texts, verified on the shingles themselves; texts without words are copies of each other. Texts
-    are compared that share a band. A bucket's texts are first compared with one of them, another
+    are compared that share a band, or a key of ``groups(row, key)``. A bucket's texts are first compared with one of them, another
     one each round as long as that joins many, so that a large group of copies is joined by a linear number of pairs; then all
     that are still apart are compared within their buckets, whatever their size (``links_apart``).
     """
     signed = written(signatures(rows, size), "signed")
     reps = written(signed.groupBy("node").agg(F.min("row").alias("row")), "reps")
-    keys = signed.join(reps.select("row"), "row", "left_semi").select("node", F.explode("bands").alias("key"))
+    one = signed.join(reps.select("row"), "row", "left_semi")
+    keys = one.select("node", F.explode("bands").alias("key"))
+    if groups is not None:  # texts without bands have no shingle and meet by equality alone
+        keys = keys.unionByName(one.where(F.size("bands") > 0).join(groups, "row").select("node", F.xxhash64(F.lit("group"), "key").alias("key")))
     met = written(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key").select("key", "node"), "met")
     texts = reps.join(met.select("node").distinct(), "node", "left_semi")
     texts = written(rows.select("row", "text").join(texts, "row").select("node", "text"), "texts")

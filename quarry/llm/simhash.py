@@ -187,16 +187,8 @@ def links(distinct: DataFrame, errors: int = ERRORS, part: int = PART, blocks: i
     return rows.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, errors: int = ERRORS) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id, component_size.
-
-    component_id is the smallest doc_id reachable over links of at most ``errors`` differing bits.
-    Null texts count as empty, empty texts share the zero fingerprint and are linked like any
-    other, repeated rows are kept, no rows give no rows. Exact copies meet once, by fingerprint:
-    only distinct fingerprints are joined.
-    """
-    fps = written(fingerprints(docs, size), "fp")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
+def joined(distinct: DataFrame, errors: int = ERRORS) -> DataFrame:
+    """``distinct(fp)`` -> ``(fp, label)``: one label for all fingerprints that links of at most ``errors`` bits connect."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def scatter(batches):
@@ -207,26 +199,48 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, errors: int = ERRORS)
         for b in batches:
             yield batch(schema, b.column(0), mix64(b.column(0).to_numpy().view(np.uint64)).view(np.int64))
 
-    labels = connected_components(links(nodes.select("fp"), errors).mapInArrow(scatter, "a long, b long"))
-    named = nodes.select("fp").mapInArrow(scatter_node, "a long, b long").toDF("fp", "node")
-    nodes = nodes.join(named, "fp").join(labels, "node", "left").select("fp", "rep", "n", F.coalesce("label", "node").alias("label"))
+    labels = connected_components(links(distinct, errors).mapInArrow(scatter, "a long, b long"))
+    named = distinct.mapInArrow(scatter_node, "a long, b long").toDF("fp", "node")
+    return named.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, errors: int = ERRORS) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id, component_size.
+
+    component_id is the smallest doc_id reachable over links of at most ``errors`` differing bits.
+    Null texts count as empty, empty texts share the zero fingerprint and are linked like any
+    other, repeated rows are kept, no rows give no rows. Exact copies meet once, by fingerprint:
+    only distinct fingerprints are joined.
+    """
+    fps = written(fingerprints(docs, size), "fp")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
+    nodes = nodes.join(joined(nodes.select("fp"), errors), "fp")
     least = nodes.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("n").alias("component_size"))
     by_fp = nodes.select("fp", "label").join(least, "label").select("fp", "component_id", "component_size")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fps.join(by_fp, "fp").select("doc_id", hexed, "component_id", "component_size")
 
 
+def near_groups(rows: DataFrame) -> DataFrame:
+    """``rows(row, text)`` -> ``(row, key)``: one key for all rows whose fingerprints the trie join connects."""
+    fps = written(fingerprints(rows.select(F.col("row").alias("doc_id"), "text")).toDF("row", "fp"), "fp")
+    distinct = written(fps.select("fp").distinct(), "nodes")
+    return fps.join(joined(distinct), "fp").select("row", F.col("label").alias("key"))
+
+
 def keep_one(docs: DataFrame, size: int = nearcopies.SHINGLE, similarity: float = nearcopies.SIMILARITY) -> DataFrame:
     """The documents without near-duplicates: of each component exactly one row stays.
 
     That is the one with the smallest id; null ids come last, and rows of one id are told apart by their
     place in the input: of equal rows one stays, and rows of one id with unlike texts are different documents.
-    Near-duplicates have ``similarity`` or more of their ``size``-word shingles in common (``nearcopies``):
-    fingerprints of such texts lie up to 14 bits apart, out of reach for bit blocks.
+    Near-duplicates have ``similarity`` or more of their ``size``-word shingles in common. Candidates are the groups that
+    the trie join of the fingerprints connects, held to that similarity exactly. Fingerprints of such texts lie up to
+    14 bits apart, so MinHash bands beside it bring the pairs that are out of its reach (``nearcopies``).
     """
     row = fresh(docs, "_row")
     held = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = nearcopies.components(id_and_bytes(held, F.col(row).alias("row")).select("row", "doc_id", "text"), size, similarity)
+    rows = id_and_bytes(held, F.col(row).alias("row")).select("row", "doc_id", "text")
+    found = nearcopies.components(rows, size, similarity, near_groups(rows))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
     out = found.groupBy("label").agg(first).select(F.col("first.row").alias(row))
     return held.join(out, row, "left_semi").drop(row)

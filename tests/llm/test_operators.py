@@ -140,6 +140,23 @@ def test_hubs_are_shared_out(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == want and 0 < len(want) < 99
 
 
+def test_keep_one_takes_the_trie_joins_groups(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000))
+    fp = simhash.fingerprint(text.encode())
+    longer = (" ".join([text, *(f"end{k}" for k in range(n))]) for n in range(1, 100))
+    near = next(t for t in longer if 0 < (simhash.fingerprint(t.encode()) ^ fp).bit_count() <= simhash.ERRORS)
+    spam = ["spam " * 300 + " ".join(f"{c}{k}" for k in range(100)) for c in "xy"]  # one fingerprint, unlike texts
+    assert len({simhash.fingerprint(t.encode()) for t in spam}) == 1
+    real = nearcopies.signatures
+    monkeypatch.setattr(nearcopies, "signatures", lambda rows, size: real(rows, size).withColumn("bands", F.array(F.xxhash64("row"))))  # no bands meet
+    data = [(1, text), (2, near), (3, "else " + text[:900]), (4, spam[0]), (5, spam[1])]
+    got = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4, 5]
+
+
 def test_keep_one_chooses_rows(spark):
     rng = random.Random(12)
     a, b, c, d = (text(rng, 50) for _ in range(4))
