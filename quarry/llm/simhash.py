@@ -158,8 +158,13 @@ def masks(blocks: int, errors: int = ERRORS) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in sums]
 
 
-def links(distinct: DataFrame, errors: int = ERRORS, part: int = PART, blocks: int | None = None) -> DataFrame:
-    """``distinct(fp)`` -> ``(a, b)`` fingerprints whose links connect all pairs within ``errors`` bits.
+def scattered(fp: np.ndarray) -> np.ndarray:
+    """The node that stands for each fingerprint, whatever its bits: a bijection."""
+    return mix64(fp.view(np.uint64)).view(np.int64)
+
+
+def links(distinct: DataFrame, errors: int = ERRORS, part: int = PART, blocks: int | None = None, node=None) -> DataFrame:
+    """``distinct(fp)`` -> ``(a, b)`` fingerprints whose links connect all pairs within ``errors`` bits, or what ``node`` makes of them.
 
     Of ``blocks`` bit blocks two linked fingerprints agree in all but ``errors`` at least, so each
     is dealt out by every choice of ``blocks - errors`` blocks; their number follows from the number of
@@ -181,26 +186,27 @@ def links(distinct: DataFrame, errors: int = ERRORS, part: int = PART, blocks: i
         for t in key_runs(batches, "unit", 20_000):
             fp = t.column("fp").to_numpy().view(np.uint64)
             i, j = spanning_links(t.column("unit").to_numpy(), fp, errors)
-            yield batch(schema, fp[i].view(np.int64), fp[j].view(np.int64))
+            ends = fp[i].view(np.int64), fp[j].view(np.int64)
+            yield batch(schema, *(map(node, ends) if node else ends))
 
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
 def joined(distinct: DataFrame, errors: int = ERRORS) -> DataFrame:
-    """``distinct(fp)`` -> ``(fp, label)``: one label for all fingerprints that links of at most ``errors`` bits connect."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """``distinct(fp)`` -> ``(fp, label)``: one label for all fingerprints that links of at most ``errors`` bits connect.
 
-    def scatter(batches):
-        for b in batches:
-            yield batch(schema, *(mix64(b.column(k).to_numpy().view(np.uint64)).view(np.int64) for k in (0, 1)))
+    A task never runs two Python steps at once: each would need a worker, and an executor keeps as many as it ever needed, with
+    all that the later stages' tasks leave in them.
+    """
+    schema = pa.schema([("fp", pa.int64()), ("node", pa.int64())])
 
-    def scatter_node(batches):
+    def name(batches):
         for b in batches:
-            yield batch(schema, b.column(0), mix64(b.column(0).to_numpy().view(np.uint64)).view(np.int64))
+            yield batch(schema, b.column(0), scattered(b.column(0).to_numpy()))
 
-    labels = connected_components(links(distinct, errors).mapInArrow(scatter, "a long, b long"))
-    named = distinct.mapInArrow(scatter_node, "a long, b long").toDF("fp", "node")
+    labels = connected_components(links(distinct, errors, node=scattered))
+    named = distinct.mapInArrow(name, "fp long, node long")
     return named.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("label"))
 
 

@@ -157,6 +157,27 @@ def test_keep_one_takes_the_trie_joins_groups(spark, monkeypatch):
     assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4, 5]
 
 
+def test_tasks_of_near_dedup_need_one_worker(spark, docs, monkeypatch):
+    """No stage runs a Python step on another's rows: an executor keeps every worker it ever needed, with what it holds."""
+    most, real = [], components.written
+
+    def steps(node, above=0):
+        node = node.initialPlan() if node.nodeName() == "AdaptiveSparkPlan" else node
+        above = 0 if "Exchange" in node.nodeName() else above + (node.nodeName() == "MapInArrow")
+        below = node.children()
+        return max([above, *(steps(below.apply(k), above) for k in range(below.size()))])
+
+    def seen(df, tag):
+        most.append(steps(df._jdf.queryExecution().executedPlan()))
+        return real(df, tag)
+
+    for module in (simhash, nearcopies, components):
+        monkeypatch.setattr(module, "written", seen)
+    for out in (simhash.keep_one(docs), simhash.near_duplicates(docs)):
+        seen(out, "out")
+    assert max(most) == 1
+
+
 def test_keep_one_chooses_rows(spark):
     rng = random.Random(12)
     a, b, c, d = (text(rng, 50) for _ in range(4))
