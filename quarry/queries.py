@@ -596,10 +596,12 @@ def path_documents(spark, sf_dir):
 
 @query("select doc_id::varchar || '.md_gemini' as doc_id, reverse(coalesce(text, '')) as text from documents")
 def text_cache_files(spark, sf_dir):
-    """Converted texts from a folder of files named by the documents they belong to."""
-    docs, folder = documents(spark, sf_dir).withColumn("doc_id", F.concat("doc_id", F.lit(".md"))), new_path(spark, "texts")
+    """Converted texts from a folder of files named by the documents they belong to and a hash of their texts, as an id may be null or
+    that of several documents."""
+    key = F.concat(F.coalesce("id", F.lit("none")), F.lit("__"), T.text_hash(F.col("text")))
+    docs, folder = documents(spark, sf_dir).withColumn("id", F.concat("doc_id", F.lit(".md"))).withColumn("doc_id", key), new_path(spark, "texts")
     S.write_texts(docs.select(F.concat("doc_id", F.lit("_gemini.txt")).alias("name"), F.reverse("text").alias("text")), folder)
-    return S.converted(docs, S.text_cache(spark, folder), "gemini").select("doc_id", "text")
+    return S.converted(docs, S.text_cache(spark, folder), "gemini").select(F.concat("id", F.lit("_gemini")).alias("doc_id"), "text")
 
 
 @query("select doc_id::varchar as doc_id, substring(sha256(coalesce(text, '')), 1, 16) as text_hash, (doc_id % 5)::int as a, length(coalesce(text, ''))::int as b, doc_id % 7 = 0 as cached from documents where doc_id % 3 > 0 or doc_id % 7 = 0")

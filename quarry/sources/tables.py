@@ -23,18 +23,34 @@ RESULTS = "qa_idx long, user_input string, reference string, response string, re
 TASK_BYTES, TASK_SPLITS = 32 << 20, 64
 
 
-def whole_files(spark: SparkSession, paths: list[str] | str, *columns: str | Column) -> DataFrame:
-    """``columns`` of whole files as Spark's ``binaryFile`` source has them, with many files to a task.
+def as_url(path: Column) -> Column:
+    """A path's URL in the one form, of two that Spark has for a store without a host, that the ``path`` of ``binaryFile`` has too."""
+    return F.regexp_replace(path, "^([^:/]+):///", "$1:/")
+
+
+def whole_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """``path`` and ``content`` of whole files as Spark's ``binaryFile`` source has them, with many files to a task, and of empty ones.
 
     Spark counts a small file as 4 MB, so each task of its own would read some 32 of them, whatever they hold; here as
     many of those splits go to a task as keep all cores busy, 64 (some 2,048 files) or 32 MB at most.
+    Its file sources list empty files and then leave them out: where fewer files are read than listed, the rest are added.
     """
     files = spark.read.format("binaryFile").load(paths)
     size = files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    files = files.select(*columns)
+    listed, found = files._jdf.inputFiles(), files.select(as_url(F.col("_metadata.file_path")).alias("file"))
+    files = files.select("path", "content")
     splits = files.rdd.getNumPartitions()
     tasks = max(4 * spark.sparkContext.defaultParallelism, -(-splits // TASK_SPLITS), -(-size // TASK_BYTES))
-    return files.coalesce(tasks) if tasks < splits else files
+    if tasks < splits:
+        files, found = files.coalesce(tasks), found.coalesce(tasks)
+    if found.count() == len(listed):
+        return files
+    names = spark.sparkContext._gateway.new_array(spark._jvm.java.lang.Object, len(listed))
+    spark._jvm.java.lang.System.arraycopy(listed, 0, names, 0, len(listed))  # they stay in the JVM
+    named = spark._jsparkSession.createDataset(spark._jvm.java.util.Arrays.asList(names), spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    empty = DataFrame(named.toDF(), spark).select(as_url(F.col("value")).alias("file")).join(found, "file", "left_anti")
+    path = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    return files.unionAll(empty.select(path.alias("path"), F.lit(b"").alias("content")))
 
 
 def from_paths(spark: SparkSession, paths: list[str], convert: Callable[[bytes], str] | None = None) -> DataFrame:
@@ -42,7 +58,7 @@ def from_paths(spark: SparkSession, paths: list[str], convert: Callable[[bytes],
 
     Bytes that are not UTF-8 text, such as a PDF's, go through ``convert`` (a PDF reader); without one they fail the query.
     """
-    files = whole_files(spark, paths, "path", "content")
+    files = whole_files(spark, paths)
     is_text = F.is_valid_utf8(F.col("content").cast("string")) & ~F.startswith("content", F.lit(b"%PDF"))
     if convert is None:
         other = F.raise_error(F.concat(F.lit("not a text file, and no converter given: "), "path"))
@@ -64,9 +80,14 @@ def from_pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.concat(F.lit("page_"), "page_id").alias("doc_id"), F.col("url").alias("source_path"), html_to_text(F.coalesce("html", F.lit(""))).alias("text"), F.lit("raw_text").alias("preprocessor_name"))
 
 
+def file_name() -> Column:
+    """A whole file's name as it is; ``_metadata.file_name`` has it as a URL does (``a%20b`` for ``a b``)."""
+    return F.substring_index("path", "/", -1)
+
+
 def text_cache(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, text) of a folder of whole-text files, which are not compressed."""
-    files = whole_files(spark, folder, F.col("_metadata.file_name").alias("name"), "content")
+    files = whole_files(spark, folder).withColumn("name", file_name())
     return files.select(F.regexp_extract("name", "^(.*)\\.[^.]+$", 1).alias("doc_id"), F.col("content").cast("string").alias("text"))
 
 
@@ -128,7 +149,7 @@ def boundary_cache(spark: SparkSession, folder: str) -> DataFrame:
     takes them into a ``boundary_store``, the one form in which boundaries are read and written."""
     name = "^(.*)__([0-9a-f]+)\\.json$"
     ids = F.from_json(F.col("content").cast("string"), "boundary_ids array<int>", {"mode": "PERMISSIVE"})["boundary_ids"]
-    files = whole_files(spark, folder, F.col("_metadata.file_name").alias("name"), "content")
+    files = whole_files(spark, folder).withColumn("name", file_name())
     rows = files.select(F.regexp_extract("name", name, 1).alias("doc_id"), F.regexp_extract("name", name, 2).alias("text_hash"), ids.alias("boundary_ids"))
     return rows.where("boundary_ids is not null")
 

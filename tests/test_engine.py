@@ -430,6 +430,33 @@ def test_many_small_files(spark, tmp_path):
         assert got.rdd.getNumPartitions() <= 32 and got.count() == 2000
 
 
+def test_cache_of_odd_ids(spark, tmp_path):
+    rows = [(None, "eins"), (None, "zwei"), (2, "drei"), (2, "vier"), (2, "vier"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["text_cache_files"](spark, str(tmp_path))
+    want = [(None if i is None else f"{i}.md_gemini", (t or "")[::-1]) for i, t in rows]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_empty_files(spark, tmp_path):
+    names = ["a", "b c", "d+e", "f%20g", "ö", "h,i"]
+    S.write_texts(spark.createDataFrame([(f"{n}{k}.txt", k * "x") for n in names for k in range(2)], "name string, text string"), f"{tmp_path}/in")
+    want = {(f"{n}{k}", k * "x") for n in names for k in range(2)}
+    for read in (lambda p: S.from_paths(spark, [p]), lambda p: S.text_cache(spark, p)):
+        assert sorted(tuple(r) for r in read(f"{tmp_path}/in").select("doc_id", "text").collect()) == sorted(want)
+    paths = {r.source_path for r in S.from_paths(spark, [f"{tmp_path}/in"]).collect()}
+    assert paths == {f"file:{tmp_path}/in/{n}.txt" for n, _ in want}
+
+
+def test_cache_of_odd_names(spark, tmp_path):
+    rows = [(n, f"{n}.txt", f"text of {n}") for n in ("a b", "a%20b", "1#2", "ö[1]?")]
+    S.write_texts(spark.createDataFrame(rows, "doc_id string, name string, text string"), f"{tmp_path}/in")
+    assert {tuple(r) for r in S.text_cache(spark, f"{tmp_path}/in").collect()} == {(n, t) for n, _, t in rows}
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "a b__0f.json").write_text('{"boundary_ids": [1]}')
+    assert [tuple(r) for r in S.boundary_cache(spark, f"{tmp_path}/b").collect()] == [("a b", "0f", [1])]
+
+
 def test_pages_in_few_tasks(spark, tmp_path):
     for k in range(1000):
         (tmp_path / f"f{k}.txt").write_text("a\fb")
