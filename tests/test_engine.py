@@ -448,6 +448,13 @@ def test_empty_files(spark, tmp_path):
     assert paths == {f"file:{tmp_path}/in/{n}.txt" for n, _ in want}
 
 
+def test_documents_of_empty_files(spark, tmp_path):
+    rows = [(k, [None, "", "eins"][k % 3]) for k in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["path_documents"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((f"{k}.md", t or "") for k, t in rows)
+
+
 def test_cache_of_odd_names(spark, tmp_path):
     rows = [(n, f"{n}.txt", f"text of {n}") for n in ("a b", "a%20b", "1#2", "ö[1]?")]
     S.write_texts(spark.createDataFrame(rows, "doc_id string, name string, text string"), f"{tmp_path}/in")
